@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op7_seeded_decontamination
 from .fixity import op5_merkle_fixity
+from .htmltree import op9_tree_model_html
 from .langid import op8_word_backoff_language
 from .oggmedia import op2_ogg_media
 from .omh import op6_order_minhash
@@ -23,6 +24,7 @@ QUERIES = {
         op6_order_minhash,
         op7_seeded_decontamination,
         op8_word_backoff_language,
+        op9_tree_model_html,
         op10_anchor_pii,
     )
 }
