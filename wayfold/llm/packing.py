@@ -31,7 +31,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 1
 
 CAPACITY = 4096
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_600_000
 #: Rows of one length that are ranked together, at least; beyond 100,000 such groups they grow.
 RANKED_TOGETHER = 500
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -79,7 +79,7 @@ class WordEncoder:
             for r, ws in words.items():
                 if len(ws) != 1 or ws[0] is not r:
                     known[r] = b"".join([known[w] for w in ws])
-        out = [b"".join([known[r] for r in rs]) if ok else self.whole(t) for t, ok, rs in zip(texts, plain, runs)]
+        out = [b"".join(map(known.__getitem__, rs)) if ok else self.whole(t) for t, ok, rs in zip(texts, plain, runs)]
         for r in [r for r in new if len(r) > 64]:  # long runs are not worth their memory
             known.pop(r, None)
         return out
