@@ -108,3 +108,8 @@ def finite(c: Column) -> Column:
 def uniform(*keys: Column) -> Column:
     """A reproducible number in [0, 1) from keys; md5, so that other engines can compute it too."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(k.cast("string") for k in keys))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def around(c: Column, n: int = 1) -> Column:
+    """One row for each cell index from c - n to c + n."""
+    return F.explode(F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda k: c + k))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import box_distance, wrap
+from ..functions.geom import around, box_distance, wrap
 
 #: Radii in metres, heights and counts of the protocol.
 RADIUS, DISC, OVERHEAD, LIDAR_LOW, LIDAR_HIGH, LIDAR_LEAST, MAP_RES = 0.25, 0.3, 2.0, 0.25, 1.9, 3, 0.1
@@ -76,8 +76,7 @@ def map_contacts(path: DataFrame, occ: DataFrame, n_sub: int, size: int = 400, r
     dense = densify(path, ["scenario"], n_sub, ["x", "y"]).select("scenario", "sub", rc("x").alias("pr"), rc("y").alias("pc"))
     start = path.filter("step = 0").select("scenario", (half - F.col("x") / MAP_RES).alias("r0"), (half - F.col("y") / MAP_RES).alias("c0"))
     far = occ.join(start, "scenario").filter(F.hypot(F.col("row") - F.col("r0"), F.col("col") - F.col("c0")) * MAP_RES > radius + MAP_RES).select("scenario", "row", "col", F.floor(F.col("row") / block).alias("bi"), F.floor(F.col("col") / block).alias("bj"))
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    look = dense.withColumn("bi", F.floor(F.col("pr") / block) + near).withColumn("bj", F.floor(F.col("pc") / block) + near)
+    look = dense.withColumn("bi", around(F.floor(F.col("pr") / block), 1)).withColumn("bj", around(F.floor(F.col("pc") / block), 1))
     dist = F.hypot(F.col("pr") - F.col("row"), F.col("pc") - F.col("col")) * MAP_RES
     return look.join(far, ["scenario", "bi", "bj"]).groupBy("scenario", "sub").agg(F.min(dist).alias("dist")).filter(F.col("dist") <= most)
 
@@ -96,10 +95,9 @@ def lidar_contacts(path: DataFrame, points: DataFrame, operators: DataFrame, n_s
     start = path.filter("step = 0").select("scenario", F.col("x").alias("x0"), F.col("y").alias("y0"))
     hittable = points.filter((F.col("step") > 0) & (F.col("label") != 0) & (F.col("z") > LIDAR_LOW) & (F.col("z") < LIDAR_HIGH)).join(start, "scenario").filter(~((F.col("label") == 1) & (F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")) <= radius + 0.1))).join(operators, ["scenario", "track"], "left_anti")
     block = 2 * radius
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     dense = densify(path, ["scenario"], n_sub, ["x", "y"]).select("scenario", "sub", F.col("x").alias("px"), F.col("y").alias("py"))
     steps = F.explode(F.array_distinct(F.array(F.floor(F.col("sub") / n_sub + 0.5), F.ceil(F.col("sub") / n_sub - 0.5)))).alias("step")
-    look = dense.select("*", steps).withColumn("bi", F.floor(F.col("px") / block) + near).withColumn("bj", F.floor(F.col("py") / block) + near)
+    look = dense.select("*", steps).withColumn("bi", around(F.floor(F.col("px") / block), 1)).withColumn("bj", around(F.floor(F.col("py") / block), 1))
     placed = hittable.select("scenario", F.col("step").cast("long").alias("step"), "x", "y", F.floor(F.col("x") / block).alias("bi"), F.floor(F.col("y") / block).alias("bj"))
     hit = look.join(placed, ["scenario", "step", "bi", "bj"]).filter(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) <= radius)
     return hit.groupBy("scenario", "sub", "step").agg(F.count("*").alias("n")).filter(F.col("n") >= LIDAR_LEAST).select("scenario", "sub").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geom import around
+
 
 def cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size)
@@ -46,8 +48,7 @@ def lasting(merged: DataFrame, used: Column, min_span: int) -> DataFrame:
 def closing(cells: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Morphological closing of a set of cells with a k x k window: dilation, then erosion."""
     half = k // 2
-    around = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    spread = lambda df: df.withColumn("ix", F.col("ix") + around).withColumn("iy", F.col("iy") + around)
+    spread = lambda df: df.withColumn("ix", around(F.col("ix"), half)).withColumn("iy", around(F.col("iy"), half))
     dilated = spread(cells.select(*keys, "ix", "iy")).distinct()
     return spread(dilated).groupBy(*keys, "ix", "iy").agg(F.count("*").alias("n")).filter(F.col("n") == k * k).drop("n")
 
@@ -79,10 +80,9 @@ def low_quantile(points: DataFrame, keys: list[str], share: float = 0.1, least:
 
 def inherit_ground(ground: DataFrame, wanted: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
     """Ground of wanted cells: their own, else the mean of the eight around; a fixed number of passes."""
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     known = wanted.join(ground.select(*keys, "ci", "cj", "ground"), [*keys, "ci", "cj"], "left")
     for _ in range(passes):
-        near = known.filter("ground is not null").select(*keys, "ci", "cj", F.col("ground").alias("g")).withColumn("ci", F.col("ci") + around).withColumn("cj", F.col("cj") + around).groupBy(*keys, "ci", "cj").agg(F.avg("g").alias("g"))
+        near = known.filter("ground is not null").select(*keys, "ci", "cj", F.col("ground").alias("g")).withColumn("ci", around(F.col("ci"), 1)).withColumn("cj", around(F.col("cj"), 1)).groupBy(*keys, "ci", "cj").agg(F.avg("g").alias("g"))
         known = known.join(near, [*keys, "ci", "cj"], "left").withColumn("ground", F.coalesce("ground", "g")).drop("g")
     return known
 
@@ -106,9 +106,8 @@ def blocks_ahead(cells: DataFrame, scenarios: DataFrame, key: str, n: int = 8, p
 
 def cell_edges(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of cells of one cluster: as after dilation with a cross and 8-connectivity."""
-    near = F.explode(F.sequence(F.lit(-3), F.lit(3)))
     a = cells.select(*keys, F.col("node").alias("a"), F.col("ix").alias("ax"), F.col("iy").alias("ay"))
-    look = a.withColumn("ix", F.col("ax") + near).withColumn("iy", F.col("ay") + near)
+    look = a.withColumn("ix", around(F.col("ax"), 3)).withColumn("iy", around(F.col("ay"), 3))
     out = lambda p, q: F.greatest(F.lit(0), F.abs(F.col(p) - F.col(q)) - 1)
     return look.filter(out("ax", "ix") + out("ay", "iy") <= 2).join(cells.select(*keys, "ix", "iy", F.col("node").alias("b")), [*keys, "ix", "iy"]).filter("a < b").select(*keys, "a", "b")
 
@@ -118,8 +117,7 @@ def rotate_cells(cells: DataFrame, poses: DataFrame, key: str, size: float, thre
     c, s = F.cos("yaw"), F.sin("yaw")
     at = cells.join(poses, key).withColumns({"wx": (F.col("ix") + 0.5) * size - F.col("x0"), "wy": (F.col("iy") + 0.5) * size - F.col("y0")})
     ego = at.select(key, "x0", "y0", "yaw", F.floor((c * F.col("wx") + s * F.col("wy")) / size).alias("ei0"), F.floor((c * F.col("wy") - s * F.col("wx")) / size).alias("ej0"))
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    targets = ego.withColumn("ei", F.col("ei0") + near).withColumn("ej", F.col("ej0") + near).select(key, "x0", "y0", "yaw", "ei", "ej").distinct()
+    targets = ego.withColumn("ei", around(F.col("ei0"), 1)).withColumn("ej", around(F.col("ej0"), 1)).select(key, "x0", "y0", "yaw", "ei", "ej").distinct()
     ex, ey = (F.col("ei") + 0.5) * size, (F.col("ej") + 0.5) * size
     u = (F.col("x0") + c * ex - s * ey) / size - 0.5
     v = (F.col("y0") + s * ex + c * ey) / size - 0.5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import box_distance, wrap
+from ..functions.geom import around, box_distance, wrap
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, values: list[str]) -> DataFrame:
@@ -104,8 +104,7 @@ def outside_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: fl
 
 def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """Pairs of (px, py) of a and (qx, qy) of b at most radius apart: a looks into the nine cells around it."""
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    look = a.withColumn("_i", F.floor(F.col("px") / radius) + around).withColumn("_j", F.floor(F.col("py") / radius) + around)
+    look = a.withColumn("_i", around(F.floor(F.col("px") / radius), 1)).withColumn("_j", around(F.floor(F.col("py") / radius), 1))
     placed = b.withColumns({"_i": F.floor(F.col("qx") / radius), "_j": F.floor(F.col("qy") / radius)})
     return look.join(placed, [*keys, "_i", "_j"]).drop("_i", "_j").withColumn("dist", F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy"))).filter(F.col("dist") <= radius)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import motion, registry
+from . import choosing, gridding, joining, motion, registry  # noqa: F401
 
 
 def all_queries() -> dict:
