@@ -9,7 +9,7 @@ no pair of different components that share a key is left out, and no group of co
 
 Two texts are near-duplicates if their word edit similarity (1 - distance / longer length) is `SIMILAR` or more, or if
 the Jaccard similarity of their five-word shingles is.  At that Jaccard similarity a pair shares none of the 40 keys
-with probability 1e-4 or less; texts of fewer than `SHORT` k-mers get 24 more keys of three k-mers each.
+with probability 1e-6 or less; texts of fewer than `SHORT` k-mers get 24 more keys of three k-mers each.
 
 Defined cases: null text and text without words are each a class of their own; exact copies are one text; ties go to
 the least id; rows that repeat an id are one document; ids must not be null; an empty table gives an empty result;
@@ -32,7 +32,7 @@ from .components import components
 from .words import mixed, shingles, word_ids
 
 WORDS, SIMILAR = 5, 0.8
-SKETCHES, TAKEN = 40, 6
+SKETCHES, TAKEN = 40, 4
 SHORT, SHORT_SKETCHES, SHORT_TAKEN = 14, 24, 3
 #: Hashes that are computed at once.
 CELLS = 4_000_000
