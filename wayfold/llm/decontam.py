@@ -16,6 +16,7 @@ ignored by find() and kept by clean().
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ MATCH, MISMATCH, GAP = 1, -1, -1
 LEAST_SCORE, LEAST_RUN = 0.5, 40
 RARE_LEAST, RARE_SHARE, RARE_MEDIANS = 10, 0.001, 2.0
 MOST_SHARED = 500_000
-#: Words on each side of what a seed's place in the item asks for.
+#: Words on each side of what a seed's place in the item asks for, besides a quarter of the item.
 SLACK = 8
 FOUND = "item_id {item}, score double, matched int, first_word int, last_word int"
 
@@ -80,27 +81,52 @@ def item_grams(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     return benchmark.select(F.col(item_col).alias("item_id"), text_col).mapInArrow(run, f"item_id {kind}, gram long, place int")
 
 
-def _sizes(texts: list[str]) -> tuple[int, ...]:
-    return tuple(sorted({min(SEED_WORDS, n) for t in texts if (n := len(word_ids(t)))}))
+def _ngrams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(id, gram, place) of every n-gram of every document: only for benchmarks too large to share."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                for _, found in grams_of(word_ids(text), sizes):
+                    at = pa.array(np.full(len(found), k))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(found.astype(np.int64)), pa.array(np.arange(len(found), dtype=np.int32))], names=["id", "gram", "place"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, gram long, place int")
 
-def _hits(docs: DataFrame, wanted, sizes: tuple[int, ...]) -> DataFrame:
-    """(id, gram, place) where a wanted n-gram stands in a document; all n-grams if wanted is None."""
+
+def _runs(places: np.ndarray, reach: int, size: int) -> list[tuple[int, int]]:
+    """Stretches of a text within reach of the places."""
+    out: list[list[int]] = []
+    for first, last in zip(np.maximum(places - reach, 0).tolist(), np.minimum(places + reach, size).tolist()):
+        if out and first <= out[-1][1]:
+            out[-1][1] = last
+        else:
+            out.append([first, last])
+    return [(a, b) for a, b in out]
+
+
+def _hits(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...], reach: int) -> DataFrame:
+    """(id, grams, places, firsts, words) of the documents with a wanted n-gram: where each stands, and the hashes of the words within reach of one."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, grams, places = [], [], []
+            at, rows = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                for _, found in grams_of(word_ids(text), sizes):
-                    where = np.arange(len(found)) if shared.value is None else np.flatnonzero(_isin(found, shared.value))
-                    if len(where):
-                        at.append(np.full(len(where), k)), grams.append(found[where].astype(np.int64)), places.append(where.astype(np.int32))
-            flat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(flat(at, np.int64))), pa.array(flat(grams, np.int64)), pa.array(flat(places, np.int32))], names=["id", "gram", "place"])
+                ids = word_ids(text)
+                hits = [(found[where], where) for _, found in grams_of(ids, sizes) if len(where := np.flatnonzero(_isin(found, shared.value)))]
+                if hits:
+                    places = np.concatenate([w for _, w in hits])
+                    runs = _runs(np.sort(places), reach, len(ids))
+                    at.append(k)
+                    rows.append((np.concatenate([g for g, _ in hits]).astype(np.int64).tolist(), places.tolist(), [a for a, _ in runs], [ids[a:b].tobytes() for a, b in runs]))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "grams", "places", "firsts", "words"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, gram long, place int")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, grams array<long>, places array<int>, firsts array<int>, words array<binary>")
 
 
 def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -119,7 +145,7 @@ def rare_seeds(grams: DataFrame, frequency: DataFrame, documents: int) -> DataFr
 
 def _windows(places: list[tuple[int, int]], words: int, size: int) -> list[tuple[int, int]]:
     """Passages that the seeds ask for: (place in document, place in item) pairs, overlapping passages as one."""
-    asked = sorted((max(0, d - i - SLACK - words // 4), min(size, d - i + words + SLACK + words // 4)) for d, i in places)
+    asked = sorted((max(0, d - i - slack(words)), min(size, d - i + words + slack(words))) for d, i in places)
     out = [list(asked[0])]
     for first, last in asked[1:]:
         if first <= out[-1][1]:
@@ -129,6 +155,11 @@ def _windows(places: list[tuple[int, int]], words: int, size: int) -> list[tuple
     return [(a, b) for a, b in out]
 
 
+def slack(words: int) -> int:
+    """Words on each side of where an item would stand, for insertions and deletions."""
+    return SLACK + words // 4
+
+
 def align(ids: np.ndarray, item: np.ndarray, places: list[tuple[int, int]]) -> tuple[int, int, int]:
     """Best score of the item in the passages around its seeds, and its first and last word (exclusive) there."""
     best = (0, 0, 0)
@@ -145,64 +176,69 @@ def align(ids: np.ndarray, item: np.ndarray, places: list[tuple[int, int]]) -> t
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
     """One row for each contaminated document and item: id, item_id, score (share of the item's own), matched, first_word, last_word."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
     grams = materialize(item_grams(benchmark, item_col, item_text_col), "item-grams")
-    n_grams = grams.count()
-    sizes = tuple(range(1, SEED_WORDS + 1)) if n_grams > most_shared else _sizes([r["item_text"] for r in items.collect()] if n_grams else [])
-    if n_grams > most_shared:
-        wanted = None
-        every = _hits(texts, None, sizes).join(grams.select("gram").distinct(), "gram")
-        hits = materialize(every, "hits")
-    else:
-        wanted = np.unique(np.array([r["gram"] for r in grams.select("gram").distinct().collect()], np.int64).astype(np.uint64))
-        hits = materialize(_hits(texts, wanted, sizes) if len(wanted) else spark.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, gram long, place int"), "hits")
-    frequency = hits.groupBy("gram").agg(F.approx_count_distinct("id", 0.02).alias("df"))
-    seeds = materialize(rare_seeds(grams, frequency, docs.count()), "seeds")
-    seeded = hits.join(seeds.select("gram").distinct(), "gram", "left_semi").groupBy("id").agg(F.collect_list(F.struct("gram", "place")).alias("hits"))
-    return materialize(_aligned(texts, items, seeds, seeded, n_grams <= most_shared), "leaks").select(F.col("id").alias(id_col), "item_id", "score", "matched", "first_word", "last_word")
-
-
-def _aligned(texts: DataFrame, items: DataFrame, seeds: DataFrame, seeded: DataFrame, shared: bool) -> DataFrame:
-    candidates = texts.join(materialize(seeded, "seeded"), "id")
+    found = (_find_shared if grams.count() <= most_shared else _find_joined)(texts, items, grams, docs.count())
+    return materialize(found, "leaks").select(F.col("id").alias(id_col), "item_id", "score", "matched", "first_word", "last_word")
+
+
+def _find_shared(texts: DataFrame, items: DataFrame, grams: DataFrame, documents: int) -> DataFrame:
+    """Seeds go to the tasks; one pass over the texts keeps the words around hits, and a pass over those aligns them."""
+    words = {r["item_id"]: word_ids(r["item_text"]) for r in items.collect()}  # at most MOST_SHARED n-grams in all
+    longest = max(map(len, words.values()), default=0)
+    wanted = np.unique(np.array([r["gram"] for r in grams.select("gram").distinct().collect()], np.int64).astype(np.uint64))
+    sizes = tuple(sorted({min(SEED_WORDS, len(w)) for w in words.values() if len(w)}))
     id_kind, item_kind = texts.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    if shared:
-        where = defaultdict(list)
-        for r in seeds.collect():  # at most MOST_SHARED
-            where[r["gram"]].append((r["item_id"], r["place"]))
-        known = texts.sparkSession.sparkContext.broadcast((dict(where), {r["item_id"]: word_ids(r["item_text"]) for r in items.collect()}))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            where, words = known.value
-            for batch in batches:
-                at, rows = [], []
-                for k, (text, hits) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                    places, ids = defaultdict(list), word_ids(text)
-                    for hit in hits:
-                        for item, place in where.get(hit["gram"], ()):
-                            places[item].append((hit["place"], place))
-                    for item in sorted(places, key=str):
-                        score, first, last = align(ids, words[item], places[item])
-                        if enough(score, len(words[item])):
-                            at.append(k)
-                            rows.append((item, score / len(words[item]), score, first, last))
-                columns = list(zip(*rows)) or [()] * 5
-                kinds = [_arrow(item_kind), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "item_id", "score", "matched", "first_word", "last_word"])
-
-        return candidates.select("id", "text", "hits").mapInArrow(run, f"id {id_kind}, {FOUND.format(item=item_kind)}")
-
-    hit = F.explode("hits").alias("hit")
-    per_item = seeded.select("id", hit).select("id", F.col("hit.gram").alias("gram"), F.col("hit.place").alias("doc_place")).join(seeds.select("gram", "item_id", "place"), "gram").groupBy("id", "item_id").agg(F.collect_list(F.struct("doc_place", "place")).alias("places"))
+    hits = materialize(_hits(texts, wanted if len(wanted) else np.zeros(1, np.uint64), sizes, longest + slack(longest)), "hits")
+    frequency = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    where = defaultdict(list)
+    for r in rare_seeds(grams, frequency, documents).collect():  # at most MOST_SHARED
+        where[r["gram"]].append((r["item_id"], r["place"]))
+    known = texts.sparkSession.sparkContext.broadcast((dict(where), words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, words = known.value
+        for batch in batches:
+            at, rows = [], []
+            for k, (grams, places, firsts, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)))):
+                asked = defaultdict(list)
+                for gram, place in zip(grams, places):
+                    run = bisect_right(firsts, place) - 1
+                    for item, item_place in where.get(gram, ()):
+                        asked[item, run].append((place - firsts[run], item_place))
+                best: dict = {}
+                for (item, run), pairs in asked.items():
+                    score, first, last = align(np.frombuffer(runs[run], np.uint64), words[item], pairs)
+                    if score > best.get(item, (0,))[0]:
+                        best[item] = (score, first + firsts[run], last + firsts[run])
+                for item in sorted(best, key=str):
+                    score, first, last = best[item]
+                    if enough(score, len(words[item])):
+                        at.append(k)
+                        rows.append((item, score / len(words[item]), score, first, last))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [_arrow(item_kind), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "item_id", "score", "matched", "first_word", "last_word"])
+
+    return hits.mapInArrow(run, f"id {id_kind}, {FOUND.format(item=item_kind)}")
+
+
+def _find_joined(texts: DataFrame, items: DataFrame, grams: DataFrame, documents: int) -> DataFrame:
+    """The same for benchmarks of any size: n-grams, items and texts meet in shuffles."""
+    hits = materialize(_ngrams(texts, tuple(range(1, SEED_WORDS + 1))).join(grams.select("gram").distinct(), "gram"), "hits")
+    frequency = hits.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
+    seeds = rare_seeds(grams, frequency, documents).select("gram", "item_id", F.col("place").alias("item_place"))
+    per_item = materialize(hits.join(seeds, "gram").groupBy("id", "item_id").agg(F.collect_list(F.struct("place", "item_place")).alias("places")), "seeded")
     paired = per_item.join(texts, "id").join(items, "item_id")
+    id_kind, item_kind = texts.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
 
-    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for k, (text, item, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
                 words = word_ids(item)
-                score, first, last = align(word_ids(text), words, [(p["doc_place"], p["place"]) for p in places])
+                score, first, last = align(word_ids(text), words, [(p["place"], p["item_place"]) for p in places])
                 if enough(score, len(words)):
                     at.append(k)
                     rows.append((score / len(words), score, first, last))
@@ -210,7 +246,7 @@ def _aligned(texts: DataFrame, items: DataFrame, seeds: DataFrame, seeded: DataF
             kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "item_id", "score", "matched", "first_word", "last_word"])
 
-    return paired.select("id", "item_id", "text", "item_text", "places").mapInArrow(run_pairs, f"id {id_kind}, {FOUND.format(item=item_kind)}")
+    return paired.select("id", "item_id", "text", "item_text", "places").mapInArrow(run, f"id {id_kind}, {FOUND.format(item=item_kind)}")
 
 
 def _arrow(kind: str) -> pa.DataType:
