@@ -33,7 +33,7 @@ def tag_shares(rows: DataFrame, tags: str) -> DataFrame:
 
 
 def crosstab(rows: DataFrame, down: str, across: str, values: list[str]) -> DataFrame:
-    return rows.groupBy(down).pivot(across, values).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(down).pivot(across, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def environment(share: Column) -> Column:
