@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import claim, materialize
 
 UNKNOWN = "und"
-SAMPLE_DOCS, MODEL_WORDS, MODEL_GRAMS, LONGEST_GRAM, LANGUAGES = 8000, 40_000, 40_000, 5, 64
-CACHE_ENTRIES = 400_000
+SAMPLE_DOCS, MODEL_WORDS, MODEL_GRAMS, LONGEST_GRAM = 8000, 25_000, 25_000, 5
+CACHE_ENTRIES = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -57,64 +58,79 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log frequencies per language of words and n-grams."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        self.languages = sorted({lang for lang, _, _ in rows})
+    def __init__(self, rows: list[tuple[str, list[str], list[int]]]):
+        self.languages = sorted({lang for _, langs, _ in rows for lang in langs})
+        self.name = uuid.uuid4().hex
         place = {lang: k for k, lang in enumerate(self.languages)}
-        counts: dict[str, np.ndarray] = {}
-        totals: dict[str, np.ndarray] = {}
-        for lang, unit, n in rows:
-            counts.setdefault(unit, np.zeros(len(place)))[place[lang]] += n
-            totals.setdefault(unit[0], np.zeros(len(place)))[place[lang]] += n
-        self.logs = {u: np.log((c + 0.5) / (totals[u[0]] + 1)) for u, c in counts.items()}
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((CACHE_ENTRIES + 1, max(1, len(place))))
-
-    def __getstate__(self):
-        return self.languages, self.logs
-
-    def __setstate__(self, state):
-        self.languages, self.logs = state
-        self.rows, self.table = {}, np.zeros((CACHE_ENTRIES + 1, max(1, len(self.languages))))
+        counts, totals = np.zeros((len(rows), max(1, len(place)))), {}
+        self.row = {}
+        for k, (unit, langs, ns) in enumerate(rows):
+            self.row[unit] = k
+            for lang, n in zip(langs, ns):
+                counts[k, place[lang]] += n
+            totals[unit[0]] = totals.get(unit[0], 0) + counts[k]
+        self.logs = np.log((counts + 0.5) / (np.array([totals[u[0]] for u in self.row]).reshape(counts.shape) + 1)) if rows else counts
 
     def word(self, word: str) -> np.ndarray:
-        if (known := self.logs.get(f"w{word}")) is not None:
-            return known
+        if (known := self.row.get(f"w{word}")) is not None:
+            return self.logs[known]
         for n in range(LONGEST_GRAM, 0, -1):
-            found = [x for g in grams(word, n) if (x := self.logs.get(f"{n}{g}")) is not None]
+            found = [x for g in grams(word, n) if (x := self.row.get(f"{n}{g}")) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.logs[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        rows, total = self.rows, np.zeros(len(self.languages))
-        for first in range(0, len(words), 100_000):
-            part = words[first : first + 100_000]
-            for w in set(part).difference(rows):
-                if len(w) > 64:
-                    continue
-                if len(rows) >= CACHE_ENTRIES:
-                    rows.clear()
-                    return self.predict(text) if len(set(words)) < CACHE_ENTRIES else self.uncached(words)
-                rows[w] = len(rows)
-                self.table[rows[w]] = self.word(w)
-            short = [w for w in part if len(w) <= 64]
-            total += self.table[np.fromiter(map(rows.__getitem__, short), np.int64, len(short))].sum(axis=0)
-            for w in (w for w in part if len(w) > 64):
-                total += self.word(w)
+        seen, total = _seen_by(self), np.zeros(len(self.languages))
+        for first in range(0, len(words), CACHE_ENTRIES // 5):
+            part = words[first : first + CACHE_ENTRIES // 5]
+            new = [w for w in set(part) if w not in seen.rows]
+            if len(seen.rows) + len(new) > CACHE_ENTRIES:
+                seen.rows.clear()
+                new = list(set(part))
+            for w in new:
+                seen.table[len(seen.rows)] = self.word(w)
+                seen.rows[w] = len(seen.rows)
+            total += seen.table[np.fromiter(map(seen.rows.__getitem__, part), np.int64, len(part))].sum(axis=0)
+            for w in new:
+                if len(w) > 64:  # its row stays unused until the next clearing
+                    at = seen.rows.pop(w)
+                    seen.rows[f"\0{at}"] = at
         return self.decide(total, len(words))
 
-    def uncached(self, words: list[str]) -> tuple[str, float]:
-        return self.decide(sum(self.word(w) for w in words), len(words))
-
     def decide(self, total: np.ndarray, n: int) -> tuple[str, float]:
         best = int(np.argmax(total))
         shares = np.exp((total - total[best]) / math.sqrt(n))
         return self.languages[best], float(shares[best] / shares.sum())
 
 
+class _Seen:
+    """What a Python worker keeps of one model: each word's place in a table of log frequencies."""
+
+    def __init__(self, model: Model | None):
+        self.name, self.rows = model and model.name, {}
+        self.table = np.zeros((CACHE_ENTRIES + 1, max(1, len(model.languages)))) if model else None
+
+
+_seen = _Seen(None)
+
+
+def _forget() -> None:
+    global _seen
+    _seen = _Seen(None)
+
+
+def _seen_by(model: Model) -> _Seen:
+    global _seen
+    claim("language", _forget)
+    if _seen.name != model.name:
+        _seen = _Seen(model)
+    return _seen
+
+
 def fit(labelled: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from a hash sample of labelled rows; key only picks the sample."""
     usable = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -123,9 +139,8 @@ def fit(labelled: DataFrame, key: Column, text_col: str = "text", lang_col: str
     counted = sample.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, unit string, n long")
     per_unit = materialize(counted.groupBy("lang", "unit").agg(F.sum("n").alias("n")).groupBy("unit").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("langs")), "units")
     is_word = F.col("unit").startswith("w")
-    top = lambda some, most: per_unit.filter(some).orderBy(F.desc("total"), "unit").limit(most).collect()  # noqa: E731  bounded
-    rows = [(x["lang"], r["unit"], x["n"]) for r in (*top(is_word, MODEL_WORDS), *top(~is_word, MODEL_GRAMS)) for x in r["langs"]]
-    return Model(rows)
+    top = lambda some, most: per_unit.filter(some).orderBy(F.desc("total"), "unit").limit(most).select("unit", "langs.lang", "langs.n").collect()  # noqa: E731  bounded
+    return Model([tuple(r) for r in (*top(is_word, MODEL_WORDS), *top(~is_word, MODEL_GRAMS))])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

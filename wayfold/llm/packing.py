@@ -24,14 +24,16 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, tokenizer_path
+from .common import claim, materialize, tokenizer_path
 
 #: How the tokenizer splits normalised text, and the id that ends a document.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 1
 
 CAPACITY = 4096
-CACHE_ENTRIES = 1_600_000
+CACHE_ENTRIES = 1_100_000
+#: Marks that may stand alone behind a word.
+MARKS = frozenset(".,!?;:")
 #: Rows of one length that are ranked together, at least; beyond 100,000 such groups they grow.
 RANKED_TOGETHER = 500
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -59,7 +61,7 @@ class WordEncoder:
     def words_of(self, run: str) -> list[str]:
         if run.isalpha():
             return [run]
-        if run[:-1].isalpha() and run[-1] in ".,!?;:":
+        if run[-1] in MARKS and run[:-1].isalpha():
             return [run[:-1], run[-1]]
         return self.split.findall(run)
 
@@ -95,6 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
+        claim("packing", _encoders.clear)
         encoder, end = _encoders[path], array("I", [END_ID]).tobytes()
         for whole in batches:
             for low in range(0, whole.num_rows, 500):

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, tokenizer_path
+from .common import Memo, claim, tokenizer_path
 
 #: The pre-tokenizer's pattern and white space as it takes it, and the special string of the vocabulary.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -198,6 +198,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
+        claim("token counts", _counters.clear)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             deltas = [counter.deltas(t) for t in texts]

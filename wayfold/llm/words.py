@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import Memo
+from .common import Memo, claim
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#%$&-_/\\|"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 MASK = (1 << 64) - 1
 
@@ -18,6 +18,7 @@ _numbers = Memo(lambda run: xxhash.xxh64_intdigest(run.strip(PUNCTUATION) or run
 
 def word_ids(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word of a text, in lower case and without punctuation around it."""
+    claim("words", _numbers.clear)
     runs = text.lower().split() if text else []
     return np.fromiter(map(_numbers.__getitem__, runs), np.uint64, len(runs))
 
