@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import choosing, gridding, joining, motion, registry, scoring, studying  # noqa: F401
+from . import choosing, gridding, joining, motion, registry, sampling, scoring, studying  # noqa: F401
 
 
 def all_queries() -> dict:
