@@ -3,8 +3,8 @@
 Each distinct text is a sequence of five-word k-mers labelled with their occurrence numbers.  One sketch takes the
 `TAKEN` k-mers with the least hashes and keeps them in text order, so two texts agree on it the more likely the nearer
 their edit distance is.  Each of `SKETCHES` sketches is a key; texts with a key in common are candidates.  Per key only
-the pairs with its least text go forward; they are verified by banded alignment of words, and components of verified
-pairs are formed.  What a key then holds outside its least text's component is compared with all its other members, so
+the pairs with its least text go forward, for `FIRST` of the keys and then for those of the others whose texts are not
+in one component yet; they are verified by banded alignment of words.  What a key then holds outside its least text's component is compared with all its other members, so
 no pair of different components that share a key is left out, and no group of copies is ever expanded into all pairs.
 
 Two texts are near-duplicates if their word edit similarity (1 - distance / longer length) is `SIMILAR` or more, or if
@@ -33,6 +33,7 @@ from .words import mixed, shingles, word_ids
 
 WORDS, SIMILAR = 5, 0.8
 SKETCHES, TAKEN = 40, 4
+FIRST = 4
 SHORT, SHORT_SKETCHES, SHORT_TAKEN = 14, 24, 3
 #: Hashes that are computed at once.
 CELLS = 4_000_000
@@ -183,18 +184,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialize(sketches(docs, id_col, text_col), "sketches")
     same = materialize(sketched.groupBy("digest").agg(F.min("id").alias("text_id")), "texts")
     member = materialize(sketched.select("id", "digest").join(same, "digest").select("id", "text_id"), "members")
-    keys = sketched.join(same.withColumnRenamed("text_id", "id").drop("digest"), "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode(F.array_distinct("keys")).alias("key"))
+    keys = sketched.join(same.withColumnRenamed("text_id", "id").drop("digest"), "id", "left_semi").dropDuplicates(["id"]).select("id", F.posexplode(F.array_distinct("keys")).alias("sketch", "key"))
     keys = materialize(keys, "keys")
     shared = materialize(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
     held = materialize(keys.join(shared, "key"), "held")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    links = verified(held.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), texts, "star")
-    roots = components(links)
-    root_of = lambda column, name: roots.select(F.col("node").alias(column), F.col("root").alias(name))
-    rooted = held.join(root_of("id", "root"), "id", "left").join(root_of("least", "least_root"), "least", "left")
-    rooted = materialize(rooted.select("key", "id", "least", F.coalesce("root", "id").alias("root"), F.coalesce("least_root", "least").alias("least_root")), "rooted")
-    outside = materialize(rooted.filter("root <> least_root").select("key", "id", "root"), "outside")
-    others = rooted.filter("id <> least").select("key", F.col("id").alias("b"), F.col("root").alias("root_b"), (F.col("root") != F.col("least_root")).alias("out_b"))
+    star = lambda some: some.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+
+    def rooted(links: DataFrame, name: str) -> DataFrame:
+        """Members of shared keys with the roots of their own and of the key's least text, by the links so far."""
+        roots = components(links)
+        root_of = lambda column, name: roots.select(F.col("node").alias(column), F.col("root").alias(name))
+        both = held.join(root_of("id", "root"), "id", "left").join(root_of("least", "least_root"), "least", "left")
+        return materialize(both.select("key", "id", "least", F.coalesce("root", "id").alias("root"), F.coalesce("least_root", "least").alias("least_root")), name)
+
+    #: a few keys join most of each class; the other keys then give only pairs that are not joined yet
+    links = verified(star(held.filter(F.col("sketch") < FIRST)), texts, "first")
+    links = materialize(links.union(verified(star(rooted(links, "rooted-first").filter("root <> least_root")), texts, "star")), "linked")
+    placed = rooted(links, "rooted")
+    outside = materialize(placed.filter("root <> least_root").select("key", "id", "root"), "outside")
+    others = placed.filter("id <> least").select("key", F.col("id").alias("b"), F.col("root").alias("root_b"), (F.col("root") != F.col("least_root")).alias("out_b"))
     more = outside.select("key", F.col("id").alias("a"), F.col("root").alias("root_a")).join(others, "key").filter("root_a <> root_b and (a < b or not out_b)")
     more = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, "rest")
     links = materialize(links.select("a", "b").union(more.select("a", "b")).distinct(), "links")
