@@ -142,5 +142,12 @@ def test_components_and_closing(spark):
 
 
 def test_words(spark):
-    got = one(spark, a=X.lower_first(F.lit("Turn left")), b=X.lower_first(F.lit("TV room")), c=X.view_label(F.lit(-3)), d=X.json_in_text(F.lit('so {"k": 4}!'), "k int")["k"], e=X.camera_sentence(F.lit(1.25), F.lit(None).cast("double")))
-    assert got == {"a": "turn left", "b": "TV room", "c": "View 3 s ago:", "d": 4, "e": "camera 1.3 m above the ground."}
+    got = one(
+        spark, a=X.lower_first(F.lit(" Turn left. ")), b=X.lower_first(F.lit("TV room")), c=X.view_label(F.lit(-3)), d=X.json_in_text(F.lit('so {"k": 4}!'), "k int")["k"], h=X.lower_first(F.lit("A door")),
+        e=X.camera_sentence(F.lit(90.2), F.lit(None).cast("double"), F.lit(1.234), F.lit("dataset")), f=X.camera_sentence(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(1.2), F.lit("estimated")),
+        g=X.instruction_text(description=F.lit("Go on."), place=F.lit(""), interaction=F.lit("a dog")),
+    )
+    assert got == {
+        "a": "turn left", "b": "TV room", "c": "View 3 s ago:", "d": 4, "h": "a door", "e": "The camera's horizontal field of view is 90 degrees; it is mounted 1.23 m above the ground.",
+        "f": "The camera's field of view is unknown; its height above the ground is unknown.", "g": "Task: Go on. Reacts to: a dog.",
+    }

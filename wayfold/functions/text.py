@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Wording of prompts per kind of body and kind of goal.
-BODIES = {"person_walking": "a walking person", "wheeled_robot": "a wheeled robot", "legged_robot": "a legged robot", "simulated_agent": "a simulated robot", "car": "a car"}
+#: Wording of prompts.
+POINT_TEMPLATES = ["Please walk towards the goal (%.1f, %.1f).", "Walk to the point (%.1f, %.1f).", "Navigate to (%.1f, %.1f)."]
+LANGUAGE_TEMPLATES = ["Walk to %s.", "Go to %s.", "Head towards %s."]
+LANGUAGE_POINT_SUFFIX = " It is at (%.1f, %.1f)."
+EMBODIMENT_TAGS = {"person_walking": "a human walking", "wheeled_robot": "a robot", "legged_robot": "a robot", "simulated_agent": "a robot"}
+EMBODIMENT_TEMPLATE = "The camera is carried by %s. The past views are sampled at %s Hz. Please predict the next %d positions at %s Hz."
+KNOWN_HEIGHT_SOURCES = ["dataset", "simulator"]
+INSTRUCTION_LABELS = {"description": "Task", "place": "Place", "interaction": "Reacts to", "instruction": "Task"}
 
 
 def scenario_id(dataset: Column, sequence: Column, segment: Column, frame: Column) -> Column:
@@ -18,50 +24,94 @@ def request_id(*parts: Column) -> Column:
 
 
 def lower_first(c: Column) -> Column:
-    """First letter in lower case unless the first word is all capitals."""
-    return F.when(c.rlike("^[A-Z][A-Z0-9]"), c).otherwise(F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30)))
+    """Trimmed, without full stops behind, the first letter in lower case unless the first word is all capitals."""
+    text = F.regexp_replace(F.trim(c), r"\.+$", "")
+    return F.when(text.rlike(r"^(?=[^\s]*\p{Lu})[^\s\p{Ll}]{2,}(\s|$)"), text).otherwise(F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30)))
 
 
-def point_prompt(x: Column, y: Column, body: Column) -> Column:
-    named = F.coalesce(*(F.when(body == k, F.lit(v)) for k, v in BODIES.items()), F.lit("a robot"))
-    return F.concat(F.lit("You are "), named, F.format_string(". Go to the point %.1f m ahead and %.1f m to the left.", x, y))
+def _chosen(templates: list[str], number: Column, *values: Column) -> Column:
+    out = F.format_string(templates[-1], *values)
+    for k in range(len(templates) - 2, -1, -1):
+        out = F.when(number == k, F.format_string(templates[k], *values)).otherwise(out)
+    return out
 
 
-def camera_sentence(height: Column, fov: Column) -> Column:
-    """Camera height and field of view as far as they are known."""
-    tall = F.when(height.isNotNull(), F.format_string("camera %.1f m above the ground", height))
-    wide = F.when(fov.isNotNull(), F.format_string("%.0f degrees wide", fov))
-    said = F.concat_ws(", ", tall, wide)
-    return F.when(said != "", F.concat(said, F.lit("."))).otherwise(F.lit(""))
+def point_prompt(x: Column, y: Column, template: Column) -> Column:
+    """Prompt for a goal given as a point, by the number of its template."""
+    return _chosen(POINT_TEMPLATES, template, x, y)
 
 
-def view_label(offset: Column) -> Column:
-    return F.when(offset < 0, F.format_string("View %d s ago:", -offset)).when(offset > 0, F.format_string("View in %d s:", offset)).otherwise(F.lit("View now:"))
+def language_prompt(instruction: Column, template: Column, x: Column, y: Column, with_point: Column) -> Column:
+    """Prompt for a goal given in words, with its place behind where that is wanted."""
+    return F.concat(_chosen(LANGUAGE_TEMPLATES, template, lower_first(instruction)), F.when(with_point, F.format_string(LANGUAGE_POINT_SUFFIX, x, y)).otherwise(F.lit("")))
+
+
+def embodiment_prompt(body: Column, past_hz: str = "1", n: int = 10, out_hz: str = "2") -> Column:
+    tag = F.coalesce(*(F.when(body == k, F.lit(v)) for k, v in EMBODIMENT_TAGS.items()), F.lit("a robot"))
+    return F.format_string(EMBODIMENT_TEMPLATE, tag, F.lit(past_hz), F.lit(n), F.lit(out_hz))
 
 
-def history_text(points: Column) -> Column:
-    """Earlier positions, an array of (x, y), as a list in a sentence."""
-    listed = F.array_join(F.transform(points, lambda p: F.format_string("(%.2f, %.2f)", p["x"], p["y"])), ", ")
-    return F.when(F.size(points) > 0, F.concat(F.lit("Earlier positions: "), listed, F.lit("."))).otherwise(F.lit(""))
+def camera_sentence(h_fov: Column, v_fov: Column, height: Column, source: Column) -> Column:
+    """Field of view and height of a camera as far as they are known for certain."""
+    wide = F.when(h_fov.isNull(), F.lit("The camera's field of view is unknown")).otherwise(
+        F.concat(F.format_string("The camera's horizontal field of view is %.0f degrees", h_fov), F.when(v_fov.isNull(), F.lit("")).otherwise(F.format_string(" and its vertical field of view %.0f degrees", v_fov)))
+    )
+    known = height.isNotNull() & ~F.isnan(height) & F.coalesce(source.isin(KNOWN_HEIGHT_SOURCES), F.lit(False))
+    return F.concat(wide, F.when(known, F.format_string("; it is mounted %.2f m above the ground.", height)).otherwise(F.lit("; its height above the ground is unknown.")))
 
 
-def instruction_text(*parts: Column) -> Column:
-    """Non-empty fields as one sentence without its last full stop."""
-    return F.regexp_replace(F.concat_ws(". ", *(F.when(F.trim(p) != "", F.trim(p)) for p in parts)), r"\.$", "")
+def view_label(offset: Column) -> Column:
+    return F.when(offset < 0, F.format_string("View %d s ago:", -offset)).when(offset > 0, F.format_string("View in %d s:", offset)).otherwise(F.lit("View now:"))
 
 
-def path_in_words(speed: Column, change: Column, turn_deg: Column) -> Column:
-    pace = F.when(speed < 0.15, "stands").when(speed < 0.8, "walks slowly").otherwise("walks")
-    then = F.when(change < -0.3, "slows down").when(change > 0.3, "speeds up")
-    turn = F.when(F.abs(turn_deg) <= 15, None).when(turn_deg > 45, "turns sharply left").when(turn_deg > 15, "turns left").when(turn_deg < -45, "turns sharply right").otherwise("turns right")
-    return F.array_join(F.array_compact(F.array(pace, then, turn)), ", ")
+def history_prompt(rate: Column, speed: Column, points: Column, instruction: Column, goal_x: Column, goal_y: Column, horizon: int) -> Column:
+    """Interval, speed, positions (an array of x, y), goal and task of a scenario as text."""
+    listed = F.array_join(F.transform(points, lambda p: F.format_string("(%.1f, %.1f)", p["x"], p["y"])), ", ")
+    parts = [
+        F.format_string("Frame interval %.1f s. Current speed %.2f m/s.", 1.0 / rate, speed),
+        F.when(F.size(points) > 0, F.concat(F.lit("Robot positions over the last "), (F.size(points) - 1).cast("string"), F.lit(" frames, oldest first: "), listed, F.lit("."))),
+        F.when(instruction.isNotNull(), F.concat(F.lit("Instruction: "), F.trim(instruction))).otherwise(F.format_string("Goal: (%.1f, %.1f).", goal_x, goal_y)),
+        F.lit(f"Predict the robot's position at each of the next {horizon} frames."),
+    ]
+    return F.concat_ws(" ", *parts)
+
+
+def instruction_text(**fields: Column) -> Column:
+    """Fields that are not empty, each with its label, as sentences."""
+    said = []
+    for name, c in fields.items():
+        text = F.regexp_replace(F.trim(c), r"\.+$", "")
+        said.append(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{INSTRUCTION_LABELS.get(name, name.capitalize())}: "), text, F.lit("."))))
+    return F.concat_ws(" ", *said)
+
+
+def path_in_words(metres: Column, first: Column, last: Column, bearing: Column, seconds: float = 5.0) -> Column:
+    """Pace, change of speed and turn of a path; first and last are the metres of its first and last second."""
+    speed, b = metres / seconds, F.when(metres > 0.3, bearing).otherwise(0.0)
+    side = F.when(b > 0, "left").otherwise("right")
+    pace = F.when(speed < 0.15, "stands still").when(speed < 0.5, "moves very slowly").when(speed < 1.0, "moves at a slow walking pace").when(speed < 1.8, "moves at walking pace").otherwise("moves fast")
+    change = F.when((last < 0.15) & (first > 0.15), "stops").when((first < 0.15) & (last > 0.15), "starts moving").when(last < first - 0.3, "slows down").when(last > first + 0.3, "speeds up").otherwise("keeps a steady speed")
+    about = F.format_string("%.0f degrees", F.abs(b))
+    turn = (
+        F.when(F.abs(b) < 15, "goes straight ahead").when(F.abs(b) < 45, F.concat(F.lit("bears "), side, F.lit(" by about "), about))
+        .when(F.abs(b) < 120, F.concat(F.lit("turns sharply "), side, F.lit(", about "), about)).otherwise(F.concat(F.lit("turns around to the "), side))
+    )
+    return F.concat(F.lit("the carrier "), pace, F.lit(", "), change, F.lit(", and "), turn)
 
 
 def json_in_text(c: Column, schema: str) -> Column:
-    """The first JSON object inside free text, parsed; null fields where it does not parse."""
+    """The JSON object inside free text, parsed; null fields where it does not parse."""
     return F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), schema)
 
 
+def answer_fields(c: Column) -> Column:
+    """description, place and interaction from an answer; the whole text as description where it holds no JSON."""
+    found = json_in_text(c, "description string, place string, interaction string")
+    ok = F.coalesce(found["description"], found["place"], found["interaction"]).isNotNull()
+    field = lambda n: F.trim(F.coalesce(found[n], F.lit("")))
+    return F.struct(F.when(ok, field("description")).otherwise(F.trim(c)).alias("description"), F.when(ok, field("place")).otherwise("").alias("place"), F.when(ok, field("interaction")).otherwise("").alias("interaction"), c.alias("raw"))
+
+
 def recording_of(path: Column, part: int = -1) -> Column:
     return F.element_at(F.split(path, "/"), part)
 

@@ -96,15 +96,27 @@ def motion_class(scale: float = 1.0) -> Column:
     )
 
 
+#: Terms of the reward, each over the distance to the goal (1 at least) where it is a length; columns gx, gy, x, y are the goal and the path's end.
+def _per_goal(c: Column) -> Column:
+    return c / F.greatest(F.lit(1.0), F.hypot("gx", "gy"))
+
+
 REWARDS = {
-    "collision": lambda: -F.col("collided").cast("double"),
-    "goal": lambda: F.exp(-F.col("fde")),
-    "imitation": lambda: -F.col("ade"),
-    "smooth": lambda: -F.col("wiggle"),
-    "progress": lambda: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("progress_ratio"))),
+    "collision": lambda: F.when(F.col("collided") | F.col("collided_lidar"), -1.0).otherwise(1.0),
+    "goal": lambda: -_per_goal(F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy"))),
+    "imitation": lambda: -_per_goal(F.col("ade")),
+    "smooth": lambda: -_per_goal(F.col("acceleration")),
+    "progress": lambda: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _per_goal(F.hypot("gx", "gy") - F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy"))))),
 }
 
 
+def acceleration(path: DataFrame, key: str) -> DataFrame:
+    """(key, acceleration): mean length of second differences of positions (key, step, x, y)."""
+    w = Window.partitionBy(key).orderBy("step")
+    second = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
+    return path.select(key, F.hypot(second("x"), second("y")).alias("a")).groupBy(key).agg(F.avg("a").alias("acceleration"))
+
+
 def parse_reward_spec(spec: str) -> dict[str, float]:
     """'term=weight,term' as weights; unknown terms are rejected."""
     out = {}

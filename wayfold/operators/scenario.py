@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.geom import finite, to_frame, wrap
 from . import collision, joins, kinematics, metrics, segments
 
-#: Coarse type of known categories, occlusion codes, sources whose camera height is known.
-TYPES = {"Pedestrian": "PEDESTRIAN", "Scooter": "CYCLIST", "Bike": "CYCLIST", "Motorcycle": "CYCLIST", "Car": "VEHICLE", "Golf Cart": "VEHICLE", "Truck": "VEHICLE", "Person": "PEDESTRIAN", "Animal": "OTHER"}
+#: Coarse type of known categories, occlusion codes.
+TYPES = {
+    "PEDESTRIAN": ["Pedestrian"],
+    "CYCLE": ["Bike", "Scooter", "Motorcycle", "Skateboard", "Segway"],
+    "VEHICLE": ["Car", "Service Vehicle", "Pickup Truck", "Utility Vehicle", "Delivery Truck", "Bus"],
+    "OTHER_MOVABLE": ["Cart", "Horse"],
+}
 OCCLUSION = {"None": 0, "Light": 1, "Medium": 2, "Heavy": 3, "Full": 4, "Unknown": 5}
 CURRENT, STEPS = 10, 21
 
 
 def coarse_type(category: Column, default: str = "STATIC") -> Column:
-    return F.coalesce(*(F.when(category == k, F.lit(v)) for k, v in TYPES.items()), F.lit(default))
+    return F.coalesce(*(F.when(category.isin(names), F.lit(kind)) for kind, names in TYPES.items()), F.lit(default))
 
 
 def occlusion_code(text: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Plausible step of a track, base in metres and metres a second, by coarse type.
-JUMP_LIMITS = {"PEDESTRIAN": (1.0, 4.0), "CYCLIST": (1.5, 12.0), "VEHICLE": (2.0, 25.0)}
-OTHER_JUMP = (1.5, 6.0)
+JUMP_LIMITS = {"PEDESTRIAN": (1.0, 4.0), "CYCLE": (1.5, 15.0), "VEHICLE": (1.5, 15.0), "OTHER_MOVABLE": (1.5, 15.0), "STATIC": (1.0, 0.0)}
+OTHER_JUMP = (1.5, 15.0)
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str) -> DataFrame:

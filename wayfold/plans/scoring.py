@@ -150,11 +150,15 @@ def progress(spark, sf_dir):
     return out.select("rec", *(F.round(c, 5).alias(c) for c in ("progress_m", "progress_ratio", "path_efficiency")), "reached_goal", "success")
 
 
-@query("""WITH {POSE}, s AS (SELECT rec, avg(x) / 100 AS ade, max(y) / 50 AS fde, rec % 4 = 0 AS collided FROM pose GROUP BY 1) SELECT rec, round(exp(-fde) * 2 - ade * 0.5 - CASE WHEN collided THEN 10 ELSE 0 END, 6) AS reward FROM s""")
+@query("""WITH {POSE}, q AS (SELECT *, lead(x) OVER w - 2 * x + lag(x) OVER w AS ax, lead(y) OVER w - 2 * y + lag(y) OVER w AS ay FROM pose WINDOW w AS (PARTITION BY rec ORDER BY f)),
+ s AS (SELECT rec, avg(sqrt(ax * ax + ay * ay)) AS acc, avg(x) / 100 AS ade, rec % 4 = 0 AS hit, arg_max(x, f) / 50 AS x, arg_max(y, f) / 10 AS y, max(x) / 50 AS gx, max(y) / 10 AS gy FROM q GROUP BY 1), g AS (SELECT *, greatest(1, sqrt(gx * gx + gy * gy)) AS sc, sqrt(power(x - gx, 2) + power(y - gy, 2)) AS d1 FROM s)
+ SELECT rec, round(-2 * d1 / sc - 0.5 * ade / sc + CASE WHEN hit THEN -10 ELSE 10 END - 0.01 * acc / sc + greatest(-1, least(1, (sqrt(gx * gx + gy * gy) - d1) / sc)), 5) AS reward FROM g""")
 def reward_terms(spark, sf_dir):
     """Weighted reward from a specification."""
-    scored = poses(spark, sf_dir).groupBy("rec").agg((F.avg("x") / 100).alias("ade"), (F.max("y") / 50).alias("fde")).withColumn("collided", F.col("rec") % 4 == 0)
-    return M.reward(scored, "goal=2, imitation=0.5, collision=10").select("rec", F.round("reward", 6).alias("reward"))
+    rows = poses(spark, sf_dir)
+    ends = rows.groupBy("rec").agg((F.avg("x") / 100).alias("ade"), (F.max_by("x", "f") / 50).alias("x"), (F.max_by("y", "f") / 10).alias("y"), (F.max("x") / 50).alias("gx"), (F.max("y") / 10).alias("gy"))
+    scored = ends.join(M.acceleration(rows.withColumnRenamed("f", "step"), "rec"), "rec").withColumns({"collided": F.col("rec") % 4 == 0, "collided_lidar": F.lit(False)})
+    return M.reward(scored, "goal=2, imitation=0.5, collision=10, smooth=0.01, progress").select("rec", F.round("reward", 5).alias("reward"))
 
 
 @query("""WITH {POSE}, k AS (SELECT rec, f AS k, x / 50 AS x, y / 10 AS y, x / 50 + sin(f) AS rx, y / 10 AS ry FROM pose WHERE f <= 10), v AS (SELECT *, (x - lag(x) OVER w) * 2 AS vx, (y - lag(y) OVER w) * 2 AS vy FROM k WINDOW w AS (PARTITION BY rec ORDER BY k)), a AS (SELECT *, sqrt(power(vx - lag(vx) OVER w, 2) + power(vy - lag(vy) OVER w, 2)) * 2 AS acc, sqrt(power(x - rx, 2) + power(y - ry, 2)) AS err FROM v WINDOW w AS (PARTITION BY rec ORDER BY k))
@@ -212,10 +216,15 @@ def action_scale(spark, sf_dir):
     return R.action_scale(poses(spark, sf_dir), ["x", "y"], 0.3, "event_id").select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
 
 
-@query("""SELECT event_id, 'ev_' || event_type || '_' || lpad(CAST(user_id AS VARCHAR), 2, '0') || '_' || lpad(CAST(event_id AS VARCHAR), 6, '0') AS sid, substr(sha1(event_type || '|' || CAST(event_id AS VARCHAR)), 1, 32) AS rid,
- CASE WHEN value < 100 THEN 'stands' WHEN value < 300 THEN 'walks slowly' ELSE 'walks' END || CASE WHEN user_id % 7 - 3 < -2 THEN ', slows down' WHEN user_id % 7 - 3 > 2 THEN ', speeds up' ELSE '' END || CASE WHEN abs(value - 245) <= 15 THEN '' WHEN value - 245 > 45 THEN ', turns sharply left' WHEN value - 245 > 15 THEN ', turns left' WHEN value - 245 < -45 THEN ', turns sharply right' ELSE ', turns right' END AS words, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+@query("""WITH e AS (SELECT event_id, user_id, event_type, value, value / 70 AS m, user_id % 7 / 5.0 AS v0, user_id % 5 / 4.0 AS v1, value - 245 AS b, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), w AS (SELECT *, CASE WHEN m > 0.3 THEN b ELSE 0 END AS bb FROM e)
+ SELECT event_id, 'ev_' || event_type || '_' || lpad(CAST(user_id AS VARCHAR), 2, '0') || '_' || lpad(CAST(event_id AS VARCHAR), 6, '0') AS sid, substr(sha1(event_type || '|' || CAST(event_id AS VARCHAR)), 1, 32) AS rid,
+ 'the carrier ' || CASE WHEN m / 5 < 0.15 THEN 'stands still' WHEN m / 5 < 0.5 THEN 'moves very slowly' WHEN m / 5 < 1 THEN 'moves at a slow walking pace' WHEN m / 5 < 1.8 THEN 'moves at walking pace' ELSE 'moves fast' END || ', ' || CASE WHEN v1 < 0.15 AND v0 > 0.15 THEN 'stops' WHEN v0 < 0.15 AND v1 > 0.15 THEN 'starts moving' WHEN v1 < v0 - 0.3 THEN 'slows down' WHEN v1 > v0 + 0.3 THEN 'speeds up' ELSE 'keeps a steady speed' END || ', and ' ||
+ CASE WHEN abs(bb) < 15 THEN 'goes straight ahead' WHEN abs(bb) < 45 THEN 'bears ' || CASE WHEN bb > 0 THEN 'left' ELSE 'right' END || ' by about ' || printf('%.0f', abs(bb) + 1e-7) || ' degrees' WHEN abs(bb) < 120 THEN 'turns sharply ' || CASE WHEN bb > 0 THEN 'left' ELSE 'right' END || ', about ' || printf('%.0f', abs(bb) + 1e-7) || ' degrees' ELSE 'turns around to the ' || CASE WHEN bb > 0 THEN 'left' ELSE 'right' END END AS words,
+ CASE event_id % 3 WHEN 0 THEN printf('Please walk towards the goal (%.1f, %.1f).', value / 7 + 0.0123, k / 3.0) WHEN 1 THEN printf('Walk to the point (%.1f, %.1f).', value / 7 + 0.0123, k / 3.0) ELSE printf('Navigate to (%.1f, %.1f).', value / 7 + 0.0123, k / 3.0) END AS prompt, k FROM w""")
 def prompt_text(spark, sf_dir):
-    """Ids, paths in words and numbers out of JSON in free text."""
+    """Ids, prompts, paths in words and numbers out of JSON in free text."""
     e = table(spark, sf_dir, "events")
-    change = (F.col("user_id") % 7 - 3) * 0.15
-    return e.select("event_id", X.scenario_id(F.lit("ev"), F.col("event_type"), F.col("user_id"), F.col("event_id")).alias("sid"), X.request_id(F.col("event_type"), F.col("event_id").cast("string")).alias("rid"), X.path_in_words(F.col("value") * 0.8 / 300 * F.when(F.col("value") < 100, 0.5).otherwise(1.0), F.when(F.abs(change) > 0.31, F.signum(change) * 0.4).otherwise(0.0), F.col("value") - 245).alias("words"), X.json_in_text(F.concat(F.lit("answer: "), "props", F.lit(" end")), "k bigint")["k"].alias("k"))
+    c = F.col
+    k = X.json_in_text(F.concat(F.lit("answer: "), "props", F.lit(" end")), "k bigint")["k"]
+    words = X.path_in_words(c("value") / 70, c("user_id") % 7 / 5.0, c("user_id") % 5 / 4.0, c("value") - 245)
+    return e.select("event_id", X.scenario_id(F.lit("ev"), c("event_type"), c("user_id"), c("event_id")).alias("sid"), X.request_id(c("event_type"), c("event_id").cast("string")).alias("rid"), words.alias("words"), X.point_prompt(c("value") / 7 + 0.0123, k / 3.0, c("event_id") % 3).alias("prompt"), k.alias("k"))
