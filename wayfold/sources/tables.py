@@ -120,3 +120,25 @@ def write_episode_shards(frames: DataFrame, shards: DataFrame, path: str) -> Non
 def write_json_lines(df: DataFrame, path: str) -> None:
     """JSON lines with non-finite numbers as null."""
     df.select(*(finite(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes)).write.json(path)
+
+
+def label_frames(spark: SparkSession, labels: str, odometry: str, odometry_other: str, stamps: str) -> DataFrame:
+    """Frames that have labels, odometry (from the first folder that has the sequence) and a timestamp, by frame name.
+
+    Each folder holds one JSON map from frame name to value a sequence.
+    """
+    def read(folder: str, kind: str) -> DataFrame:
+        text = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("sequence"), F.from_json("value", f"map<string,{kind}>").alias("m"))
+        return text.select("sequence", F.explode("m").alias("frame", "v"))
+
+    first, second = read(odometry, "array<double>"), read(odometry_other, "array<double>")
+    chosen = first.unionByName(second.join(first.select("sequence").distinct(), "sequence", "left_anti")).withColumnRenamed("v", "pose")
+    boxes = read(labels, "array<struct<label_id:string,x:double,y:double>>").withColumnRenamed("v", "boxes")
+    return boxes.join(chosen, ["sequence", "frame"]).join(read(stamps, "double").withColumnRenamed("v", "t"), ["sequence", "frame"])
+
+
+def linked_samples(samples: DataFrame, scene: str = "scene_token") -> DataFrame:
+    """Samples of each scene in order: a sample's place by time is its place in the list that `next` spells out."""
+    w = Window.partitionBy(scene).orderBy("timestamp", "token")
+    out = samples.withColumns({"place": F.row_number().over(w) - 1, "_after": F.lead("token").over(w)})
+    return out.withColumn("linked", F.col("next").eqNullSafe(F.coalesce("_after", F.lit("")))).drop("_after")
