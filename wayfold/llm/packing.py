@@ -44,9 +44,13 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for words that are normalised and split already.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(WORDS)
         self.known: dict[str, bytes] = {}
 
@@ -76,7 +80,7 @@ class WordEncoder:
                 new = {r for rs in runs for r in rs}
             words = {r: self.words_of(r) for r in new}
             lacking = list({w for ws in words.values() for w in ws if w not in known})
-            for w, e in zip(lacking, self.tokenizer.encode_batch_fast(lacking, add_special_tokens=False)):
+            for w, e in zip(lacking, self.of_words.encode_batch_fast(lacking, add_special_tokens=False)):
                 known[w] = array("I", e.ids).tobytes()
             for r, ws in words.items():
                 if len(ws) != 1 or ws[0] is not r:
