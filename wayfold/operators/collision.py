@@ -136,7 +136,7 @@ def at_fault(contacts: DataFrame, path: DataFrame, n_sub: int, rate_hz: float, m
     dt = 1.0 / (rate_hz * n_sub)
     lead, lag = (lambda c: F.coalesce(F.lead(c).over(w), F.col(c))), (lambda c: F.coalesce(F.lag(c).over(w), F.col(c)))
     steps = F.lead("x").over(w).isNotNull().cast("int") + F.lag("x").over(w).isNotNull().cast("int")
-    motion = dense.select("scenario", "sub", ((lead("x") - lag("x")) / (steps * dt)).alias("vx"), ((lead("y") - lag("y")) / (steps * dt)).alias("vy"))
+    motion = dense.select("scenario", "sub", F.coalesce(F.try_divide(lead("x") - lag("x"), steps * dt), F.lit(0.0)).alias("vx"), F.coalesce(F.try_divide(lead("y") - lag("y"), steps * dt), F.lit(0.0)).alias("vy"))
     first = contacts.filter("gap <= 0").groupBy("scenario", "track").agg(F.min_by(F.struct("sub", "px", "py", "ax", "ay"), "sub").alias("c")).select("scenario", "track", "c.*")
     ahead = (F.col("ax") - F.col("px")) * F.col("vx") + (F.col("ay") - F.col("py")) * F.col("vy") > 0
     return first.join(motion, ["scenario", "sub"]).groupBy("scenario").agg(F.bool_or(ahead & (F.hypot("vx", "vy") > moving)).alias("at_fault"))

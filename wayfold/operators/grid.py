@@ -93,7 +93,7 @@ def bilinear(points: DataFrame, ground: DataFrame, keys: list[str], size: float)
     corners = points.withColumns({"_u": u - F.floor(u), "_v": v - F.floor(v)}).withColumn("_di", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_dj", F.explode(F.array(F.lit(0), F.lit(1))))
     corners = corners.withColumns({"ci": F.floor(u) + F.col("_di"), "cj": F.floor(v) + F.col("_dj"), "_w": F.when(F.col("_di") == 1, F.col("_u")).otherwise(1 - F.col("_u")) * F.when(F.col("_dj") == 1, F.col("_v")).otherwise(1 - F.col("_v"))})
     joined = corners.join(ground.select(*keys, "ci", "cj", "ground"), [*keys, "ci", "cj"])
-    return joined.groupBy(*keys, "id", "x", "y", "z").agg((F.first("z") - F.sum(F.col("_w") * F.col("ground")) / F.sum("_w")).alias("above"))
+    return joined.groupBy(*keys, "id", "x", "y", "z").agg((F.first("z") - F.try_divide(F.sum(F.col("_w") * F.col("ground")), F.sum("_w"))).alias("above"))
 
 
 def blocks_ahead(cells: DataFrame, scenarios: DataFrame, key: str, n: int = 8, per_block: int = 10) -> DataFrame:

@@ -29,7 +29,7 @@ def velocity(df: DataFrame, key: str, k_max: int, order: str = "f") -> DataFrame
 
     def slope(c: str, a: int, b: int) -> Column:
         at = lambda col, k: F.lead(col, k).over(w) if k > 0 else F.lag(col, -k).over(w) if k < 0 else F.col(col)
-        return (at(c, b) - at(c, a)) / (at("t", b) - at("t", a))
+        return F.try_divide(at(c, b) - at(c, a), at("t", b) - at("t", a))
 
     spans = [(-k, k) for k in range(k_max, 0, -1)] + [s for k in range(1, k_max + 1) for s in ((0, k), (-k, 0))]
     return df.withColumns({f"v{c}": F.coalesce(*(slope(c, a, b) for a, b in spans), F.lit(0.0)) for c in ("x", "y")})

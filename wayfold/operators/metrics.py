@@ -31,7 +31,7 @@ def timed(paths: DataFrame, key: str, rate: float, speed: float, n: int) -> Data
 def timed_steps(pred: DataFrame, key: str, final_step: int, n: int) -> DataFrame:
     """(key, k, x, y) at steps 1..n of positions (key, f, x, y) evenly spaced in time up to final_step; f = 0 is the start."""
     last = pred.groupBy(key).agg(F.max("f").alias("m"))
-    share = pred.join(last, key).select(key, (F.col("f") / F.col("m")).alias("u"), "x", "y")
+    share = pred.join(last, key).select(key, F.try_divide(F.col("f"), F.col("m")).alias("u"), "x", "y")
     wanted = last.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))).select(key, "k", F.least(F.col("k") / final_step, F.lit(1.0)).alias("u"))
     return interpolate(wanted, share, key, "u", ["x", "y"]).drop("u")
 

@@ -66,7 +66,7 @@ def ego_velocity(frames: DataFrame, episode: str) -> DataFrame:
     """Adds v_ahead, v_left: velocity from the row before in the row's own frame."""
     w = Window.partitionBy(episode).orderBy("f")
     dt = F.col("t") - F.lag("t").over(w)
-    vx, vy = (F.col("x") - F.lag("x").over(w)) / dt, (F.col("y") - F.lag("y").over(w)) / dt
+    vx, vy = F.try_divide(F.col("x") - F.lag("x").over(w), dt), F.try_divide(F.col("y") - F.lag("y").over(w), dt)
     ahead, left = to_frame(F.lit(0.0), F.lit(0.0), F.col("yaw"), F.coalesce(vx, F.lit(0.0)), F.coalesce(vy, F.lit(0.0)))
     return frames.withColumns({"v_ahead": ahead, "v_left": left})
 
@@ -98,7 +98,7 @@ def people_tags(obs: DataFrame, ego: DataFrame, near: float = 8.0, standing: flo
     d = F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey"))
     here = both.groupBy("scenario", "track").agg(F.min(d).alias("d"), F.count("*").alias("n"), F.min_by(F.struct("x", "y"), "step").alias("p"), F.max_by(F.struct("x", "y"), "step").alias("q"), F.bool_or("is_stationary").alias("still"), F.min(F.when(F.col("step") == 0, d)).alias("d0"))
     moved = here.join(ref, "scenario").withColumns({"mx": F.col("q.x") - F.col("p.x"), "my": F.col("q.y") - F.col("p.y")})
-    cos = (F.col("mx") * F.col("rx") + F.col("my") * F.col("ry")) / F.hypot("mx", "my") / F.hypot("rx", "ry")
+    cos = F.try_divide(F.col("mx") * F.col("rx") + F.col("my") * F.col("ry"), F.hypot("mx", "my") * F.hypot("rx", "ry"))
     met = ~F.col("still") & (F.col("n") >= 2) & (F.col("d") <= meet) & (F.hypot("mx", "my") >= 0.5) & (F.hypot("rx", "ry") >= 0.5)
     way = F.when(met, F.when(cos < -0.7, "people:oncoming").when(cos > 0.7, "people:same_direction").otherwise("people:crossing"))
     per = moved.withColumn("way", way).groupBy("scenario").agg(F.collect_set("way").alias("ways"), F.count_if(F.col("d0") < near).alias("n"), F.bool_or(F.col("still") & (F.coalesce("d0", F.lit(1e9)) < standing)).alias("stands"))

@@ -86,7 +86,7 @@ def height_above_ground(spark, sf_dir):
     """Heights over the bilinear ground, with cells without points inheriting from those around."""
     all_points = points(spark, sf_dir)
     cells = all_points.withColumns({"ci": G.cell("x", 8.0), "cj": G.cell("y", 8.0)})
-    ground = G.low_quantile(cells.filter("x < 30"), ["sweep", "ci", "cj"])
+    ground = G.low_quantile(cells, ["sweep", "ci", "cj"], least=30)
     wanted = cells.select("sweep", "ci", "cj").distinct()
     filled = G.inherit_ground(ground, wanted, ["sweep"])
     return G.bilinear(all_points.dropDuplicates(["sweep", "id"]), filled.filter("ground is not null"), ["sweep"], 8.0).groupBy("sweep").agg(F.count("*").alias("n"), F.round(F.avg("above"), 6).alias("mean_above"))

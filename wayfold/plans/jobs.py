@@ -57,10 +57,10 @@ def scored_predictions(spark, sf_dir):
     return out.select("scenario", "success", "collided", F.round("ade", 5).alias("ade"), F.round("progress_ratio", 5).alias("progress_ratio"), F.round("wiggle", 5).alias("wiggle"))
 
 
-@query("""WITH {POSE}, s AS (SELECT rec, kind, bool_or(f >= 10) AS later, bool_or(f = 10) AS now, bool_or(f > 10) AS after FROM pose WHERE f < 21 GROUP BY 1, 2) SELECT rec, kind FROM s WHERE later AND now AND after AND kind NOT IN ('error', 'signup')""")
+@query("""WITH {POSE}, s AS (SELECT rec * 1000 + f // 21 AS rec, kind, bool_or(f % 21 >= 10) AS later, bool_or(f % 21 = 10) AS now, bool_or(f % 21 > 10) AS after FROM pose GROUP BY 1, 2) SELECT rec, kind FROM s WHERE later AND now AND after AND kind NOT IN ('error', 'signup')""")
 def tracks_to_predict(spark, sf_dir):
     """Movable tracks that are there now and later."""
-    obs = poses(spark, sf_dir).filter("f < 21").select(F.col("rec").alias("scenario"), F.col("kind").alias("track"), F.col("f").alias("step"), (F.col("kind") == "error").alias("is_stationary"), (F.col("kind") == "signup").alias("is_operator"))
+    obs = poses(spark, sf_dir).select((F.col("rec") * 1000 + F.floor(F.col("f") / 21)).alias("scenario"), F.col("kind").alias("track"), (F.col("f") % 21).alias("step"), (F.col("kind") == "error").alias("is_stationary"), (F.col("kind") == "signup").alias("is_operator"))
     return S.predicted_tracks(obs)[1].select(F.col("scenario").alias("rec"), F.col("track").alias("kind"))
 
 
@@ -82,9 +82,9 @@ def reviewed_environment(spark, sf_dir):
     return out.select(F.col("id").alias("c_custkey"), "environment")
 
 
-@query("""WITH {POSE}, l AS (SELECT rec, list(x ORDER BY f) AS xs FROM pose WHERE f < 21 GROUP BY 1) SELECT rec, len(CASE WHEN len(xs) = 21 THEN xs[11:21] ELSE xs END)::INT AS n, round(list_sum(CASE WHEN len(xs) = 21 THEN xs[11:21] ELSE xs END), 4) AS total FROM l""")
+@query("""WITH {POSE}, l AS (SELECT rec * 1000 + f // 21 AS rec, list(x ORDER BY f) AS xs FROM pose GROUP BY 1) SELECT rec, len(CASE WHEN len(xs) = 21 THEN xs[11:21] ELSE xs END)::INT AS n, round(list_sum(CASE WHEN len(xs) = 21 THEN xs[11:21] ELSE xs END), 4) AS total FROM l""")
 def future_layout(spark, sf_dir):
     """Tracks of either layout as current and future steps."""
-    per = poses(spark, sf_dir).filter("f < 21").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("p")).select("rec", F.array("p.x").alias("tracks"))
+    per = poses(spark, sf_dir).withColumn("rec", F.col("rec") * 1000 + F.floor(F.col("f") / 21)).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("p")).select("rec", F.array("p.x").alias("tracks"))
     cut = per.select("rec", S.from_layouts(F.col("tracks"), F.lit(None).cast("array<array<double>>"))[0].alias("xs"))
     return cut.select("rec", F.size("xs").alias("n"), F.round(F.aggregate("xs", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))

@@ -99,15 +99,15 @@ def anchor_windows(spark, sf_dir):
     return out.filter("n = 11 and travel >= 1000").select("rec", "anchor", F.round("travel", 4).alias("travel"), F.round("span", 3).alias("span"))
 
 
-BOX_SQL = """b AS (SELECT p_partkey AS box, p_size % 5 AS g, 1 + p_partkey % 50 AS cx, (p_partkey * 7) % 11 AS cy, p_partkey % 6 / 2.0 AS h, 1.0 + p_size % 4 AS len, 0.5 + p_size % 3 AS wid FROM part WHERE p_partkey % 10 = 0),
- l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 5 AS g, l_quantity AS px, l_discount * 100 AS py FROM lineitem WHERE l_quantity < 12),
+BOX_SQL = """b AS (SELECT p_partkey AS box, p_size % 5 AS g, 1 + p_partkey % 50 AS cx, (p_partkey * 7) % 11 AS cy, p_partkey % 6 / 2.0 AS h, 0.2 + p_size % 4 / 5.0 AS len, 0.1 + p_size % 3 / 5.0 AS wid FROM part),
+ l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 5 AS g, l_quantity AS px, l_discount * 100 AS py FROM lineitem),
  d AS (SELECT l.*, b.box, sqrt(power(greatest(abs(cos(h) * (px - cx) + sin(h) * (py - cy)) - len / 2, 0), 2) + power(greatest(abs(cos(h) * (py - cy) - sin(h) * (px - cx)) - wid / 2, 0), 2)) AS gap FROM l JOIN b ON l.g = b.g)"""
 
 
 def _boxes(spark, sf_dir):
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    boxes = part.filter("p_partkey % 10 = 0").selectExpr("p_partkey AS box", "cast(p_size % 5 AS bigint) AS g", "cast(1 + p_partkey % 50 AS double) AS cx", "cast((p_partkey * 7) % 11 AS double) AS cy", "p_partkey % 6 / 2.0D AS heading", "1.0D + p_size % 4 AS length", "0.5D + p_size % 3 AS width")
-    points = lines.filter("l_quantity < 12").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_suppkey % 5 AS g", "l_quantity AS px", "l_discount * 100 AS py", "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id")
+    boxes = part.selectExpr("p_partkey AS box", "cast(p_size % 5 AS bigint) AS g", "cast(1 + p_partkey % 50 AS double) AS cx", "cast((p_partkey * 7) % 11 AS double) AS cy", "p_partkey % 6 / 2.0D AS heading", "0.2D + p_size % 4 / 5.0D AS length", "0.1D + p_size % 3 / 5.0D AS width")
+    points = lines.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_suppkey % 5 AS g", "l_quantity AS px", "l_discount * 100 AS py", "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id")
     return points, boxes
 
 
@@ -115,14 +115,14 @@ def _boxes(spark, sf_dir):
 def point_in_box(spark, sf_dir):
     """Points in oriented boxes of their group, with the last box that holds each."""
     points, boxes = _boxes(spark, sf_dir)
-    return J.near_boxes(points, boxes, ["g"], 4.0, 0.01).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("box").alias("box"), F.count("*").alias("n"))
+    return J.near_boxes(points, boxes, ["g"], 1.0, 0.01).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("box").alias("box"), F.count("*").alias("n"))
 
 
-@query(f"WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.gap <= 0.31 AND d.l_orderkey = l.l_orderkey AND d.l_linenumber = l.l_linenumber AND d.l_partkey = l.l_partkey AND d.l_suppkey = l.l_suppkey) GROUP BY 1, 2, 3, 4")
+@query(f"WITH {BOX_SQL}, h AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM d WHERE gap <= 0.31) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n FROM l ANTI JOIN h USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) GROUP BY 1, 2, 3, 4")
 def points_outside(spark, sf_dir):
     """Points in none of the grown boxes."""
     points, boxes = _boxes(spark, sf_dir)
-    return J.outside_boxes(points, boxes, ["g"], 4.0, 0.31, "id").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    return J.outside_boxes(points, boxes, ["g"], 1.0, 0.31, "id").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
 
 
 @query("""WITH {POSE}, d AS (SELECT *, CAST(floor(t / 3600) AS BIGINT) AS hour FROM pose) SELECT a.event_id AS a, b.event_id AS b, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 6) AS dist FROM d a JOIN d b ON a.hour = b.hour AND a.event_id < b.event_id WHERE sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 12""")

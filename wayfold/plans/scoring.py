@@ -16,17 +16,18 @@ RATE, SUB = 2.0, 5
 
 
 def scenario_tables(spark, sf_dir):
-    """Scenarios from events: windows of 11 rows as the robot's path, and rows of other users as objects around it."""
+    """Scenarios from events: every 11 rows in a row of every fifth user are a robot's path, those of the four users after it objects around it."""
     rows = poses(spark, sf_dir)
-    ego = rows.filter("rec % 5 = 0 and f < 44").select((F.col("rec") * 10 + F.floor(F.col("f") / 11)).alias("scenario"), (F.col("f") % 11).alias("step"), (F.col("x") / 50).alias("x"), (F.col("y") / 10).alias("y"))
-    obs = rows.filter("rec % 5 <> 0 and f < 44").select(((F.col("rec") - F.col("rec") % 5) * 10 + F.floor(F.col("f") / 11)).alias("scenario"), F.col("rec").alias("track"), (F.col("f") % 11).alias("step"),
+    scenario = ((F.col("rec") - F.col("rec") % 5) * 1000 + F.floor(F.col("f") / 11)).alias("scenario")
+    ego = rows.filter("rec % 5 = 0").select(scenario, (F.col("f") % 11).alias("step"), (F.col("x") / 50).alias("x"), (F.col("y") / 10).alias("y"))
+    obs = rows.filter("rec % 5 <> 0").select(scenario, F.col("rec").alias("track"), (F.col("f") % 11).alias("step"),
         F.when(F.col("rec") % 5 == 1, "PEDESTRIAN").when(F.col("rec") % 5 == 4, "STATIC").otherwise("VEHICLE").alias("kind"), F.lit(1.0).alias("length"), F.lit(0.6).alias("width"), F.lit(1.7).alias("height"),
         (F.col("x") / 50).alias("x"), (F.col("y") / 10).alias("y"), F.lit(0.85).alias("z"), (F.col("y") / 30).alias("heading"), (F.col("rec") % 5 >= 3).alias("is_stationary"), F.lit(False).alias("is_operator"))
     return ego, obs
 
 
-SCENE = """{POSE}, ego AS (SELECT rec * 10 + f // 11 AS scenario, f % 11 AS step, x / 50 AS x, y / 10 AS y FROM pose WHERE rec % 5 = 0 AND f < 44),
- obs AS (SELECT (rec - rec % 5) * 10 + f // 11 AS scenario, rec AS track, f % 11 AS step, x / 50 AS x, y / 10 AS y, y / 30 AS h, rec % 5 >= 3 AS st, CASE WHEN rec % 5 = 1 THEN 0.0 ELSE 1.0 END AS len, CASE WHEN rec % 5 = 1 THEN 0.0 ELSE 0.6 END AS wid, CASE WHEN rec % 5 = 1 THEN 0.55 ELSE 0.25 END AS reach FROM pose WHERE rec % 5 <> 0 AND f < 44),
+SCENE = """{POSE}, ego AS (SELECT rec * 1000 + f // 11 AS scenario, f % 11 AS step, x / 50 AS x, y / 10 AS y FROM pose WHERE rec % 5 = 0),
+ obs AS (SELECT (rec - rec % 5) * 1000 + f // 11 AS scenario, rec AS track, f % 11 AS step, x / 50 AS x, y / 10 AS y, y / 30 AS h, rec % 5 >= 3 AS st, CASE WHEN rec % 5 = 1 THEN 0.0 ELSE 1.0 END AS len, CASE WHEN rec % 5 = 1 THEN 0.0 ELSE 0.6 END AS wid, CASE WHEN rec % 5 = 1 THEN 0.55 ELSE 0.25 END AS reach FROM pose WHERE rec % 5 <> 0),
  dense AS (SELECT scenario, step * 5 + k AS sub, CASE WHEN k = 5 THEN x2 ELSE x + (x2 - x) * k / 5.0 END AS px, CASE WHEN k = 5 THEN y2 ELSE y + (y2 - y) * k / 5.0 END AS py FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(step) OVER w AS s2 FROM ego WINDOW w AS (PARTITION BY scenario ORDER BY step)) e, generate_series(1, 5) AS g(k) WHERE s2 = step + 1),
  st0 AS (SELECT scenario, x AS x0, y AS y0 FROM ego WHERE step = 0)"""
 GAP = "sqrt(power(greatest(abs(cos({h}) * ({px} - {x}) + sin({h}) * ({py} - {y})) - len / 2, 0), 2) + power(greatest(abs(cos({h}) * ({py} - {y}) - sin({h}) * ({px} - {x})) - wid / 2, 0), 2)) - reach"
@@ -84,7 +85,7 @@ def lidar_collision(spark, sf_dir):
     return C.lidar_contacts(ego, points, obs.filter("is_operator").select("scenario", "track").distinct(), SUB)
 
 
-@query("""WITH {POSE}, g AS (SELECT user_id AS rec FROM events WHERE false), ego AS (SELECT rec * 10 + f // 11 AS scenario, f % 11 AS step, x / 50 AS x, y / 10 AS y FROM pose WHERE rec % 5 = 0 AND f < 44),
+@query("""WITH {POSE}, g AS (SELECT user_id AS rec FROM events WHERE false), ego AS (SELECT rec * 1000 + f // 11 AS scenario, f % 11 AS step, x / 50 AS x, y / 10 AS y FROM pose WHERE rec % 5 = 0),
  now AS (SELECT scenario, x AS x0, y AS y0 FROM ego WHERE step = 0), fin AS (SELECT scenario, arg_max(x, step) AS gx, arg_max(y, step) AS gy FROM ego GROUP BY 1),
  p AS (SELECT scenario, 'stationary' AS planner, k AS step, x0 AS x, y0 AS y FROM now, generate_series(0, 10) AS g(k) UNION ALL SELECT scenario, 'straight_to_goal', k, x0 + (gx - x0) * k / 10.0, y0 + (gy - y0) * k / 10.0 FROM now JOIN fin USING (scenario), generate_series(0, 10) AS g(k) UNION ALL SELECT scenario, 'recorded', step, x, y FROM ego)
  SELECT p.scenario, planner, round(avg(sqrt(power(p.x - e.x, 2) + power(p.y - e.y, 2))), 5) AS ade, round(arg_max(sqrt(power(p.x - e.x, 2) + power(p.y - e.y, 2)), p.step), 5) AS fde FROM p JOIN ego e ON p.scenario = e.scenario AND p.step = e.step WHERE p.step > 0 GROUP BY 1, 2""")
@@ -97,14 +98,14 @@ def baseline_errors(spark, sf_dir):
     return scored.select("scenario.scenario", "scenario.planner", F.round("ade", 5).alias("ade"), F.round("fde", 5).alias("fde"))
 
 
-ARC = """{POSE}, q AS (SELECT rec, f, x / 50 AS x, y / 10 AS y FROM pose WHERE f < 11), h AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS hop FROM q WINDOW w AS (PARTITION BY rec ORDER BY f)),
+ARC = """{POSE}, q AS (SELECT rec * 1000 + f // 11 AS rec, f % 11 AS f, x / 50 AS x, y / 10 AS y FROM pose), h AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS hop FROM q WINDOW w AS (PARTITION BY rec ORDER BY f)),
  s AS (SELECT *, sum(hop) OVER (PARTITION BY rec ORDER BY f) AS s FROM h), n AS (SELECT rec, s, x, y, lead(s) OVER w AS s2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM s WINDOW w AS (PARTITION BY rec ORDER BY f)), e AS (SELECT rec, max(s) AS total FROM s GROUP BY 1)"""
 
 
 @query(f"""WITH {ARC}, w AS (SELECT rec, k, least(3.0 * k / 2.0, total) AS s FROM e, generate_series(1, 10) AS g(k)) SELECT w.rec, k::INT AS k, round(CASE WHEN s2 IS NULL THEN x ELSE x + (x2 - x) * (w.s - n.s) / (s2 - n.s) END, 4) AS x, round(CASE WHEN s2 IS NULL THEN y ELSE y + (y2 - y) * (w.s - n.s) / (s2 - n.s) END, 4) AS y FROM w ASOF JOIN n ON w.rec = n.rec AND w.s >= n.s""")
 def timed_follow(spark, sf_dir):
     """Positions when each path is followed at a fixed speed."""
-    paths = poses(spark, sf_dir).filter("f < 11").select("rec", "f", (F.col("x") / 50).alias("x"), (F.col("y") / 10).alias("y"))
+    paths = poses(spark, sf_dir).select((F.col("rec") * 1000 + F.floor(F.col("f") / 11)).alias("rec"), (F.col("f") % 11).alias("f"), (F.col("x") / 50).alias("x"), (F.col("y") / 10).alias("y"))
     return M.timed(paths, "rec", RATE, 3.0, 10).select("rec", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
@@ -161,11 +162,11 @@ def reward_terms(spark, sf_dir):
     return M.reward(scored, "goal=2, imitation=0.5, collision=10, smooth=0.01, progress").select("rec", F.round("reward", 5).alias("reward"))
 
 
-@query("""WITH {POSE}, k AS (SELECT rec, f AS k, x / 50 AS x, y / 10 AS y, x / 50 + sin(f) AS rx, y / 10 AS ry FROM pose WHERE f <= 10), v AS (SELECT *, (x - lag(x) OVER w) * 2 AS vx, (y - lag(y) OVER w) * 2 AS vy FROM k WINDOW w AS (PARTITION BY rec ORDER BY k)), a AS (SELECT *, sqrt(power(vx - lag(vx) OVER w, 2) + power(vy - lag(vy) OVER w, 2)) * 2 AS acc, sqrt(power(x - rx, 2) + power(y - ry, 2)) AS err FROM v WINDOW w AS (PARTITION BY rec ORDER BY k))
+@query("""WITH {POSE}, k AS (SELECT rec * 1000 + f // 11 AS rec, f % 11 AS k, x / 50 AS x, y / 10 AS y, x / 50 + sin(f % 11) AS rx, y / 10 AS ry FROM pose), v AS (SELECT *, (x - lag(x) OVER w) * 2 AS vx, (y - lag(y) OVER w) * 2 AS vy FROM k WINDOW w AS (PARTITION BY rec ORDER BY k)), a AS (SELECT *, sqrt(power(vx - lag(vx) OVER w, 2) + power(vy - lag(vy) OVER w, 2)) * 2 AS acc, sqrt(power(x - rx, 2) + power(y - ry, 2)) AS err FROM v WINDOW w AS (PARTITION BY rec ORDER BY k))
  SELECT rec, round(avg(err), 5) AS ade, round(arg_max(err, k), 5) AS fde, round(coalesce(max(acc), 0), 4) AS max_accel, round(avg(sqrt(vx * vx + vy * vy)), 4) AS speed FROM a WHERE k > 0 GROUP BY 1""")
 def timed_scores(spark, sf_dir):
     """Scores of positions in time against a reference."""
-    rows = poses(spark, sf_dir).filter("f <= 10").select("rec", F.col("f").alias("k"), (F.col("x") / 50).alias("x"), (F.col("y") / 10).alias("y"))
+    rows = poses(spark, sf_dir).select((F.col("rec") * 1000 + F.floor(F.col("f") / 11)).alias("rec"), (F.col("f") % 11).alias("k"), (F.col("x") / 50).alias("x"), (F.col("y") / 10).alias("y"))
     reference = rows.withColumn("x", F.col("x") + F.sin("k"))
     out = M.timed_scores(rows, reference, "rec", RATE)
     return out.select("rec", F.round("ade", 5).alias("ade"), F.round("fde", 5).alias("fde"), F.round("max_accel", 4).alias("max_accel"), F.round("speed", 4).alias("speed"))
