@@ -28,6 +28,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS, BATCHES = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_of(df: DataFrame, *columns) -> DataFrame:
+    """The columns (all if none are named) on their way to Python tasks, in batches small enough for long texts in a bounded memory."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCHES)) <= BATCH_ROWS:
+        conf.set(BATCHES, BATCH_ROWS)
+    return df.select(*columns) if columns else df
+
+
 def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, texts_of
 from .words import shingles, word_ids
 
 SEED_WORDS = 4
@@ -92,7 +92,7 @@ def _ngrams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(found.astype(np.int64)), pa.array(np.arange(len(found), dtype=np.int32))], names=["id", "gram", "place"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, gram long, place int")
+    return texts_of(docs, "id", "text").mapInArrow(run, f"id {kind}, gram long, place int")
 
 
 def _runs(places: np.ndarray, reach: int, size: int) -> list[tuple[int, int]]:
@@ -126,7 +126,7 @@ def _hits(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...], reach: in
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "grams", "places", "firsts", "words"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, grams array<long>, places array<int>, firsts array<int>, words array<binary>")
+    return texts_of(docs, "id", "text").mapInArrow(run, f"id {kind}, grams array<long>, places array<int>, firsts array<int>, words array<binary>")
 
 
 def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:

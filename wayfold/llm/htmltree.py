@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, texts_of
 
 SAMPLE_PAGES, MODEL_FEATURES = 2000, 5000
 #: Features of one node depend on each other, so those other than names count for less; names seen in one state decide nearly alone.
@@ -291,7 +291,7 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
+    return texts_of(pages, id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
 
 
 def op9_tree_model_html(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialize
+from .common import claim, materialize, texts_of
 
 UNKNOWN = "und"
 SAMPLE_DOCS, MODEL_WORDS, MODEL_GRAMS, LONGEST_GRAM = 8000, 25_000, 25_000, 5
@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, key: Column, text_col: str = "text", lang_col: str
     usable = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     share = min(1.0, SAMPLE_DOCS / max(1, usable.count()))
     sample = usable.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    counted = sample.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, unit string, n long")
+    counted = texts_of(sample, F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, unit string, n long")
     per_unit = materialize(counted.groupBy("lang", "unit").agg(F.sum("n").alias("n")).groupBy("unit").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("langs")), "units")
     is_word = F.col("unit").startswith("w")
     top = lambda some, most: per_unit.filter(some).orderBy(F.desc("total"), "unit").limit(most).select("unit", "langs.lang", "langs.n").collect()  # noqa: E731  bounded
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
@@ -165,7 +165,7 @@ def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text"
             found = [shared.value.predict(t) for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

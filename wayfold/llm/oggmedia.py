@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import texts_of
+
 #: Fixed values of the container format: page header layout, flags, and the largest lacing value and number of segments.
 HEADER = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -154,7 +156,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode(p) for p, _ in made], pa.binary())], names=[id_col, "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:

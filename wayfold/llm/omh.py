@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, texts_of
 from .components import components
 from .words import mixed, shingles, word_ids
 
@@ -130,22 +130,23 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
     return distance if distance <= most else most + 1
 
 
-@lru_cache(maxsize=256)
-def _parsed(text: str) -> tuple[list[int], frozenset]:
-    ids = word_ids(text)
-    return ids.tolist(), frozenset(shingles(ids, WORDS).tolist())
+@lru_cache(maxsize=16)
+def _parsed(text: str) -> list[int]:
+    return word_ids(text).tolist()
 
 
 def similarity(a: str, b: str) -> float:
     """Word edit similarity by banded alignment if that is SIMILAR or more, else the shingles' Jaccard similarity."""
-    (x, x_set), (y, y_set) = _parsed(a), _parsed(b)
+    x, y = _parsed(a), _parsed(b)
     longer = max(len(x), len(y))
     if not longer:
         return 0.0
     most = int((1 - SIMILAR) * longer + 1e-9)
     if (distance := banded_distance(x, y, most)) <= most:
         return 1 - distance / longer
-    return len(x_set & y_set) / len(x_set | y_set)
+    x_set, y_set = (np.unique(shingles(np.array(ids, np.uint64), WORDS)) for ids in (x, y))
+    both = len(np.intersect1d(x_set, y_set, assume_unique=True))
+    return both / max(1, len(x_set) + len(y_set) - both)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -167,7 +168,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     digest = F.coalesce(F.unhex(F.sha2(text_col, 256)), F.encode(F.concat(F.lit("null "), F.col(id_col).cast("string")), "UTF-8"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, keys array<long>")
+    return texts_of(docs, F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:

@@ -24,14 +24,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, tokenizer_path
+from .common import claim, materialize, texts_of, tokenizer_path
 
 #: How the tokenizer splits normalised text, and the id that ends a document.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 1
 
 CAPACITY = 4096
-CACHE_ENTRIES = 1_100_000
+CACHE_ENTRIES = 900_000
 #: Marks that may stand alone behind a word.
 MARKS = frozenset(".,!?;:")
 #: Rows of one length that are ranked together, at least; beyond 100,000 such groups they grow.
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(kind=kind))
+    return texts_of(docs, "doc_id", "text").mapInArrow(cut, PIECES.format(kind=kind))
 
 
 def fullest(counts: dict[int, int], lengths: list[int], space: int) -> dict[int, int]:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import texts_of
+
 #: Kinds in the order in which they are listed, and cues with the kind that they announce.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "account", "ssn", "login")
@@ -137,7 +139,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array(map(joined, found), pa.string())], names=[id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string")
 
 
 def redacted(text: str) -> str:
@@ -162,7 +164,7 @@ def _redact(texts):
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced, and n_chars (where there is one) counted anew."""
-    out = docs.withColumn(text_col, _redact.asNondeterministic()(text_col))
+    out = texts_of(docs).withColumn(text_col, _redact.asNondeterministic()(text_col))
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, tokenizer_path
+from .common import Memo, claim, texts_of, tokenizer_path
 
 #: The pre-tokenizer's pattern and white space as it takes it, and the special string of the vocabulary.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -209,7 +209,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {kind}, {SCHEMA}")
+    return texts_of(docs, id_col, text_col).mapInArrow(count, f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
