@@ -180,6 +180,15 @@ def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return materialize(joined.withColumn("similarity", _similarity.asNondeterministic()("text_a", "text_b")).select("a", "b", "similarity").filter(F.col("similarity") >= SIMILAR), f"{name}-links")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots (node, root) with more links (a, b) between nodes: only the roots that these join go through components again."""
+    root_of = lambda column: roots.select(F.col("node").alias(column), F.col("root").alias(f"root_{column}"))
+    ends = materialize(links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb")), "ends")
+    new = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    nodes = ends.select(F.col("a").alias("node"), F.col("ra").alias("root")).union(ends.select("b", "rb")).union(roots.select("node", "root")).distinct()
+    return materialize(nodes.join(new, nodes["root"] == new["was"], "left").select("node", F.coalesce("now", "root").alias("root")), "merged")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id (the class's least id), text_id (least id of the exact copies), n_links (verified links of the text)."""
     sketched = materialize(sketches(docs, id_col, text_col), "sketches")
@@ -192,23 +201,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     star = lambda some: some.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
 
-    def rooted(links: DataFrame, name: str) -> DataFrame:
-        """Members of shared keys with the roots of their own and of the key's least text, by the links so far."""
-        roots = components(links)
+    def rooted(roots: DataFrame, name: str) -> DataFrame:
+        """Members of shared keys with the roots (node, root) of their own and of the key's least text."""
         root_of = lambda column, name: roots.select(F.col("node").alias(column), F.col("root").alias(name))
         both = held.join(root_of("id", "root"), "id", "left").join(root_of("least", "least_root"), "least", "left")
         return materialize(both.select("key", "id", "least", F.coalesce("root", "id").alias("root"), F.coalesce("least_root", "least").alias("least_root")), name)
 
-    #: a few keys join most of each class; the other keys then give only pairs that are not joined yet
+    #: a few keys join most of each class; the other keys then give only pairs that are not joined two steps up from their texts
     links = verified(star(held.filter(F.col("sketch") < FIRST)), texts, "first")
-    links = materialize(links.union(verified(star(rooted(links, "rooted-first").filter("root <> least_root")), texts, "star")), "linked")
-    placed = rooted(links, "rooted")
+    up = materialize(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "up")
+    above = up.select(F.col("node").alias("at"), F.col("root").alias("above"))
+    up = materialize(up.join(above, up["root"] == above["at"], "left").select("node", F.coalesce("above", "root").alias("root")), "up-two")
+    links = materialize(links.union(verified(star(rooted(up, "rooted-first").filter("root <> least_root")), texts, "star")), "linked")
+    roots = components(links)
+    placed = rooted(roots, "rooted")
     outside = materialize(placed.filter("root <> least_root").select("key", "id", "root"), "outside")
     others = placed.filter("id <> least").select("key", F.col("id").alias("b"), F.col("root").alias("root_b"), (F.col("root") != F.col("least_root")).alias("out_b"))
     more = outside.select("key", F.col("id").alias("a"), F.col("root").alias("root_a")).join(others, "key").filter("root_a <> root_b and (a < b or not out_b)")
     more = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, "rest")
     links = materialize(links.select("a", "b").union(more.select("a", "b")).distinct(), "links")
-    roots = components(links)
+    roots = merged(roots, more)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     texted = roots.join(degree, roots["node"] == degree["id"], "left").select(F.col("node").alias("text_id"), "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     texted = materialize(texted, "classes")
