@@ -39,6 +39,13 @@ def test_layers(text, name):
     assert base == [] and len(hit) == 1 and 0 <= hit[0][0] < hit[0][1] <= len(text)
 
 
+@pytest.mark.parametrize("part", [b64(b"my token: abcdefgh12"), urllib.parse.quote("password=hunter22x"), b64(gzip.compress(b"token: abcdefgh12 " + b64(b"password=letmein99").encode()))])
+def test_repeated_layers_are_reported_at_every_place(part):
+    alone = S.spans(part)[1]
+    twice = S.spans(f"{part} then {part}")[1]
+    assert alone and twice == sorted(alone + [(s + len(part) + 6, k, e + len(part) + 6, n) for s, k, e, n in alone])
+
+
 def test_cycles_and_bombs_end(monkeypatch):
     monkeypatch.setattr(S, "UNPACKED_MOST", 1000)
     assert [n for *_, n in S.spans("x " + b64(gzip.compress(bytes(5000))) + " y")[1]] == ["bomb"]

@@ -2,8 +2,9 @@
 
 The text and every layer found in it are scanned for secrets.  A layer is what a part of a layer decodes to: URL
 escapes, Unicode escapes, base64, and gzip, zlib or zstandard data inside base64.  New layers go on the worklist until
-nothing new turns up; a layer that was seen before is not entered again, so cycles end.  Each character of a layer
-knows the span of the original text that it came from, so a secret found deep down is reported where it stands.
+nothing new turns up; a layer that was seen before at the same span of the original is not entered again, so cycles
+end (what a compressed layer holds has its span, all else gets shorter).  Each character of a layer knows the span of
+the original text that it came from, so a secret found deep down is reported at every place where it stands.
 
 Defined cases: null text counts as empty (no spans); base matches are leftmost non-overlapping per kind, and a match
 that fails its length is consumed; a compressed layer of over `UNPACKED_MOST` bytes is reported as kind `bomb` for its
@@ -164,7 +165,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     """Base matches of the text, and all matches as (start, kind's place, end, name) with those of every layer."""
     base = scan(text)
     found = {(s, k, e, BASE[k]) for s, k, e in base}
-    seen, work = {text}, [("", text, None, None)]
+    seen, scanned, work = {(text, 0, len(text))}, {text: base}, [("", text, None, None)]
     while work:
         path, layer, starts, ends = work.pop()
         for how, start, end, inner in layers(layer):
@@ -173,12 +174,16 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
                 found.add((start if starts is None else starts[start], len(BASE), end if ends is None else ends[end - 1], name))
                 continue
             decoded, inner_starts, inner_ends = inner
-            if decoded in seen:
+            first, last = inner_starts[0], inner_ends[-1]
+            place = (decoded, first, last) if starts is None else (decoded, starts[first], ends[last - 1])
+            if place in seen:
                 continue
-            seen.add(decoded)
+            seen.add(place)
             if starts is not None:
                 inner_starts, inner_ends = [starts[x] for x in inner_starts], [ends[x - 1] for x in inner_ends]
-            for s, k, e in scan(decoded):
+            if decoded not in scanned:
+                scanned[decoded] = scan(decoded)
+            for s, k, e in scanned[decoded]:
                 found.add((inner_starts[s], k, inner_ends[e - 1], f"{name}/{BASE[k]}"))
             work.append((f"{name}/", decoded, inner_starts, inner_ends))
     return base, sorted(found)
