@@ -46,6 +46,43 @@ def test_repeated_layers_are_reported_at_every_place(part):
     assert alone and twice == sorted(alone + [(s + len(part) + 6, k, e + len(part) + 6, n) for s, k, e, n in alone])
 
 
+NOISE = "".join(hashlib.sha256(bytes([k])).hexdigest() for k in range(12))
+
+
+def wrapped(data, width=76, end="\n"):
+    return end.join(re.findall(f".{{1,{width}}}", b64(data)))
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("data=" + b64(b"my token: abcdefgh12") + " .", "base64/assign"),
+        ("?payload=" + b64(b"my token: abcdefgh12") + "&x", "base64/assign"),
+        ("long_parameter_name=" + b64(b"my token: abcdefgh1") + "=", "base64/assign"),
+        ("u token%3D" + b64(gzip.compress(b"x password=letmein99")) + " .", "url/compressed/assign"),
+        ("?name=caf%E9&password%3Dhunter22", "url/assign"),
+        ("%E9%20password%3Dhunter22", "url/assign"),
+        ("\\ud83d\\ude00\\u0070assword=abcdef1", "unicode/assign"),
+        ("\\ud83d\\u0070assword=abcdef1", "unicode/assign"),
+        ("cfg:\n" + wrapped(b"a" * 52 + b" token: abcdefgh12 " + b"z" * 70) + "\nend", "base64/assign"),
+        ("cfg=" + wrapped(b"a" * 50 + b" token: abcdefgh12 " + b"z" * 72, end="\r\n"), "base64/assign"),
+        ("-----BEGIN CERTIFICATE-----\n" + wrapped(b"a" * 43 + b" token: abcdefgh12 " + b"z" * 34, 64) + "\n-----END", "base64/assign"),
+        ("k: |\n  " + wrapped(gzip.compress(f"{NOISE} token: abcdefgh12".encode()), 76, "\n  ") + "\n", "compressed/assign"),
+    ],
+)
+def test_layers_that_were_skipped(text, name):
+    value = "letmein99" if "compressed" in name and "url" in name else "abcdefgh12"
+    hit = [(s, e) for s, _, e, n in S.spans(text)[1] if n == name]
+    assert hit and all(0 <= s < e <= len(text) for s, e in hit)
+    if name == "base64/assign" and "\n" in text:  # the whole of the secret's letters, over the line's end
+        s, e = max(hit, key=lambda x: x[1] - x[0])
+        assert "\n" in text[s:e] and (e - s) * 3 / 4 >= len(f"token: {value}")
+
+
+def test_escapes_that_stand_are_no_layer():
+    assert S.spans("a caf%E9 password=hunter22 \\ud83d password=hunter22")[1] == [(9, 0, 26, "assign"), (34, 0, 51, "assign")]
+
+
 def test_cycles_and_bombs_end(monkeypatch):
     monkeypatch.setattr(S, "UNPACKED_MOST", 1000)
     assert [n for *_, n in S.spans("x " + b64(gzip.compress(bytes(5000))) + " y")[1]] == ["bomb"]

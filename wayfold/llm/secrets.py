@@ -6,6 +6,10 @@ nothing new turns up; a layer that was seen before at the same span of the origi
 end (what a compressed layer holds has its span, all else gets shorter).  Each character of a layer knows the span of
 the original text that it came from, so a secret found deep down is reported at every place where it stands.
 
+Base64 may follow an equals sign, and may be wrapped: besides each run, runs of one width on lines of their own are
+joined over the line breaks, with and without the run that ends the line before and the one that begins the line after.
+Percent escapes that are no UTF-8 and half surrogate pairs stay as they stand, and what is around them is decoded.
+
 Defined cases: null text counts as empty (no spans); base matches are leftmost non-overlapping per kind, and a match
 that fails its length is consumed; a compressed layer of over `UNPACKED_MOST` bytes is reported as kind `bomb` for its
 whole span and not entered; repeated rows give repeated results; an empty table gives an empty result; other columns
@@ -21,7 +25,7 @@ import hashlib
 import io
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
@@ -41,9 +45,14 @@ WORDS = ("passw", "secret", "token", "api")
 UNPACKED_MOST = 64 << 20
 URL = re.compile(r"[^\s%\"'<>]*(?:%[0-9A-Fa-f]{2}[^\s%\"'<>]*)+")
 ESCAPED = re.compile(r"[^\s\\\"'<>]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\\"'<>]*)+")
-ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+#: A surrogate pair is one character; half of one is none.
+ESCAPE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\(?:u((?![dD][89a-fA-F])[0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs on lines that follow each other: all but the first begin their line, all but the last end it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+JOINED_LEAST = 16
 
 Layer = tuple[str, list[int], list[int]]  # text, and for each character the span of the original
 
@@ -61,39 +70,39 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 def _pieces(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
-    """text with the pattern's matches decoded, and the span in text of each character; None where one doesn't decode."""
+    """text with the pattern's matches decoded, and the span in text of each character; None where nothing does."""
     out, starts, ends, at = [], [], [], 0
     for m in pattern.finditer(text):
         out.append(text[at : m.start()])
         starts += range(at, m.start())
         ends += range(at + 1, m.start() + 1)
-        made = decode(m)
-        if made is None:
-            return None
-        for ch, start, end in made:
+        for ch, start, end in decode(m):
             out.append(ch)
             starts.append(start)
             ends.append(end)
         at = m.end()
     out.append(text[at:])
-    return "".join(out), starts + list(range(at, len(text))), ends + list(range(at + 1, len(text) + 1))
+    if (decoded := "".join(out)) == text:
+        return None
+    return decoded, starts + list(range(at, len(text))), ends + list(range(at + 1, len(text) + 1))
 
 
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
-    data = bytes.fromhex(m[0].replace("%", ""))
-    try:
-        decoded, at, out = data.decode(), m.start(), []
-    except UnicodeDecodeError:
-        return None
-    for ch in decoded:
-        size = 3 * len(ch.encode())
-        out.append((ch, at, at + size))
-        at += size
+def _percent(m: re.Match) -> list[tuple[str, int, int]]:
+    at, out = m.start(), []
+    for ch in bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape"):
+        if "\udc80" <= ch <= "\udcff":  # a byte that is no UTF-8
+            out += [(m.string[k], k, k + 1) for k in range(at, at + 3)]
+            at += 3
+        else:
+            size = 3 * len(ch.encode())
+            out.append((ch, at, at + size))
+            at += size
     return out
 
 
 def _escape(m: re.Match) -> list[tuple[str, int, int]]:
-    return [(chr(int(m[1] or m[2], 16)), m.start(), m.end())]
+    code = int(m[3] or m[4], 16) if m[1] is None else 0x10000 + (int(m[1], 16) - 0xD800 << 10) + int(m[2], 16) - 0xDC00
+    return [(chr(code), m.start(), m.end())]
 
 
 def unpacked(data: bytes) -> bytes | None:
@@ -130,35 +139,59 @@ def layers(text: str) -> Iterator[tuple[str, int, int, Layer | None]]:
                 yield "url", m.start(), m.end(), (made[0], [x + m.start() for x in made[1]], [x + m.start() for x in made[2]])
     if "\\u" in text or "\\x" in text:
         for m in ESCAPED.finditer(text):
-            if (made := _pieces(m[0], ESCAPE, _escape)) and not any("\ud800" <= c <= "\udfff" for c in made[0]):
+            if made := _pieces(m[0], ESCAPE, _escape):
                 yield "unicode", m.start(), m.end(), (made[0], [x + m.start() for x in made[1]], [x + m.start() for x in made[2]])
     for m in ENCODED.finditer(text):
-        body = m[0].rstrip("=").translate({45: 43, 95: 47})
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-            how, inner = "base64", unpacked(data)
-        except (binascii.Error, OverflowError) as e:
-            if isinstance(e, OverflowError):
-                yield "bomb", m.start(), m.end(), None
-            continue
-        if inner is not None:
-            how, packed = "compressed", True
-        else:
-            inner, packed = data, False
-        if (decoded := _readable(inner)) is None:
-            continue
-        if packed:
-            yield how, m.start(), m.end(), (decoded, [m.start()] * len(decoded), [m.end()] * len(decoded))
-        else:
-            starts, ends, at = [], [], 0
-            for ch in decoded:  # four letters hold three bytes
-                size = len(ch.encode())
-                starts.append(m.start() + at * 4 // 3)
-                ends.append(min(m.end(), m.start() + -(-(at + size) * 4 // 3)))
-                at += size
-            yield how, m.start(), m.end(), (decoded, starts, ends)
+        if found := _encoded(m[0].rstrip("="), range(m.start(), m.end()), m.end()):
+            yield found
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            runs = [r.span() for r in RUN.finditer(text, m.start(), m.end())]
+            for first, last in _joins([b - a for a, b in runs]):
+                if sum(b - a for a, b in runs[first:last]) >= JOINED_LEAST:
+                    where = [k for a, b in runs[first:last] for k in range(a, b)]
+                    end = m.end() if last == len(runs) else runs[last - 1][1]
+                    if found := _encoded("".join(text[a:b] for a, b in runs[first:last]), where, end):
+                        yield found
+
+
+def _joins(widths: list[int]) -> Iterator[tuple[int, int]]:
+    """Which runs (first, exclusive last) of lines that follow each other may be one: of one width, but that the first and the last may be cut."""
+    first = 0
+    while first < len(widths):
+        last = first + 1
+        while last < len(widths) and widths[last] == widths[first]:
+            last += 1
+        ends = [last, last + 1] if last < len(widths) and widths[last] < widths[first] else [last]
+        for a in {first, max(0, first - 1)}:
+            yield from ((a, b) for b in ends if b - a > 1)
+        first = last
+
+
+def _encoded(run: str, where: Sequence[int], end: int) -> tuple[str, int, int, Layer | None] | None:
+    """(how, start, end, layer) of base64 whose characters stand at the places `where`, if it decodes."""
+    start, body = where[0], run.translate({45: 43, 95: 47})
+    if len(body) % 4 == 1:
+        return None
+    try:
+        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        inner = unpacked(data)
+    except binascii.Error:
+        return None
+    except OverflowError:
+        return "bomb", start, end, None
+    packed = inner is not None
+    if (decoded := _readable(inner if packed else data)) is None:
+        return None
+    if packed:
+        return "compressed", start, end, (decoded, [start] * len(decoded), [end] * len(decoded))
+    starts, ends, at = [], [], 0
+    for ch in decoded:  # four letters hold three bytes
+        size = len(ch.encode())
+        starts.append(where[at * 4 // 3])
+        ends.append(where[min(len(body), -(-(at + size) * 4 // 3)) - 1] + 1)
+        at += size
+    return "base64", start, end, (decoded, starts, ends)
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str]]]:
