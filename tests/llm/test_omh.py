@@ -1,5 +1,6 @@
 import itertools
 import random
+from math import comb
 
 import pytest
 
@@ -70,6 +71,34 @@ def test_near_copies_meet_and_others_do_not(spark):
     assert all(got[a] == got[b] for a, b in near.items())
 
 
+def test_moved_and_repeated_passages_meet(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    rows, pairs = [], []
+    for size in (9, 16, 60, 500):
+        for _ in range(8):
+            base = [word() for _ in range(size)]
+            blocks = [base[k : k + 50] for k in range(0, size, 50)]
+            others = [base * 2, base * 5, base[size // 2 :] + base[: size // 2], sum(draw.sample(blocks, len(blocks)), [])]
+            first = len(rows)
+            rows.append((first, base))
+            for other in others:
+                if jaccard(" ".join(base), " ".join(other)) >= 0.8:
+                    pairs.append((first, len(rows)))
+                    rows.append((len(rows), other))
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
+    assert len(pairs) > 60 and all(got[a] == got[b] for a, b in pairs)
+
+
+@pytest.mark.parametrize("union", range(2, 400))
+def test_chance_to_share_no_key_without_order(union):
+    """At a Jaccard similarity of 0.8 for sets as far apart in size as it allows, and of one size."""
+    shared = -(-union * 4 // 5)
+    agree = lambda taken: comb(shared, taken) / comb(union, taken)
+    short = (1 - agree(omh.SET_SHORT_TAKEN)) ** omh.SET_SHORT_SKETCHES
+    assert ((1 - agree(omh.TAKEN)) ** omh.SET_SKETCHES if union >= omh.SHORT else short) <= 1e-6
+
+
 def test_odd_rows(docs, empty):
     got = {r.doc_id: r for r in omh.near_duplicates(docs).collect()}
     assert got[5].class_id == 4 and got[5].text_id == 4 and all(got[k].class_id == k for k in (0, 1, 2, 3, 6))

@@ -2,14 +2,18 @@
 
 Each distinct text is a sequence of five-word k-mers labelled with their occurrence numbers.  One sketch takes the
 `TAKEN` k-mers with the least hashes and keeps them in text order, so two texts agree on it the more likely the nearer
-their edit distance is.  Each of `SKETCHES` sketches is a key; texts with a key in common are candidates.  Per key only
+their edit distance is.  Each of `SKETCHES` sketches is a key.  Passages that moved or are repeated change order and
+occurrence numbers but not the set of k-mers, so `SET_SKETCHES` more keys are of the k-mers with the least hashes among
+the distinct ones, without order and numbers.  Texts with a key in common are candidates.  Per key only
 the pairs with its least text go forward, for `FIRST` of the keys and then for those of the others whose texts are not
 in one component yet; they are verified by banded alignment of words.  What a key then holds outside its least text's component is compared with all its other members, so
 no pair of different components that share a key is left out, and no group of copies is ever expanded into all pairs.
 
 Two texts are near-duplicates if their word edit similarity (1 - distance / longer length) is `SIMILAR` or more, or if
-the Jaccard similarity of their five-word shingles is.  At that Jaccard similarity a pair shares none of the 40 keys
-with probability 1e-6 or less; texts of fewer than `SHORT` k-mers get 24 more keys of three k-mers each.
+the Jaccard similarity of their five-word shingles is.  At that Jaccard similarity a pair shares none of the keys
+without order with probability 1e-6 or less, whatever the order of its passages and however often they are repeated;
+texts of fewer than `SHORT` k-mers get 24 more keys of three k-mers in order each, and those of fewer than `SHORT`
+distinct ones 16 more of two without order.
 
 Defined cases: null text and text without words are each a class of their own; exact copies are one text; ties go to
 the least id; rows that repeat an id are one document; ids must not be null; an empty table gives an empty result;
@@ -35,10 +39,13 @@ WORDS, SIMILAR = 5, 0.8
 SKETCHES, TAKEN = 40, 4
 FIRST = 4
 SHORT, SHORT_SKETCHES, SHORT_TAKEN = 14, 24, 3
+#: Keys without order.  Of a union of n k-mers with s shared, one agrees with probability C(s, taken) / C(n, taken).
+SET_SKETCHES, SET_SHORT_SKETCHES, SET_SHORT_TAKEN = 32, 16, 2
 #: Hashes that are computed at once.
 CELLS = 4_000_000
 
 _seeds = np.random.default_rng(20240601).integers(1, 1 << 63, SKETCHES + SHORT_SKETCHES, np.uint64)
+_set_seeds = np.random.default_rng(20240602).integers(1, 1 << 63, SET_SKETCHES + SET_SHORT_SKETCHES, np.uint64)
 _powers = np.array([pow(0x5851F42D4C957F2D, k, 1 << 64) for k in range(1, TAKEN + 1)], np.uint64)
 
 
@@ -70,13 +77,18 @@ def _keys(kmers: np.ndarray, marked: np.ndarray, seeds: np.ndarray, taken: int)
 
 
 def sketch(text: str | None) -> np.ndarray:
-    """The keys of a text: one for each sketch."""
+    """The keys of a text: one for each sketch, those in order first."""
     kmers = shingles(word_ids(text), WORDS)
     if not len(kmers):
         return kmers
     marked = labelled(kmers)
     keys = _keys(kmers, marked, _seeds[:SKETCHES], TAKEN)
-    return np.concatenate([keys, _keys(kmers, marked, _seeds[SKETCHES:], SHORT_TAKEN)]) if len(kmers) < SHORT else keys
+    out = [keys, _keys(kmers, marked, _seeds[SKETCHES:], SHORT_TAKEN)] if len(kmers) < SHORT else [keys]
+    distinct = np.unique(kmers)  # in order of value, which is one for all texts
+    out.append(_keys(distinct, distinct, _set_seeds[:SET_SKETCHES], TAKEN))
+    if len(distinct) < SHORT:
+        out.append(_keys(distinct, distinct, _set_seeds[SET_SKETCHES:], SET_SHORT_TAKEN))
+    return np.concatenate(out)
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
