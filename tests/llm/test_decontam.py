@@ -54,6 +54,28 @@ def test_edited_passages_are_found_both_ways(spark):
         assert r.matched == plain_score(word_ids(item[r.item_id]).tolist(), word_ids(text[r.doc_id]).tolist())
 
 
+def test_heavily_edited_copies_as_by_full_alignment(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijkl") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (4, 5, 6, 7, 16, 16, 24, 60, 160)]
+    docs = []
+    for item in items:
+        copies = [[word() if k % 4 == 3 else w for k, w in enumerate(item)], [x for k, w in enumerate(item) for x in ([w, word()] if k % 3 == 2 else [w])], [x for k, w in enumerate(item) for x in ([w, word()] if k % 2 else [w])], [w for k, w in enumerate(item) if k % 4 != 3]]
+        for _ in range(12):
+            copy = []
+            for w in item:
+                copy += draw.choice([[word()], [], [w, word()]]) if draw.random() < draw.choice([0.2, 0.25]) else [w]
+            copies.append(copy)
+        for copy in copies:
+            around = [word() for _ in range(40)]
+            docs.append((len(docs), " ".join(around[:20] + copy + around[20:])))
+    want = {(d, n): s for d, t in docs for n, i in enumerate(items) if D.enough(s := plain_score(i, t.split()), len(i))}
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id long, text string")
+    assert len(want) > 80
+    for shared in (10**6, 0):
+        assert {(r.doc_id, r.item_id): r.matched for r in D.find(*tables, most_shared=shared).collect()} == want
+
+
 def test_one_item_in_most_documents(spark):
     passage = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(k, f"x{k} y{k} {passage} z{k}") for k in range(200)], "doc_id long, text string")

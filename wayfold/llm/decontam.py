@@ -2,12 +2,15 @@
 
 Each test item gives n-grams of four words.  Their document frequencies over the whole corpus are counted, and an item
 keeps as seeds those that are rare, or no more frequent than twice its median one (so an item that many documents
-repeat keeps its seeds).  Where a seed occurs in a document, the passage around it is aligned with the item by
+repeat keeps its seeds).  Edits may leave no four words in a row, so pairs of words in a row open alignments too: M
+matches and E edits have E + 1 runs of matches at most, so a score of M - E needs M - E - 1 pairs that item and passage
+share.  Where as many stand in a stretch of a document, their passage is aligned, whatever their document frequency;
+none of the accepted score is passed over.  The passage around a seed is aligned with the item by
 Smith-Waterman over words; a document is contaminated by an item if the score is `LEAST_SCORE` or more of what the item
 scores against itself, or if `LEAST_RUN` or more of the score comes with it in a long item.
 
 The seeds go to the tasks as a sorted array while there are at most `MOST_SHARED` n-grams; beyond that the corpus's
-n-grams are joined with them in a shuffle.  Both ways give the same rows.
+n-grams are joined with them in a shuffle, and pairs go to the tasks for so many items at a time.  Both ways give the same rows.
 
 Defined cases: null text and items without words match nothing; items of fewer than four words are one seed of all their
 words; repeated rows give repeated results; an empty benchmark or corpus gives an empty result; other columns are
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, texts_of
 from .words import shingles, word_ids
 
-SEED_WORDS = 4
+SEED_WORDS, PAIR = 4, 2
 MATCH, MISMATCH, GAP = 1, -1, -1
 LEAST_SCORE, LEAST_RUN = 0.5, 40
 RARE_LEAST, RARE_SHARE, RARE_MEDIANS = 10, 0.001, 2.0
@@ -59,6 +62,47 @@ def enough(score: int, words: int) -> bool:
     return score >= LEAST_SCORE * words or score >= LEAST_RUN
 
 
+class Pairs:
+    """Where the pairs of words of items stand: for each distinct pair the items (by number) and the places in them."""
+
+    def __init__(self, words: list[np.ndarray]):
+        long = [k for k, w in enumerate(words) if len(w) >= SEED_WORDS]  # shorter items are one seed of all their words
+        found = [shingles(words[k], PAIR) for k in long]
+        grams = np.concatenate([np.empty(0, np.uint64), *found])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.firsts, self.counts = np.unique(grams[order], return_index=True, return_counts=True)
+        self.items = np.repeat(np.array(long, np.int64), [len(f) for f in found])[order]
+        self.places = np.concatenate([np.empty(0, np.int64), *(np.arange(len(f)) for f in found)])[order]
+        sizes = np.array([len(w) for w in words], np.int64)
+        #: pairs that the least accepted score needs, and words in which an alignment of that score stands
+        self.needed = np.minimum(np.ceil(LEAST_SCORE * sizes), LEAST_RUN).astype(np.int64) - 1
+        self.stretch = 2 * sizes
+
+    def seeds(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item's number, places in the text, places in the item) of pairs that stand densely enough for the accepted score."""
+        if len(ids) < PAIR or not len(self.grams):
+            return
+        found = shingles(ids, PAIR)
+        where = np.flatnonzero(_isin(found, self.grams))
+        if not len(where):
+            return
+        gram = np.searchsorted(self.grams, found[where])
+        counts = self.counts[gram]
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - self.firsts[gram], counts)
+        order = np.argsort(self.items[at], kind="stable")  # places in the text stay in order
+        items, at, where = self.items[at][order], at[order], np.repeat(where, counts)[order]
+        each, firsts, sizes = np.unique(items, return_index=True, return_counts=True)
+        for k in np.flatnonzero(sizes >= self.needed[each]):
+            item, some = each[k], slice(firsts[k], firsts[k] + sizes[k])
+            places, stretch = np.unique(where[some]), self.stretch[each[k]]
+            held = np.searchsorted(places, places + stretch)
+            dense = places[held - np.arange(len(places)) >= self.needed[item]]
+            if len(dense):  # those within a stretch that begins at one of the dense places
+                before = np.searchsorted(dense, where[some], "right") - 1
+                near = (before >= 0) & (where[some] - dense[np.maximum(before, 0)] < stretch)
+                yield int(item), where[some][near], self.places[at[some]][near]
+
+
 def grams_of(ids: np.ndarray, sizes: tuple[int, ...]) -> list[tuple[int, np.ndarray]]:
     """For each size of seed, the hashes of every run of so many words."""
     return [(n, shingles(ids, n)) for n in sizes if len(ids) >= n]
@@ -106,27 +150,52 @@ def _runs(places: np.ndarray, reach: int, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _hits(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...], reach: int) -> DataFrame:
-    """(id, grams, places, firsts, words) of the documents with a wanted n-gram: where each stands, and the hashes of the words within reach of one."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _hits(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...], reach: int, pairs: Pairs) -> DataFrame:
+    """(id, grams, places, firsts, words, items, in_text, in_item) of the documents with a wanted n-gram or dense pairs: where each n-gram stands, the hashes of the words within reach of one, and the pairs' items and places."""
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, pairs = shared.value
         for batch in batches:
             at, rows = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 ids = word_ids(text)
-                hits = [(found[where], where) for _, found in grams_of(ids, sizes) if len(where := np.flatnonzero(_isin(found, shared.value)))]
-                if hits:
-                    places = np.concatenate([w for _, w in hits])
-                    runs = _runs(np.sort(places), reach, len(ids))
+                hits = [(found[where], where) for _, found in grams_of(ids, sizes) if len(where := np.flatnonzero(_isin(found, wanted)))]
+                dense = list(pairs.seeds(ids))
+                if hits or dense:
+                    grams = np.concatenate([np.empty(0, np.uint64), *(g for g, _ in hits)])
+                    places = np.concatenate([np.empty(0, np.int64), *(w for _, w in hits)])
+                    in_text, in_item = (np.concatenate([np.empty(0, np.int64), *(d[c] for d in dense)]) for c in (1, 2))
+                    runs = _runs(np.unique(np.concatenate([places, in_text])), reach, len(ids))
                     at.append(k)
-                    rows.append((np.concatenate([g for g, _ in hits]).astype(np.int64).tolist(), places.tolist(), [a for a, _ in runs], [ids[a:b].tobytes() for a, b in runs]))
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "grams", "places", "firsts", "words"])
+                    rows.append((grams.astype(np.int64).tolist(), places.tolist(), [a for a, _ in runs], [ids[a:b].tobytes() for a, b in runs], [d[0] for d in dense for _ in d[1]], in_text.tolist(), in_item.tolist()))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.list_(pa.int32())] * 3]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "grams", "places", "firsts", "words", "items", "in_text", "in_item"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return texts_of(docs, "id", "text").mapInArrow(run, f"id {kind}, grams array<long>, places array<int>, firsts array<int>, words array<binary>")
+    return texts_of(docs, "id", "text").mapInArrow(run, f"id {kind}, grams array<long>, places array<int>, firsts array<int>, words array<binary>, items array<int>, in_text array<int>, in_item array<int>")
+
+
+def _paired(docs: DataFrame, items: DataFrame, chunks: int) -> DataFrame:
+    """(id, item_id, place, item_place) of dense pairs: only for benchmarks too large to share, of which each pass takes one chunk."""
+    id_kind, item_kind = docs.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    out = None
+    for chunk in range(chunks):
+        some = [(r["item_id"], word_ids(r["item_text"])) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == chunk).collect()]
+        shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in some], Pairs([w for _, w in some])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, pairs = shared.value
+            for batch in batches:
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    for item, places, item_places in pairs.seeds(word_ids(text)):
+                        at = pa.array(np.full(len(places), k))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([names[item]] * len(places), _arrow(item_kind)), pa.array(places.astype(np.int32)), pa.array(item_places.astype(np.int32))], names=["id", "item_id", "place", "item_place"])
+
+        found = materialize(texts_of(docs, "id", "text").mapInArrow(run, f"id {id_kind}, item_id {item_kind}, place int, item_place int"), "paired")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -190,23 +259,26 @@ def _find_shared(texts: DataFrame, items: DataFrame, grams: DataFrame, documents
     wanted = np.unique(np.array([r["gram"] for r in grams.select("gram").distinct().collect()], np.int64).astype(np.uint64))
     sizes = tuple(sorted({min(SEED_WORDS, len(w)) for w in words.values() if len(w)}))
     id_kind, item_kind = texts.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    hits = materialize(_hits(texts, wanted if len(wanted) else np.zeros(1, np.uint64), sizes, longest + slack(longest)), "hits")
+    hits = materialize(_hits(texts, wanted if len(wanted) else np.zeros(1, np.uint64), sizes, longest + slack(longest), Pairs(list(words.values()))), "hits")
     frequency = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     where = defaultdict(list)
     for r in rare_seeds(grams, frequency, documents).collect():  # at most MOST_SHARED
         where[r["gram"]].append((r["item_id"], r["place"]))
-    known = texts.sparkSession.sparkContext.broadcast((dict(where), words))
+    known = texts.sparkSession.sparkContext.broadcast((dict(where), words, list(words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, words = known.value
+        where, words, numbered = known.value
         for batch in batches:
             at, rows = [], []
-            for k, (grams, places, firsts, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)))):
+            for k, (grams, places, firsts, runs, items, in_text, in_item) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 8)))):
                 asked = defaultdict(list)
                 for gram, place in zip(grams, places):
                     run = bisect_right(firsts, place) - 1
                     for item, item_place in where.get(gram, ()):
                         asked[item, run].append((place - firsts[run], item_place))
+                for number, place, item_place in zip(items, in_text, in_item):
+                    run = bisect_right(firsts, place) - 1
+                    asked[numbered[number], run].append((place - firsts[run], item_place))
                 best: dict = {}
                 for (item, run), pairs in asked.items():
                     score, first, last = align(np.frombuffer(runs[run], np.uint64), words[item], pairs)
@@ -229,7 +301,8 @@ def _find_joined(texts: DataFrame, items: DataFrame, grams: DataFrame, documents
     hits = materialize(_ngrams(texts, tuple(range(1, SEED_WORDS + 1))).join(grams.select("gram").distinct(), "gram"), "hits")
     frequency = hits.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
     seeds = rare_seeds(grams, frequency, documents).select("gram", "item_id", F.col("place").alias("item_place"))
-    per_item = materialize(hits.join(seeds, "gram").groupBy("id", "item_id").agg(F.collect_list(F.struct("place", "item_place")).alias("places")), "seeded")
+    seeded = hits.join(seeds, "gram").select("id", "item_id", "place", "item_place").union(_paired(texts, items, -(-max(1, grams.count()) // MOST_SHARED)))
+    per_item = materialize(seeded.groupBy("id", "item_id").agg(F.collect_list(F.struct("place", "item_place")).alias("places")), "seeded")
     paired = per_item.join(texts, "id").join(items, "item_id")
     id_kind, item_kind = texts.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
 
