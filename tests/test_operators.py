@@ -151,3 +151,31 @@ def test_words(spark):
         "a": "turn left", "b": "TV room", "c": "View 3 s ago:", "d": 4, "h": "a door", "e": "The camera's horizontal field of view is 90 degrees; it is mounted 1.23 m above the ground.",
         "f": "The camera's field of view is unknown; its height above the ground is unknown.", "g": "Task: Go on. Reacts to: a dog.",
     }
+
+
+def test_heights_of_points_that_share_an_id(spark, tmp_path):
+    from wayfold.plans.gridding import height_above_ground
+
+    rows = [(k // 3, k % 2, k % 5, float(1 + k * 7 % 50), k * 3 % 11 / 100, 900.0 + k * 7919 % 100_000, k) for k in range(3000)]
+    rows += rows[:100]  # equal rows are points of their own
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_discount double, l_extendedprice double, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pts = [(r[2] % 20, r[3], r[4] * 100, r[5] / 40000) for r in rows]
+    cells = {}
+    for sweep, x, y, z in pts:
+        cells.setdefault((sweep, math.floor(x / 8), math.floor(y / 8)), []).append(z)
+    ground = {c: sorted(zs)[int(len(zs) * 0.1)] for c, zs in cells.items() if len(zs) >= 30}
+    for _ in range(3):
+        around = {c: [ground[n] for a in (-1, 0, 1) for b in (-1, 0, 1) if (n := (c[0], c[1] + a, c[2] + b)) in ground] for c in cells if c not in ground}
+        ground |= {c: sum(g) / len(g) for c, g in around.items() if g}
+    above = {}
+    for sweep, x, y, z in pts:
+        u, v = x / 8 - 0.5, y / 8 - 0.5
+        near = [((u - math.floor(u) if a else 1 - u + math.floor(u)) * (v - math.floor(v) if b else 1 - v + math.floor(v)), ground[c]) for a in (0, 1) for b in (0, 1) if (c := (sweep, math.floor(u) + a, math.floor(v) + b)) in ground]
+        if near:
+            weights = sum(w for w, _ in near)
+            above.setdefault(sweep, []).append(z - sum(w * g for w, g in near) / weights if weights else None)
+    got = {r.sweep: r for r in height_above_ground(spark, str(tmp_path)).collect()}
+    assert {s: r.n for s, r in got.items()} == {s: len(a) for s, a in above.items()}
+    for s, r in got.items():
+        known = [a for a in above[s] if a is not None]
+        assert r.mean_above == pytest.approx(sum(known) / len(known), abs=2e-6)

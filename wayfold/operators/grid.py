@@ -88,12 +88,18 @@ def inherit_ground(ground: DataFrame, wanted: DataFrame, keys: list[str], passes
 
 
 def bilinear(points: DataFrame, ground: DataFrame, keys: list[str], size: float) -> DataFrame:
-    """Points (id, x, y, z) with height over ground, from the up to four cell centres around."""
+    """Points (id, x, y, z) with height over ground, from the up to four cell centres around; every row is a point, also where ids repeat."""
     u, v = F.col("x") / size - 0.5, F.col("y") / size - 0.5
-    corners = points.withColumns({"_u": u - F.floor(u), "_v": v - F.floor(v)}).withColumn("_di", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_dj", F.explode(F.array(F.lit(0), F.lit(1))))
-    corners = corners.withColumns({"ci": F.floor(u) + F.col("_di"), "cj": F.floor(v) + F.col("_dj"), "_w": F.when(F.col("_di") == 1, F.col("_u")).otherwise(1 - F.col("_u")) * F.when(F.col("_dj") == 1, F.col("_v")).otherwise(1 - F.col("_v"))})
-    joined = corners.join(ground.select(*keys, "ci", "cj", "ground"), [*keys, "ci", "cj"])
-    return joined.groupBy(*keys, "id", "x", "y", "z").agg((F.first("z") - F.try_divide(F.sum(F.col("_w") * F.col("ground")), F.sum("_w"))).alias("above"))
+    #: each square between four centres, by its low corner, with the ground at those that have one
+    offer = ground.select(*keys, "ci", "cj", "ground").withColumn("_di", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_dj", F.explode(F.array(F.lit(0), F.lit(1))))
+    corner = lambda i, j: F.max(F.when((F.col("_di") == i) & (F.col("_dj") == j), F.col("ground"))).alias(f"_g{i}{j}")
+    squares = offer.groupBy(*keys, (F.col("ci") - F.col("_di")).alias("_bi"), (F.col("cj") - F.col("_dj")).alias("_bj")).agg(*(corner(i, j) for i in (0, 1) for j in (0, 1)))
+    placed = points.select(*keys, "id", "x", "y", "z", F.floor(u).alias("_bi"), F.floor(v).alias("_bj"), (u - F.floor(u)).alias("_u"), (v - F.floor(v)).alias("_v"))
+    joined = placed.join(squares, [*keys, "_bi", "_bj"])
+    weight = {(i, j): F.when(F.col(f"_g{i}{j}").isNotNull(), (F.col("_u") if i else 1 - F.col("_u")) * (F.col("_v") if j else 1 - F.col("_v"))).otherwise(0.0) for i in (0, 1) for j in (0, 1)}
+    total = sum(weight.values(), F.lit(0.0))
+    level = sum((w * F.coalesce(f"_g{i}{j}", F.lit(0.0)) for (i, j), w in weight.items()), F.lit(0.0))
+    return joined.select(*keys, "id", "x", "y", "z", (F.col("z") - F.try_divide(level, total)).alias("above"))
 
 
 def blocks_ahead(cells: DataFrame, scenarios: DataFrame, key: str, n: int = 8, per_block: int = 10) -> DataFrame:

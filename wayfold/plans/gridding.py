@@ -89,7 +89,7 @@ def height_above_ground(spark, sf_dir):
     ground = G.low_quantile(cells, ["sweep", "ci", "cj"], least=30)
     wanted = cells.select("sweep", "ci", "cj").distinct()
     filled = G.inherit_ground(ground, wanted, ["sweep"])
-    return G.bilinear(all_points.dropDuplicates(["sweep", "id"]), filled.filter("ground is not null"), ["sweep"], 8.0).groupBy("sweep").agg(F.count("*").alias("n"), F.round(F.avg("above"), 6).alias("mean_above"))
+    return G.bilinear(all_points, filled.filter("ground is not null"), ["sweep"], 8.0).groupBy("sweep").agg(F.count("*").alias("n"), F.round(F.avg("above"), 6).alias("mean_above"))
 
 
 @query(f"""WITH {POINTS}, c AS (SELECT DISTINCT sweep, CAST(floor(x * 2) AS BIGINT) AS ix, CAST(floor(y * 8) - 40 AS BIGINT) AS iy FROM pts WHERE z > 1.5), b AS (SELECT sweep, ix // 10 AS bi, (iy + 40) // 10 AS bj, count(*) AS c FROM c WHERE ix < 80 AND iy < 40 GROUP BY 1, 2, 3)
