@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import uuid
+from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder in spark.checkpoint.dir, or one of our own where that is unset and everything runs on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    made = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    os.makedirs(made, exist_ok=True)
-    return f"file://{made}"
+    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -28,15 +28,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BATCH_ROWS, BATCHES = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+SLICE_ROWS = 1000
 
 
-def texts_of(df: DataFrame, *columns) -> DataFrame:
-    """The columns (all if none are named) on their way to Python tasks, in batches small enough for long texts in a bounded memory."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCHES)) <= BATCH_ROWS:
-        conf.set(BATCHES, BATCH_ROWS)
-    return df.select(*columns) if columns else df
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most so many rows, so that long texts are Python objects a few at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
 
 
 def tokenizer_path(name: str) -> str:

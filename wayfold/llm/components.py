@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -16,7 +16,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     hub's partition.
     """
     #: a node's edges to many smaller ones become edges to the least of them, which leaves components as they are
-    ends = edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).withColumn("least", F.min("low").over(Window.partitionBy("high")))
+    ends = materialize(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "ends")
+    least = ends.groupBy("high").agg(F.min("low").alias("least"))
+    ends = ends.join(least, "high")
     edges = ends.select(F.col("high").alias("a"), F.col("least").alias("b")).union(ends.select("low", "least")).filter("a <> b")
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of
+from .common import materialize, in_slices
 from .words import shingles, word_ids
 
 SEED_WORDS, PAIR = 4, 2
@@ -112,7 +112,7 @@ def item_grams(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     """(item_id, gram, place) of every n-gram of every test item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             at, grams, places = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 found = shingles(word_ids(text), SEED_WORDS).astype(np.int64).tolist()
@@ -129,14 +129,14 @@ def _ngrams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     """(id, gram, place) of every n-gram of every document: only for benchmarks too large to share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             for k, text in enumerate(batch.column(1).to_pylist()):
                 for _, found in grams_of(word_ids(text), sizes):
                     at = pa.array(np.full(len(found), k))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(found.astype(np.int64)), pa.array(np.arange(len(found), dtype=np.int32))], names=["id", "gram", "place"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return texts_of(docs, "id", "text").mapInArrow(run, f"id {kind}, gram long, place int")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, gram long, place int")
 
 
 def _runs(places: np.ndarray, reach: int, size: int) -> list[tuple[int, int]]:
@@ -156,7 +156,7 @@ def _hits(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...], reach: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, pairs = shared.value
-        for batch in batches:
+        for batch in in_slices(batches):
             at, rows = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 ids = word_ids(text)
@@ -174,7 +174,7 @@ def _hits(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...], reach: in
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "grams", "places", "firsts", "words", "items", "in_text", "in_item"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return texts_of(docs, "id", "text").mapInArrow(run, f"id {kind}, grams array<long>, places array<int>, firsts array<int>, words array<binary>, items array<int>, in_text array<int>, in_item array<int>")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, grams array<long>, places array<int>, firsts array<int>, words array<binary>, items array<int>, in_text array<int>, in_item array<int>")
 
 
 def _paired(docs: DataFrame, items: DataFrame, chunks: int) -> DataFrame:
@@ -187,13 +187,13 @@ def _paired(docs: DataFrame, items: DataFrame, chunks: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, pairs = shared.value
-            for batch in batches:
+            for batch in in_slices(batches):
                 for k, text in enumerate(batch.column(1).to_pylist()):
                     for item, places, item_places in pairs.seeds(word_ids(text)):
                         at = pa.array(np.full(len(places), k))
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([names[item]] * len(places), _arrow(item_kind)), pa.array(places.astype(np.int32)), pa.array(item_places.astype(np.int32))], names=["id", "item_id", "place", "item_place"])
 
-        found = materialize(texts_of(docs, "id", "text").mapInArrow(run, f"id {id_kind}, item_id {item_kind}, place int, item_place int"), "paired")
+        found = materialize(docs.select("id", "text").mapInArrow(run, f"id {id_kind}, item_id {item_kind}, place int, item_place int"), "paired")
         out = found if out is None else out.union(found)
     return out
 
@@ -268,7 +268,7 @@ def _find_shared(texts: DataFrame, items: DataFrame, grams: DataFrame, documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, words, numbered = known.value
-        for batch in batches:
+        for batch in in_slices(batches):
             at, rows = [], []
             for k, (grams, places, firsts, runs, items, in_text, in_item) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 8)))):
                 asked = defaultdict(list)
@@ -307,7 +307,7 @@ def _find_joined(texts: DataFrame, items: DataFrame, grams: DataFrame, documents
     id_kind, item_kind = texts.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             at, rows = [], []
             for k, (text, item, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
                 words = word_ids(item)

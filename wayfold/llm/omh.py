@@ -1,52 +1,52 @@
 """Near-duplicates by Order MinHash (operator 6).
 
-Each distinct text is a sequence of five-word k-mers labelled with their occurrence numbers.  One sketch takes the
-`TAKEN` k-mers with the least hashes and keeps them in text order, so two texts agree on it the more likely the nearer
-their edit distance is.  Each of `SKETCHES` sketches is a key.  Passages that moved or are repeated change order and
-occurrence numbers but not the set of k-mers, so `SET_SKETCHES` more keys are of the k-mers with the least hashes among
-the distinct ones, without order and numbers.  Texts with a key in common are candidates.  Per key only
-the pairs with its least text go forward, for `FIRST` of the keys and then for those of the others whose texts are not
-in one component yet; they are verified by banded alignment of words.  What a key then holds outside its least text's component is compared with all its other members, so
-no pair of different components that share a key is left out, and no group of copies is ever expanded into all pairs.
-
-Two texts are near-duplicates if their word edit similarity (1 - distance / longer length) is `SIMILAR` or more, or if
-the Jaccard similarity of their five-word shingles is.  At that Jaccard similarity a pair shares none of the keys
-without order with probability 1e-6 or less, whatever the order of its passages and however often they are repeated;
-texts of fewer than `SHORT` k-mers get 24 more keys of three k-mers in order each, and those of fewer than `SHORT`
-distinct ones 16 more of two without order.
+A text is a sequence of k-mers of words, labelled with their occurrence numbers.  One sketch cuts the sequence into a few
+parts of one size and takes of each part the k-mer with the least hash; the k-mers in text order are the key.  So keys
+hold order (a passage that two texts share at different places, or that fills one part only, makes no key), and the
+nearer the edit distance of two texts is, the more likely they agree on one.  `KINDS` says how many words, parts and
+sketches texts of each length take; the ranges of lengths overlap, so that texts whose lengths differ by a fifth have a
+kind in common.  K-mers have few words, as scattered edits leave few long runs of words (at a similarity of 0.8, a third
+of the runs of five); what makes keys selective is that a k-mer of each part must agree, occurrence number and all.
+Chance pairs of words grow with a text, so long ones take three words.  Texts of up to `TINY` words take every k-mer of
+one word but one or two: such pairs never miss.
+
+Texts with a key in common are candidates, and candidates whose words have an edit similarity (1 - distance / longer
+length) of `SIMILAR` or more by banded alignment are linked; classes are the components of the links.  First each text
+is compared with the least text of each of its keys.  What a key then holds outside the component of its least text is
+compared with the key's members in other components, lengths permitting.  So no pair of different components that share
+a key is left out, and no group of copies is ever expanded into all pairs.
 
 Defined cases: null text and text without words are each a class of their own; exact copies are one text; ties go to
-the least id; rows that repeat an id are one document; ids must not be null; an empty table gives an empty result;
-other columns are ignored.
+the least id; rows that repeat an id are one document; a null id raises an error; an empty table gives an empty result;
+other columns are ignored.  A passage that moved counts as so many deletions and insertions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, texts_of
+from .common import in_slices, materialize
 from .components import components
 from .words import mixed, shingles, word_ids
 
-WORDS, SIMILAR = 5, 0.8
-SKETCHES, TAKEN = 40, 4
-FIRST = 4
-SHORT, SHORT_SKETCHES, SHORT_TAKEN = 14, 24, 3
-#: Keys without order.  Of a union of n k-mers with s shared, one agrees with probability C(s, taken) / C(n, taken).
-SET_SKETCHES, SET_SHORT_SKETCHES, SET_SHORT_TAKEN = 32, 16, 2
+SIMILAR = 0.8
+TINY = 14
+#: Fewest and most words of a text, words in a k-mer, parts of the text, sketches.
+KINDS = ((12, 50, 2, 2, 32), (40, 2000, 2, 4, 64), (1600, None, 3, 4, 128))
 #: Hashes that are computed at once.
-CELLS = 4_000_000
+CELLS = 2_000_000
 
-_seeds = np.random.default_rng(20240601).integers(1, 1 << 63, SKETCHES + SHORT_SKETCHES, np.uint64)
-_set_seeds = np.random.default_rng(20240602).integers(1, 1 << 63, SET_SKETCHES + SET_SHORT_SKETCHES, np.uint64)
-_powers = np.array([pow(0x5851F42D4C957F2D, k, 1 << 64) for k in range(1, TAKEN + 1)], np.uint64)
+_seeds = np.random.default_rng(20240601).integers(1, 1 << 63, sum(x[-1] for x in KINDS), np.uint64)
+_STEP = np.uint64(0x5851F42D4C957F2D)
 
 
 def labelled(kmers: np.ndarray) -> np.ndarray:
@@ -62,33 +62,36 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return np.where(occurrence == 0, kmers, mixed(kmers + occurrence * np.uint64(0xD1342543DE82EF95)))
 
 
-def _keys(kmers: np.ndarray, marked: np.ndarray, seeds: np.ndarray, taken: int) -> np.ndarray:
-    taken = min(taken, len(kmers))
-    out, rows = [], max(1, CELLS // len(kmers))
+def _keys(kmers: np.ndarray, seeds: np.ndarray, parts: int) -> np.ndarray:
+    """One key a seed: the least k-mer of each part, in text order."""
+    marked, out, rows = labelled(kmers), [], max(1, CELLS // len(kmers))
+    cuts = [len(kmers) * p // parts for p in range(parts + 1)]
     for first in range(0, len(seeds), rows):
-        some = seeds[first : first + rows, None]
-        hashes = (marked[None, :] ^ some) * (some | np.uint64(1))
-        hashes ^= hashes >> np.uint64(32)
-        hashes *= np.uint64(0xD6E8FEB86659FD93)
-        at = np.argpartition(hashes, taken - 1, axis=1)[:, :taken] if taken < len(kmers) else np.tile(np.arange(len(kmers)), (len(some), 1))
-        at.sort(axis=1)  # text order
-        out.append(mixed((kmers[at] * _powers[:taken]).sum(axis=1, dtype=np.uint64) + some[:, 0]))
+        some = seeds[first : first + rows]
+        hashes = (marked[None, :] ^ some[:, None]) * (some[:, None] | np.uint64(1))
+        key = some
+        for low, high in zip(cuts, cuts[1:]):
+            key = mixed(key * _STEP + marked[low + hashes[:, low:high].argmin(axis=1)])
+        out.append(key)
     return np.concatenate(out)
 
 
-def sketch(text: str | None) -> np.ndarray:
-    """The keys of a text: one for each sketch, those in order first."""
-    kmers = shingles(word_ids(text), WORDS)
-    if not len(kmers):
-        return kmers
-    marked = labelled(kmers)
-    keys = _keys(kmers, marked, _seeds[:SKETCHES], TAKEN)
-    out = [keys, _keys(kmers, marked, _seeds[SKETCHES:], SHORT_TAKEN)] if len(kmers) < SHORT else [keys]
-    distinct = np.unique(kmers)  # in order of value, which is one for all texts
-    out.append(_keys(distinct, distinct, _set_seeds[:SET_SKETCHES], TAKEN))
-    if len(distinct) < SHORT:
-        out.append(_keys(distinct, distinct, _set_seeds[SET_SKETCHES:], SET_SHORT_TAKEN))
-    return np.concatenate(out)
+def _tiny_keys(ids: np.ndarray) -> np.ndarray:
+    """A key for every way to leave out as many words as edits may have touched; the rest stays in order."""
+    most = int((1 - SIMILAR) * min(TINY, len(ids) / SIMILAR) + 1e-9)
+    words = ids.tolist()
+    kept = (c for n in range(most + 1) for c in combinations(words, len(words) - n))
+    return np.fromiter((xxhash.xxh64_intdigest(np.array(c, np.uint64).tobytes()) for c in kept), np.uint64)
+
+
+def sketch(ids: np.ndarray) -> np.ndarray:
+    """The keys of a text, given as the hashes of its words."""
+    out, used = [_tiny_keys(ids)] if 0 < len(ids) <= TINY else [], 0
+    for fewest, most, size, parts, sketches in KINDS:
+        if fewest <= len(ids) <= (most or len(ids)):
+            out.append(_keys(shingles(ids, size), _seeds[used : used + sketches], parts))
+        used += sketches
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -148,17 +151,13 @@ def _parsed(text: str) -> list[int]:
 
 
 def similarity(a: str, b: str) -> float:
-    """Word edit similarity by banded alignment if that is SIMILAR or more, else the shingles' Jaccard similarity."""
+    """Word edit similarity by banded alignment if that is SIMILAR or more, else 0."""
     x, y = _parsed(a), _parsed(b)
     longer = max(len(x), len(y))
-    if not longer:
-        return 0.0
     most = int((1 - SIMILAR) * longer + 1e-9)
-    if (distance := banded_distance(x, y, most)) <= most:
-        return 1 - distance / longer
-    x_set, y_set = (np.unique(shingles(np.array(ids, np.uint64), WORDS)) for ids in (x, y))
-    both = len(np.intersect1d(x_set, y_set, assume_unique=True))
-    return both / max(1, len(x_set) + len(y_set) - both)
+    if not longer or (distance := banded_distance(x, y, most)) > most:
+        return 0.0
+    return 1 - distance / longer
 
 
 @F.pandas_udf(T.DoubleType())
@@ -169,26 +168,27 @@ def _similarity(a, b):
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, keys) of every row: a digest that equal texts share, and the keys."""
+    """(id, digest, words, keys) of every row: a digest that equal texts share, the number of words, and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [sketch(t).astype(np.int64) for t in batch.column(2).to_pylist()]
+        for batch in in_slices(batches):
+            ids = [word_ids(t) for t in batch.column(2).to_pylist()]
+            keys = [sketch(i).astype(np.int64) for i in ids]
             lengths = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             values = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)], names=["id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, ids), pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)], names=["id", "digest", "words", "keys"])
 
+    key = F.coalesce(F.col(id_col), F.raise_error(F.lit("near-duplicates need an id in every row")).cast(docs.schema[id_col].dataType))
     digest = F.coalesce(F.unhex(F.sha2(text_col, 256)), F.encode(F.concat(F.lit("null "), F.col(id_col).cast("string")), "UTF-8"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, keys array<long>")
+    return docs.select(key.alias("id"), digest.alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, words int, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose texts are similar; texts are fetched for the ids in pairs only."""
     pairs = materialize(pairs, f"{name}-pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
-    some = materialize(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), f"{name}-texts")
-    joined = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    text_of = lambda column: texts.select(F.col("id").alias(column), F.col("text").alias(f"text_{column}"))
+    joined = pairs.join(text_of("a"), "a").join(text_of("b"), "b")
     return materialize(joined.withColumn("similarity", _similarity.asNondeterministic()("text_a", "text_b")).select("a", "b", "similarity").filter(F.col("similarity") >= SIMILAR), f"{name}-links")
 
 
@@ -205,37 +205,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, class_id (the class's least id), text_id (least id of the exact copies), n_links (verified links of the text)."""
     sketched = materialize(sketches(docs, id_col, text_col), "sketches")
     same = materialize(sketched.groupBy("digest").agg(F.min("id").alias("text_id")), "texts")
-    member = materialize(sketched.select("id", "digest").join(same, "digest").select("id", "text_id"), "members")
-    keys = sketched.join(same.withColumnRenamed("text_id", "id").drop("digest"), "id", "left_semi").dropDuplicates(["id"]).select("id", F.posexplode(F.array_distinct("keys")).alias("sketch", "key"))
-    keys = materialize(keys, "keys")
-    shared = materialize(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
+    member = sketched.select("id", "digest").join(same, "digest").select("id", "text_id")
+    ones = sketched.join(same.select(F.col("text_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    keys = materialize(ones.select("id", "words", F.explode("keys").alias("key")), "keys")
+    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     held = materialize(keys.join(shared, "key"), "held")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    star = lambda some: some.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-
-    def rooted(roots: DataFrame, name: str) -> DataFrame:
-        """Members of shared keys with the roots (node, root) of their own and of the key's least text."""
-        root_of = lambda column, name: roots.select(F.col("node").alias(column), F.col("root").alias(name))
-        both = held.join(root_of("id", "root"), "id", "left").join(root_of("least", "least_root"), "least", "left")
-        return materialize(both.select("key", "id", "least", F.coalesce("root", "id").alias("root"), F.coalesce("least_root", "least").alias("least_root")), name)
-
-    #: a few keys join most of each class; the other keys then give only pairs that are not joined two steps up from their texts
-    links = verified(star(held.filter(F.col("sketch") < FIRST)), texts, "first")
-    up = materialize(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "up")
-    above = up.select(F.col("node").alias("at"), F.col("root").alias("above"))
-    up = materialize(up.join(above, up["root"] == above["at"], "left").select("node", F.coalesce("above", "root").alias("root")), "up-two")
-    links = materialize(links.union(verified(star(rooted(up, "rooted-first").filter("root <> least_root")), texts, "star")), "linked")
+    texts = materialize(texts.join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "compared")
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * SIMILAR  # noqa: E731  lengths that an edit similarity of SIMILAR allows
+    lengths = held.filter("id = least").select(F.col("key"), F.col("words").alias("least_words"))
+    star = held.filter("id <> least").join(lengths, "key").filter(near(F.col("words"), F.col("least_words"))).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    links = verified(star, texts, "star")
     roots = components(links)
-    placed = rooted(roots, "rooted")
-    outside = materialize(placed.filter("root <> least_root").select("key", "id", "root"), "outside")
-    others = placed.filter("id <> least").select("key", F.col("id").alias("b"), F.col("root").alias("root_b"), (F.col("root") != F.col("least_root")).alias("out_b"))
-    more = outside.select("key", F.col("id").alias("a"), F.col("root").alias("root_a")).join(others, "key").filter("root_a <> root_b and (a < b or not out_b)")
+    root_of = lambda column, name: roots.select(F.col("node").alias(column), F.col("root").alias(name))
+    placed = held.join(root_of("id", "root"), "id", "left").join(root_of("least", "least_root"), "least", "left")
+    placed = materialize(placed.filter("id <> least").select("key", "id", "words", F.coalesce("root", "id").alias("root"), (F.coalesce("root", "id") != F.coalesce("least_root", "least")).alias("open")), "placed")
+    side = lambda some, x: some.select("key", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("words", "root", "open")))
+    more = side(placed.filter("open"), "a").join(side(placed, "b"), "key").filter("root_a <> root_b and (a < b or not open_b)").filter(near(F.col("words_a"), F.col("words_b")))
     more = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, "rest")
     links = materialize(links.select("a", "b").union(more.select("a", "b")).distinct(), "links")
     roots = merged(roots, more)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     texted = roots.join(degree, roots["node"] == degree["id"], "left").select(F.col("node").alias("text_id"), "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    texted = materialize(texted, "classes")
     out = member.join(texted, "text_id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("root", "text_id").alias("class_id"), "text_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
