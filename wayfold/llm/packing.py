@@ -20,20 +20,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, texts_of, tokenizer_path
+from .common import claim, in_slices, materialize, tokenizer_path
 
 #: How the tokenizer splits normalised text, and the id that ends a document.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 1
+WORD_END = "</w>"
 
 CAPACITY = 4096
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 800_000
+#: Documents whose runs are looked up together.
+ENCODED_TOGETHER = 2500
 #: Marks that may stand alone behind a word.
 MARKS = frozenset(".,!?;:")
+#: What the tokenizer takes otherwise than str.lower() and str.split() do, or may take for a special string.
+ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "Σ")
 #: Rows of one length that are ranked together, at least; beyond 100,000 such groups they grow.
 RANKED_TOGETHER = 500
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -47,12 +53,17 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The same model for words that are normalised and split already.
+        #: The same model for words that are normalised and split already; the last token of a word says that it ends there.
         self.of_words = Tokenizer.from_file(path)
         self.of_words.normalizer = normalizers.Sequence([])
-        self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.of_words.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.split = regex.compile(WORDS)
+        #: What is in use, and what was before the last time that it was full.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -60,36 +71,61 @@ class WordEncoder:
     @staticmethod
     def plain(text: str) -> bool:
         """Whether lower case and white space are Python's own here, and no special string may be in the text."""
-        return unicodedata.is_normalized("NFC", text) and not any(x in text for x in ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "Σ"))
+        return not any(x in text for x in ODD) and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
     def words_of(self, run: str) -> list[str]:
         if run.isalpha():
             return [run]
+        if not run:  # before white space that begins a text
+            return []
         if run[-1] in MARKS and run[:-1].isalpha():
             return [run[:-1], run[-1]]
         return self.split.findall(run)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def learn(self, runs: list[str]) -> None:
+        """Ids of visible runs that are not known: those of their words one after the other."""
         known = self.known
-        plain = [self.plain(t) for t in texts]
-        runs = [t.lower().split() if ok else () for t, ok in zip(texts, plain)]
-        new = {r for rs in runs for r in rs if r not in known}
+        words = [self.words_of(r) for r in runs]
+        lacking = list({w for ws in words for w in ws if w not in known})
+        if lacking:
+            ids = np.array(self.of_words.encode(" ".join(lacking), add_special_tokens=False).ids, np.uint32)
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            known.update(zip(lacking, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        for r, ws in zip(runs, words):
+            if len(ws) == 2:
+                known[r] = known[ws[0]] + known[ws[1]]
+            elif len(ws) != 1 or ws[0] is not r:
+                known[r] = b"".join([known[w] for w in ws])
+
+    def ids_of(self, runs: list[str]) -> list[bytes]:
+        """Ids of distinct visible runs."""
+        new = [r for r in runs if r not in self.known]
         if new:
-            if len(known) + 2 * len(new) > CACHE_ENTRIES:
-                known.clear()
-                new = {r for rs in runs for r in rs}
-            words = {r: self.words_of(r) for r in new}
-            lacking = list({w for ws in words.values() for w in ws if w not in known})
-            for w, e in zip(lacking, self.of_words.encode_batch_fast(lacking, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-            for r, ws in words.items():
-                if len(ws) != 1 or ws[0] is not r:
-                    known[r] = b"".join([known[w] for w in ws])
-        out = [b"".join(map(known.__getitem__, rs)) if ok else self.whole(t) for t, ok, rs in zip(texts, plain, runs)]
+            if len(self.known) + 2 * len(new) > CACHE_ENTRIES:
+                self.before, self.known, new = self.known, {}, runs
+            older = self.before
+            self.known.update((r, older[r]) for r in new if r in older)
+            self.learn([r for r in new if r not in older])
+        out = list(map(self.known.__getitem__, runs))
         for r in [r for r in new if len(r) > 64]:  # long runs are not worth their memory
-            known.pop(r, None)
+            self.known.pop(r, None)
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text: runs are found, and their ids put in place, for all texts together."""
+        plain = [self.plain(t) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array([t.lower() if ok else "" for t, ok in zip(texts, plain)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        ids = self.ids_of(coded.dictionary.to_pylist())
+        sizes, codes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4, coded.indices.to_numpy()
+        each = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        at = np.repeat((np.cumsum(sizes, dtype=np.int64) - sizes)[codes] - ends[:-1], each)
+        at += np.arange(len(at))
+        raw = np.frombuffer(b"".join(ids), np.uint32)[at].tobytes()
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] if ok else self.whole(t) for t, ok, a, b in zip(texts, plain, cuts, cuts[1:])]
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -103,23 +139,21 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
             _encoders[path] = WordEncoder(path)
         claim("packing", _encoders.clear)
         encoder, end = _encoders[path], array("I", [END_ID]).tobytes()
-        for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                batch = whole.slice(low, 500)
-                texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-                at, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(encoder.encode(texts)):
-                    ids += end
-                    for number, first in enumerate(range(0, len(ids), width)):
-                        part = ids[first : first + width]
-                        at.append(k), piece.append(number), start.append(first // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for batch in in_slices(batches, ENCODED_TOGETHER):
+            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            at, piece, start, length, crc = [], [], [], [], []
+            for k, ids in enumerate(encoder.encode(texts)):
+                ids += end
+                for number, first in enumerate(range(0, len(ids), width)):
+                    part = ids[first : first + width]
+                    at.append(k), piece.append(number), start.append(first // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts_of(docs, "doc_id", "text").mapInArrow(cut, PIECES.format(kind=kind))
+    return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(kind=kind))
 
 
 def fullest(counts: dict[int, int], lengths: list[int], space: int) -> dict[int, int]:
