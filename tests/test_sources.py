@@ -47,9 +47,13 @@ def test_episodes_json(spark, tmp_path):
     folder = tmp_path / "e"
     folder.mkdir()
     value = {"episodes": [{"episode_id": "1", "scene_id": "x/h1.glb", "object_category": "bed"}, {"episode_id": "2", "scene_id": "x/h1.glb", "object_category": "sofa"}], "goals_by_category": {"h1.glb_bed": [{"position": [1.0, 2.0, 3.0]}]}}
-    with gzip.open(folder / "h1.json.gz", "wt") as f:
-        json.dump(value, f)
-    assert [(r.episode_id, r.goals[0].position) for r in T.episodes_json(spark, str(folder)).collect()] == [("1", [1.0, 2.0, 3.0])]
+    goals = {"h2.glb_bed": [{"position": [4.0, 5.0, 6.0]}], "h2.glb_sofa": [{"position": [7.0, 8.0, 9.0]}]}
+    other = {"episodes": [{"episode_id": str(k), "scene_id": "x/h2.glb", "object_category": "bed" if k % 2 else "sofa"} for k in range(3, 8)], "goals_by_category": goals}
+    for name, content in (("h1", value), ("h2", other)):
+        with gzip.open(folder / f"{name}.json.gz", "wt") as f:
+            json.dump(content, f)
+    got = {r.episode_id: r.goals[0].position for r in T.episodes_json(spark, str(folder)).collect()}
+    assert got == {"1": [1.0, 2.0, 3.0]} | {str(k): [4.0, 5.0, 6.0] if k % 2 else [7.0, 8.0, 9.0] for k in range(3, 8)}
 
 
 def test_scan_split_and_defaults(spark, tmp_path):

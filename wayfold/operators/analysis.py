@@ -77,10 +77,16 @@ def leaderboard(results: DataFrame, keys: list[str], score: str, higher: Column)
     return results.groupBy(*keys).agg(F.min_by("entry", F.struct(signed, "entry")).alias("entry"), F.min_by(score, F.struct(signed, "entry")).alias(score))
 
 
+#: Prompts that are compared with every row.
+MOST_PROMPTS = 1000
+
+
 def zero_shot(rows: DataFrame, prompts: DataFrame, scale: float) -> DataFrame:
-    """(id, group, p): softmax of scaled cosines to a small prompt table (name, group, vector), summed per group, and the best group."""
+    """(id, group, p): softmax of scaled cosines to a small prompt table (name, group, vector), summed per group, and the best group; at most MOST_PROMPTS prompts."""
+    if prompts.count() > MOST_PROMPTS:
+        raise ValueError(f"more than {MOST_PROMPTS} prompts")
     d = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), F.col("vector").cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = rows.crossJoin(F.broadcast(prompts)).select("id", "group", (d * scale).alias("z"))
+    scored = rows.crossJoin(prompts).select("id", "group", (d * scale).alias("z"))
     w = Window.partitionBy("id")
     soft = scored.withColumn("e", F.exp(F.col("z") - F.max("z").over(w)))
     per = soft.groupBy("id", "group").agg(F.sum("e").alias("e"))

@@ -130,7 +130,7 @@ def verdict(path: DataFrame, ego: DataFrame, obs: DataFrame, n_sub: int, rate_hz
 
 
 def at_fault(contacts: DataFrame, path: DataFrame, n_sub: int, rate_hz: float, moving: float = 0.05) -> DataFrame:
-    """(scenario, at_fault): at an agent's first contact the robot moves and the agent is ahead of it."""
+    """(scenario, at_fault) of every path: at an agent's first contact the robot moves and the agent is ahead of it; false without a contact."""
     w = Window.partitionBy("scenario").orderBy("sub")
     dense = densify(path, ["scenario"], n_sub, ["x", "y"]).unionByName(path.filter("step = 0").select("scenario", F.lit(0).alias("sub"), "x", "y"))
     dt = 1.0 / (rate_hz * n_sub)
@@ -139,7 +139,12 @@ def at_fault(contacts: DataFrame, path: DataFrame, n_sub: int, rate_hz: float, m
     motion = dense.select("scenario", "sub", F.coalesce(F.try_divide(lead("x") - lag("x"), steps * dt), F.lit(0.0)).alias("vx"), F.coalesce(F.try_divide(lead("y") - lag("y"), steps * dt), F.lit(0.0)).alias("vy"))
     first = contacts.filter("gap <= 0").groupBy("scenario", "track").agg(F.min_by(F.struct("sub", "px", "py", "ax", "ay"), "sub").alias("c")).select("scenario", "track", "c.*")
     ahead = (F.col("ax") - F.col("px")) * F.col("vx") + (F.col("ay") - F.col("py")) * F.col("vy") > 0
-    return first.join(motion, ["scenario", "sub"]).groupBy("scenario").agg(F.bool_or(ahead & (F.hypot("vx", "vy") > moving)).alias("at_fault"))
+    guilty = first.join(motion, ["scenario", "sub"]).groupBy("scenario").agg(F.bool_or(ahead & (F.hypot("vx", "vy") > moving)).alias("at_fault"))
+    return path.select("scenario").distinct().join(guilty, "scenario", "left").select("scenario", F.coalesce("at_fault", F.lit(False)).alias("at_fault"))
+
+
+#: Planners that a path is compared with.
+PLANNERS = ("recorded", "constant_velocity", "stationary", "straight_to_goal")
 
 
 def baselines(ego: DataFrame, goals: DataFrame, rate_hz: float, n: int = 10) -> DataFrame:

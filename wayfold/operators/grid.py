@@ -73,9 +73,13 @@ def plane_fit(points: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 def low_quantile(points: DataFrame, keys: list[str], share: float = 0.1, least: int = 3) -> DataFrame:
-    """Ground height of each coarse cell: the point at a share of the sorted heights."""
-    grouped = points.groupBy(*keys).agg(F.sort_array(F.collect_list("z")).alias("zs")).filter(F.size("zs") >= least)
-    return grouped.select(*keys, F.element_at("zs", (F.size("zs") * share).cast("int") + 1).alias("ground"), F.size("zs").alias("n"))
+    """Ground height of each coarse cell: the point at a share of the sorted heights, from counts of distinct heights."""
+    counted = points.groupBy(*keys, "z").agg(F.count("*").alias("_c"))
+    cell = Window.partitionBy(*keys)
+    up = F.sum("_c").over(cell.orderBy("z").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"_up": up, "n": F.sum("_c").over(cell)})
+    at = F.floor(F.col("n") * share)
+    return placed.filter((F.col("n") >= least) & (F.col("_up") > at) & (F.col("_up") - F.col("_c") <= at)).select(*keys, F.col("z").alias("ground"), F.col("n").cast("int").alias("n"))
 
 
 def inherit_ground(ground: DataFrame, wanted: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:

@@ -36,10 +36,12 @@ def timed_steps(pred: DataFrame, key: str, final_step: int, n: int) -> DataFrame
     return interpolate(wanted, share, key, "u", ["x", "y"]).drop("u")
 
 
-def wiggle(points: DataFrame, key: str) -> DataFrame:
-    """(key, wiggle): total turning less net turning along points (key, f, x, y)."""
-    w = Window.partitionBy(key).orderBy("f")
-    heading = points.withColumn("h", F.atan2(F.col("y") - F.lag("y").over(w), F.col("x") - F.lag("x").over(w)))
+def wiggle(points: DataFrame, key: str, spacing: float = 0.1) -> DataFrame:
+    """(key, wiggle): total turning less net turning along paths (key, f, x, y), resampled every `spacing` from their start."""
+    start = points.groupBy(key).agg(F.min_by(F.struct("x", "y"), "f").alias("p")).select(key, F.lit(0).alias("k"), "p.x", "p.y")
+    even = start.unionByName(resample(points, key, spacing).select(key, "k", "x", "y"))
+    w = Window.partitionBy(key).orderBy("k")
+    heading = even.withColumn("h", F.atan2(F.col("y") - F.lag("y").over(w), F.col("x") - F.lag("x").over(w)))
     turn = heading.withColumn("dh", wrap(F.col("h") - F.lag("h").over(w)))
     return turn.groupBy(key).agg((F.coalesce(F.sum(F.abs("dh")), F.lit(0.0)) - F.abs(F.coalesce(F.sum("dh"), F.lit(0.0)))).alias("wiggle"))
 
@@ -117,20 +119,19 @@ def acceleration(path: DataFrame, key: str) -> DataFrame:
     return path.select(key, F.hypot(second("x"), second("y")).alias("a")).groupBy(key).agg(F.avg("a").alias("acceleration"))
 
 
-def parse_reward_spec(spec: str) -> dict[str, float]:
-    """'term=weight,term' as weights; unknown terms are rejected."""
-    out = {}
-    for part in filter(None, (p.strip() for p in spec.split(","))):
-        name, _, weight = part.partition("=")
-        if name not in REWARDS:
-            raise ValueError(f"unknown reward term {name!r}; known: {', '.join(REWARDS)}")
-        out[name] = float(weight or 1)
-    return out
+def reward_weights(spec: str) -> Column:
+    """A map of terms to weights from 'goal=2, smooth': a term without a number weighs 1; a term that there is not raises an error."""
+    given = F.map_filter(F.str_to_map(F.translate(F.lit(spec), " ", ""), F.lit(","), F.lit("=")), lambda term, _: term != "")
+    strange = F.array_except(F.map_keys(given), F.array(*map(F.lit, REWARDS)))
+    checked = F.when(F.size(strange) == 0, given).otherwise(F.raise_error(F.concat(F.lit("no such reward: "), F.array_join(strange, " "))).cast("map<string,string>"))
+    return F.transform_values(checked, lambda _, weight: F.coalesce(weight.cast("double"), F.lit(1.0)))
 
 
 def reward(scored: DataFrame, spec: str) -> DataFrame:
-    terms = parse_reward_spec(spec)
-    return scored.withColumns({f"reward_{k}": REWARDS[k]() for k in terms}).withColumn("reward", sum((F.col(f"reward_{k}") * w for k, w in terms.items()), F.lit(0.0)))
+    """Adds every term as reward_<term>, and reward, their sum in the weights of the specification."""
+    terms = scored.withColumns({f"reward_{k}": term() for k, term in REWARDS.items()} | {"_weights": reward_weights(spec)})
+    total = sum((F.coalesce(F.col(f"reward_{k}") * F.col("_weights")[k], F.lit(0.0)) for k in REWARDS), F.lit(0.0))
+    return terms.withColumn("reward", total).drop("_weights")
 
 
 def total_turn(points: DataFrame, key: str, least_step: float) -> DataFrame:

@@ -84,8 +84,8 @@ def valid_candidates(c: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def reviewed_environment(c: DataFrame, drops: DataFrame, recording_drops: DataFrame, reviewed: DataFrame, threshold: float) -> DataFrame:
-    """Environment by the first that holds: dropped, recording dropped, reviewed label, estimate beyond a threshold; small audit tables."""
-    out = c.join(F.broadcast(drops.select("id", F.lit(True).alias("_d"))), "id", "left").join(F.broadcast(recording_drops.select("recording", F.lit(True).alias("_r"))), "recording", "left").join(F.broadcast(reviewed.select("id", F.col("label").alias("_l"))), "id", "left")
+    """Environment by the first that holds: dropped, recording dropped, reviewed label, estimate beyond a threshold."""
+    out = c.join(drops.select("id", F.lit(True).alias("_d")), "id", "left").join(recording_drops.select("recording", F.lit(True).alias("_r")), "recording", "left").join(reviewed.select("id", F.col("label").alias("_l")), "id", "left")
     env = F.when(F.col("_d") | F.col("_r"), None).when(F.col("_l").isNotNull(), F.col("_l")).when(F.col("indoor") >= threshold, "indoor").when(F.col("indoor") <= 1 - threshold, "outdoor")
     return out.withColumn("environment", env).drop("_d", "_r", "_l")
 
@@ -111,9 +111,10 @@ def scenario_windows(rows: DataFrame, segment: str, stride: int, min_travel: flo
     return now.select(segment, "anchor", "step", "t", ahead.alias("x"), left.alias("y"), wrap(F.col("yaw") - F.col("yaw0")).alias("yaw"))
 
 
-def at_rates(rows: DataFrame, segment: str, configs: DataFrame) -> DataFrame:
-    """Rows of several rates from one pass: configs is (config, every), a small table; frames are numbered anew in each."""
-    out = rows.crossJoin(F.broadcast(configs)).filter(F.col("f") % F.col("every") == 0)
+def at_rates(rows: DataFrame, segment: str, configs: dict[str, int]) -> DataFrame:
+    """Rows of several rates from one pass: every so many frames, numbered anew in each."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("config"), F.lit(every).alias("every")) for name, every in configs.items()))).alias("c")
+    out = rows.select("*", each).select(*rows.columns, "c.*").filter(F.col("f") % F.col("every") == 0)
     return out.withColumn("f", F.floor(F.col("f") / F.col("every"))).withColumn(segment, F.concat_ws("@", F.col(segment).cast("string"), "config"))
 
 

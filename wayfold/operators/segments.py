@@ -68,7 +68,7 @@ def split_tracks(obs: DataFrame, limits: DataFrame, keys: list[str], type_col: s
     """Adds part: a track is split where it steps further than base + speed * dt; limits is (type, base, speed), a small table."""
     w = Window.partitionBy(*keys).orderBy("t")
     step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    far = obs.join(F.broadcast(limits), type_col, "left").withColumn("far", step > F.coalesce("base", F.lit(OTHER_JUMP[0])) + F.coalesce("speed", F.lit(OTHER_JUMP[1])) * (F.col("t") - F.lag("t").over(w)))
+    far = obs.join(limits, type_col, "left").withColumn("far", step > F.coalesce("base", F.lit(OTHER_JUMP[0])) + F.coalesce("speed", F.lit(OTHER_JUMP[1])) * (F.col("t") - F.lag("t").over(w)))
     return islands(far, keys, ["t"], F.col("far"), "part").drop("far", "base", "speed")
 
 

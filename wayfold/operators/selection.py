@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import uniform
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own where that is unset and all runs on one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the folder in spark.checkpoint.dir (or one of our own where that is unset) and reads it back."""
+    """Writes df once to the shared folder and reads it back."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,7 +72,7 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def similar_pairs(rows: DataFrame, group: list[str], limit: float, planes: int = 0) -> DataFrame:
+def similar_pairs(rows: DataFrame, group: list[str], limit: float) -> DataFrame:
     """(group, a, b, rank_a, rank_b) of a group's rows over a cosine limit, each pair once, the earlier row first.
 
     Rows (group, id, rank, embedding) of one group are dealt into blocks of ids, and block pairs are joined, so a large
@@ -114,7 +123,7 @@ def mixing_weights(df: DataFrame, source: str, how: str) -> DataFrame:
 def mixed_order(df: DataFrame, weights: DataFrame, source: str, key: str, seed: str) -> DataFrame:
     """Adds mix, by whose order sources come in their weights: -ln(u) / (weight / rows)."""
     u = uniform(F.lit(seed), F.col(key))
-    return df.join(F.broadcast(weights), source).withColumn("mix", -F.ln(1 - u) * F.col("n") / F.col("weight"))
+    return df.join(weights, source).withColumn("mix", -F.ln(1 - u) * F.col("n") / F.col("weight"))
 
 
 def source_quota(df: DataFrame, source: str, order: list, most: int) -> DataFrame:
@@ -129,7 +138,7 @@ def stratified(df: DataFrame, source: str, klass: str, key: str, total: int, see
     share = F.sqrt("n") / F.sum(F.sqrt("n")).over(Window.partitionBy(F.lit(1)))
     quota = counts.withColumn("quota", F.ceil(F.round(share * total) / F.col("k"))).select(source, "quota")
     w = Window.partitionBy(source, klass).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key)
-    return df.withColumn("_n", F.row_number().over(w)).join(F.broadcast(quota), source).filter(F.col("_n") <= F.col("quota")).drop("_n", "quota")
+    return df.withColumn("_n", F.row_number().over(w)).join(quota, source).filter(F.col("_n") <= F.col("quota")).drop("_n", "quota")
 
 
 def cover(candidates: DataFrame, per_stratum: int, recording_cap: int, source_cap: int, spacing: float) -> DataFrame:
@@ -167,5 +176,5 @@ def whole_order_ids(df: DataFrame, order: list[str], prefix: str) -> DataFrame:
     parted = cut_lineage(parted, "ordered")
     before = parted.groupBy("_p").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("_p")) - F.col("n"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    out = parted.withColumn("_n", inside).join(F.broadcast(before.select("_p", "before")), "_p").withColumn("number", F.col("_n") + F.col("before") - 1)
+    out = parted.withColumn("_n", inside).join(before.select("_p", "before"), "_p").withColumn("number", F.col("_n") + F.col("before") - 1)
     return out.withColumn("suite_id", F.format_string(f"{prefix}-%04d", F.col("number"))).drop("_p", "_n", "before")

@@ -33,7 +33,7 @@ def scenario_windows(spark, sf_dir):
 @query("""WITH {POSE}, c(config, every) AS (VALUES ('full', 1), ('half', 2), ('fifth', 5)) SELECT config, rec, count(*) AS n, max(f // every) AS last FROM pose, c WHERE f % every = 0 GROUP BY 1, 2""")
 def several_rates(spark, sf_dir):
     """Recordings at three rates from one pass."""
-    configs = spark.createDataFrame([("full", 1), ("half", 2), ("fifth", 5)], "config string, every int")
+    configs = {"full": 1, "half": 2, "fifth": 5}
     rows = poses(spark, sf_dir).withColumn("segment", F.col("rec"))
     return S.at_rates(rows, "segment", configs).groupBy("config", "rec").agg(F.count("*").alias("n"), F.max("f").alias("last"))
 

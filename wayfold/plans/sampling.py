@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import samples as P
-from ..operators.selection import cut_lineage
+from ..operators.selection import shared_folder
 from ..sources.tables import poses, table
 from ..streaming import streams
 from .registry import query
@@ -38,7 +38,12 @@ def timed_targets(spark, sf_dir):
     return out.select("rec", "f", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query()
+ARCS = """{ELIGIBLE}, hop AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS hop FROM e WINDOW w AS (PARTITION BY rec ORDER BY f)), arc AS (SELECT *, sum(hop) OVER (PARTITION BY rec ORDER BY f) AS s FROM hop),
+ nx AS (SELECT rec, s, x, y, lead(s) OVER w AS s2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM arc WINDOW w AS (PARTITION BY rec ORDER BY f)), fin AS (SELECT rec, max(s) AS total FROM arc GROUP BY 1), mine AS (SELECT a.rec, a.f, a.x AS x0, a.y AS y0, a.yaw AS a, a.s AS s0, total FROM arc a JOIN s USING (rec, f) JOIN fin ON fin.rec = a.rec)""".replace("{ELIGIBLE}", ELIGIBLE)
+
+
+@query(f"""WITH {ARCS}, q AS (SELECT m.*, k, least(s0 + k * 100, total) AS want FROM mine m, generate_series(1, 5) AS g(k)), placed AS (SELECT q.*, CASE WHEN s2 IS NULL THEN n.x ELSE n.x + (n.x2 - n.x) * (want - n.s) / (s2 - n.s) END AS px, CASE WHEN s2 IS NULL THEN n.y ELSE n.y + (n.y2 - n.y) * (want - n.s) / (s2 - n.s) END AS py FROM q ASOF JOIN nx n ON q.rec = n.rec AND q.want >= n.s)
+ SELECT rec, f, k::INT AS k, round(cos(a) * (px - x0) + sin(a) * (py - y0), 4) AS x, round(cos(a) * (py - y0) - sin(a) * (px - x0), 4) AS y, s0 + k * 100 > total AS stop FROM placed""")
 def waypoint_samples(spark, sf_dir):
     """Points every 100 along the path ahead, with a stop flag at its end."""
     frames = _frames(spark, sf_dir)
@@ -73,7 +78,8 @@ def seeded_choice(spark, sf_dir):
     return P.choose(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "11").select("o_custkey", "o_orderkey")
 
 
-@query()
+@query(f"""WITH {ARCS}, q AS (SELECT *, least(s0 + 550 + CAST('0x' || substr(md5('4|' || CAST(rec AS VARCHAR) || '|' || CAST(f AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 * 300, total) AS want FROM mine WHERE total - s0 >= 550)
+ SELECT q.rec, q.f, round(CASE WHEN s2 IS NULL THEN n.x ELSE n.x + (n.x2 - n.x) * (want - n.s) / (s2 - n.s) END, 4) AS gx, round(CASE WHEN s2 IS NULL THEN n.y ELSE n.y + (n.y2 - n.y) * (want - n.s) / (s2 - n.s) END, 4) AS gy FROM q ASOF JOIN nx n ON q.rec = n.rec AND q.want >= n.s""")
 def goals_beyond(spark, sf_dir):
     """A goal for each sample further along its recording than the horizon."""
     frames = _frames(spark, sf_dir)
@@ -91,18 +97,32 @@ def scenario_tags(spark, sf_dir):
     return tagged.select("scenario", "n", F.array_sort(F.concat("tags", P.path_tags(F.col("turn"), F.col("moves"), F.col("b"), F.lit(None).cast("double")))).alias("tags"))
 
 
+#: Files of the event table that a stream reads one after the other, and how long after the last event the stream says that nothing else comes.
+FILES, QUIET = 4, 10 * 86_400
+
+
 def _streamed(spark, sf_dir, build, mode: str):
-    """Runs a streaming query over the event table's rows to its end and returns what it wrote."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
-    base = cut_lineage(rows.repartitionByRange(4, "ts"), "stream-in").inputFiles()[0].rsplit("/", 1)[0]
-    out, name = base.replace("stream-in", "stream-out"), uuid.uuid4().hex
-    stream = build(streams.pose_stream(spark, base, files_per_batch=100))
+    """Runs a streaming query over the event table to its end and returns what it wrote.
+
+    Events come in order of time, a file a batch.  A last file has one row of a recording of its own (null) long after
+    all others, so that the watermark passes them and what is still open comes out.
+    """
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
+    first, last = events.select(F.min("ts"), F.max("ts")).first()
+    place = F.least(F.lit(FILES - 1), F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) * FILES / F.greatest(F.lit(1), F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)))))
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{base}-out"
+    for k in range(FILES):
+        events.filter(place == k).coalesce(1).write.mode("append").parquet(base)
+    end = spark.range(1).select(F.lit(None).cast("long").alias("rec"), F.lit(-1).cast("long").alias("event_id"), F.timestamp_seconds(F.unix_seconds(F.lit(last)) + QUIET).alias("ts"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    end.write.mode("append").parquet(base)
+    stream = build(streams.pose_stream(spark, base, files_per_batch=1))
     if mode == "append":
-        q = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        q = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
     else:
-        q = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-state-{name}").trigger(availableNow=True).start()
+        q = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).filter(F.col(stream.columns[0]).isNotNull())
 
 
 @query("WITH m AS (SELECT user_id AS run, min(value) AS loss FROM events GROUP BY 1) SELECT run, loss, (SELECT min(event_id) FROM events e WHERE e.user_id = m.run AND e.value = m.loss) AS step FROM m")
@@ -111,13 +131,17 @@ def stream_best(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: streams.rolling_best(s.select(F.col("rec").alias("run"), F.col("event_id").alias("step"), F.col("x").alias("loss"))), "complete")
 
 
-@query()
+@query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 43200000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+ SELECT user_id AS rec, epoch_us(min(ts)) AS "start", epoch_us(max(ts)) + 43200000000 AS "end", count(*) AS n, min(value) AS x_min, max(value) AS x_max FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, sf_dir):
-    """Sessions of each user that ended before the watermark."""
-    return _streamed(spark, sf_dir, lambda s: streams.sessions(s, "12 hours", "1 hour"), "append")
+    """Sessions of each user, as they end in a stream; start and end in microseconds."""
+    out = _streamed(spark, sf_dir, lambda s: streams.sessions(s, "12 hours", "1 hour"), "append")
+    return out.withColumns({c: F.unix_micros(c) for c in ("start", "end")})
 
 
-@query()
+@query("""WITH {POSE}, h AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step, t - lag(t) OVER w AS gap FROM pose WINDOW w AS (PARTITION BY rec ORDER BY f)), c AS (SELECT *, coalesce(step > 200 OR gap > 86400, false) AS cut FROM h), e AS (SELECT *, sum(cut::INT) OVER (PARTITION BY rec ORDER BY f) AS k FROM c)
+ SELECT rec, round(min(t), 3) AS t0, round(max(t), 3) AS t1, count(*) AS n, round(coalesce(sum(CASE WHEN NOT cut THEN step END), 0), 4) AS length FROM e GROUP BY rec, k""")
 def stream_episodes(spark, sf_dir):
-    """Episodes of each user that jumps or gaps have ended, from a stream."""
-    return _streamed(spark, sf_dir, lambda s: streams.live_episodes(s, 200.0, 86_400.0, "1 hour"), "append")
+    """Episodes of each user, as jumps, gaps or silence end them in a stream."""
+    out = _streamed(spark, sf_dir, lambda s: streams.live_episodes(s, 200.0, 86_400.0, "1 hour"), "append")
+    return out.select("rec", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"), "n", F.round("length", 4).alias("length"))

@@ -59,14 +59,21 @@ def first_contact(spark, sf_dir):
     return hits.groupBy("scenario", "track").agg(F.min("sub").alias("sub"))
 
 
-@query()
+@query(f"""WITH {CONTACTS}, all_ AS (SELECT scenario, sub, px, py FROM dense UNION ALL SELECT scenario, 0, x0, y0 FROM st0), v AS (SELECT scenario, sub, (coalesce(lead(px) OVER w, px) - coalesce(lag(px) OVER w, px)) / ((lead(px) OVER w IS NOT NULL)::INT + (lag(px) OVER w IS NOT NULL)::INT) / 0.1 AS vx, (coalesce(lead(py) OVER w, py) - coalesce(lag(py) OVER w, py)) / ((lead(px) OVER w IS NOT NULL)::INT + (lag(px) OVER w IS NOT NULL)::INT) / 0.1 AS vy FROM all_ WINDOW w AS (PARTITION BY scenario ORDER BY sub)),
+ c AS (SELECT scenario, track, min(sub) AS sub, arg_min(px, sub) AS px, arg_min(py, sub) AS py, arg_min(ax, sub) AS ax, arg_min(ay, sub) AS ay FROM dc WHERE gap <= 0 GROUP BY 1, 2), g AS (SELECT scenario, bool_or((ax - px) * vx + (ay - py) * vy > 0 AND sqrt(vx * vx + vy * vy) > 0.05) AS at_fault FROM c JOIN v USING (scenario, sub) GROUP BY 1)
+ SELECT s.scenario, coalesce(at_fault, false) AS at_fault FROM (SELECT DISTINCT scenario FROM ego) s LEFT JOIN g USING (scenario)""")
 def at_fault(spark, sf_dir):
-    """Scenarios in which the robot causes a contact."""
+    """Whether the robot causes a contact, for every scenario."""
     ego, obs = scenario_tables(spark, sf_dir)
     return C.at_fault(C.dynamic_contacts(ego, C.as_discs(C.reachable(obs, False)), SUB), ego, SUB, RATE)
 
 
-@query()
+CELLS = """pc AS (SELECT scenario, sub, CAST(round_even(199.5 - px / 0.1, 0) AS INT) AS pr, CAST(round_even(199.5 - py / 0.1, 0) AS INT) AS pcol FROM dense), cells AS (SELECT DISTINCT scenario, CAST(round_even(199.5 - x / 0.1, 0) AS INT) AS r, CAST(round_even(199.5 - y / 0.1, 0) AS INT) AS c FROM obs)"""
+
+
+@query(f"""WITH {SCENE}, {CELLS}, far AS (SELECT scenario, r, c FROM cells JOIN st0 USING (scenario) WHERE sqrt(power(r - (199.5 - x0 / 0.1), 2) + power(c - (199.5 - y0 / 0.1), 2)) * 0.1 > 0.25 + 0.1), n AS (SELECT scenario, sub, min(sqrt(power(pr - r, 2) + power(pcol - c, 2)) * 0.1) AS d FROM pc JOIN far USING (scenario) GROUP BY 1, 2 HAVING min(sqrt(power(pr - r, 2) + power(pcol - c, 2)) * 0.1) <= 2.0),
+ h AS (SELECT scenario, round(min(d), 5) AS least, count(*) FILTER (WHERE d <= 0.25) AS n_hits FROM n GROUP BY 1), u AS (SELECT p.scenario, round(avg((k.scenario IS NULL)::INT), 6) AS unknown_fraction FROM pc p LEFT JOIN cells k ON k.scenario = p.scenario AND k.r = p.pr AND k.c = p.pcol WHERE pr BETWEEN 0 AND 399 AND pcol BETWEEN 0 AND 399 GROUP BY 1)
+ SELECT u.scenario, least, n_hits, unknown_fraction FROM u LEFT JOIN h USING (scenario)""")
 def map_collision(spark, sf_dir):
     """Least distance to occupied map cells, and the share of the path in unknown cells."""
     ego, obs = scenario_tables(spark, sf_dir)
@@ -76,7 +83,8 @@ def map_collision(spark, sf_dir):
     return C.unknown_share(ego, cells, SUB).join(near, "scenario", "left").select("scenario", "least", "n_hits", F.round("unknown_fraction", 6).alias("unknown_fraction"))
 
 
-@query()
+@query(f"""WITH {SCENE}, pts AS (SELECT scenario, step, x + k * 0.02 AS x, y FROM obs, generate_series(0, 4) AS g(k) WHERE step > 0), look AS (SELECT DISTINCT scenario, sub, px, py, unnest([floor(sub / 5.0 + 0.5), ceil(sub / 5.0 - 0.5)]) AS step FROM dense)
+ SELECT DISTINCT scenario, sub FROM (SELECT l.scenario, sub, l.step, count(*) AS n FROM look l JOIN pts p ON p.scenario = l.scenario AND p.step = l.step WHERE sqrt(power(px - x, 2) + power(py - y, 2)) <= 0.25 GROUP BY 1, 2, 3) WHERE n >= 3""")
 def lidar_collision(spark, sf_dir):
     """Sub-steps at which enough scan points are in reach."""
     ego, obs = scenario_tables(spark, sf_dir)
@@ -86,15 +94,18 @@ def lidar_collision(spark, sf_dir):
 
 
 @query("""WITH {POSE}, g AS (SELECT user_id AS rec FROM events WHERE false), ego AS (SELECT rec * 1000 + f // 11 AS scenario, f % 11 AS step, x / 50 AS x, y / 10 AS y FROM pose WHERE rec % 5 = 0),
- now AS (SELECT scenario, x AS x0, y AS y0 FROM ego WHERE step = 0), fin AS (SELECT scenario, arg_max(x, step) AS gx, arg_max(y, step) AS gy FROM ego GROUP BY 1),
- p AS (SELECT scenario, 'stationary' AS planner, k AS step, x0 AS x, y0 AS y FROM now, generate_series(0, 10) AS g(k) UNION ALL SELECT scenario, 'straight_to_goal', k, x0 + (gx - x0) * k / 10.0, y0 + (gy - y0) * k / 10.0 FROM now JOIN fin USING (scenario), generate_series(0, 10) AS g(k) UNION ALL SELECT scenario, 'recorded', step, x, y FROM ego)
+ now AS (SELECT scenario, x AS x0, y AS y0, coalesce(x2 - x, 0) * 2 AS vx, coalesce(y2 - y, 0) * 2 AS vy FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM ego WINDOW w AS (PARTITION BY scenario ORDER BY step)) WHERE step = 0), fin AS (SELECT scenario, arg_max(x, step) AS gx, arg_max(y, step) AS gy FROM ego GROUP BY 1),
+ p AS (SELECT scenario, 'stationary' AS planner, k AS step, x0 AS x, y0 AS y FROM now, generate_series(0, 10) AS g(k) UNION ALL SELECT scenario, 'constant_velocity', k, x0 + vx * k / 2.0, y0 + vy * k / 2.0 FROM now, generate_series(0, 10) AS g(k) UNION ALL SELECT scenario, 'straight_to_goal', k, x0 + (gx - x0) * k / 10.0, y0 + (gy - y0) * k / 10.0 FROM now JOIN fin USING (scenario), generate_series(0, 10) AS g(k) UNION ALL SELECT scenario, 'recorded', step, x, y FROM ego)
  SELECT p.scenario, planner, round(avg(sqrt(power(p.x - e.x, 2) + power(p.y - e.y, 2))), 5) AS ade, round(arg_max(sqrt(power(p.x - e.x, 2) + power(p.y - e.y, 2)), p.step), 5) AS fde FROM p JOIN ego e ON p.scenario = e.scenario AND p.step = e.step WHERE p.step > 0 GROUP BY 1, 2""")
 def baseline_errors(spark, sf_dir):
     """ADE and FDE of naive planners against the recorded path."""
     ego, _ = scenario_tables(spark, sf_dir)
     goals = ego.groupBy("scenario").agg(F.max_by("x", "step").alias("gx"), F.max_by("y", "step").alias("gy"))
-    made = C.baselines(ego.withColumns({"vx": F.lit(0.0), "vy": F.lit(0.0)}), goals, RATE).filter("planner <> 'constant_velocity'")
-    scored = C.displacement(made.withColumn("scenario", F.struct("scenario", "planner")), made.select("planner").distinct().crossJoin(ego).select(F.struct("scenario", "planner").alias("scenario"), "step", "x", "y"))
+    w = Window.partitionBy("scenario").orderBy("step")
+    moving = ego.withColumns({f"v{c}": F.coalesce(F.lead(c).over(w) - F.col(c), F.lit(0.0)) * RATE for c in ("x", "y")})
+    made = C.baselines(moving, goals, RATE)
+    every = ego.withColumn("planner", F.explode(F.array(*map(F.lit, C.PLANNERS)))).select(F.struct("scenario", "planner").alias("scenario"), "step", "x", "y")
+    scored = C.displacement(made.withColumn("scenario", F.struct("scenario", "planner")), every)
     return scored.select("scenario.scenario", "scenario.planner", F.round("ade", 5).alias("ade"), F.round("fde", 5).alias("fde"))
 
 
@@ -109,11 +120,16 @@ def timed_follow(spark, sf_dir):
     return M.timed(paths, "rec", RATE, 3.0, 10).select("rec", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("""WITH {POSE}, h AS (SELECT rec, f, atan2(y - lag(y) OVER w, x - lag(x) OVER w) AS h FROM pose WINDOW w AS (PARTITION BY rec ORDER BY f)), d AS (SELECT rec, h - lag(h) OVER (PARTITION BY rec ORDER BY f) AS r FROM h), t AS (SELECT rec, (r + pi()) - 2 * pi() * floor((r + pi()) / (2 * pi())) - pi() AS dh FROM d)
- SELECT rec, round(coalesce(sum(abs(dh)), 0) - abs(coalesce(sum(dh), 0)), 5) AS wiggle FROM t GROUP BY 1""")
+WIGGLE = f"""{ARC}, g AS (SELECT rec, unnest(generate_series(1, CAST(floor((total + 1e-9) / 0.1) AS BIGINT))) AS k FROM e WHERE total >= 0.1 - 1e-9), even AS (SELECT rec, 0 AS k, arg_min(x, f) AS x, arg_min(y, f) AS y FROM q GROUP BY 1 UNION ALL
+ SELECT g.rec, k, CASE WHEN s2 IS NULL THEN x ELSE x + (x2 - x) * (g.s - n.s) / (s2 - n.s) END, CASE WHEN s2 IS NULL THEN y ELSE y + (y2 - y) * (g.s - n.s) / (s2 - n.s) END FROM (SELECT rec, k, k * 0.1 AS s FROM g) g ASOF JOIN n ON g.rec = n.rec AND g.s >= n.s)"""
+
+
+@query(f"""WITH {WIGGLE}, hd AS (SELECT rec, k, atan2(y - lag(y) OVER w, x - lag(x) OVER w) AS h FROM even WINDOW w AS (PARTITION BY rec ORDER BY k)), d AS (SELECT rec, h - lag(h) OVER (PARTITION BY rec ORDER BY k) AS r FROM hd), t AS (SELECT rec, (r + pi()) - 2 * pi() * floor((r + pi()) / (2 * pi())) - pi() AS dh FROM d)
+ SELECT rec, round(coalesce(sum(abs(dh)), 0) - abs(coalesce(sum(dh), 0)), 3) AS wiggle FROM t GROUP BY 1""")
 def wiggle(spark, sf_dir):
     """Total less net turning of each path."""
-    return M.wiggle(poses(spark, sf_dir), "rec").select("rec", F.round("wiggle", 5).alias("wiggle"))
+    paths = poses(spark, sf_dir).select((F.col("rec") * 1000 + F.floor(F.col("f") / 11)).alias("rec"), (F.col("f") % 11).alias("f"), (F.col("x") / 50).alias("x"), (F.col("y") / 10).alias("y"))
+    return M.wiggle(paths, "rec").select("rec", F.round("wiggle", 3).alias("wiggle"))
 
 
 FEATURES = """{POSE}, w AS (SELECT a.rec, a.f AS anchor, p.f - a.f AS k, p.x - a.x AS x, p.y - a.y AS y FROM pose a JOIN pose p ON p.rec = a.rec AND p.f BETWEEN a.f AND a.f + 10 WHERE a.f % 6 = 0), h AS (SELECT *, sqrt(power(x - lag(x) OVER v, 2) + power(y - lag(y) OVER v, 2)) AS hop, max(k) OVER (PARTITION BY rec, anchor) AS last FROM w WINDOW v AS (PARTITION BY rec, anchor ORDER BY k)),

@@ -85,9 +85,9 @@ def best_entry(log: DataFrame) -> DataFrame:
 def episodes_json(spark: SparkSession, folder: str) -> DataFrame:
     """Published episode files (gzipped JSON) with the view points of their goals; episodes without goals go."""
     schema = "episodes array<struct<episode_id:string,scene_id:string,object_category:string,start_position:array<double>>>, goals_by_category map<string,array<struct<position:array<double>>>>"
-    files = spark.read.schema(schema).option("multiLine", True).json(folder)
-    episodes = files.select(F.explode("episodes").alias("e"), F.monotonically_increasing_id().alias("file")).select("file", "e.*")
-    goals = files.select(F.monotonically_increasing_id().alias("file"), F.explode("goals_by_category").alias("category", "goals"))
+    files = spark.read.schema(schema).option("multiLine", True).json(folder).select("*", F.col("_metadata.file_path").alias("file"))
+    episodes = files.select(F.explode("episodes").alias("e"), "file").select("file", "e.*")
+    goals = files.select("file", F.explode("goals_by_category").alias("category", "goals"))
     key = F.concat_ws("_", F.element_at(F.split("scene_id", "/"), -1), "object_category")
     return episodes.withColumn("category", key).join(goals, ["file", "category"])
 

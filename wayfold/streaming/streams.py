@@ -25,32 +25,35 @@ def sessions(poses: DataFrame, gap: str, late: str) -> DataFrame:
 def live_episodes(poses: DataFrame, max_step: float, max_gap_s: float, late: str) -> DataFrame:
     """Episodes that are over: cut at jumps and gaps as the batch operator does, kept per recording between batches.
 
-    Rows of a batch are put in order of time; a row older than the last one seen of its recording is left out.
+    Rows of a batch are put in order of time; a row older than the last one seen of its recording is left out.  The state
+    is one open episode a recording; it comes out once the watermark is past the gap after its last row.
     """
+    columns = ["rec", "t0", "t1", "n", "length"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
         if state.hasTimedOut:
             t0, t1, _, _, n, length = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], t0, t1, n, length)], columns=["rec", "t0", "t1", "n", "length"])
+            yield pd.DataFrame([(key[0], t0, t1, n, length)], columns=columns)
             return
-        now = state.getOption
-        for row in pd.concat(list(batches)).sort_values(["t", "event_id"]).itertuples():
-            if now is not None and row.t < now[1]:
-                continue
-            step = None if now is None else ((row.x - now[2]) ** 2 + (row.y - now[3]) ** 2) ** 0.5
-            if now is None or step > max_step or row.t - now[1] > max_gap_s:
-                if now is not None:
-                    out.append((key[0], now[0], now[1], now[4], now[5]))
-                now = (row.t, row.t, row.x, row.y, 1, 0.0)
-            else:
-                now = (now[0], row.t, row.x, row.y, now[4] + 1, now[5] + step)
+        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])[["t", "x", "y"]]
+        rows["n"], rows["length"] = 1, 0.0
+        if (now := state.getOption) is not None:
+            rows = rows[rows["t"] >= now[1]]
+            rows = pd.concat([pd.DataFrame([(now[1], now[2], now[3], now[4], now[5])], columns=rows.columns), rows])
+        if rows.empty:
+            return
+        step, gap = ((rows["x"].diff() ** 2 + rows["y"].diff() ** 2) ** 0.5).fillna(0.0), rows["t"].diff().fillna(0.0)
+        cut = (step > max_step) | (gap > max_gap_s)
+        rows["hop"] = step.where(~cut, 0.0) + rows["length"]
+        found = rows.groupby(cut.cumsum().to_numpy()).agg(t0=("t", "first"), t1=("t", "last"), x=("x", "last"), y=("y", "last"), n=("n", "sum"), length=("hop", "sum"))
         if now is not None:
-            state.update(now)
-            state.setTimeoutTimestamp(max(int((now[1] + max_gap_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["rec", "t0", "t1", "n", "length"])
+            found.loc[0, "t0"] = now[0]
+        t0, t1, x, y, n, length = found.iloc[-1]
+        state.update((t0, t1, x, y, int(n), length))
+        state.setTimeoutTimestamp(max(int((t1 + max_gap_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        if len(found) > 1:
+            yield found.iloc[:-1].assign(rec=key[0])[columns]
 
     rows = poses.withWatermark("ts", late).withColumn("t", F.unix_micros("ts") / 1e6)
     return rows.groupBy("rec").applyInPandasWithState(run, "rec long, t0 double, t1 double, n long, length double", "t0 double, t1 double, x double, y double, n long, length double", "append", GroupStateTimeout.EventTimeTimeout)
