@@ -81,13 +81,15 @@ def ground_cells(spark, sf_dir):
     return G.low_quantile(cells, ["sweep", "ci", "cj"]).select("sweep", "ci", "cj", F.round("ground", 4).alias("ground"), "n")
 
 
+#: Heights are multiples of small fractions; exact halves would be rounded as the last bit falls.
+OFF_HALVES = 3.3e-8
 _inherit = lambda k: f"k{k + 1} AS (SELECT a.sweep, a.ci, a.cj, coalesce(any_value(a.ground), avg(b.ground)) AS ground FROM k{k} a LEFT JOIN k{k} b ON b.sweep = a.sweep AND b.ci BETWEEN a.ci - 1 AND a.ci + 1 AND b.cj BETWEEN a.cj - 1 AND a.cj + 1 GROUP BY 1, 2, 3)"
 
 
 @query(f"""WITH {POINTS}, p AS (SELECT *, row_number() OVER () AS pid, CAST(floor(x / 8) AS BIGINT) AS ci, CAST(floor(y / 8) AS BIGINT) AS cj, x / 8 - 0.5 AS u, y / 8 - 0.5 AS v FROM pts), zs AS (SELECT sweep, ci, cj, list_sort(list(z)) AS zs FROM p GROUP BY 1, 2, 3),
  k0 AS (SELECT sweep, ci, cj, CASE WHEN len(zs) >= 30 THEN zs[CAST(floor(len(zs) * 0.1) AS INT) + 1] END AS ground FROM zs), {_inherit(0)}, {_inherit(1)}, {_inherit(2)},
  w AS (SELECT pid, p.sweep, id, z, sum((CASE WHEN g.ci = floor(u) THEN 1 - (u - floor(u)) ELSE u - floor(u) END) * (CASE WHEN g.cj = floor(v) THEN 1 - (v - floor(v)) ELSE v - floor(v) END)) AS w, sum(ground * (CASE WHEN g.ci = floor(u) THEN 1 - (u - floor(u)) ELSE u - floor(u) END) * (CASE WHEN g.cj = floor(v) THEN 1 - (v - floor(v)) ELSE v - floor(v) END)) AS wg
-  FROM p JOIN k3 g ON g.sweep = p.sweep AND g.ci IN (floor(u), floor(u) + 1) AND g.cj IN (floor(v), floor(v) + 1) WHERE ground IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT sweep, id, round(z - wg / nullif(w, 0), 9) AS above FROM w""")
+  FROM p JOIN k3 g ON g.sweep = p.sweep AND g.ci IN (floor(u), floor(u) + 1) AND g.cj IN (floor(v), floor(v) + 1) WHERE ground IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT sweep, id, round(z - wg / nullif(w, 0) + {OFF_HALVES}, 5) AS above FROM w""")
 def height_above_ground(spark, sf_dir):
     """Height of every point over the bilinear ground, with cells of few points inheriting from those around."""
     all_points = points(spark, sf_dir)
@@ -95,7 +97,7 @@ def height_above_ground(spark, sf_dir):
     ground = G.low_quantile(cells, ["sweep", "ci", "cj"], least=30)
     wanted = cells.select("sweep", "ci", "cj").distinct()
     filled = G.inherit_ground(ground, wanted, ["sweep"])
-    return G.bilinear(all_points, filled.filter("ground is not null"), ["sweep"], 8.0).select("sweep", "id", F.round("above", 9).alias("above"))
+    return G.bilinear(all_points, filled.filter("ground is not null"), ["sweep"], 8.0).select("sweep", "id", F.round(F.col("above") + OFF_HALVES, 5).alias("above"))
 
 
 @query(f"""WITH {POINTS}, c AS (SELECT DISTINCT sweep, CAST(floor(x * 2) AS BIGINT) AS ix, CAST(floor(y * 8) - 40 AS BIGINT) AS iy FROM pts WHERE z > 1.5), b AS (SELECT sweep, ix // 10 AS bi, (iy + 40) // 10 AS bj, count(*) AS c FROM c WHERE ix < 80 AND iy < 40 GROUP BY 1, 2, 3)
