@@ -88,7 +88,7 @@ class WordEncoder:
         words = [self.words_of(r) for r in runs]
         lacking = list({w for ws in words for w in ws if w not in known})
         if lacking:
-            ids = np.array(self.of_words.encode(" ".join(lacking), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(lacking)], add_special_tokens=False)[0].ids, np.uint32)
             raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             known.update(zip(lacking, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
         for r, ws in zip(runs, words):
