@@ -24,12 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, texts_of, tokenizer_path
+from .common import Memo, claim, in_slices, tokenizer_path
 
 #: The pre-tokenizer's pattern and white space as it takes it, and the special string of the vocabulary.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SPECIAL = "<|endoftext|>"
+LONG_CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 
 CACHE_ENTRIES = 500_000
 SCHEMA = "n_bytes long, n_tokens long, prefix_deltas binary"
@@ -61,6 +62,7 @@ class PrefixCounter:
         self.segments = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+$")
         self.of_pretoken = Memo(self._pretoken, CACHE_ENTRIES)
         self.of_segment = Memo(self._segment, CACHE_ENTRIES // 8)
+        self.spaces = re.compile(f"[{SPACE}]*+")
         self.mixed = re.compile(f"[{SPACE}][{SPACE}]|'")
 
     @staticmethod
@@ -133,28 +135,28 @@ class PrefixCounter:
                 changes[-1] = changes[-1] + now - before & 255
         return bytes(changes)
 
-    def _total(self, text: str) -> int:
-        return sum(sum(array("b", self.of_pretoken[w])) for w in self.pretokens.findall(text))
-
     def _segment(self, segment: str) -> bytes:
-        words = self.pretokens.findall(segment)
-        #: Prefixes are cut as the whole is unless white space is longer than one or an apostrophe may start a contraction.
-        if not self.mixed.search(segment):
-            return b"".join(map(self.of_pretoken.__getitem__, words))
-        at = [0]
-        head = len(segment) - len(segment.lstrip())
-        for end in range(1, len(segment) + 1):
-            #: beyond the first visible characters only the pretoken in hand changes
-            at.append(self._total(segment[:end]) if end <= head + 4 or len(segment) <= 64 else None)
-        if None in at:
-            fixed, done = 0, 0
-            for w in words:
-                for j in range(1, len(w) + 1):
-                    end = done + j
-                    if at[end] is None:
-                        at[end] = fixed + self._total(w[:j])
-                fixed, done = fixed + self._total(w), done + len(w)
-        return array("b", [b - a for a, b in zip(at, at[1:])]).tobytes()
+        """White space, then a visible run: a prefix that ends in the white space is one pretoken; beyond it the last white space stands apart."""
+        head = self.spaces.match(segment).end()
+        if head < 2:
+            return self._visible(segment)
+        space = self.of_pretoken[segment[:head]]
+        if head == len(segment):
+            return space
+        rest = self._visible(segment[head - 1 :])
+        first, second, last = array("b", rest[:2] + space[-1:])
+        return space + array("b", [first + second - last]).tobytes() + rest[2:]
+
+    def _visible(self, run: str) -> bytes:
+        """Pretokens of a run with one white space before it at most; only contractions are cut otherwise in a prefix than in the whole."""
+        out = []
+        for word in self.pretokens.findall(run):
+            changes = self.of_pretoken[word]
+            if word in LONG_CONTRACTIONS:
+                mark, letter = array("b", self.of_pretoken["'"])[0], array("b", self.of_pretoken[word[1]])[0]
+                changes = array("b", [mark, letter, sum(array("b", changes)) - mark - letter]).tobytes()
+            out.append(changes)
+        return b"".join(out)
 
     def deltas(self, text: str) -> bytes:
         """One signed byte per character: tokens of text[:i+1] less tokens of text[:i]."""
@@ -199,7 +201,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         claim("token counts", _counters.clear)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             deltas = [counter.deltas(t) for t in texts]
             tokens = [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in deltas]
@@ -209,7 +211,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(count, f"`{id_col}` {kind}, {SCHEMA}")
+    return docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
