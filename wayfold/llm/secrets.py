@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import in_slices
 
 #: Kinds as listed, and their patterns and least lengths.
 BASE = ("assign", "access", "hex")
@@ -43,8 +43,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "api")
 
 UNPACKED_MOST = 64 << 20
-URL = re.compile(r"[^\s%\"'<>]*(?:%[0-9A-Fa-f]{2}[^\s%\"'<>]*)+")
-ESCAPED = re.compile(r"[^\s\\\"'<>]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\\"'<>]*)+")
+#: A run begins where no character of its kind stands before it and is never given back, so a scan is linear in the text.
+URL = re.compile(r"(?<![^\s%\"'<>])[^\s%\"'<>]*+(?:%[0-9A-Fa-f]{2}[^\s%\"'<>]*+)++")
+ESCAPED = re.compile(r"(?<![^\s\\\"'<>])[^\s\\\"'<>]*+(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\\"'<>]*+)++")
 #: A surrogate pair is one character; half of one is none.
 ESCAPE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\(?:u((?![dD][89a-fA-F])[0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -226,7 +227,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """id, counts of the base kinds, base_sha256 and spans of every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, every = spans(text or "")
@@ -238,7 +239,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
