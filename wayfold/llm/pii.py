@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import in_slices
 
 #: Kinds in the order in which they are listed, and cues with the kind that they announce.
 BASE = ("email", "ip", "card", "phone")
@@ -82,7 +82,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 run += 1
             if run < len(text) and last >= free["ip"] and text[run] == "." and (m := QUAD.match(text, last)):
                 free["ip"] = m.end()
-                if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups()):
+                if all(len(d := g.lstrip("0")) <= 3 and int(d or "0") <= 255 for g in m.groups()):
                     found.append((1, last, m.end()))
             elif last < free["ip"] < run and (m := QUAD.match(text, free["ip"])):
                 free["ip"] = m.end()
@@ -129,17 +129,17 @@ def joined(found: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, counts of the base kinds, base_sha256 and spans of every row; no shuffle."""
+    """id, counts of the base kinds, base_sha256, spans and n_spans (of all kinds) of every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [spans(t) if t else [] for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(x[0] == k for x in f) for f in found], pa.int64()) for k in range(len(BASE))]
             base = [hashlib.sha256(joined([x for x in f if x[0] < len(BASE)]).encode()).hexdigest() for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array(map(joined, found), pa.string())], names=[id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array(map(joined, found), pa.string()), pa.array(map(len, found), pa.int64())], names=[id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(text: str) -> str:
@@ -164,7 +164,7 @@ def _redact(texts):
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced, and n_chars (where there is one) counted anew."""
-    out = texts_of(docs).withColumn(text_col, _redact.asNondeterministic()(text_col))
+    out = docs.withColumn(text_col, _redact.asNondeterministic()(text_col))
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
