@@ -6,7 +6,7 @@ potential from how often states go together.  Sum-product messages upward and do
 the runs of text that are more likely content than not are the main text, in page order.
 
 The potentials are counted on labelled pages: pages made by rule here, each part of which is labelled, and a bounded
-hash sample (about `SAMPLE_PAGES`) of the table's own pages that have landmarks, of which `MODEL_FEATURES` features stay.
+hash sample (about `SAMPLE_PAGES`) of the table's own pages that have landmarks, of which features seen `LEAST_SEEN` times stay.
 
 Defined cases: null html counts as empty, whose text is empty; unclosed and stray tags are taken as browsers take them
 in the main; raw elements (script, style and the like) hold no text; repeated rows give repeated results; an empty
@@ -27,21 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, texts_of
+from .common import Memo
 
-SAMPLE_PAGES, MODEL_FEATURES = 2000, 5000
+SAMPLE_PAGES, LEAST_SEEN = 2000, 2
 #: Features of one node depend on each other, so those other than names count for less; names seen in one state decide nearly alone.
 UNNAMED, NAMED_PRIOR = 0.3, 0.02
 
 #: Elements of running text, elements without content, elements whose text is no text of the page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select xmp audio video canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg select audio video canvas".split())
 #: Which open elements a start tag ends, up to the element that holds them.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 LANDMARKS = {"article": 1, "main": 1, "nav": 0, "header": 0, "footer": 0, "aside": 0, "form": 0}
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?][^>]*>)""", re.DOTALL)
+#: What stands behind '<' if it opens or closes an element, and its attributes up to the '>' that ends it.
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*+")
+ATTRIBUTES = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*.?true", re.IGNORECASE)
 MARK = re.compile(r"data-content=(\d)")
@@ -57,10 +59,37 @@ def plain(text: str) -> str:
     return " ".join(text.split())
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of tags, comments and declarations (no name) in page order, in one pass over the page.
+
+    A quote that never ends would take the rest of the page with it; from the first such tag on, tags end at the next '>'.
+    A '<' with no '>' behind it is text.
+    """
+    at, last, quoted = 0, page.rfind(">"), True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", ""
+        elif start > last:
+            return
+        elif page[start + 1] in "!?":
+            at = page.index(">", start) + 1
+            yield start, at, "", ""
+        elif m := NAME.match(page, start + 1):
+            found = ATTRIBUTES.match(page, m.end()) if quoted else None
+            quoted = quoted and found is not None
+            at = found.end() if found else page.index(">", m.end()) + 1
+            yield start, at, m[0].lower(), page[m.end() : at - 1]
+        else:
+            at = start + 1
+
+
 def parse(page: str) -> list[Node]:
     """The nodes of a page in page order; the first is the document."""
     nodes: list[Node] = [(-1, "#document", "", "", 0.0)]
     stack, run, at, in_link = [0], [], 0, False
+    depths: dict[str, list[int]] = {}  # of the open elements by name
 
     def flush() -> None:
         if run:
@@ -70,22 +99,26 @@ def parse(page: str) -> list[Node]:
                 nodes.append((stack[-1], "", "", text, linked / total))
             run.clear()
 
-    find = TAG.search
-    while m := find(page, at):
-        if m.start() > at:
-            run.append((page[at : m.start()], in_link))
-        at = m.end()
-        name = m[2]
-        if name is None:
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            depths[nodes[stack.pop()][1]].pop()
+
+    lowest = lambda names: max((depths[x][-1] for x in names if depths.get(x)), default=0)
+    for start, end, name, attributes in tags(page):
+        if start < at:  # inside a raw element
+            continue
+        if start > at:
+            run.append((page[at:start], in_link))
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
+        if name[0] == "/":
+            name = name[1:]
             if name == "a":
                 in_link = False
-            elif name not in INLINE and any(nodes[k][1] == name for k in stack):
+            elif name not in INLINE and depths.get(name):
                 flush()
-                while nodes[stack.pop()][1] != name:
-                    pass
+                close(depths[name][-1])
             continue
         if name in INLINE:
             if name == "a":
@@ -95,24 +128,23 @@ def parse(page: str) -> list[Node]:
             continue
         flush()
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at) if not m[3].endswith("/") else None
-            at = end.end() if end else (at if m[3].endswith("/") else len(page))
+            if not attributes.endswith("/"):
+                ended = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+                at = ended.end() if ended else len(page)
             continue
         if nodes[stack[-1]][1] == "p" and name not in VOID:
-            stack.pop()
+            close(len(stack) - 1)
         if name in ENDS:
             closes, holds = ENDS[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]][1] in holds:
+            while (depth := lowest(closes)) > lowest(holds):
+                close(depth)
+                if name != "tr":
                     break
-                if nodes[stack[depth]][1] in closes:
-                    del stack[depth:]
-                    if name != "tr":
-                        break
         if name in VOID:
             continue
-        nodes.append((stack[-1], name, m[3], "", 0.0))
-        if not m[3].endswith("/"):
+        nodes.append((stack[-1], name, attributes, "", 0.0))
+        if not attributes.endswith("/"):
+            depths.setdefault(name, []).append(len(stack))
             stack.append(len(nodes) - 1)
     if at < len(page):
         run.append((page[at:], in_link))
@@ -271,7 +303,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Mo
     usable = pages.filter(F.col(html_col).isNotNull())
     share = min(1.0, SAMPLE_PAGES / max(1, usable.count()))
     sample = usable.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(F.col(html_col).alias("html"))
-    counted = sample.mapInArrow(run, "feature string, state int, n long").groupBy("feature", "state").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "feature", "state").limit(MODEL_FEATURES)
+    #: as many rows as features in a bounded sample
+    counted = sample.mapInArrow(run, "feature string, state int, n long").groupBy("feature", "state").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SEEN)
     total = Counter({(r["feature"], r["state"]): r["n"] for r in counted.collect()})
     for page in labelled_pages():
         total.update(count(page, True))
@@ -291,7 +324,7 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    return texts_of(pages, id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
+    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
 
 
 def op9_tree_model_html(spark, sf_dir: str) -> DataFrame:
