@@ -5,8 +5,8 @@ character n-grams, from the longest down to single letters: the first length at
 the mean of the known n-grams' log frequencies.  A text's language has the highest sum over its words; the score is
 that language's share after the sums are tempered by the square root of the number of words.
 
-The model is fitted on a bounded sample: about `SAMPLE_DOCS` labelled rows by hash, of which the `MODEL_WORDS` most
-frequent words and the `MODEL_GRAMS` most frequent n-grams are kept, so that its broadcast is bounded too.
+The model is fitted on a bounded sample: about `SAMPLE_DOCS` labelled rows by hash.  It knows the words that the sample has
+`LEAST_WORD` times or more and the n-grams that it has `LEAST_GRAM` times or more, so its broadcast is bounded as the sample is.
 
 Defined cases: null text, empty text and text without letters give `und` with score 0; with no labelled rows every text
 gives `und`; ties go to the language that is first by name; repeated rows give repeated results; an empty table gives
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -26,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, texts_of
+from .common import claim, materialize, in_slices
 
 UNKNOWN = "und"
-SAMPLE_DOCS, MODEL_WORDS, MODEL_GRAMS, LONGEST_GRAM = 8000, 25_000, 25_000, 5
+SAMPLE_DOCS, LEAST_WORD, LEAST_GRAM, LONGEST_GRAM = 8000, 2, 4, 5
 CACHE_ENTRIES = 250_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Units that are counted together before they go on.
+UNITS = 200_000
+#: Word characters that are numbers without being decimal digits, such as fractions and Roman numerals, are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -42,17 +47,25 @@ def grams(word: str, n: int) -> list[str]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, unit ('w' and a word, or the n-gram length and an n-gram) and its count, for each batch."""
-    for batch in batches:
+    for batch in in_slices(batches):
         words: dict[str, Counter] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
         for lang, counts in words.items():
-            units = Counter({f"w{w}": c for w, c in counts.items()})
+            units: Counter = Counter()
             for word, c in counts.items():
+                units[f"w{word}"] += c
                 for n in range(1, LONGEST_GRAM + 1):
-                    for g in grams(word[:64], n):
-                        units[f"{n}{g}"] += c
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(units)), pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["lang", "unit", "n"])
+                    for g, more in Counter(grams(word, n)).items():
+                        units[f"{n}{g}"] += c * more
+                if len(units) >= UNITS:
+                    yield _units(lang, units)
+                    units.clear()
+            yield _units(lang, units)
+
+
+def _units(lang: str, units: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(units)), pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["lang", "unit", "n"])
 
 
 class Model:
@@ -136,24 +149,23 @@ def fit(labelled: DataFrame, key: Column, text_col: str = "text", lang_col: str
     usable = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     share = min(1.0, SAMPLE_DOCS / max(1, usable.count()))
     sample = usable.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    counted = texts_of(sample, F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, unit string, n long")
+    counted = sample.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, unit string, n long")
     per_unit = materialize(counted.groupBy("lang", "unit").agg(F.sum("n").alias("n")).groupBy("unit").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("langs")), "units")
-    is_word = F.col("unit").startswith("w")
-    top = lambda some, most: per_unit.filter(some).orderBy(F.desc("total"), "unit").limit(most).select("unit", "langs.lang", "langs.n").collect()  # noqa: E731  bounded
-    return Model([tuple(r) for r in (*top(is_word, MODEL_WORDS), *top(~is_word, MODEL_GRAMS))])
+    least = F.when(F.col("unit").startswith("w"), LEAST_WORD).otherwise(LEAST_GRAM)
+    return Model([tuple(r) for r in per_unit.filter(F.col("total") >= least).select("unit", "langs.lang", "langs.n").orderBy("unit").collect()])  # bounded as the sample is
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score of every row; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as its sample is
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
@@ -161,11 +173,11 @@ def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [shared.value.predict(t) for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return texts_of(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
