@@ -1,17 +1,22 @@
 """Merkle fixity audit of WARC replicas (operator 5).
 
 Rows become WARC records in numbered places; a file is 4096 places in a row, and a record's offset is the sum of the
-lengths before it in its file.  A record's leaf hashes its place, offset, length and content; inner nodes hash their
-children in order and cover one range of places and offsets.  Both replicas' trees are built level by level, each group
-being at most `1 << STEPS[k]` children.  The audit compares the roots and joins its way down only below nodes that
-differ, until the damaged records are found.
-
-Defined cases: a null url or html counts as empty; a record that a replica lacks is `missing` there; repeated rows are
-records of their own; an empty table gives an empty result; columns other than those named are ignored.
+lengths before it in its file.  Each replica gets a manifest and a tree of its own, from its own bytes and offsets: a
+record's leaf hashes its place, length and content; an inner node hashes its children's places, lengths and hashes in
+order, which fixes the ordered offset ranges below it, and covers their range of offsets.  The audit compares the roots
+and goes down only below nodes that differ, level by level, with a full outer join of the children there.  Where the
+roots are equal, nothing else is compared.
+
+Defined cases: a null url or html counts as empty; a record that the replica lacks is `missing`, one with other bytes
+`corrupt`, one that only the replica has `extra` (with the replica's offset, length and digest); places are unique in a
+replica; repeated rows are records of their own; an empty table gives an empty result; columns other than those named
+are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -21,6 +26,8 @@ from .common import materialize
 #: Bits by which a place shortens from level to level: 16, 256 and 4096 records in a file, then files.
 STEPS = (4, 4, 4, 8, 8, 8, 8, 8, 12)
 FILE_BITS = 12
+#: The table does not tell when a page was fetched, and every record must say so.
+CAPTURED = "1970-01-01T00:00:00Z"
 
 
 def warc_record(url: Column, body: Column, number: Column) -> Column:
@@ -28,7 +35,7 @@ def warc_record(url: Column, body: Column, number: Column) -> Column:
     body = F.encode(F.coalesce(body, F.lit("")), "UTF-8")
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), F.regexp_replace(F.md5(number.cast("string").cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
-        F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nWARC-Payload-Digest: sha256:"), F.sha2(body, 256),
+        F.lit(f">\r\nWARC-Date: {CAPTURED}\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nWARC-Payload-Digest: sha256:"), F.sha2(body, 256),
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
@@ -40,55 +47,72 @@ def archive(pages: DataFrame) -> DataFrame:
     return materialize(numbered.select("page_id", "place", warc_record(F.col("url"), F.col("html"), F.col("place")).alias("record")), "warc")
 
 
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """(headers, body, offset, length) of each record of a WARC file; ValueError where the bytes are no record."""
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at : max(at, end)].decode().split("\r\n")
+        if end < 0 or not lines[0].startswith("WARC/1."):
+            raise ValueError(f"no record at byte {at}")
+        headers = dict(line.split(": ", 1) for line in lines[1:])
+        after = end + 4 + int(headers["Content-Length"])
+        if data[after : after + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} does not end at byte {after}")
+        yield headers, data[end + 4 : after], at, after + 4 - at
+        at = after + 4
+
+
 def manifest(records: DataFrame) -> DataFrame:
-    """page_id, place, file, offset, length and sha256 of every record."""
+    """page_id, place, file, offset, length and sha256 of every record of one replica."""
     in_file = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     sized = records.select("page_id", "place", F.shiftright("place", FILE_BITS).alias("file"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"))
     return sized.withColumn("offset", F.coalesce(F.sum("length").over(in_file), F.lit(0)))
 
 
-def leaves(listed: DataFrame, replica: DataFrame) -> DataFrame:
-    """Leaf hashes of both sides by place, and the range of offsets; a record that the replica lacks has none."""
-    other = replica.select("place", F.octet_length("record").cast("long").alias("other_length"), F.sha2("record", 256).alias("other_sha256"))
-    leaf = lambda length, digest: F.when(F.col(digest).isNotNull(), F.sha2(F.concat_ws("|", F.lit("leaf"), "place", "offset", length, digest), 256))
-    both = listed.join(other, "place", "left")
-    return both.select(F.col("place").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), leaf("length", "sha256").alias("here"), leaf("other_length", "other_sha256").alias("there"))
+def leaves(listed: DataFrame) -> DataFrame:
+    """node (the place), first and last (its offsets, in the file), size and hash of every record of a manifest."""
+    return listed.select(F.col("place").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), F.col("length").alias("size"), F.sha2(F.concat_ws("|", F.lit("leaf"), "place", "length", "sha256"), 256).alias("hash"))
 
 
 def parents(nodes: DataFrame, step: int) -> DataFrame:
-    """The next level up: hashes over the children in order, and the range that they cover."""
-    child = F.struct("node", F.coalesce("here", F.lit("-")).alias("here"), F.coalesce("there", F.lit("-")).alias("there"))
-    grouped = nodes.groupBy(F.shiftright("node", step).alias("node")).agg(F.sort_array(F.collect_list(child)).alias("children"), F.min("first").alias("first"), F.max("last").alias("last"))
-    hashed = lambda side: F.sha2(F.concat(F.lit("node|"), F.array_join(F.transform("children", lambda c: F.concat_ws("|", c["node"], c[side])), ",")), 256).alias(side)
-    return grouped.select("node", "first", "last", hashed("here"), hashed("there"))
+    """The next level up: hashes over the children in order, and the range of offsets that they cover."""
+    grouped = nodes.groupBy(F.shiftright("node", step).alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "size", "hash"))).alias("children"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("size").alias("size"))
+    listed = F.array_join(F.transform("children", lambda c: F.concat_ws("|", c["node"], c["size"], c["hash"])), ",")
+    return grouped.select("node", "first", "last", "size", F.sha2(F.concat(F.lit("node|"), listed), 256).alias("hash"))
 
 
-def tree(level: DataFrame) -> list[DataFrame]:
-    """All levels from the leaves to the root, each written once."""
-    levels = [materialize(level, "level0")]
+def tree(level: DataFrame, name: str) -> list[DataFrame]:
+    """All levels from the leaves to the root, each written once; at most `1 << STEPS[k]` children go into a node."""
+    levels = [materialize(level, f"{name}0")]
     for k, step in enumerate(STEPS, 1):
-        levels.append(materialize(parents(levels[-1], step), f"level{k}"))
-        if len(levels[-1].limit(2).collect()) < 2:
-            break
+        levels.append(materialize(parents(levels[-1], step), f"{name}{k}"))
     return levels
 
 
-def mismatches(levels: list[DataFrame]) -> DataFrame:
-    """Leaves that differ, found from the root down: only children of nodes that differ are looked at."""
-    differs = ~F.col("here").eqNullSafe(F.col("there"))
-    found = levels[-1].filter(differs)
-    for k in range(len(levels) - 2, -1, -1):
-        above = found.select(F.col("node").alias("parent"))
-        below = levels[k].withColumn("parent", F.shiftright("node", STEPS[k]))
-        found = materialize(below.join(above, "parent", "left_semi").drop("parent").filter(differs), f"mismatch{k}")
+def mismatches(here: list[DataFrame], there: list[DataFrame]) -> DataFrame:
+    """node, here and there (hashes) of the leaves that differ, found from the roots down: only children of nodes that differ are looked at."""
+    found = None
+    for k in range(len(here) - 1, -1, -1):
+        sides = [tree[k].select("node", F.col("hash").alias(side)) for tree, side in ((here, "here"), (there, "there"))]
+        if found is not None:
+            above = found.select(F.col("node").alias("above"))
+            sides = [side.join(above, F.shiftright(side["node"], STEPS[k]) == above["above"], "left_semi") for side in sides]
+        found = materialize(sides[0].join(sides[1], "node", "full").filter(~F.col("here").eqNullSafe(F.col("there"))), f"differ{k}")
+        if found.isEmpty():
+            return found
     return found
 
 
 def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """page_id, file, place, offset, length, sha256 and status (intact, corrupt or missing) of every record."""
-    listed = materialize(manifest(records), "manifest")
-    bad = mismatches(tree(leaves(listed, replica))).select(F.col("node").alias("place"), F.when(F.col("there").isNull(), "missing").otherwise("corrupt").alias("status"))
-    return listed.join(bad, "place", "left").select("page_id", "file", "place", "offset", "length", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))
+    """page_id, file, place, offset, length, sha256 and status (intact, corrupt, missing or extra) of every record."""
+    ours, theirs = (materialize(manifest(r), "manifest") for r in (records, replica))
+    found = mismatches(tree(leaves(ours), "here"), tree(leaves(theirs), "there"))
+    status = F.when(F.col("there").isNull(), "missing").when(F.col("here").isNull(), "extra").otherwise("corrupt")
+    bad = materialize(found.select(F.col("node").alias("place"), status.alias("status")), "damage")
+    columns = ["page_id", "file", "place", "offset", "length", "sha256"]
+    extra = theirs.join(bad.filter("status = 'extra'"), "place").select(*columns, "status")
+    return ours.join(bad, "place", "left").select(*columns, F.coalesce("status", F.lit("intact")).alias("status")).unionByName(extra)
 
 
 def damaged(records: DataFrame, key: str = "page_id") -> DataFrame:
