@@ -28,14 +28,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SLICE_ROWS = 1000
+SLICE_ROWS, SLICE_BYTES = 1000, 16 << 20
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches in pieces of at most so many rows, so that long texts are Python objects a few at a time."""
+    """Batches in pieces of at most so many rows, fewer where rows are long, so that texts are Python objects a few at a time."""
     for batch in batches:
-        for first in range(0, batch.num_rows, rows):
-            yield batch.slice(first, rows)
+        size = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for first in range(0, batch.num_rows, size):
+            yield batch.slice(first, size)
 
 
 def tokenizer_path(name: str) -> str:
