@@ -33,3 +33,43 @@ def test_odd_tables(docs, empty, corpus):
     assert kept.columns == docs.columns and kept.filter("doc_id in (0, 1, 2, 9)").count() == 0
     assert langid.predict(empty, langid.fit(empty, F.col("doc_id"))).count() == 0
     assert langid.predict(docs, langid.fit(empty, F.col("doc_id"))).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_numbers_are_no_letters():
+    assert langid.words_of("½ ² Ⅷ x² Ünï 3d É") == ["x", "ünï", "d", "é"] and langid.words_of("1 ½ ²") == []
+    model = langid.Model([("1a", ["en"], [4])])
+    assert model.predict("½ ² Ⅷ 12") == ("und", 0.0)
+
+
+def test_model_and_scores_against_plain_counting(spark):
+    """Counts of a small table, and each prediction from them, in plain Python."""
+    import math
+    from collections import Counter
+
+    rows = [("the cat sat on the mat again and again", "en"), ("le chat est sur le tapis encore et encore", "fr"), ("the dog and the cat", "en"), ("x" * 90 + " le chien " + "x" * 90, "fr"), (None, "fr"), ("kein", None)]
+    model = langid.fit(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, text string, lang string"), F.col("id"))
+    units = {"en": Counter(), "fr": Counter()}
+    for text, lang in rows:
+        for word in text.split() if text and lang else []:
+            units[lang][f"w{word}"] += 1
+            for n in range(1, 6):
+                marked = f"<{word}>" if n > 1 else word
+                units[lang].update(f"{n}{marked[i : i + n]}" for i in range(len(marked) - n + 1))
+    known = {u for c in units.values() for u in c if sum(x[u] for x in units.values()) >= (2 if u[0] == "w" else 4)}
+    total = {(lang, kind): sum(n for u, n in c.items() if u in known and u[0] == kind) for lang, c in units.items() for kind in "w12345"}
+    log = lambda lang, u: math.log((units[lang][u] + 0.5) / (total[lang, u[0]] + 1))
+    assert set(model.row) == known
+    for text in ("the cat", "le tapis", "again chien", "catx", "x" * 200, "zzz", "the le"):
+        sums = []
+        for lang in ("en", "fr"):
+            s = 0.0
+            for word in text.split():
+                found = [f"w{word}"] if f"w{word}" in known else []
+                for n in range(5, 0, -1):
+                    marked = f"<{word}>" if n > 1 else word
+                    found = found or [u for i in range(len(marked) - n + 1) if (u := f"{n}{marked[i : i + n]}") in known]
+                s += sum(log(lang, u) for u in found) / len(found) if found else 0.0
+            sums.append(s)
+        lang, score = model.predict(text)
+        shares = [math.exp((s - max(sums)) / math.sqrt(len(text.split()))) for s in sums]
+        assert lang == ("en", "fr")[sums.index(max(sums))] and abs(score - max(shares) / sum(shares)) < 1e-9

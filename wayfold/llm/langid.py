@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,17 @@ SAMPLE_DOCS, LEAST_WORD, LEAST_GRAM, LONGEST_GRAM = 8000, 2, 4, 5
 CACHE_ENTRIES = 250_000
 #: Units that are counted together before they go on.
 UNITS = 200_000
-#: Word characters that are numbers without being decimal digits, such as fractions and Roman numerals, are no letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Letters, and numbers that are no decimal digits (fractions, Roman numerals), which words_of() takes out.
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case."""
+    low = text.lower()
+    words = LETTERS.findall(low)
+    if low.isascii() or all(map(str.isalpha, set(words))):
+        return words
+    return "".join(c if c.isalpha() else " " for c in low).split()
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -50,7 +58,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches):
         words: dict[str, Counter] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            words.setdefault(lang, Counter()).update(words_of(text))
         for lang, counts in words.items():
             units: Counter = Counter()
             for word, c in counts.items():
@@ -84,17 +92,28 @@ class Model:
             totals[unit[0]] = totals.get(unit[0], 0) + counts[k]
         self.logs = np.log((counts + 0.5) / (np.array([totals[u[0]] for u in self.row]).reshape(counts.shape) + 1)) if rows else counts
 
-    def word(self, word: str) -> np.ndarray:
+    def units(self, word: str) -> list[int]:
+        """Places of the word, or else of its n-grams of the greatest length at which any is known."""
         if (known := self.row.get(f"w{word}")) is not None:
-            return self.logs[known]
+            return [known]
         for n in range(LONGEST_GRAM, 0, -1):
-            found = [x for g in grams(word, n) if (x := self.row.get(f"{n}{g}")) is not None]
-            if found:
-                return self.logs[found].mean(axis=0)
-        return np.zeros(len(self.languages))
+            if found := [x for g in grams(word, n) if (x := self.row.get(f"{n}{g}")) is not None]:
+                return found
+        return []
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Mean log frequencies of each word's units, a row a word; zeros where none is known."""
+        found = [self.units(w) for w in words]
+        sizes = np.array([len(f) for f in found], np.int64)
+        out = np.zeros((len(words), max(1, len(self.languages))))
+        some = sizes > 0
+        if some.any():
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            out[some] = np.add.reduceat(self.logs[flat], (np.cumsum(sizes) - sizes)[some]) / sizes[some, None]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
         seen, total = _seen_by(self), np.zeros(len(self.languages))
@@ -104,9 +123,10 @@ class Model:
             if len(seen.rows) + len(new) > CACHE_ENTRIES:
                 seen.rows.clear()
                 new = list(set(part))
-            for w in new:
-                seen.table[len(seen.rows)] = self.word(w)
-                seen.rows[w] = len(seen.rows)
+            first_new = len(seen.rows)
+            if new:
+                seen.table[first_new : first_new + len(new)] = self.scores(new)
+                seen.rows.update(zip(new, range(first_new, first_new + len(new))))
             total += seen.table[np.fromiter(map(seen.rows.__getitem__, part), np.int64, len(part))].sum(axis=0)
             for w in new:
                 if len(w) > 64:  # its row stays unused until the next clearing
