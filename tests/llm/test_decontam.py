@@ -89,3 +89,13 @@ def test_odd_tables(docs, empty, spark):
     kept = D.clean(docs, items)
     assert kept.columns == docs.columns and kept.filter("doc_id in (4, 5)").count() == 0 and kept.count() == 8
     assert D.find(empty, items).count() == 0 and D.find(docs, items.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(docs, spark):
+    items = spark.createDataFrame([(1, "The cat sat on the mat.")], "item_id long, text string")
+    for kind in ("smallint", "string", "date", "decimal(9,2)"):
+        typed = items.selectExpr("cast('2024-01-01' AS date) AS item_id" if kind == "date" else f"cast(item_id AS {kind}) AS item_id", "text")
+        for shared in (10**6, 0):
+            found = D.find(docs, typed, most_shared=shared)
+            assert found.schema["item_id"].dataType == typed.schema["item_id"].dataType
+            assert {r.doc_id for r in found.collect()} == {4, 5} and {r.item_id for r in found.collect()} == {r.item_id for r in typed.collect()}

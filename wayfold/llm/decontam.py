@@ -10,7 +10,8 @@ Smith-Waterman over words; a document is contaminated by an item if the score is
 scores against itself, or if `LEAST_RUN` or more of the score comes with it in a long item.
 
 The seeds go to the tasks as a sorted array while there are at most `MOST_SHARED` n-grams; beyond that the corpus's
-n-grams are joined with them in a shuffle, and pairs go to the tasks for so many items at a time.  Both ways give the same rows.
+n-grams are joined with them in a shuffle, and pairs go to the tasks for so many items at a time.  That bounds what is
+broadcast; both ways give the same rows, which the tests hold them to.
 
 Defined cases: null text and items without words match nothing; items of fewer than four words are one seed of all their
 words; repeated rows give repeated results; an empty benchmark or corpus gives an empty result; other columns are
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize, in_slices
 from .words import shingles, word_ids
@@ -180,6 +182,7 @@ def _hits(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...], reach: in
 def _paired(docs: DataFrame, items: DataFrame, chunks: int) -> DataFrame:
     """(id, item_id, place, item_place) of dense pairs: only for benchmarks too large to share, of which each pass takes one chunk."""
     id_kind, item_kind = docs.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     out = None
     for chunk in range(chunks):
         some = [(r["item_id"], word_ids(r["item_text"])) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == chunk).collect()]
@@ -191,7 +194,7 @@ def _paired(docs: DataFrame, items: DataFrame, chunks: int) -> DataFrame:
                 for k, text in enumerate(batch.column(1).to_pylist()):
                     for item, places, item_places in pairs.seeds(word_ids(text)):
                         at = pa.array(np.full(len(places), k))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([names[item]] * len(places), _arrow(item_kind)), pa.array(places.astype(np.int32)), pa.array(item_places.astype(np.int32))], names=["id", "item_id", "place", "item_place"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([names[item]] * len(places), item_type), pa.array(places.astype(np.int32)), pa.array(item_places.astype(np.int32))], names=["id", "item_id", "place", "item_place"])
 
         found = materialize(docs.select("id", "text").mapInArrow(run, f"id {id_kind}, item_id {item_kind}, place int, item_place int"), "paired")
         out = found if out is None else out.union(found)
@@ -259,6 +262,7 @@ def _find_shared(texts: DataFrame, items: DataFrame, grams: DataFrame, documents
     wanted = np.unique(np.array([r["gram"] for r in grams.select("gram").distinct().collect()], np.int64).astype(np.uint64))
     sizes = tuple(sorted({min(SEED_WORDS, len(w)) for w in words.values() if len(w)}))
     id_kind, item_kind = texts.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     hits = materialize(_hits(texts, wanted if len(wanted) else np.zeros(1, np.uint64), sizes, longest + slack(longest), Pairs(list(words.values()))), "hits")
     frequency = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     where = defaultdict(list)
@@ -290,7 +294,7 @@ def _find_shared(texts: DataFrame, items: DataFrame, grams: DataFrame, documents
                         at.append(k)
                         rows.append((item, score / len(words[item]), score, first, last))
             columns = list(zip(*rows)) or [()] * 5
-            kinds = [_arrow(item_kind), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+            kinds = [item_type, pa.float64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "item_id", "score", "matched", "first_word", "last_word"])
 
     return hits.mapInArrow(run, f"id {id_kind}, {FOUND.format(item=item_kind)}")
@@ -322,10 +326,6 @@ def _find_joined(texts: DataFrame, items: DataFrame, grams: DataFrame, documents
     return paired.select("id", "item_id", "text", "item_text", "places").mapInArrow(run, f"id {id_kind}, {FOUND.format(item=item_kind)}")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
     """The rows, with all their columns, of documents that no test item contaminates."""
     leaks = materialize(find(docs, benchmark, id_col, **columns).select(id_col).distinct(), "leaking")
