@@ -29,11 +29,32 @@ def test_round_trip(size):
 
 def test_long_packets_continue_over_pages():
     packet = bytes(200_000)
-    pages = O.pages_of(packet, 5, 0, 99, O.FIRST | O.LAST)
+    pages = O.pages_of([(packet, 99)], 5, 0, O.FIRST | O.LAST)
     assert len(pages) > 1 and [p[5] & O.CONTINUED for p in pages] == [0] + [1] * (len(pages) - 1)
     assert [(p, g) for _, p, g, _ in O.packets(b"".join(pages))] == [(packet, 99)]
 
 
+@pytest.mark.parametrize("most", [1, 2, 7, 32, 255])
+def test_granules_of_several_packets_on_a_page(most):
+    sizes = [64, 1, 0, 255, 700, 5, 5, 510, 33]
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    pages = O.pages_of([(bytes([k]) * n, e) for k, (n, e) in enumerate(zip(sizes, ends))], 9, 1, O.LAST, most)
+    head = O.pages_of([(b"head", 0)], 9, 0, O.FIRST)
+    got = list(O.packets(b"".join(head + pages)))
+    assert [(p, g) for _, p, g, _ in got[1:]] == [(bytes([k]) * n, e) for k, (n, e) in enumerate(zip(sizes, ends))]
+
+
+def test_written_pages_share_and_continue_packets():
+    media = O.encode(bytes(200_000))
+    pages, at = [], 0
+    while at < len(media):
+        segments = media[at + 26]
+        values = media[at + 27 : at + 27 + segments]
+        pages.append((media[at + 5], sum(v < O.FULL for v in values)))
+        at += 27 + segments + sum(values)
+    assert any(kind & O.CONTINUED for kind, _ in pages) and any(ends > 1 for _, ends in pages)
+
+
 def test_damage_is_found():
     media = O.encode(bytes(range(64)) * 300)
     for at in (10, 30, len(media) // 2, len(media) - 1):

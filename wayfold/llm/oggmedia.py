@@ -1,9 +1,10 @@
 """Ogg media columns (operator 2).
 
-A payload becomes the packets of two logical streams (even and odd blocks of samples), multiplexed page by page into one
-physical Ogg stream: page headers with checksums, lacing values and granule positions.  Reading verifies each page's
-checksum and sequence number, reassembles packets from lacing values, demultiplexes the streams, takes each packet's
-time from granule positions and puts the samples in order of time.
+A payload is cut into blocks of samples, dealt in turn over two logical streams as packets, and multiplexed page by page
+into one physical Ogg stream: page headers with checksums, lacing values and granule positions.  A page carries several
+packets, and packets go on over pages.  Reading verifies each page's checksum and sequence number, reassembles packets
+from lacing values, demultiplexes the streams, derives each packet's time from granule positions (a page has that of the
+last packet that ends on it; those before end as many samples earlier) and puts the samples in order of time.
 
 Defined cases: null text counts as empty, whose payload is 64 zero bytes; damaged, truncated or missing pages raise
 OggError with the place; equal texts give equal bytes; an empty table gives an empty result; other columns are ignored.
@@ -14,7 +15,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ CONTINUED, FIRST, LAST = 1, 2, 4
 FULL, MOST_SEGMENTS = 255, 255
 #: Our sample format: one channel of unsigned 8-bit samples; a block is one packet.
 MAGIC, RATE, BLOCK, STREAMS = b"PCM-U8\0\0", 8000, 4096, 2
+#: Segments of a page that we write.
+PAGE_SEGMENTS = 32
 
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -45,40 +49,37 @@ def lacing(size: int) -> bytes:
     return bytes([FULL]) * (size // FULL) + bytes([size % FULL])
 
 
-def pages_of(packet: bytes, serial: int, number: int, granule: int, flags: int) -> list[bytes]:
-    """The pages that carry one packet; only the page on which it ends has its granule position."""
-    values, out, at = lacing(len(packet)), [], 0
-    for first in range(0, len(values), MOST_SEGMENTS):
-        part = values[first : first + MOST_SEGMENTS]
-        ends = first + MOST_SEGMENTS >= len(values)
-        kind = (CONTINUED if first else 0) | (flags & FIRST if not first else 0) | (flags & LAST if ends else 0)
-        body = packet[at : at + sum(part)]
+def pages_of(packets: list[tuple[bytes, int]], serial: int, number: int = 0, flags: int = 0, most: int = MOST_SEGMENTS) -> list[bytes]:
+    """The pages that carry packets, each with the granule position of its end; a page on which none ends has -1.  FIRST and LAST in flags go to the first and the last page."""
+    values, ends, out, at = b"", {}, [], 0
+    for packet, granule in packets:
+        values += lacing(len(packet))
+        ends[len(values) - 1] = granule
+    data = b"".join(p for p, _ in packets)
+    for first in range(0, len(values), most):
+        part = values[first : first + most]
+        granule = next((ends[k] for k in range(first + len(part) - 1, first - 1, -1) if k in ends), -1)
+        kind = (CONTINUED if first and first - 1 not in ends else 0) | (flags & FIRST if not first else 0) | (flags & LAST if first + most >= len(values) else 0)
+        body = data[at : at + sum(part)]
         at += len(body)
-        head = HEADER.pack(b"OggS", 0, kind, granule if ends else -1, serial, number + len(out), 0, len(part)) + part
-        page = head + body
+        page = HEADER.pack(b"OggS", 0, kind, granule, serial, number + len(out), 0, len(part)) + part + body
         out.append(page[:22] + checksum(page).to_bytes(4, "little") + page[26:])
     return out
 
 
 def encode(payload: bytes) -> bytes:
-    """One physical stream with the payload's blocks dealt over the logical streams."""
-    seed = zlib.crc32(payload)
-    serials = [(seed + k) & 0xFFFFFFFF for k in range(STREAMS)]
-    blocks = [payload[i : i + BLOCK] for i in range(0, len(payload), BLOCK)]
-    numbers, out = [1] * STREAMS, []
-    for k, serial in enumerate(serials):
-        more = len(blocks) > k
-        out += pages_of(MAGIC + struct.pack("<IHHQ", RATE, k, STREAMS, len(payload)), serial, 0, 0, FIRST | (0 if more else LAST))
-    for n, block in enumerate(blocks):
-        k, end = n % STREAMS, min(len(payload), (n + 1) * BLOCK)
-        made = pages_of(block, serials[k], numbers[k], end, LAST if n + STREAMS >= len(blocks) else 0)
-        numbers[k] += len(made)
-        out += made
-    return b"".join(out)
-
-
-def packets(media: bytes) -> Iterator[tuple[int, bytes, int, int]]:
-    """(serial, packet, granule position of its end, page) of each packet, with every page verified."""
+    """One physical stream with the payload's blocks dealt over the logical streams; a granule position counts the samples of its stream."""
+    seed, heads, rest = zlib.crc32(payload), [], []
+    for k in range(STREAMS):
+        serial = (seed + k) & 0xFFFFFFFF
+        blocks = [payload[i : i + BLOCK] for i in range(k * BLOCK, len(payload), STREAMS * BLOCK)]
+        heads += pages_of([(MAGIC + struct.pack("<IHHQ", RATE, k, STREAMS, len(payload)), 0)], serial, 0, FIRST | (0 if blocks else LAST))
+        rest.append(pages_of(list(zip(blocks, accumulate(map(len, blocks)))), serial, 1, LAST, PAGE_SEGMENTS))
+    return b"".join([*heads, *(page for turn in zip_longest(*rest, fillvalue=b"") for page in turn)])
+
+
+def packets(media: bytes, samples: Callable[[bytes], int] = len) -> Iterator[tuple[int, bytes, int, int]]:
+    """(serial, packet, granule position of its end, page) of each packet, with every page verified; samples tells how many a packet holds."""
     at, expected, parts, ended = 0, {}, {}, set()
     while at < len(media):
         if media[at : at + 4] != b"OggS" or at + HEADER.size > len(media):
@@ -95,12 +96,15 @@ def packets(media: bytes) -> Iterator[tuple[int, bytes, int, int]]:
             raise OggError(f"page {number} of stream {serial} is out of turn")
         if bool(kind & CONTINUED) != bool(parts.get(serial)):
             raise OggError(f"page {number} of stream {serial}: packet not continued")
-        expected[serial], begin = number + 1, HEADER.size + segments
+        expected[serial], begin, whole = number + 1, HEADER.size + segments, []
         for value in values:
             parts.setdefault(serial, []).append(page[begin : begin + value])
             begin += value
             if value < FULL:
-                yield serial, b"".join(parts.pop(serial)), granule, number
+                whole.append(b"".join(parts.pop(serial)))
+        later = list(accumulate(map(samples, whole[:0:-1]), initial=0))[::-1]  # samples that end on the page after each packet
+        for packet, after in zip(whole, later):
+            yield serial, packet, granule if kind & FIRST else granule - after, number
         if kind & LAST:
             ended.add(serial)
         at += size
@@ -117,7 +121,8 @@ def decode(media: bytes) -> tuple[bytes, dict]:
                 raise OggError(f"stream {serial} has another format")
             opened[serial] = struct.unpack_from("<IHHQ", packet, len(MAGIC))
         else:
-            found.append((granule - len(packet), packet))  # the granule position tells the last sample's place
+            turn, inside = divmod(granule - len(packet), BLOCK)
+            found.append(((turn * STREAMS + opened[serial][1]) * BLOCK + inside, packet))
         pages += 1
     found.sort(key=lambda x: x[0])
     total, at = max((x[3] for x in opened.values()), default=0), 0
