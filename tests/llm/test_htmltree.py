@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.llm import htmltree as H
 from wayfold.llm.common import Memo
@@ -43,6 +44,26 @@ def test_held_out_pages_made_by_rule(model):
     assert wrong <= 0.05 * len(H.labelled_pages(99))
 
 
+def test_hosts_held_out_without_landmarks(spark):
+    """Trained on half of the hosts; on the others the landmark elements become plain ones, so nothing but the model says where the article is."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))
+    held = F.crc32("host") % 2 == 0
+    model = H.fit(pages.filter(~held))
+    rows = pages.filter(held).collect()
+    plain = [re.sub(r"(</?)(article|nav|header|footer|aside|main)\b", r"\1div", r.html) for r in rows]
+    right = total = found = 0
+    for r, got in zip(rows, extract(model, *plain)):
+        want, have = wanted(r.html).split("\n"), got.split("\n") if got else []
+        right, total, found = right + len(set(want) & set(have)), total + len(set(want)), found + len(set(have))
+    assert len(rows) > 60 and right >= 0.9 * total and right >= 0.9 * found, (right, total, found)
+
+
+def test_text_of_formulas_stays(model):
+    text = "It was a long day and nobody came home before the lamps were lit along the river"
+    page = f"<body><article><p>{text} for <math><mi>x</mi><mo>=</mo><mn>2</mn></math> only.</p><xmp>plain {text}</xmp></article></body>"
+    assert extract(model, page) == [f"{text} for x=2 only.\nplain {text}"]
+
+
 def test_other_parts_go(model):
     text = "It was a long day and nobody came home before the lamps were lit along the river."
     page = f"""<body><div class="cookie-banner"><p>We use cookies.</p></div><div class="site-header"><a href=/>Home</a></div><div class="post-content"><h1>Title of it</h1><p>{text}

@@ -201,13 +201,16 @@ def count(page: str, marked: bool) -> Counter:
     states = labels(nodes, marked)
     if states is None:
         return out
-    for k in range(1, len(nodes)):
-        tag, attributes = nodes[k][1], MARK.sub("", nodes[k][2])
-        key = (tag, attributes) if tag else features(nodes, k)
-        for f in listed(key):
-            out[f, states[k]] += 1
-        out["node" if tag else "run", states[k]] += 1
-        out[f"pair {kind(nodes, k)} {states[nodes[k][0]]}", states[k]] += 1
+    #: pages with landmarks count once more as if those were plain elements, so that pages without them are learned too
+    plainly = [(parent, "div" if tag in LANDMARKS else tag, attributes, text, linked) for parent, tag, attributes, text, linked in nodes]
+    for seen_as in [nodes] if marked else [nodes, plainly]:
+        for k in range(1, len(nodes)):
+            tag, attributes = seen_as[k][1], MARK.sub("", nodes[k][2])
+            key = (tag, attributes) if tag else features(seen_as, k)
+            for f in listed(key):
+                out[f, states[k]] += 1
+            out["node" if tag else "run", states[k]] += 1
+            out[f"pair {kind(nodes, k)} {states[nodes[k][0]]}", states[k]] += 1
     return out
 
 
