@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import choosing, gridding, jobs, joining, motion, registry, sampling, scoring, studying  # noqa: F401
+from . import choosing, gridding, jobs, joining, motion, registry, sampling, scoring, studying, suites  # noqa: F401
 
 
 def all_queries() -> dict:
