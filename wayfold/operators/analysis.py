@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +56,21 @@ def ridge(rows: DataFrame, vector: str, target: str, fold: str, lambdas: list[fl
     """
     spark = rows.sparkSession
     x = F.concat(F.array(F.lit(1.0)), F.transform(vector, lambda v: v.cast("double")), F.array(F.col(target).cast("double")))
-    pairs = rows.select(F.col(fold).alias("fold"), x.alias("x")).select("fold", "x", F.posexplode("x").alias("i", "xi")).select("fold", "i", "xi", F.posexplode("x").alias("j", "xj")).filter("i <= j")
-    sums = pairs.groupBy("fold", "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("s")).collect()  # d squared rows
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One Gram matrix a fold and task, as its upper triangle."""
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            folds, values = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), float)
+            for k in np.unique(folds):
+                some = values[folds == k]
+                total[int(k)] = total.get(int(k), 0.0) + some.T @ some
+        for k, gram in total.items():
+            i, j = np.triu_indices(len(gram))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(gram[i, j])], names=["fold", "i", "j", "s"])
+
+    parts = rows.select(F.col(fold).cast("int").alias("fold"), x.alias("x")).mapInArrow(grams, "fold int, i int, j int, s double")
+    sums = parts.groupBy("fold", "i", "j").agg(F.sum("s").alias("s")).collect()  # d squared rows
     d = 1 + max((r["j"] for r in sums), default=1)
     gram = {0: np.zeros((d, d)), 1: np.zeros((d, d))}
     for r in sums:

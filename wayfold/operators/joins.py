@@ -82,8 +82,13 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, point: str,
 
 
 def contained(inner: DataFrame, outer: DataFrame, key: str, a: str, b: str, start: str, end: str) -> DataFrame:
-    """Inner intervals [a, b] that lie in an outer [start, end) of their key."""
-    return inner.join(outer, key).filter((F.col(start) <= F.col(a)) & (F.col(b) < F.col(end)))
+    """Inner intervals [a, b] that lie in an outer [start, end) of their key.
+
+    Outer intervals are cut at buckets of their mean length, inner ones ask the bucket in which they begin.
+    """
+    mean = outer.agg(F.avg(F.col(end) - F.col(start))).first()[0]
+    width = float(mean) if mean and mean > 0 else 1.0
+    return interval_join(inner, outer, key, a, start, end, width).filter(F.col(b) < F.col(end))
 
 
 def near_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, grow: float = 0.0) -> DataFrame:
@@ -112,12 +117,15 @@ def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) ->
 def link_frames(rows: DataFrame, key: str, gate: float, max_gap: int = 1) -> DataFrame:
     """(key, f, id, next_f, next_id): mutual nearest neighbours within a gate per frame step, at most max_gap frames ahead.
 
-    Greedy and local where an optimal assignment would weigh contested cases against each other.
+    Greedy and local where an optimal assignment would weigh contested cases against each other.  Rows look only into the
+    grid cells around them, as wide as the widest gate.
     """
     ahead = F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("_k")
+    size = gate * max_gap
     a = rows.select(key, F.col("f"), F.col("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), ahead).withColumn("nf", F.col("f") + F.col("_k"))
-    b = rows.select(key, F.col("f").alias("nf"), F.col("id").alias("nid"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    pairs = a.join(b, [key, "nf"]).withColumn("d", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).filter(F.col("d") <= gate * F.col("_k"))
+    a = a.withColumn("_i", around(F.floor(F.col("ax") / size), 1)).withColumn("_j", around(F.floor(F.col("ay") / size), 1))
+    b = rows.select(key, F.col("f").alias("nf"), F.col("id").alias("nid"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("x") / size).alias("_i"), F.floor(F.col("y") / size).alias("_j"))
+    pairs = a.join(b, [key, "nf", "_i", "_j"]).drop("_i", "_j").withColumn("d", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).filter(F.col("d") <= gate * F.col("_k"))
     out_rank = F.row_number().over(Window.partitionBy(key, "f", "id").orderBy("_k", "d", "nid"))
     in_rank = F.row_number().over(Window.partitionBy(key, "nf", "nid").orderBy("_k", "d", "id"))
     return pairs.withColumns({"o": out_rank, "i": in_rank}).filter("o = 1 and i = 1").select(key, "f", "id", F.col("nf").alias("next_f"), F.col("nid").alias("next_id"), "d")

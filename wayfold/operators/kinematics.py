@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,20 +60,25 @@ def arc_length(df: DataFrame, key: str, order: str = "f") -> DataFrame:
 def jitter_free_arc(df: DataFrame, key: str, still: float) -> DataFrame:
     """(key, f, s): distance travelled where only moves of over `still` from the last anchor count.
 
-    The anchor depends on all rows before, so each path is folded in order inside one array (a path's rows are one
-    episode's frames).
+    The anchor depends on all rows before.  Rows are dealt by key and sorted, and tasks go through them batch by batch
+    with the anchor and the distance so far in hand, so that a path of any length takes linear time and no array.
     """
-    paths = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "x", "y"))).alias("p"))
-    start = F.struct(F.col("p")[0]["x"].alias("x"), F.col("p")[0]["y"].alias("y"), F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, p):
-        d = F.hypot(p["x"] - acc["x"], p["y"] - acc["y"])
-        moved = d > still
-        s = acc["s"] + F.when(moved, d).otherwise(0.0)
-        return F.struct(F.when(moved, p["x"]).otherwise(acc["x"]).alias("x"), F.when(moved, p["y"]).otherwise(acc["y"]).alias("y"), s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
-
-    folded = paths.select(key, "p", F.aggregate("p", start, step, lambda a: a["out"]).alias("s"))
-    return folded.select(key, F.inline(F.arrays_zip(F.col("p.f").alias("f"), F.col("s").alias("s"))))
+    rows = df.select(key, "f", "x", "y").repartition(key).sortWithinPartitions(key, "f")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, ax, ay, s = None, 0.0, 0.0, 0.0
+        for batch in batches:
+            out = []
+            for now, x, y in zip(batch[key].to_numpy(), batch["x"].to_numpy(), batch["y"].to_numpy()):
+                if path is None or now != path:
+                    path, ax, ay, s = now, x, y, 0.0
+                elif (d := math.hypot(x - ax, y - ay)) > still:
+                    ax, ay, s = x, y, s + d
+                out.append(s)
+            yield batch[[key, "f"]].assign(s=out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInPandas(walk, f"`{key}` {kinds[key]}, f {kinds['f']}, s double")
 
 
 def stationary(obs: DataFrame, keys: list[str], radius: float, min_steps: int = 3, min_span: float = 1.0) -> DataFrame:

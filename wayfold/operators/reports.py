@@ -45,7 +45,32 @@ def tag_set(*tags: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*tags))))
 
 
+BINS = 4096
+
+
+def exact_quantile(rows: DataFrame, value: Column, q: float) -> float | None:
+    """Quantile of a column, linear between ranks: counts per bin tell in which bins its ranks are, and only their values are ranked."""
+    values = rows.select(value.cast("double").alias("v")).filter("v is not null")
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    width = (high - low) / BINS or 1.0
+    binned = values.withColumn("b", F.floor((F.col("v") - low) / width))
+    at, before, first, last = q * (n - 1), 0, None, None
+    for r in binned.groupBy("b").agg(F.count("*").alias("n")).orderBy("b").collect():  # BINS + 1 rows at most
+        if first is None and before + r["n"] > int(at):
+            first, skipped = r["b"], before
+        before += r["n"]
+        if before > min(int(at) + 1, n - 1):
+            last = r["b"]
+            break
+    rank = F.row_number().over(Window.orderBy("v")) + skipped - 1
+    near = [r["v"] for r in binned.filter(F.col("b").between(first, last)).withColumn("k", rank).filter(F.col("k").isin(int(at), int(at) + 1)).orderBy("k").collect()]
+    return near[0] + (near[-1] - near[0]) * (at - int(at))
+
+
 def action_scale(rows: DataFrame, values: list[str], share: float, seed_key: str) -> DataFrame:
     """The 95th percentile of absolute values over a hash sample, 1 at least."""
     sample = rows.filter(F.conv(F.substring(F.md5(F.col(seed_key).cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0 < share)
-    return sample.agg(*(F.greatest(F.percentile(F.abs(v), 0.95), F.lit(1.0)).alias(v) for v in values), F.count("*").alias("n"))
+    scales = {v: exact_quantile(sample, F.abs(v), 0.95) for v in values}
+    return sample.agg(*(F.lit(None if x is None else max(1.0, x)).cast("double").alias(v) for v, x in scales.items()), F.count("*").alias("n"))
