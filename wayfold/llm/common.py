@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or one of our own where that is unset and everything runs on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -21,10 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage is cut, and lost executors cost no recomputation."""
+    """Writes df once to the shared folder and reads it back: lineage is cut, and lost executors cost no recomputation.
+
+    For this write alone, texts go to Python in batches of `BATCH_ROWS` rows, so that long ones take a bounded memory.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCHES)
+    try:
+        spark.conf.set(BATCHES, BATCH_ROWS)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCHES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import claim, materialize, in_slices
 
 UNKNOWN = "und"
-SAMPLE_DOCS, LEAST_WORD, LEAST_GRAM, LONGEST_GRAM = 8000, 2, 4, 5
-CACHE_ENTRIES = 250_000
+SAMPLE_DOCS, LEAST_WORD, LEAST_GRAM, LONGEST_GRAM = 8000, 4, 32, 5
+CACHE_ENTRIES = 150_000
 #: Units that are counted together before they go on.
-UNITS = 200_000
+UNITS = 50_000
 #: Letters, and numbers that are no decimal digits (fractions, Roman numerals), which words_of() takes out.
 LETTERS = re.compile(r"[^\W\d_]+")
 
