@@ -18,7 +18,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or without a clear language go."""
     model = langid.fit(docs.filter(~langid.held_out()), F.col("doc_id"))
-    return langid.accepted(docs, model, LEAST_LANGUAGE_SCORE)
+    return materialize(langid.accepted(docs, model, LEAST_LANGUAGE_SCORE), "language")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
