@@ -31,3 +31,20 @@ def test_odd_rows(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, SF)
     assert set(frame.select("doc_id").distinct().toPandas().doc_id) <= {3, 4, 6, 7, 8}
+
+
+def test_empty_table(docs):
+    frame = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        columns, frame = frame.columns, stage(docs.sparkSession, frame, SF)
+        assert frame.count() == 0 and (name == "best-fit packing" or frame.columns == columns)
+
+
+def test_repeated_rows_and_missing_ids(spark, corpus):
+    rows = corpus.limit(40)
+    lost = rows.limit(3).withColumn("doc_id", corpus["doc_id"].substr(1, 0).cast("long"))
+    frame = rows.unionByName(rows).unionByName(lost)
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, SF)
+    placed = frame.select("doc_id", "piece").collect()
+    assert placed and len(placed) == len(set(placed)) and all(r.doc_id is not None for r in placed)
