@@ -122,6 +122,13 @@ def cell_edges(cells: DataFrame, keys: list[str]) -> DataFrame:
     return look.filter(out("ax", "ix") + out("ay", "iy") <= 2).join(cells.select(*keys, "ix", "iy", F.col("node").alias("b")), [*keys, "ix", "iy"]).filter("a < b").select(*keys, "a", "b")
 
 
+def person_clusters(points: DataFrame, labels: DataFrame, size: float, least: int = 8, extent: float = 1.2, span: float = 0.3) -> DataFrame:
+    """(root, n, x, y) of clusters of a person's size: enough points (node, x, y, z), cells within the extent, heights apart by the span; labels is (node, root)."""
+    per = points.join(labels, "node").groupBy("root").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), *(f(c).alias(f"_{k}{c}") for c in ("ix", "iy", "z") for k, f in (("low", F.min), ("high", F.max))))
+    wide = F.greatest(F.col("_highix") - F.col("_lowix"), F.col("_highiy") - F.col("_lowiy")) + 1
+    return per.filter((F.col("n") >= least) & (wide * size <= extent + 1e-9) & (F.col("_highz") - F.col("_lowz") >= span)).select("root", "n", "x", "y")
+
+
 def rotate_cells(cells: DataFrame, poses: DataFrame, key: str, size: float, threshold: float) -> DataFrame:
     """World cells in ego-aligned cells: each output cell near one of them asks its four world neighbours, and keeps a weighted share over the threshold."""
     c, s = F.cos("yaw"), F.sin("yaw")

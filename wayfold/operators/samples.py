@@ -114,3 +114,17 @@ def path_tags(turn: Column, moves: Column, bearing_deg: Column, clearance: Colum
     path = F.when(F.coalesce(moves, F.lit(0)) < 2, "path:mostly_still").when(turned > 135, "path:u_turn").when(turned > 45, "path:turn").otherwise("path:straight")
     goal = F.when(F.abs(bearing_deg) <= 30, "goal:ahead").when(F.abs(bearing_deg) <= 90, "goal:side").otherwise("goal:behind")
     return F.array_compact(F.array(path, goal, F.when(clearance < 0.35, "layout:narrow")))
+
+
+def training_rows(samples: DataFrame, history_: DataFrame, targets: DataFrame, episode: str, prompt: Column, scale_x: float, scale_y: float) -> DataFrame:
+    """One row a sample: prompt, frame keys of its history from the oldest on, the goal (0, 0 where an instruction names it) and scaled targets.
+
+    samples: (episode, f, instruction); history_: (episode, f, j, at), whose missing frames are the oldest; targets:
+    (episode, f, k, x, y), the last of which is the goal. prompt is an expression over instruction, gx and gy.
+    """
+    named = F.concat_ws("_", F.lit("frame"), F.col(episode).cast("string"), F.col("at").cast("string"))
+    keys = history_.groupBy(episode, "f").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("j")).alias("j"), named.alias("key")))), lambda h: h["key"]).alias("history"))
+    ahead = targets.groupBy(episode, "f").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("x") / scale_x).alias("x"), (F.col("y") / scale_y).alias("y")))).alias("target"), F.max_by("x", "k").alias("gx"), F.max_by("y", "k").alias("gy"))
+    spoken = F.col("instruction").isNotNull()
+    goal = [F.when(spoken, F.lit(0.0)).otherwise(F.col(c)).alias(n) for c, n in (("gx", "goal_x"), ("gy", "goal_y"))]
+    return samples.join(keys, [episode, "f"]).join(ahead, [episode, "f"]).select(episode, "f", prompt.alias("prompt"), "history", *goal, "target")

@@ -121,6 +121,20 @@ def cell_clusters(spark, sf_dir):
     return components(G.cell_edges(cells, ["day"])).groupBy("root").agg(F.count("*").alias("cells")).filter("cells >= 2")
 
 
+@query(f"""WITH RECURSIVE {CLUSTERS}, reach(node, root) USING KEY (node) AS (SELECT node, node FROM n UNION (SELECT e.b, min(r.root) FROM reach r JOIN e ON e.a = r.node JOIN recurring.reach k ON k.node = e.b WHERE r.root < k.root GROUP BY e.b)),
+ p AS (SELECT floor(x / 10)::BIGINT AS ix, floor(y / 3)::BIGINT AS iy, x, y, t % 86400 / 86400 AS z, (floor(t / 86400)::BIGINT * 1000 + floor(x / 10)::BIGINT) * 1000 + floor(y / 3)::BIGINT AS node FROM pose)
+ SELECT root, count(*) AS n, round(avg(x), 5) AS x, round(avg(y), 5) AS y FROM p JOIN reach USING (node) GROUP BY 1 HAVING count(*) >= 3 AND greatest(max(ix) - min(ix), max(iy) - min(iy)) + 1 <= 12 AND max(z) - min(z) >= 0.3""")
+def person_clusters(spark, sf_dir):
+    """Clusters of points that are small enough, tall enough and have points enough, with their centres."""
+    p = poses(spark, sf_dir).select(F.floor(F.col("t") / 86400).alias("day"), F.floor(F.col("x") / 10).alias("ix"), F.floor(F.col("y") / 3).alias("iy"), "x", "y", (F.col("t") % 86400 / 86400).alias("z"))
+    p = p.withColumn("node", (F.col("day") * 1000 + F.col("ix")) * 1000 + F.col("iy"))
+    cells = p.select("day", "ix", "iy", "node").distinct()
+    joined = components(G.cell_edges(cells, ["day"]))
+    alone = cells.select("node").join(joined, "node", "left_anti").select("node", F.col("node").alias("root"))
+    out = G.person_clusters(p, joined.select("node", "root").unionByName(alone), 0.1, 3)
+    return out.select("root", "n", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
 @query(f"""WITH {LOOKS}, fr AS (SELECT scenario, avg(ix) AS x0, avg(iy) AS y0, scenario * 0.4 AS yaw FROM o GROUP BY 1), e AS (SELECT scenario, x0, y0, yaw, floor(cos(yaw) * (ix + 0.5 - x0) + sin(yaw) * (iy + 0.5 - y0)) AS e0, floor(cos(yaw) * (iy + 0.5 - y0) - sin(yaw) * (ix + 0.5 - x0)) AS f0 FROM o JOIN fr USING (scenario)),
  t AS (SELECT DISTINCT scenario, x0, y0, yaw, e0 + a AS ei, f0 + b AS ej FROM e, generate_series(-1, 1) AS g(a), generate_series(-1, 1) AS h(b)), mm AS (SELECT *, x0 + cos(yaw) * (ei + 0.5) - sin(yaw) * (ej + 0.5) - 0.5 AS u, y0 + sin(yaw) * (ei + 0.5) + cos(yaw) * (ej + 0.5) - 0.5 AS v FROM t)
  SELECT mm.scenario, ei::BIGINT AS ei, ej::BIGINT AS ej, round(sum((1 - abs(u - ix)) * (1 - abs(v - iy))), 6) AS weight FROM mm JOIN o ON o.scenario = mm.scenario AND o.ix IN (floor(u), floor(u) + 1) AND o.iy IN (floor(v), floor(v) + 1) GROUP BY 1, 2, 3 HAVING sum((1 - abs(u - ix)) * (1 - abs(v - iy))) >= 0.3""")

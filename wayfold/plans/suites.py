@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import metrics as M
 from ..operators import samples as P
 from ..operators import suite as S
@@ -161,3 +162,19 @@ def common_frames(spark, sf_dir):
     """Parts that three sets of items all have."""
     items = table(spark, sf_dir, "lineitem")
     return S.in_all([items.filter(c).select("l_partkey") for c in ("l_returnflag = 'A'", "l_returnflag = 'R'", "l_quantity > 45")])
+
+
+@query(f"""WITH {ELIGIBLE}, hq AS (SELECT rec, f, j, t - j * 7200.0 + 1e-6 AS want FROM s, generate_series(1, 3) AS g(j)), h AS (SELECT hq.rec, hq.f, string_agg('frame_' || hq.rec || '_' || coalesce(p.f, 0), ',' ORDER BY hq.j DESC) AS history FROM hq ASOF LEFT JOIN pose p ON p.rec = hq.rec AND hq.want >= p.t GROUP BY 1, 2),
+ q AS (SELECT rec, f, x AS x0, y AS y0, yaw AS a, k, t + k * 21600.0 AS qt FROM s, generate_series(1, 4) AS g(k)), n AS (SELECT rec, t, x, y, lead(t) OVER w AS t2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM pose WINDOW w AS (PARTITION BY rec ORDER BY t)),
+ i AS (SELECT q.*, n.x + coalesce((n.x2 - n.x) * (qt - n.t) / (n.t2 - n.t), 0) AS px, n.y + coalesce((n.y2 - n.y) * (qt - n.t) / (n.t2 - n.t), 0) AS py FROM q ASOF JOIN n ON q.rec = n.rec AND q.qt >= n.t), tt AS (SELECT rec, f, k, cos(a) * (px - x0) + sin(a) * (py - y0) AS x, cos(a) * (py - y0) - sin(a) * (px - x0) AS y FROM i),
+ g AS (SELECT rec, f, arg_max(x, k) AS gx, arg_max(y, k) AS gy, sum(x) / 100 AS sx, sum(y) / 50 AS sy FROM tt GROUP BY 1, 2)
+ SELECT h.rec, h.f, CASE WHEN h.rec % 2 = 0 THEN 'go to the door' ELSE printf('Walk to the point (%.1f, %.1f).', gx, gy) END AS prompt, history, round(CASE WHEN h.rec % 2 = 0 THEN 0 ELSE gx END, 4) AS goal_x, round(CASE WHEN h.rec % 2 = 0 THEN 0 ELSE gy END, 4) AS goal_y, round(sx, 4) AS target_x, round(sy, 4) AS target_y FROM h JOIN g USING (rec, f)""")
+def training_rows(spark, sf_dir):
+    """Prompt, history keys, goal and scaled targets of each sample."""
+    frames = poses(spark, sf_dir).withColumn("yaw", F.col("y") / 40)
+    samples = P.eligible(frames, "rec", 5, 86_400.0)
+    spoken = samples.withColumn("instruction", F.when(F.col("rec") % 2 == 0, "go to the door")).select("rec", "f", "instruction")
+    prompt = F.coalesce("instruction", X.point_prompt(F.col("gx"), F.col("gy"), F.lit(1)))
+    out = P.training_rows(spoken, P.history(frames, samples, "rec", 3, 7_200.0), P.timed_targets(frames, samples, "rec", 86_400.0, 4), "rec", prompt, 100.0, 50.0)
+    total = lambda c: F.round(F.aggregate("target", F.lit(0.0), lambda s, t: s + t[c]), 4).alias(f"target_{c}")
+    return out.select("rec", "f", "prompt", F.array_join("history", ",").alias("history"), F.round("goal_x", 4).alias("goal_x"), F.round("goal_y", 4).alias("goal_y"), total("x"), total("y"))
