@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Wording of prompts.
+#: Wording of prompts and descriptions, and the limits at which it changes.
 POINT_TEMPLATES = ["Please walk towards the goal (%.1f, %.1f).", "Walk to the point (%.1f, %.1f).", "Navigate to (%.1f, %.1f)."]
 LANGUAGE_TEMPLATES = ["Walk to %s.", "Go to %s.", "Head towards %s."]
 LANGUAGE_POINT_SUFFIX = " It is at (%.1f, %.1f)."
 EMBODIMENT_TAGS = {"person_walking": "a human walking", "wheeled_robot": "a robot", "legged_robot": "a robot", "simulated_agent": "a robot"}
 EMBODIMENT_TEMPLATE = "The camera is carried by %s. The past views are sampled at %s Hz. Please predict the next %d positions at %s Hz."
 KNOWN_HEIGHT_SOURCES = ["dataset", "simulator"]
+FIELD_OF_VIEW = {"unknown": "The camera's field of view is unknown", "horizontal": "The camera's horizontal field of view is %.0f degrees", "vertical": " and its vertical field of view %.0f degrees"}
+CAMERA_HEIGHT = {"known": "; it is mounted %.2f m above the ground.", "unknown": "; its height above the ground is unknown."}
+VIEW_LABELS = {"before": "View %d s ago:", "now": "View now:", "after": "View in %d s:"}
+HISTORY = {"start": "Frame interval %.1f s. Current speed %.2f m/s.", "positions": "Robot positions over the last %d frames, oldest first: %s.", "position": "(%.1f, %.1f)", "instruction": "Instruction: %s", "goal": "Goal: (%.1f, %.1f).", "ask": "Predict the robot's position at each of the next %d frames."}
+PACES = [(0.15, "stands still"), (0.5, "moves very slowly"), (1.0, "moves at a slow walking pace"), (1.8, "moves at walking pace"), (None, "moves fast")]
+PACE_CHANGES = {"rest": 0.15, "much": 0.3, "stop": "stops", "start": "starts moving", "slower": "slows down", "faster": "speeds up", "steady": "keeps a steady speed"}
+TURNS = [(15, "goes straight ahead"), (45, "bears {side} by about {degrees} degrees"), (120, "turns sharply {side}, about {degrees} degrees"), (None, "turns around to the {side}")]
+IN_WORDS, TOO_SHORT_TO_TURN = "the carrier %s, %s, and %s", 0.3
 INSTRUCTION_LABELS = {"description": "Task", "place": "Place", "interaction": "Reacts to", "instruction": "Task"}
 
 
@@ -53,25 +61,24 @@ def embodiment_prompt(body: Column, past_hz: str = "1", n: int = 10, out_hz: str
 
 def camera_sentence(h_fov: Column, v_fov: Column, height: Column, source: Column) -> Column:
     """Field of view and height of a camera as far as they are known for certain."""
-    wide = F.when(h_fov.isNull(), F.lit("The camera's field of view is unknown")).otherwise(
-        F.concat(F.format_string("The camera's horizontal field of view is %.0f degrees", h_fov), F.when(v_fov.isNull(), F.lit("")).otherwise(F.format_string(" and its vertical field of view %.0f degrees", v_fov)))
-    )
+    tall = F.when(v_fov.isNull(), F.lit("")).otherwise(F.format_string(FIELD_OF_VIEW["vertical"], v_fov))
+    wide = F.when(h_fov.isNull(), F.lit(FIELD_OF_VIEW["unknown"])).otherwise(F.concat(F.format_string(FIELD_OF_VIEW["horizontal"], h_fov), tall))
     known = height.isNotNull() & ~F.isnan(height) & F.coalesce(source.isin(KNOWN_HEIGHT_SOURCES), F.lit(False))
-    return F.concat(wide, F.when(known, F.format_string("; it is mounted %.2f m above the ground.", height)).otherwise(F.lit("; its height above the ground is unknown.")))
+    return F.concat(wide, F.when(known, F.format_string(CAMERA_HEIGHT["known"], height)).otherwise(F.lit(CAMERA_HEIGHT["unknown"])))
 
 
 def view_label(offset: Column) -> Column:
-    return F.when(offset < 0, F.format_string("View %d s ago:", -offset)).when(offset > 0, F.format_string("View in %d s:", offset)).otherwise(F.lit("View now:"))
+    return F.when(offset < 0, F.format_string(VIEW_LABELS["before"], -offset)).when(offset > 0, F.format_string(VIEW_LABELS["after"], offset)).otherwise(F.lit(VIEW_LABELS["now"]))
 
 
 def history_prompt(rate: Column, speed: Column, points: Column, instruction: Column, goal_x: Column, goal_y: Column, horizon: int) -> Column:
     """Interval, speed, positions (an array of x, y), goal and task of a scenario as text."""
-    listed = F.array_join(F.transform(points, lambda p: F.format_string("(%.1f, %.1f)", p["x"], p["y"])), ", ")
+    listed = F.array_join(F.transform(points, lambda p: F.format_string(HISTORY["position"], p["x"], p["y"])), ", ")
     parts = [
-        F.format_string("Frame interval %.1f s. Current speed %.2f m/s.", 1.0 / rate, speed),
-        F.when(F.size(points) > 0, F.concat(F.lit("Robot positions over the last "), (F.size(points) - 1).cast("string"), F.lit(" frames, oldest first: "), listed, F.lit("."))),
-        F.when(instruction.isNotNull(), F.concat(F.lit("Instruction: "), F.trim(instruction))).otherwise(F.format_string("Goal: (%.1f, %.1f).", goal_x, goal_y)),
-        F.lit(f"Predict the robot's position at each of the next {horizon} frames."),
+        F.format_string(HISTORY["start"], 1.0 / rate, speed),
+        F.when(F.size(points) > 0, F.format_string(HISTORY["positions"], F.size(points) - 1, listed)),
+        F.when(instruction.isNotNull(), F.format_string(HISTORY["instruction"], F.trim(instruction))).otherwise(F.format_string(HISTORY["goal"], goal_x, goal_y)),
+        F.format_string(HISTORY["ask"], F.lit(horizon)),
     ]
     return F.concat_ws(" ", *parts)
 
@@ -87,16 +94,22 @@ def instruction_text(**fields: Column) -> Column:
 
 def path_in_words(metres: Column, first: Column, last: Column, bearing: Column, seconds: float = 5.0) -> Column:
     """Pace, change of speed and turn of a path; first and last are the metres of its first and last second."""
-    speed, b = metres / seconds, F.when(metres > 0.3, bearing).otherwise(0.0)
-    side = F.when(b > 0, "left").otherwise("right")
-    pace = F.when(speed < 0.15, "stands still").when(speed < 0.5, "moves very slowly").when(speed < 1.0, "moves at a slow walking pace").when(speed < 1.8, "moves at walking pace").otherwise("moves fast")
-    change = F.when((last < 0.15) & (first > 0.15), "stops").when((first < 0.15) & (last > 0.15), "starts moving").when(last < first - 0.3, "slows down").when(last > first + 0.3, "speeds up").otherwise("keeps a steady speed")
-    about = F.format_string("%.0f degrees", F.abs(b))
-    turn = (
-        F.when(F.abs(b) < 15, "goes straight ahead").when(F.abs(b) < 45, F.concat(F.lit("bears "), side, F.lit(" by about "), about))
-        .when(F.abs(b) < 120, F.concat(F.lit("turns sharply "), side, F.lit(", about "), about)).otherwise(F.concat(F.lit("turns around to the "), side))
-    )
-    return F.concat(F.lit("the carrier "), pace, F.lit(", "), change, F.lit(", and "), turn)
+    speed, b = metres / seconds, F.when(metres > TOO_SHORT_TO_TURN, bearing).otherwise(0.0)
+    filled = {"{side}": F.when(b > 0, "left").otherwise("right"), "{degrees}": F.format_string("%.0f", F.abs(b))}
+
+    def first_below(value: Column, limits: list) -> Column:
+        """The words of the first limit that the value is below; those of the last entry beyond all limits."""
+        out = F.lit(limits[-1][1])
+        for limit, words in limits[-2::-1]:
+            out = F.when(value < limit, words).otherwise(out)
+        return out
+
+    turn = first_below(F.abs(b), TURNS)
+    for mark, words in filled.items():
+        turn = F.replace(turn, F.lit(mark), words)
+    rest, much = PACE_CHANGES["rest"], PACE_CHANGES["much"]
+    change = F.when((last < rest) & (first > rest), PACE_CHANGES["stop"]).when((first < rest) & (last > rest), PACE_CHANGES["start"]).when(last < first - much, PACE_CHANGES["slower"]).when(last > first + much, PACE_CHANGES["faster"]).otherwise(PACE_CHANGES["steady"])
+    return F.format_string(IN_WORDS, first_below(speed, PACES), change, turn)
 
 
 def json_in_text(c: Column, schema: str) -> Column:

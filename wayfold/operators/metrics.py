@@ -84,18 +84,20 @@ def motion_features(targets: DataFrame, key: str, dt: float) -> DataFrame:
     return out.select(key, "dist", "speed_mean", "speed_first", "speed_last", "speed_min", F.degrees(F.atan2("end.y", "end.x")).alias("bearing"), (F.col("dist") / F.greatest(F.lit(1e-6), F.hypot("end.x", "end.y"))).alias("straightness"))
 
 
+#: Classes of motion and the limits of their rules: speeds in m/s, bearings in degrees, path over net length.
+REST, MOVES, SHARP, TURN, PACE, WINDING = 0.15, 0.3, 45, 15, 0.3, 1.15
+MOTION_CLASSES = ("standing", "stopping", "starting", "sharp_left", "sharp_right", "turn_left", "turn_right", "slowing", "speeding_up", "weaving", "straight")
+
+
 def motion_class(scale: float = 1.0) -> Column:
     """Class of motion features; the first rule that holds decides. Speeds are in units of scale."""
-    c = F.col
-    first, last, b = c("speed_first") / scale, c("speed_last") / scale, c("bearing")
-    return (
-        F.when(c("speed_mean") / scale < 0.15, "standing")
-        .when((last < 0.15) & (first > 0.3), "stopping")
-        .when((first < 0.15) & (last > 0.3), "starting")
-        .when(b > 45, "sharp_left").when(b < -45, "sharp_right").when(b > 15, "turn_left").when(b < -15, "turn_right")
-        .when(last - first < -0.3, "slowing").when(last - first > 0.3, "speeding_up")
-        .when(c("straightness") > 1.15, "weaving").otherwise("straight")
-    )
+    mean, first, last = (F.col(f"speed_{x}") / scale for x in ("mean", "first", "last"))
+    b = F.col("bearing")
+    rules = (mean < REST, (last < REST) & (first > MOVES), (first < REST) & (last > MOVES), b > SHARP, b < -SHARP, b > TURN, b < -TURN, last - first < -PACE, last - first > PACE, F.col("straightness") > WINDING)
+    out = F.lit(MOTION_CLASSES[-1])
+    for rule, name in reversed(list(zip(rules, MOTION_CLASSES))):
+        out = F.when(rule, name).otherwise(out)
+    return out
 
 
 #: Terms of the reward, each over the distance to the goal (1 at least) where it is a length; columns gx, gy, x, y are the goal and the path's end.
