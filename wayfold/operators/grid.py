@@ -28,9 +28,9 @@ def cell_states(points: DataFrame, keys: list[str], occupied: Column, free: Colu
     return counted.withColumn("state", F.when(F.col("n_occ") >= least, "occupied").when(F.col("n_free") > 0, "free")).filter("state is not null")
 
 
-def thin(points: DataFrame, keys: list[str], size: float, order: str) -> DataFrame:
-    """One point for each voxel, the first in order."""
-    w = Window.partitionBy(*keys, cell("x", size), cell("y", size), cell("z", size)).orderBy(order)
+def thin(points: DataFrame, keys: list[str], sizes: dict[str, float], order: list[str]) -> DataFrame:
+    """One point for each voxel, the first in order; sizes of its edges by axis, so that cells of the plane are voxels without z."""
+    w = Window.partitionBy(*keys, *(cell(axis, size) for axis, size in sizes.items())).orderBy(*order)
     return points.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

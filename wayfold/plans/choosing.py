@@ -15,7 +15,12 @@ def recording_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.hash_split(F.col("doc_id").cast("string")).alias("split"))
 
 
-@query()
+#: CRC-32 in SQL, bit by bit over the bytes of a text.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, strlen(url)), lambda i: CAST('0x' || substr(hex(encode(url)), CAST(2 * i - 1 AS INT), 2) AS BIGINT))),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"""
+
+
+@query(f"SELECT page_id, CASE c % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM (SELECT page_id, {CRC} AS c FROM pages)")
 def crc_split(spark, sf_dir):
     """Split of each page by the checksum of its address."""
     return table(spark, sf_dir, "pages").select("page_id", S.crc_split(F.col("url")).alias("split"))

@@ -29,10 +29,7 @@ def cell_state(spark, sf_dir):
  SELECT sweep, id, CAST(round_even(x * 100, 0) AS INT) AS cx, CAST(round_even(z * 100, 0) AS INT) AS cz FROM r WHERE n = 1""")
 def voxel_thin(spark, sf_dir):
     """The first point of each voxel, in whole centimetres."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("sweep", F.floor(F.col("x") / 2.0), F.floor(F.col("y") / 2.0), F.floor(F.col("z") / 0.5)).orderBy("id", "l_partkey", "z")
-    first = points(spark, sf_dir).withColumn("n", F.row_number().over(w)).filter("n = 1")
+    first = G.thin(points(spark, sf_dir), ["sweep"], {"x": 2.0, "y": 2.0, "z": 0.5}, ["id", "l_partkey", "z"])
     return first.select("sweep", "id", G.centimetres("x").alias("cx"), G.centimetres("z").alias("cz"))
 
 
