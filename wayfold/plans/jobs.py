@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import scenario as S
 from ..operators.selection import hash_split
 from ..sources.tables import poses, table
+from .joining import LINK_SQL
 from .motion import CUT_SQL, DAY, LEAST, STEP
 from .registry import query
-from .scoring import RATE, SUB, scenario_tables
+from .scoring import CONTACTS, RATE, SCENE, SUB, scenario_tables
 
 
 @query(f"""WITH {CUT_SQL}, k AS (SELECT c.*, s.t0, row_number() OVER (PARTITION BY c.rec, c.episode ORDER BY c.f) - 1 AS i FROM cut c JOIN stats s ON s.rec = c.rec AND s.episode = c.episode)
@@ -38,14 +39,22 @@ def several_rates(spark, sf_dir):
     return S.at_rates(rows, "segment", configs).groupBy("config", "rec").agg(F.count("*").alias("n"), F.max("f").alias("last"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINK_SQL}, lk AS (SELECT id AS a, nid AS b FROM r WHERE o = 1 AND i = 1), e AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk), n AS (SELECT DISTINCT a AS node FROM e), reach(node, root) USING KEY (node) AS (SELECT node, node FROM n UNION (SELECT e.b, min(q.root) FROM reach q JOIN e ON e.a = q.node JOIN recurring.reach k ON k.node = e.b WHERE q.root < k.root GROUP BY e.b)),
+ tr AS (SELECT d.*, root AS track FROM d JOIN reach ON node = id), h AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS hop FROM tr WINDOW w AS (PARTITION BY track ORDER BY f)) SELECT g, track, count(*) AS hits, min(f) AS f0, max(f) AS f1, round(sum(hop), 5) AS travel FROM h GROUP BY 1, 2 HAVING count(*) >= 5 AND sum(hop) >= 10""")
 def linked_tracks(spark, sf_dir):
     """Tracks of events that follow each other from day to day."""
     rows = poses(spark, sf_dir).select(F.floor(F.col("t") / 86400).alias("f"), (F.col("rec") % 3).alias("g"), F.col("event_id").alias("id"), "x", "y")
     return S.tracks_from_detections(rows, "g", 8.0, 2, 5, 10.0).select("g", "track", "hits", "f0", "f1", F.round("travel", 5).alias("travel"))
 
 
-@query()
+#: Contacts of the predicted paths: straight to the goal, at one metre a step.
+PREDICTED = CONTACTS.replace(SCENE, SCENE.replace("ego AS (", "ego0 AS (").replace("obs AS (", """g0 AS (SELECT scenario, arg_max(x, step) AS gx, arg_max(y, step) AS gy FROM ego0 GROUP BY 1), n0 AS (SELECT scenario, x, y, gx, gy, sqrt(power(gx - x, 2) + power(gy - y, 2)) AS far FROM ego0 JOIN g0 USING (scenario) WHERE step = 0 AND scenario % 3 <> 0),
+ ego AS (SELECT scenario, 0 AS step, x, y FROM n0 UNION ALL SELECT scenario, k, x + coalesce((gx - x) * least(k * 1.0, far) / nullif(far, 0), 0), y + coalesce((gy - y) * least(k * 1.0, far) / nullif(far, 0), 0) FROM n0, generate_series(1, 10) AS g(k)), obs AS (""", 1))
+
+
+@query(f"""WITH {PREDICTED}, c AS (SELECT scenario, gap FROM sc UNION ALL SELECT scenario, gap FROM dc), hit AS (SELECT scenario, bool_or(gap <= 0) AS hit FROM c GROUP BY 1), dd AS (SELECT p.scenario, avg(sqrt(power(p.x - e.x, 2) + power(p.y - e.y, 2))) AS ade FROM ego p JOIN ego0 e ON e.scenario = p.scenario AND e.step = p.step WHERE p.step > 0 GROUP BY 1),
+ en AS (SELECT scenario, arg_max(x, step) AS x, arg_max(y, step) AS y FROM ego GROUP BY 1), sd AS (SELECT dd.scenario, ade, coalesce(hit, false) AS collided, CASE WHEN least(10.0, sqrt(gx * gx + gy * gy)) > 0 THEN (sqrt(gx * gx + gy * gy) - sqrt(power(gx - x, 2) + power(gy - y, 2))) / least(10.0, sqrt(gx * gx + gy * gy)) ELSE 0 END AS ratio FROM dd JOIN en USING (scenario) JOIN g0 USING (scenario) LEFT JOIN hit USING (scenario))
+ SELECT s.scenario, coalesce(NOT collided AND ratio >= 0.5, false) AS success, collided, round(ade, 5) AS ade, round(ratio, 5) AS progress_ratio, CASE WHEN ade IS NOT NULL THEN 0.0::DOUBLE END AS wiggle FROM (SELECT DISTINCT scenario FROM ego0) s LEFT JOIN sd USING (scenario)""")
 def scored_predictions(spark, sf_dir):
     """Straight predictions to each scenario's end followed at a speed; scenarios without a prediction fail."""
     ego, obs = scenario_tables(spark, sf_dir)
@@ -54,7 +63,7 @@ def scored_predictions(spark, sf_dir):
     k = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("f")
     pred = start.select("scenario", k, "x", "y", "gx", "gy").select("scenario", "f", (F.col("x") + (F.col("gx") - F.col("x")) * F.col("f") / 5).alias("x"), (F.col("y") + (F.col("gy") - F.col("y")) * F.col("f") / 5).alias("y"))
     out = S.score_predictions(pred, ego, obs, goals, SUB, RATE, 2.0, keep_missing=True)
-    return out.select("scenario", "success", "collided", F.round("ade", 5).alias("ade"), F.round("progress_ratio", 5).alias("progress_ratio"), F.round("wiggle", 5).alias("wiggle"))
+    return out.select("scenario", "success", "collided", F.round("ade", 5).alias("ade"), F.round("progress_ratio", 5).alias("progress_ratio"), (F.round("wiggle", 5) + 0.0).alias("wiggle"))
 
 
 @query("""WITH {POSE}, s AS (SELECT rec * 1000 + f // 21 AS rec, kind, bool_or(f % 21 >= 10) AS later, bool_or(f % 21 = 10) AS now, bool_or(f % 21 > 10) AS after FROM pose GROUP BY 1, 2) SELECT rec, kind FROM s WHERE later AND now AND after AND kind NOT IN ('error', 'signup')""")
