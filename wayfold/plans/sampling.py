@@ -12,7 +12,7 @@ from ..operators.selection import shared_folder
 from ..sources.tables import poses, table
 from ..streaming import streams
 from .registry import query
-from .scoring import scenario_tables
+from .scoring import SCENE, scenario_tables
 
 
 def _frames(spark, sf_dir):
@@ -86,7 +86,13 @@ def goals_beyond(spark, sf_dir):
     return P.goals_beyond(frames, P.eligible(frames, "rec", 5, 86_400.0), "rec", 500.0, 50.0, 300.0, "4").select("rec", "f", F.round("gx", 4).alias("gx"), F.round("gy", 4).alias("gy"))
 
 
-@query()
+@query(f"""WITH {SCENE}, b AS (SELECT o.scenario, o.track, o.step, o.x, o.y, sqrt(power(o.x - e.x, 2) + power(o.y - e.y, 2)) AS d FROM obs o JOIN ego e ON e.scenario = o.scenario AND e.step = o.step WHERE o.track % 5 = 1), rf AS (SELECT scenario, arg_max(x, step) - arg_min(x, step) AS rx, arg_max(y, step) - arg_min(y, step) AS ry FROM ego GROUP BY 1),
+ hr AS (SELECT scenario, track, min(d) AS d, count(*) AS n, arg_max(x, step) - arg_min(x, step) AS mx, arg_max(y, step) - arg_min(y, step) AS my, min(d) FILTER (WHERE step = 0) AS d0 FROM b GROUP BY 1, 2), cs AS (SELECT *, (mx * rx + my * ry) / nullif(sqrt(mx * mx + my * my) * sqrt(rx * rx + ry * ry), 0) AS c FROM hr JOIN rf USING (scenario)),
+ wy AS (SELECT scenario, d0, CASE WHEN n >= 2 AND d <= 1.5 AND sqrt(mx * mx + my * my) >= 0.5 AND sqrt(rx * rx + ry * ry) >= 0.5 THEN CASE WHEN c < -0.7 THEN 'people:oncoming' WHEN c > 0.7 THEN 'people:same_direction' ELSE 'people:crossing' END END AS way FROM cs), pp AS (SELECT scenario, list(DISTINCT way) FILTER (WHERE way IS NOT NULL) AS ways, count(*) FILTER (WHERE d0 < 8) AS n FROM wy GROUP BY 1),
+ dl AS (SELECT scenario, step, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM ego WINDOW w AS (PARTITION BY scenario ORDER BY step)), tn AS (SELECT scenario, step, atan2(dy, dx) AS h FROM dl WHERE sqrt(dx * dx + dy * dy) > 0.05), td AS (SELECT scenario, h - lag(h) OVER (PARTITION BY scenario ORDER BY step) AS r FROM tn),
+ tt AS (SELECT scenario, abs(degrees(coalesce(sum((r + pi()) - 2 * pi() * floor((r + pi()) / (2 * pi())) - pi()), 0))) AS turn, count(*) AS moves FROM td GROUP BY 1), en AS (SELECT scenario, abs(degrees(atan2(arg_max(y, step), arg_max(x, step)))) AS b FROM ego GROUP BY 1)
+ SELECT en.scenario, coalesce(n, 0) AS n, array_to_string(list_sort(list_concat(coalesce(ways, []), [CASE WHEN coalesce(n, 0) = 0 THEN 'people:none' WHEN n >= 5 THEN 'people:crowd' ELSE 'people:few' END, CASE WHEN coalesce(moves, 0) < 2 THEN 'path:mostly_still' WHEN turn > 135 THEN 'path:u_turn' WHEN turn > 45 THEN 'path:turn' ELSE 'path:straight' END,
+  CASE WHEN b <= 30 THEN 'goal:ahead' WHEN b <= 90 THEN 'goal:side' ELSE 'goal:behind' END])), ',') AS tags FROM en LEFT JOIN pp USING (scenario) LEFT JOIN tt USING (scenario)""")
 def scenario_tags(spark, sf_dir):
     """Tags of people and path of each scenario."""
     ego, obs = scenario_tables(spark, sf_dir)
@@ -94,7 +100,7 @@ def scenario_tags(spark, sf_dir):
     turns = M.total_turn(ego.withColumnRenamed("step", "f"), "scenario", 0.05)
     ends = ego.groupBy("scenario").agg(F.degrees(F.atan2(F.max_by("y", "step"), F.max_by("x", "step"))).alias("b"))
     tagged = people.join(turns, "scenario", "left").join(ends, "scenario")
-    return tagged.select("scenario", "n", F.array_sort(F.concat("tags", P.path_tags(F.col("turn"), F.col("moves"), F.col("b"), F.lit(None).cast("double")))).alias("tags"))
+    return tagged.select("scenario", "n", F.array_join(F.array_sort(F.concat("tags", P.path_tags(F.col("turn"), F.col("moves"), F.col("b"), F.lit(None).cast("double")))), ",").alias("tags"))
 
 
 #: Files of the event table that a stream reads one after the other, and how long after the last event the stream says that nothing else comes.
