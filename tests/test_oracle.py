@@ -1,9 +1,11 @@
-"""Every registered query with SQL gives DuckDB's rows on the small tables; the others give rows and a stable schema."""
+"""Every registered query with SQL gives DuckDB's rows on the small tables; the others give what plain Python does."""
 
 import math
 import os
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from wayfold.plans import all_queries, all_sql
@@ -30,6 +32,56 @@ def table(rows, columns):
     return [columns[k] for k in order], sorted((tuple(value(r[k]) for k in order) for r in rows), key=repr)
 
 
+def vectors(duck):
+    rows = duck.execute("SELECT vec_id, label, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+
+
+def plain_ridge(duck, rows):
+    ids, y, x = vectors(duck)
+    x, held, best = np.hstack([np.ones((len(x), 1)), x]), ids % 5 == 0, None
+    for penalty in (0.1, 1.0, 10.0, 100.0):
+        shrink = np.eye(x.shape[1]) * penalty
+        shrink[0, 0] = 0
+        w = np.linalg.solve(x[~held].T @ x[~held] + shrink, x[~held].T @ y[~held])
+        error = y[held] - x[held] @ w
+        r2 = 1 - (error**2).sum() / ((y[held] - y[held].mean()) ** 2).sum()
+        best = max(best or (r2, penalty, 0.0), (r2, penalty, (error**2).mean()))
+    assert [rows[0]["r2"], rows[0]["penalty"], rows[0]["mse"]] == pytest.approx(best, rel=1e-6) and len(rows) == 1
+
+
+def plain_axes(duck, rows):
+    _, label, x = vectors(duck)
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    at = x @ axes[:2].T
+    want = {k: (int((label == k).sum()), *at[label == k].var(axis=0)) for k in np.unique(label)}
+    assert {r["label"] for r in rows} == set(want)
+    assert all([r["n"], r["first"], r["second"]] == pytest.approx(want[r["label"]], abs=2e-6) for r in rows)
+
+
+def plain_cover(duck, rows):
+    """The same rounds, one candidate of each stratum after the other, in plain Python."""
+    pose = duck.execute("SELECT event_id, user_id, epoch_us(ts) / 1e6, event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM events").fetchall()
+    left = [(i, u % 2, u % 7, u, t, (f"kind:{kind}", f"x:{math.floor(x / 100)}", f"y:{math.floor(y / 25)}")) for i, u, t, kind, x, y in pose]
+    taken = []
+    for number in range(1, 13):
+        new = []
+        for stratum in (0, 1):
+            mine = [c for c, _ in taken if c[1] == stratum]
+            have = Counter(tag for c in mine for tag in c[5])
+            recordings, sources = Counter(c[3] for c in mine), Counter(c[2] for c in mine)
+            usable = [c for c in left if c[1] == stratum and recordings[c[3]] < 2 and sources[c[2]] < 4 and all(o[3] != c[3] or abs(o[4] - c[4]) >= 3600 for o in mine)]
+            if usable:
+                new.append(min(usable, key=lambda c: (-round(sum(1 / (1 + have[tag]) for tag in c[5]), 9), c[0])))
+        taken += [(c, number) for c in new]
+        left = [c for c in left if c not in new]
+    assert sorted((r["id"], r["stratum"], r["source"], r["recording"], r["round"]) for r in rows) == sorted((*c[:4], number) for c, number in taken)
+
+
+#: What SQL cannot express is held against plain Python.
+PLAIN = {"ridge_probe": plain_ridge, "embedding_axes": plain_axes, "coverage_selection": plain_cover}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
@@ -38,4 +90,5 @@ def test_query(spark, duck, name):
         found = duck.execute(SQL[name])
         assert got == table(found.fetchall(), [d[0] for d in found.description])
     else:
-        assert len(set(got[0])) == len(got[0])
+        assert name in PLAIN and len(set(got[0])) == len(got[0])
+        PLAIN[name](duck, [dict(zip(df.columns, r)) for r in df.collect()])
