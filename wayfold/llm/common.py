@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,6 +81,12 @@ _held: dict = {}
 
 def claim(owner: str, release) -> None:
     """Says which operator's caches a Python worker holds; those of the operator before it are let go, so that a worker that serves several holds one's."""
-    for other in [x for x in _held if x != owner]:
+    others = [x for x in _held if x != owner]
+    for other in others:
         _held.pop(other)()
     _held[owner] = release
+    if others:  # what was let go goes back to the machine
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)

@@ -35,7 +35,7 @@ WORD_END = "</w>"
 CAPACITY = 4096
 CACHE_ENTRIES = 400_000
 #: Documents whose runs are looked up together.
-ENCODED_TOGETHER = 2000
+ENCODED_TOGETHER = 1000
 #: Marks that may stand alone behind a word.
 MARKS = frozenset(".,!?;:")
 #: What the tokenizer takes otherwise than str.lower() and str.split() do, or may take for a special string.
