@@ -25,16 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage is cut, and lost executors cost no recomputation.
 
-    For this write alone, texts go to Python in batches of `BATCH_ROWS` rows, so that long ones take a bounded memory.
+    For this write alone, texts go to Python in batches of so many rows, so that long ones take a bounded memory.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(BATCHES)
     try:
-        spark.conf.set(BATCHES, BATCH_ROWS)
+        spark.conf.set(BATCHES, batch_rows)
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCHES, before)

@@ -33,9 +33,9 @@ END_ID = 1
 WORD_END = "</w>"
 
 CAPACITY = 4096
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 #: Documents whose runs are looked up together.
-ENCODED_TOGETHER = 1000
+ENCODED_TOGETHER = 2500
 #: Marks that may stand alone behind a word.
 MARKS = frozenset(".,!?;:")
 #: What the tokenizer takes otherwise than str.lower() and str.split() do, or may take for a special string.
@@ -48,7 +48,7 @@ PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 class WordEncoder:
     """Token ids of whole texts, as little-endian 32-bit bytes, with words and visible runs kept between texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -61,7 +61,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.split = regex.compile(WORDS)
-        #: What is in use, and what was before the last time that it was full.
+        #: What is in use, and what was before the last time that it was full: results do not depend on it.
+        self.cache = cache
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -101,7 +102,7 @@ class WordEncoder:
         """Ids of distinct visible runs."""
         new = [r for r in runs if r not in self.known]
         if new:
-            if len(self.known) + 2 * len(new) > CACHE_ENTRIES:
+            if len(self.known) + 2 * len(new) > self.cache:
                 self.before, self.known, new = self.known, {}, runs
             older = self.before
             self.known.update((r, older[r]) for r in new if r in older)
@@ -130,16 +131,16 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, cache: int = CACHE_ENTRIES, together: int = ENCODED_TOGETHER) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document; no shuffle."""
     path, width = tokenizer_path(tokenizer), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
+        if path not in _encoders or _encoders[path].cache != cache:
+            _encoders[path] = WordEncoder(path, cache)
         claim("packing", _encoders.clear)
         encoder, end = _encoders[path], array("I", [END_ID]).tobytes()
-        for batch in in_slices(batches, ENCODED_TOGETHER):
+        for batch in in_slices(batches, together):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             at, piece, start, length, crc = [], [], [], [], []
             for k, ids in enumerate(encoder.encode(texts)):
@@ -212,10 +213,10 @@ def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents with their sequence_id and offset."""
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, cache: int = CACHE_ENTRIES, together: int = ENCODED_TOGETHER) -> DataFrame:
+    """Pieces of all documents with their sequence_id and offset; cache and together trade memory of the workers for time."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    cut = materialize(pieces(docs, tokenizer, capacity, cache, together).withColumn("row", F.monotonically_increasing_id()), "pieces", together)
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     together = max(RANKED_TOGETHER, sum(histogram.values()) // 100_000)
     salts = F.create_map(*[F.lit(x) for k, n in histogram.items() if n > together for x in (k, -(-n // together))]) if any(n > together for n in histogram.values()) else None
