@@ -21,6 +21,9 @@ ORACLE_SQL = None
 #: Least share of the best language after tempering; text that no language explains better than others falls below it.
 LEAST_LANGUAGE_SCORE = 0.5
 
+#: Executors have served four stages before they pack, so packing keeps fewer words and takes fewer texts together than alone.
+PACKING_CACHE, PACKED_TOGETHER = 100_000, 500
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or without a clear language go."""
@@ -45,7 +48,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, placed in sequences of 4096 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=PACKING_CACHE, together=PACKED_TOGETHER)
 
 
 STAGES = [
