@@ -1,5 +1,7 @@
 """The stages one after the other against what each operator's plain version keeps."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from wayfold.llm import decontam, omh, pii
 
@@ -42,9 +44,10 @@ def test_empty_table(docs):
 
 def test_repeated_rows_and_missing_ids(spark, corpus):
     rows = corpus.limit(40)
-    lost = rows.limit(3).withColumn("doc_id", corpus["doc_id"].substr(1, 0).cast("long"))
+    lost = rows.limit(3).withColumn("doc_id", F.lit(None).cast(corpus.schema["doc_id"].dataType))
     frame = rows.unionByName(rows).unionByName(lost)
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, SF)
-    placed = frame.select("doc_id", "piece").collect()
-    assert placed and len(placed) == len(set(placed)) and all(r.doc_id is not None for r in placed)
+    placed = [tuple(r) for r in frame.select("doc_id", "piece").collect()]
+    known = [p for p in placed if p[0] is not None]
+    assert known and len(known) == len(set(known)) and len([p for p in placed if p == (None, 0)]) == 3

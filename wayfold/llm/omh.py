@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of the least id of each class; rows that repeat an id are one document."""
+    """The rows, with all their columns, of the least id of each class; rows that repeat an id are one document, and rows without an id stay."""
     classes = materialize(near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "near")
     dropped = materialize(classes.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct(), "dropped")
     repeated = materialize(classes.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col), "repeated")
