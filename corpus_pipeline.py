@@ -1,8 +1,8 @@
 """A training corpus from raw documents: language, near-duplicates, benchmark leaks, personal data, packing.
 
 Defined cases: documents with null text, or none of whose characters are letters, have no language and go in the first
-stage, and so do those without an id in the second; rows that repeat an id become one document in the second stage; of
-documents that are alike the least id stays; very long texts are taken whole; an empty table goes through every stage
+stage; those without an id are compared with none in the second and stay; rows that repeat an id become one document
+there; of documents that are alike the least id stays; very long texts are taken whole; an empty table goes through every stage
 and gives an empty result; extra columns stay up to the last stage, whatever their names, as they stood (n_chars is
 counted anew where personal data was replaced).
 """
