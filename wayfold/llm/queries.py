@@ -10,8 +10,10 @@ from .oggmedia import op2_ogg_media
 from .omh import op6_order_minhash
 from .packing import op1_best_fit_packing
 from .pii import op10_anchor_pii
+from .resampling import op11_crc_resampling
 from .secrets import op4_secret_scan
 from .tokencount import op3_token_counts
+from .whitening import op13_lanczos_whitening
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +28,8 @@ QUERIES = {
         op8_word_backoff_language,
         op9_tree_model_html,
         op10_anchor_pii,
+        op11_crc_resampling,
+        op13_lanczos_whitening,
     )
 }
 
