@@ -6,48 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import around, box_distance, wrap
+from .scans import running
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, values: list[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, values: list[str], most: int | None = None) -> DataFrame:
     """Left rows with the values of the last right row at or before them (null if there is none).
 
-    Both sides are put in one order of time per key, and a window carries the last right row forward: one shuffle on
-    the key, whatever the sizes.
+    Both sides are put in one order of time per key, and the last right row is carried forward: one shuffle, whatever the
+    sizes; keys of over `most` rows are split over tasks.
     """
     a = left.withColumns({"_t": F.col(left_t), "_side": F.lit(1), "_right": F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType)})
     b = right.select(key, F.col(right_t).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_right"))
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_right", F.last("_right", ignorenulls=True).over(w))
-    return both.filter("_side = 1").select(*left.columns, *(F.col("_right")[v].alias(v) for v in values))
+    both = running(a.unionByName(b, allowMissingColumns=True), [key], ["_t", "_side"], most, last={"_hit": F.col("_right")})
+    return both.filter("_side = 1").select(*left.columns, *(F.col("_hit")[v].alias(v) for v in values))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, values: list[str], tolerance: float | None = None) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, values: list[str], tolerance: float | None = None, most: int | None = None) -> DataFrame:
     """Left rows with the values of the nearest right row in time, the earlier one on ties, within a tolerance."""
     row = F.struct(F.col(right_t).alias("_rt"), *values)
     a = left.withColumns({"_t": F.col(left_t), "_side": F.lit(1), "_right": F.lit(None).cast(right.select(row).schema[0].dataType)})
     b = right.select(key, F.col(right_t).alias("_t"), F.lit(0).alias("_side"), row.alias("_right"))
-    before = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    both = a.unionByName(b, allowMissingColumns=True).withColumns({"_before": F.last("_right", ignorenulls=True).over(before), "_after": F.first("_right", ignorenulls=True).over(after)})
+    both = running(a.unionByName(b, allowMissingColumns=True), [key], ["_t", "_side"], most, last={"_before": F.col("_right")}, first={"_after": F.col("_right")})
     late = F.col("_before").isNull() | (F.col("_after").isNotNull() & (F.col("_after._rt") - F.col("_t") < F.col("_t") - F.col("_before._rt")))
     picked = both.filter("_side = 1").withColumn("_hit", F.when(late, F.col("_after")).otherwise(F.col("_before")))
     near = F.lit(True) if tolerance is None else F.abs(F.col("_hit._rt") - F.col("_t")) <= tolerance
     return picked.select(*left.columns, *(F.when(near, F.col("_hit")[v]).alias(v) for v in values))
 
 
-def interpolate(queries: DataFrame, samples: DataFrame, key: str, axis: str, values: list[str], angles: tuple[str, ...] = ()) -> DataFrame:
+def interpolate(queries: DataFrame, samples: DataFrame, key: str, axis: str, values: list[str], angles: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """Queries (key, axis) with values of samples interpolated along the axis, clamped at both ends."""
-    row = F.struct(F.col(axis).alias("_a"), *values)
-    kind = samples.select(row).schema[0].dataType
-    a = queries.withColumns({"_side": F.lit(1), "_s": F.lit(None).cast(kind)})
-    b = samples.select(key, axis, F.lit(0).alias("_side"), row.alias("_s"))
-    w = Window.partitionBy(key).orderBy(axis, "_side")
-    both = a.unionByName(b, allowMissingColumns=True).withColumns({
-        "_lo": F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_hi": F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    }).filter("_side = 1")
-    span = F.col("_hi._a") - F.col("_lo._a")
-    share = F.when(span > 0, (F.col(axis) - F.col("_lo._a")) / span).otherwise(0.0)
+    both, share = bracketed(queries, samples, key, axis, values, most)
 
     def at(v: str) -> Column:
         lo, hi = F.col("_lo")[v], F.col("_hi")[v]
@@ -57,6 +45,16 @@ def interpolate(queries: DataFrame, samples: DataFrame, key: str, axis: str, val
     return both.select(*queries.columns, *map(at, values))
 
 
+def bracketed(queries: DataFrame, samples: DataFrame, key: str, axis: str, values: list[str], most: int | None = None) -> tuple[DataFrame, Column]:
+    """Queries with the samples before (_lo) and behind (_hi) them, and how far they are from the one to the other."""
+    row = F.struct(F.col(axis).alias("_a"), *values)
+    a = queries.withColumns({"_side": F.lit(1), "_s": F.lit(None).cast(samples.select(row).schema[0].dataType)})
+    b = samples.select(key, axis, F.lit(0).alias("_side"), row.alias("_s"))
+    both = running(a.unionByName(b, allowMissingColumns=True), [key], [axis, "_side"], most, last={"_lo": F.col("_s")}, first={"_hi": F.col("_s")}).filter("_side = 1")
+    span = F.col("_hi._a") - F.col("_lo._a")
+    return both, F.when(span > 0, (F.col(axis) - F.col("_lo._a")) / span).otherwise(0.0)
+
+
 def slerp(a: list[Column], b: list[Column], share: Column) -> list[Column]:
     """Spherical interpolation between two unit quaternions, the short way round."""
     dot = sum((x * y for x, y in zip(a[1:], b[1:])), a[0] * b[0])

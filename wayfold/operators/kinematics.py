@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import PI, wrap
+from .scans import Ordered, ordered, scan
 
 
 def _w(key: str, order: str = "f"):
@@ -39,22 +40,26 @@ def velocity(df: DataFrame, key: str, k_max: int, order: str = "f") -> DataFrame
     return df.withColumns({f"v{c}": F.coalesce(*(slope(c, a, b) for a, b in spans), F.lit(0.0)) for c in ("x", "y")})
 
 
-def unwrap(df: DataFrame, key: str, angle: str, name: str) -> DataFrame:
-    """Adds the angle without jumps: a running sum of wrapped differences from the first."""
-    w = _w(key)
-    first = F.first(angle).over(w)
-    hop = df.withColumn("hop_angle", wrap(F.col(angle) - F.lag(angle).over(w)))
-    return hop.withColumn(name, first + F.coalesce(F.sum("hop_angle").over(w), F.lit(0.0))).drop("hop_angle")
+def unwrap(df: DataFrame, key: str, angle: str, name: str, most: int | None = None) -> DataFrame:
+    """Adds the angle without jumps: a running sum of wrapped differences, from the first angle on."""
+    on = scan(ordered(df, [key], ["f"], most), previous={"_was": F.struct(F.col(angle).alias("angle"))})
+    hop = F.when(F.col("_was").isNull(), F.col(angle)).otherwise(wrap(F.col(angle) - F.col("_was.angle")))
+    return scan(on.with_rows(on.rows.withColumn("_turn", hop)), total={name: F.col("_turn")}).plain().drop("_was", "_turn")
 
 
-def with_hops(df: DataFrame, key: str, order: str = "f") -> DataFrame:
-    w = _w(key, order)
-    return df.withColumn("hop", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
+def with_hops(df: DataFrame, key: str, order: str = "f", most: int | None = None) -> DataFrame:
+    return _hops(ordered(df, [key], [order], most)).plain()
+
+
+def _hops(on: Ordered) -> Ordered:
+    """Adds hop, the distance from the row before."""
+    on = scan(on, previous={"_was": F.struct("x", "y")})
+    return on.with_rows(on.rows.withColumn("hop", F.hypot(F.col("x") - F.col("_was.x"), F.col("y") - F.col("_was.y"))).drop("_was"))
 
 
-def arc_length(df: DataFrame, key: str, order: str = "f") -> DataFrame:
+def arc_length(df: DataFrame, key: str, order: str = "f", most: int | None = None) -> DataFrame:
     """Adds s, the distance travelled along the path."""
-    return with_hops(df, key, order).withColumn("s", F.coalesce(F.sum("hop").over(_w(key, order)), F.lit(0.0)))
+    return scan(_hops(ordered(df, [key], [order], most)), total={"s": F.coalesce("hop", F.lit(0.0))}).plain()
 
 
 def jitter_free_arc(df: DataFrame, key: str, still: float) -> DataFrame:

@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import ordered, scan
+
 #: Plausible step of a track, base in metres and metres a second, by coarse type.
 JUMP_LIMITS = {"PEDESTRIAN": (1.0, 4.0), "CYCLE": (1.5, 15.0), "VEHICLE": (1.5, 15.0), "OTHER_MOVABLE": (1.5, 15.0), "STATIC": (1.0, 0.0)}
 OTHER_JUMP = (1.5, 15.0)
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str) -> DataFrame:
-    """Adds a running number that grows at each row where `breaks` holds."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(w))
+def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str, previous: dict[str, Column] | None = None, most: int | None = None) -> DataFrame:
+    """Adds a running number that grows at each row where `breaks` holds.
+
+    previous: values of the row before, by the names under which `breaks` uses them; they are not in the result.
+    """
+    on = ordered(df, keys, order, most)
+    if previous:
+        on = scan(on, previous=previous)
+    marked = on.with_rows(on.rows.withColumn("_starts", F.coalesce(breaks, F.lit(False)).cast("int")))
+    return scan(marked, total={name: F.col("_starts")}).plain().drop("_starts", *(previous or {}))
 
 
-def cut_episodes(poses: DataFrame, key: str = "rec", max_step: float = 1.0, max_gap_s: float = 1.0, valid: Column | None = None) -> DataFrame:
+def cut_episodes(poses: DataFrame, key: str = "rec", max_step: float = 1.0, max_gap_s: float = 1.0, valid: Column | None = None, most: int | None = None) -> DataFrame:
     """Rows of valid poses with the island (episode) and the hop from the row before in it (null for its first).
 
     A row starts an island if it lies over max_step or max_gap_s from the raw previous row, or if that row is invalid.
     """
-    w = Window.partitionBy(key).orderBy("f")
     ok = F.coalesce(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.lit(True) if valid is None else valid), F.lit(False))
-    seen = poses.withColumn("ok", ok).withColumn("hop", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))).withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("was_ok", F.lag("ok").over(w))
-    starts = ~F.coalesce(F.col("was_ok"), F.lit(False)) | (F.col("hop") > max_step) | (F.col("gap") > max_gap_s) | F.col("hop").isNull()
-    cut = islands(seen.withColumn("starts", starts), [key], ["f"], F.col("starts"), "episode").filter("ok")
+    seen = scan(ordered(poses.withColumn("ok", ok), [key], ["f"], most), previous={"_was": F.struct("x", "y", "t", "ok")})
+    rows = seen.rows.withColumns({"hop": F.hypot(F.col("x") - F.col("_was.x"), F.col("y") - F.col("_was.y")), "gap": F.col("t") - F.col("_was.t")})
+    starts = ~F.coalesce(F.col("_was.ok"), F.lit(False)) | (F.col("hop") > max_step) | (F.col("gap") > max_gap_s) | F.col("hop").isNull()
+    marked = rows.withColumn("starts", starts)
+    cut = scan(seen.with_rows(marked), total={"episode": F.coalesce("starts", F.lit(False)).cast("int")}).plain().filter("ok")
     return cut.select(*poses.columns, "episode", F.when(~F.col("starts"), F.col("hop")).alias("hop"), F.when(~F.col("starts"), F.col("gap")).alias("dt"))
 
 
@@ -39,10 +48,9 @@ def episode_stats(cut: DataFrame, key: str = "rec", min_frames: int = 20, min_le
     return out.filter((F.col("n") >= min_frames) & (F.col("length") >= min_length))
 
 
-def gap_segments(df: DataFrame, key: str, position: Column, max_gap: float) -> DataFrame:
+def gap_segments(df: DataFrame, key: str, position: Column, max_gap: float, most: int | None = None) -> DataFrame:
     """Adds the segment: a new one where a position (frame number or time) is over max_gap beyond the last."""
-    w = Window.partitionBy(key).orderBy("position")
-    return islands(df.withColumn("position", position), [key], ["position"], F.col("position") - F.lag("position").over(w) > max_gap, "segment")
+    return islands(df.withColumn("position", position), [key], ["position"], F.col("position") - F.col("_at") > max_gap, "segment", {"_at": F.col("position")}, most)
 
 
 def densify(df: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
@@ -56,20 +64,17 @@ def chain_pieces(rows: DataFrame, clip: str, max_gap_s: float, join_gap_s: float
 
     The second step orders the aggregated pieces only.  Returns one row a piece with its chain.
     """
-    w = Window.partitionBy(clip).orderBy("t")
-    cut = islands(rows, [clip], ["t"], F.col("t") - F.lag("t").over(w) > max_gap_s, "piece")
+    cut = islands(rows, [clip], ["t"], F.col("t") - F.col("_at") > max_gap_s, "piece", {"_at": F.col("t")})
     pieces = cut.groupBy(*same, clip, "piece").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n"))
-    v = Window.partitionBy(*same).orderBy("t0", clip, "piece")
-    gap = F.col("t0") - F.lag("t1").over(v)
-    return islands(pieces.withColumn("gap", gap), same, ["t0", clip, "piece"], F.col("gap").isNull() | (F.col("gap") <= 0) | (F.col("gap") > join_gap_s), "chain")
+    gap = F.col("t0") - F.col("_end")
+    return islands(pieces, same, ["t0", clip, "piece"], gap.isNull() | (gap <= 0) | (gap > join_gap_s), "chain", {"_end": F.col("t1")})
 
 
 def split_tracks(obs: DataFrame, limits: DataFrame, keys: list[str], type_col: str = "kind") -> DataFrame:
     """Adds part: a track is split where it steps further than base + speed * dt; limits is (type, base, speed), a small table."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    far = obs.join(limits, type_col, "left").withColumn("far", step > F.coalesce("base", F.lit(OTHER_JUMP[0])) + F.coalesce("speed", F.lit(OTHER_JUMP[1])) * (F.col("t") - F.lag("t").over(w)))
-    return islands(far, keys, ["t"], F.col("far"), "part").drop("far", "base", "speed")
+    step = F.hypot(F.col("x") - F.col("_was.x"), F.col("y") - F.col("_was.y"))
+    far = step > F.coalesce("base", F.lit(OTHER_JUMP[0])) + F.coalesce("speed", F.lit(OTHER_JUMP[1])) * (F.col("t") - F.col("_was.t"))
+    return islands(obs.join(limits, type_col, "left"), keys, ["t"], far, "part", {"_was": F.struct("x", "y", "t")}).drop("base", "speed")
 
 
 def contiguity(frames: DataFrame, episode: str, frame: str) -> DataFrame:
