@@ -52,6 +52,23 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iter
             yield batch.slice(first, size)
 
 
+#: Characters of texts that are taken together where arrays are made of all their words.
+TOGETHER = 4 << 20
+
+
+def in_groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in a row of about TOGETHER characters at most, or one longer one."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text or "") > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
+
+
 def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 

@@ -13,6 +13,7 @@ from .pii import op10_anchor_pii
 from .resampling import op11_crc_resampling
 from .secrets import op4_secret_scan
 from .tokencount import op3_token_counts
+from .toxicity import op12_crf_toxicity
 from .whitening import op13_lanczos_whitening
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
         op9_tree_model_html,
         op10_anchor_pii,
         op11_crc_resampling,
+        op12_crf_toxicity,
         op13_lanczos_whitening,
     )
 }

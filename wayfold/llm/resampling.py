@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, materialize
+from .common import in_groups, in_slices, materialize
 
 BUCKETS, LONGEST, SEED, PER_CENT, LEAST_WORDS = 10_000, 3, 42, 5, 20
-#: Bytes of text that are taken together; features of more bytes than WIDEST have a matrix each of few rows and go one by one.
-TOGETHER, WIDEST = 4 << 20, 128
+#: Features of more bytes would have a matrix of few rows each, and go one by one.
+WIDEST = 128
 
 #: What a byte becomes: capitals in lower case, digits, small letters and bytes of longer characters as they are, the rest a space.
 _KEPT = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
@@ -112,26 +112,13 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[tuple[
         yield known[codes[whole]], of[:count][whole], n
 
 
-def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """Texts in a row of about TOGETHER characters at most, or one longer one."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text or "") > TOGETHER:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text or "")
-    if group:
-        yield group
-
-
 def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """How often features of each bucket stand in the texts of a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(buckets, np.int64)
         for batch in in_slices(batches):
-            for group in _groups(batch.column(0).to_pylist()):
+            for group in in_groups(batch.column(0).to_pylist()):
                 for found, _, _ in features(group, buckets):
                     counts += np.bincount(found, minlength=buckets)
         some = np.flatnonzero(counts)
@@ -155,7 +142,7 @@ def weighed(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             words, sums, totals = [], [], []
-            for group in _groups(batch.column(1).to_pylist()):
+            for group in in_groups(batch.column(1).to_pylist()):
                 n_words, n, weight = (np.zeros(len(group), np.int64) for _ in range(3))
                 for found, of, size in features(group, len(gain)):
                     here = np.bincount(of, minlength=len(group))
