@@ -10,15 +10,22 @@ of the runs of five); what makes keys selective is that a k-mer of each part mus
 Chance pairs of words grow with a text, so long ones take three words.  Texts of up to `TINY` words take every k-mer of
 one word but one or two: such pairs never miss.
 
-Texts with a key in common are candidates, and candidates whose words have an edit similarity (1 - distance / longer
-length) of `SIMILAR` or more by banded alignment are linked; classes are the components of the links.  First each text
-is compared with the least text of each of its keys.  What a key then holds outside the component of its least text is
-compared with the key's members in other components, lengths permitting.  So no pair of different components that share
-a key is left out, and no group of copies is ever expanded into all pairs.
-
-Defined cases: null text and text without words are each a class of their own; exact copies are one text; ties go to
-the least id; rows that repeat an id are one document; a null id raises an error; an empty table gives an empty result;
-other columns are ignored.  A passage that moved counts as so many deletions and insertions.
+Equal texts are one text, found by digest; ids only name what is found.  Texts with a key in common are candidates, and
+candidates whose words have an edit similarity (1 - distance / longer length) of `SIMILAR` or more by banded alignment are
+linked; classes are the components of the links.  First each text is compared with one text of each of its keys.  What a
+key then holds outside the component of that text is open, and is compared with the key's members in other components, lengths
+permitting.  So no pair of different components that share a key is left out, and copies are not expanded into all pairs.
+
+Texts made from one form may have a key in common without being similar.  Where the open members of a key and all its members
+make over `CROWDED` pairs, its members go another way, which loses no pair: texts of a similarity of 0.8 share all but a fifth
+of their words, occurrence numbers and all, so in any order of words they share one of the first fifth (and one more) of each.
+Rare words come first in that order, so the form's own words are the last to be looked at, and what the texts of a form have for
+themselves decides.  Texts of a form that have few words of their own, and these from few words, still meet often.
+
+Defined cases: rows with null text or a null id are each a class of their own; texts without words are near to their exact copies
+only; exact copies are one text; the least id of a class names it; an id with several texts may be in several classes, and rows
+that repeat id and text are one document; an empty table gives an empty result; other columns are ignored.  A passage that
+moved counts as so many deletions and insertions.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +48,13 @@ from .words import mixed, shingles, word_ids
 SIMILAR = 0.8
 TINY = 14
 #: Fewest and most words of a text, words in a k-mer, parts of the text, sketches.
-KINDS = ((12, 50, 2, 2, 32), (40, 2000, 2, 4, 64), (1600, None, 3, 4, 128))
+KINDS = ((12, 50, 2, 2, 32), (40, 2000, 2, 4, 64), (1600, None, 3, 3, 96))
 #: Hashes that are computed at once.
 CELLS = 2_000_000
+#: Pairs of a key's open members and all its members from which its members are compared by their rare words.
+CROWDED = 500
+#: Counters of words, by hash; their order only says which words are looked at first.
+COUNTERS = 1 << 18
 
 _seeds = np.random.default_rng(20240601).integers(1, 1 << 63, sum(x[-1] for x in KINDS), np.uint64)
 _STEP = np.uint64(0x5851F42D4C957F2D)
@@ -168,7 +179,7 @@ def _similarity(a, b):
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, words, keys) of every row: a digest that equal texts share, the number of words, and the keys."""
+    """(id, digest, words, keys) of every row with id and text: the text's digest, the number of words, and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -178,16 +189,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             values = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, ids), pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)], names=["id", "digest", "words", "keys"])
 
-    key = F.coalesce(F.col(id_col), F.raise_error(F.lit("near-duplicates need an id in every row")).cast(docs.schema[id_col].dataType))
-    digest = F.coalesce(F.unhex(F.sha2(text_col, 256)), F.encode(F.concat(F.lit("null "), F.col(id_col).cast("string")), "UTF-8"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(key.alias("id"), digest.alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, words int, keys array<long>")
+    rows = docs.filter(_compared(id_col, text_col)).select(F.col(id_col).alias("id"), _digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, digest binary, words int, keys array<long>")
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(text_col, 256))
+
+
+def _compared(id_col: str, text_col: str) -> Column:
+    return F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; texts are fetched for the ids in pairs only."""
+    """The pairs (a, b) whose texts are similar; texts are fetched for the texts in pairs only."""
     pairs = materialize(pairs, f"{name}-pairs")
-    text_of = lambda column: texts.select(F.col("id").alias(column), F.col("text").alias(f"text_{column}"))
+    text_of = lambda column: texts.select(F.col("node").alias(column), F.col("text").alias(f"text_{column}"))
     joined = pairs.join(text_of("a"), "a").join(text_of("b"), "b")
     return materialize(joined.withColumn("similarity", _similarity.asNondeterministic()("text_a", "text_b")).select("a", "b", "similarity").filter(F.col("similarity") >= SIMILAR), f"{name}-links")
 
@@ -201,46 +219,114 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(new, nodes["root"] == new["was"], "left").select("node", F.coalesce("now", "root").alias("root")), "merged")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id (the class's least id), text_id (least id of the exact copies), n_links (verified links of the text)."""
+def near(x: Column, y: Column) -> Column:
+    """Lengths that an edit similarity of SIMILAR allows."""
+    return F.least(x, y) >= F.greatest(x, y) * SIMILAR
+
+
+def across(members: DataFrame, by: str) -> DataFrame:
+    """Pairs (a, b) of members (by, node, words, root, open) with the same `by` in different components, one of them open."""
+    side = lambda some, x: some.select(by, F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("words", "root", "open")))
+    both = side(members.filter("open"), "a").join(side(members, "b"), by).filter("root_a <> root_b and (a < b or not open_b)").filter(near(F.col("words_a"), F.col("words_b")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def by_rare_words(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (node, words, root, open) that may be similar: they share one of their rarest words."""
+    rows = members.join(texts, "node").select("node", "words", "root", "open", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in in_slices(batches):
+            for text in batch.column(0).to_pylist():
+                total += np.bincount((labelled(word_ids(text)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["at", "n"])
+
+    counts = np.zeros(COUNTERS, np.int64)
+    for at, n in rows.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n")).collect():  # COUNTERS rows at most
+        counts[at] = n
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            found = []
+            for text in batch.column(1).to_pylist():
+                words = labelled(word_ids(text))
+                found.append(words[np.lexsort((words, shared.value[(words % np.uint64(COUNTERS)).astype(np.int64)]))][: int((1 - SIMILAR) * len(words) + 1e-9) + 1].astype(np.int64))
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(0).take(of)], names=["word", "node"])
+
+    words = materialize(rows.select("node", "text").mapInArrow(rarest, "word long, node long"), "rare")
+    known = materialize(words.join(members, "node"), "rare-of")
+    several = known.groupBy("word").agg(F.count("*").alias("n"), F.bool_or("open").alias("any")).filter("n > 1 and any").select("word")
+    return across(materialize(known.join(several, "word"), "rare-shared"), "word")
+
+
+def texts_and_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of every row with id and text, and of every such text digest, text_id, class_id, n_links and first.
+
+    first: the text that stands for its class, the one of the least id (of several the one with the least digest).
+    """
     sketched = materialize(sketches(docs, id_col, text_col), "sketches")
-    same = materialize(sketched.groupBy("digest").agg(F.min("id").alias("text_id")), "texts")
-    member = sketched.select("id", "digest").join(same, "digest").select("id", "text_id")
-    ones = sketched.join(same.select(F.col("text_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    keys = materialize(ones.select("id", "words", F.explode("keys").alias("key")), "keys")
-    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    nodes = sketched.groupBy("digest").agg(F.min("id").alias("text_id"), F.first("words").alias("words"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
+    keys = materialize(nodes.select("node", "words", F.explode("keys").alias("key")), "keys")
+    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     held = materialize(keys.join(shared, "key"), "held")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = materialize(texts.join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "compared")
-    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * SIMILAR  # noqa: E731  lengths that an edit similarity of SIMILAR allows
-    lengths = held.filter("id = least").select(F.col("key"), F.col("words").alias("least_words"))
-    star = held.filter("id <> least").join(lengths, "key").filter(near(F.col("words"), F.col("least_words"))).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", "digest", F.col("text_id").alias("id"))
+    rows = docs.filter(_compared(id_col, text_col)).select(F.col(id_col).alias("id"), _digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    texts = materialize(rows.join(wanted, ["digest", "id"]).select("node", "text").dropDuplicates(["node"]), "compared")
+    lengths = held.filter("node = least").select(F.col("key"), F.col("words").alias("least_words"))
+    star = held.filter("node <> least").join(lengths, "key").filter(near(F.col("words"), F.col("least_words"))).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(star, texts, "star")
     roots = components(links)
     root_of = lambda column, name: roots.select(F.col("node").alias(column), F.col("root").alias(name))
-    placed = held.join(root_of("id", "root"), "id", "left").join(root_of("least", "least_root"), "least", "left")
-    placed = materialize(placed.filter("id <> least").select("key", "id", "words", F.coalesce("root", "id").alias("root"), (F.coalesce("root", "id") != F.coalesce("least_root", "least")).alias("open")), "placed")
-    side = lambda some, x: some.select("key", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("words", "root", "open")))
-    more = side(placed.filter("open"), "a").join(side(placed, "b"), "key").filter("root_a <> root_b and (a < b or not open_b)").filter(near(F.col("words_a"), F.col("words_b")))
-    more = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, "rest")
+    placed = held.join(root_of("node", "root"), "node", "left").join(root_of("least", "least_root"), "least", "left")
+    placed = materialize(placed.filter("node <> least").select("key", "node", "words", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") != F.coalesce("least_root", "least")).alias("open")), "placed")
+    opens = placed.groupBy("key").agg(F.count_if("open").alias("n"), F.count("*").alias("all")).filter("n > 0").select("key", (F.col("n") * F.col("all") > CROWDED).alias("crowded"))
+    placed = materialize(placed.join(opens, "key"), "open")
+    pairs = across(placed.filter("not crowded"), "key")
+    crowd = materialize(placed.filter("crowded").groupBy("node").agg(F.first("words").alias("words"), F.first("root").alias("root"), F.bool_or("open").alias("open")), "crowd")
+    if not crowd.isEmpty():
+        pairs = pairs.union(by_rare_words(crowd, texts))
+    more = verified(pairs.distinct(), texts, "rest")
     links = materialize(links.select("a", "b").union(more.select("a", "b")).distinct(), "links")
     roots = merged(roots, more)
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    texted = roots.join(degree, roots["node"] == degree["id"], "left").select(F.col("node").alias("text_id"), "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = member.join(texted, "text_id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("root", "text_id").alias("class_id"), "text_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    linked = materialize(roots.join(degree, "node", "left").join(nodes.select("node", "text_id", "digest"), "node"), "linked")
+    least = linked.groupBy("root").agg(F.min(F.struct("text_id", "digest")).alias("least"))
+    classes = linked.join(least, "root").select("node", F.col("least.text_id").alias("class_id"), F.col("least.digest").alias("least_digest"), "n_links")
+    texted = nodes.select("node", "digest", "text_id").join(classes, "node", "left").select(
+        "digest", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("least_digest") == F.col("digest"), F.lit(True)).alias("first")
+    )
+    return sketched.select("id", "digest"), materialize(texted, "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id (the class's least id), text_id (least id of the exact copies), n_links (verified links of the text)."""
+    members, texts = texts_and_classes(docs, id_col, text_col)
+    found = members.join(texts, "digest").select(F.col("id").alias(id_col), "class_id", "text_id", "n_links")
+    alone = docs.filter(~_compared(id_col, text_col)).select(id_col, F.col(id_col).alias("class_id"), F.col(id_col).alias("text_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.union(alone)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of the least id of each class; rows that repeat an id are one document, and rows without an id stay."""
-    classes = materialize(near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "near")
-    dropped = materialize(classes.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct(), "dropped")
-    repeated = materialize(classes.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col), "repeated")
-    kept = docs.join(dropped, id_col, "left_anti")
-    if not repeated.isEmpty():
-        once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-        kept = kept.join(repeated, id_col, "left_anti").unionByName(once)
-    return kept.select(docs.columns)
+    """One row of each class with all its columns: of the text that stands for it, the one of the least id; rows without id or text stay.
+
+    Of rows that repeat id and text one stays, whichever.
+    """
+    members, texts = texts_and_classes(docs, id_col, text_col)
+    rows = members.groupBy("id", "digest").agg(F.count("*").alias("n"))
+    seen = materialize(rows.join(texts.select("digest", "text_id", "first"), "digest").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), (F.col("first") & (F.col("id") == F.col("text_id"))).alias("_stays"), "n"), "near")
+    marked = docs.withColumn("_digest", _digest(text_col))
+    same = lambda side: (marked[id_col] == side["_id"]) & (marked["_digest"] == side["_digest"])
+    dropped, repeated = seen.filter("not _stays"), seen.filter("_stays and n > 1")
+    if repeated.isEmpty():
+        return marked.join(dropped, same(dropped), "left_anti").select(docs.columns)
+    once = marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["_digest"])
+    others = seen.filter("not _stays or n > 1")
+    return marked.join(others, same(others), "left_anti").unionByName(once).select(docs.columns)
 
 
 def op6_order_minhash(spark, sf_dir: str) -> DataFrame:
