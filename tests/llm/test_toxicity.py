@@ -28,7 +28,7 @@ def test_chain_against_all_paths(size):
 
 def test_gradient_against_differences():
     rng = np.random.default_rng(0)
-    words = toxicity.Words(["idiot", "the", "cat"])
+    words = toxicity.Words.of_words(["idiot", "the", "cat"])
     at, begins, toxic = np.array([0, 1, 2, 1, 0, 0]), np.array([1, 0, 0, 1, 0, 0], bool), np.array([1, 0, 0, 0, 1, 1])
     flat = rng.normal(size=toxicity.SIZE) * 0.1
     slope = toxicity.gradient(words, at, begins, toxic, toxicity.Weights(flat))[1]

@@ -1,10 +1,11 @@
 """Toxic spans by a linear-chain conditional random field (operator 12).
 
-Labels are of documents, the field needs labels of tokens.  A word is a cue if documents with label 1 have it far more often than
-their share of all documents explains (log-likelihood ratio); what copies of one passage repeat counts once, as only
-different neighbourhoods of a word count.  Tokens of labelled documents are toxic where a cue stands in a document with label 1.
-On these tokens a field with two states is trained: a token's features are its word, its character n-grams and the words
-before and behind it, hashed; L-BFGS takes the gradient from the blocks of the sample, a forward-backward pass over each.
+Labels are of documents, the field needs labels of tokens.  A word, or the beginning of words, is a cue if documents with label 1
+have it far more often than their share of all documents explains (log-likelihood ratio) and most of its occurrences are theirs;
+what copies of one passage repeat counts once, as only different neighbourhoods of a word count.  Tokens of labelled documents
+are toxic where a cue stands in a document with label 1.  On these tokens a field with two states is trained: a token's features
+are its word, its beginnings, its character n-grams and the words before and behind it, hashed; L-BFGS takes the gradient from
+the blocks of the sample, a forward-backward pass over each.
 
 A document's score is a logistic function, fitted on the document labels, of its tokens' marginals: the greatest one, their sum, and
 their sum by length.  Runs of tokens with a marginal of a half or more are its toxic spans.
@@ -37,12 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import claim, in_groups, in_slices, materialize
 
-SAMPLE_DOCS, SAMPLE_BLOCKS = 6000, 12
+SAMPLE_DOCS, SAMPLE_BLOCKS = 3000, 12
 THRESHOLD = 0.7
-#: A cue stands in documents with label 1 at least half of the times, and its ratio is at least this.
-LEAST_RATIO, LEAST_SHARE = 24.0, 0.5
-FEATURES, SHORTEST_GRAM, LONGEST_GRAM = 1 << 14, 3, 5
-PENALTY, STEPS = 1.0, 40
+#: A cue stands in so many documents with label 1 at least, in them most of the times, and its ratio is at least this.
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 5, 0.5, 24.0
+#: Share of one word in what a beginning has from which the word alone counts.
+MOST_OF_ONE = 0.8
+FEATURES, GRAM, BEGINNINGS = 1 << 16, 4, range(3, 9)
+PENALTY, STEPS = 1.0, 30
 CACHE_ENTRIES = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 NO_WORD = ""
@@ -57,11 +60,16 @@ def _hashed(name: str) -> int:
     return xxhash.xxh32_intdigest(name) % FEATURES
 
 
+def units_of(low: str) -> list[str]:
+    """A word and its beginnings, as what cues are looked for among."""
+    return ["w" + low, *("^" + low[:k] for k in BEGINNINGS if k < len(low))]
+
+
 def features_of(word: str) -> tuple[list[int], int, int]:
     """Places of a word's own features, of its feature for the token behind it, and of its feature for the token before it."""
     low = word.lower()
     marked = f"<{low}>"
-    own = [f"w{low}"] + ["g" + marked[i : i + n] for n in range(SHORTEST_GRAM, LONGEST_GRAM + 1) for i in range(len(marked) - n + 1)] if low else ["w"]
+    own = [*units_of(low), *("g" + marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1))] if low else ["w"]
     return list(map(_hashed, own)), _hashed("p" + low), _hashed("n" + low)
 
 
@@ -154,14 +162,17 @@ SIZE = FEATURES + 6
 
 
 class Words:
-    """Distinct words of a block and their features, one list behind the other."""
+    """Features of a block's distinct words and, last, of no word: own ones behind one another, `sizes` a word."""
+
+    def __init__(self, own: np.ndarray, sizes: np.ndarray, ahead: np.ndarray, back: np.ndarray):
+        self.own, self.sizes, self.ahead, self.back = own, sizes, ahead, back
+        self.of, self.size = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
 
-    def __init__(self, words: list[str]):
+    @classmethod
+    def of_words(cls, words: list[str]) -> Words:
         found = [features_of(w) for w in [*words, NO_WORD]]
-        self.own = np.fromiter(chain.from_iterable(f for f, _, _ in found), np.int64)
-        self.of = np.repeat(np.arange(len(found)), [len(f) for f, _, _ in found])
-        self.ahead, self.back = (np.array([f[k] for f in found]) for k in (1, 2))
-        self.size = len(found)
+        numbers = lambda x: np.fromiter(x, np.int32)
+        return cls(numbers(chain.from_iterable(f for f, _, _ in found)), numbers(len(f) for f, _, _ in found), numbers(f[1] for f in found), numbers(f[2] for f in found))
 
     def leads(self, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.bincount(self.of, feature[self.own], self.size), feature[self.ahead], feature[self.back]
@@ -172,7 +183,7 @@ def gradient(words: Words, at: np.ndarray, begins: np.ndarray, toxic: np.ndarray
     lead = token_leads(*words.leads(weights.feature), at, begins)
     marginal, log, pairs = Chain(begins).run(lead, weights.move, weights.start)
     inner = np.flatnonzero(~begins)
-    seen = np.bincount(toxic[inner - 1] * 2 + toxic[inner], minlength=4).reshape(2, 2)
+    seen = np.bincount(toxic[inner - 1].astype(np.int64) * 2 + toxic[inner], minlength=4).reshape(2, 2)
     first, of_first = toxic[begins], marginal[begins]
     start_seen = np.array([(first == 0).sum(), (first == 1).sum()])
     value = log - (lead[toxic == 1].sum() + (seen * weights.move).sum() + start_seen @ weights.start)
@@ -360,31 +371,56 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("digest", "text", "toxic")
 
 
-def _seen_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every word of a document once, with a hash of its first neighbourhood there."""
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of documents, each with a hash of the words around it and a number of its document."""
     for batch in in_slices(batches):
-        words, places, labels = [], [], []
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             low = [w.lower() for w in words_of(text)]
-            first = dict(zip(reversed(low), range(len(low) - 1, -1, -1)))
-            words += first
-            places += [xxhash.xxh32_intdigest(" ".join(low[max(0, k - 1) : k + 2])) for k in first.values()]
-            labels += [toxic] * len(first)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int64()), pa.array(labels, pa.int32())], names=["word", "place", "toxic"])
+            found = {(u, xxhash.xxh32_intdigest(" ".join(low[max(0, k - 1) : k + 2]))) for k, w in enumerate(low) for u in units_of(w)}
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64()), pa.array([number] * len(found), pa.int64())], names=["unit", "place", "doc"])
 
 
 def cues(sample: DataFrame, base: float) -> list[str]:
-    """Words that stand in documents with label 1 far more often than by chance; bounded as the sample is."""
-    seen = sample.select("text", "toxic").mapInArrow(_seen_words, "word string, place long, toxic int").distinct()
-    counts = seen.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    share = F.col("a") / (F.col("a") + F.col("b"))
-    part = lambda n, p, q: F.when(n > 0, n * F.log(p / q)).otherwise(0.0)
-    ratio = 2 * (part(F.col("a"), share, F.lit(base)) + part(F.col("b"), 1 - share, F.lit(1 - base)))
-    return [r.word for r in counts.filter((share >= max(LEAST_SHARE, base)) & (ratio >= LEAST_RATIO)).select("word").orderBy("word").collect()]
+    """Units that stand in documents with label 1 far more often than by chance; bounded as the sample is."""
+    places = sample.filter("toxic = 1").select(F.xxhash64("digest"), "text").mapInArrow(_places, "unit string, place long, doc long")
+    toxic = places.groupBy("unit").agg(F.count_distinct("place").alias("c"), F.count_distinct("doc").alias("d"))
+    known = {r.unit: (r.c, min(r.c, r.d)) for r in toxic.filter((F.col("c") >= LEAST_DOCS) & (F.col("d") >= LEAST_DOCS)).collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times, docs = Counter(), Counter()
+        for batch in in_slices(batches):
+            for text in batch.column(0).to_pylist():
+                here = Counter(u for w in words_of(text) for u in units_of(w.lower()) if u in known)
+                times.update(here)
+                docs.update(here.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([docs[u] for u in times], pa.int64())], names=["unit", "c", "d"])
+
+    clean = {r.unit: (r.c, r.d) for r in sample.filter("toxic = 0").select("text").mapInArrow(run, "unit string, c long, d long").groupBy("unit").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).collect()}
+
+    def ratio(a: int, b: int) -> float:
+        share = a / (a + b)
+        return 2 * (a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0.0))
+
+    #: the most frequent word with each beginning: one that a single word makes up is no cue beside it
+    word = Counter()
+    for unit, (c, _) in known.items():
+        if unit[0] == "w":
+            for start in units_of(unit[1:])[1:]:
+                word[start] = max(word[start], c)
+    found = []
+    for unit, (c, d) in known.items():
+        other_c, other_d = clean.get(unit, (0, 0))
+        if word[unit] < MOST_OF_ONE * c and c >= LEAST_SHARE * (c + other_c) and d > base * (d + other_d) and ratio(d, other_d) >= LEAST_RATIO:
+            found.append(unit)
+    return sorted(found)
+
+
+#: What a block of the sample holds, as bytes: features of its words, the word of each token, marks of first tokens, labels of tokens and documents.
+BLOCK = {"own": np.int32, "sizes": np.int32, "ahead": np.int32, "back": np.int32, "at": np.int32, "begins": bool, "toxic": np.int8, "labels": np.int8}
 
 
 def _blocks(sample: DataFrame, known: frozenset[str]) -> DataFrame:
-    """Tokens of the sample in blocks: distinct words, the word of each token, marks of first tokens, token and document labels."""
+    """Tokens of the sample in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -395,17 +431,19 @@ def _blocks(sample: DataFrame, known: frozenset[str]) -> DataFrame:
                 if low:
                     at += [rows.setdefault(w, len(rows)) for w in low]
                     begins += [True] + [False] * (len(low) - 1)
-                    toxic += [label * (w in known) for w in low]
+                    toxic += [label and int(any(u in known for u in units_of(w))) for w in low]
                     labels.append(label)
             if at:
-                arrays = [pa.array([list(rows)]), *(pa.array([np.array(x, kind).tobytes()], pa.binary()) for x, kind in ((at, np.int64), (begins, bool), (toxic, np.int64), (labels, np.int64)))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["words", "at", "begins", "toxic", "labels"])
+                words = Words.of_words(list(rows))
+                values = {**{c: getattr(words, c) for c in ("own", "sizes", "ahead", "back")}, "at": at, "begins": begins, "toxic": toxic, "labels": labels}
+                yield pa.RecordBatch.from_arrays([pa.array([np.array(values[c], kind).tobytes()], pa.binary()) for c, kind in BLOCK.items()], names=list(BLOCK))
 
-    return sample.repartition(SAMPLE_BLOCKS, "digest").select("text", "toxic").mapInArrow(run, "words array<string>, at binary, begins binary, toxic binary, labels binary")
+    return sample.repartition(SAMPLE_BLOCKS, "digest").select("text", "toxic").mapInArrow(run, ", ".join(f"{c} binary" for c in BLOCK))
 
 
 def _read(row: dict) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return Words(row["words"]), *(np.frombuffer(row[c], kind) for c, kind in (("at", np.int64), ("begins", bool), ("toxic", np.int64), ("labels", np.int64)))
+    own, sizes, ahead, back, *rest = (np.frombuffer(row[c], kind) for c, kind in BLOCK.items())
+    return Words(own, sizes, ahead, back), *rest
 
 
 def train(blocks: DataFrame, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
@@ -442,7 +480,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for row in batch.to_pylist():
                 words, at, begins, _, labels = _read(row)
                 marginal = Chain(begins).run(token_leads(*words.leads(weights.feature), at, begins), weights.move, weights.start, summed=False)[0]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, evidence(marginal, begins).T.copy()), pa.array(labels)], names=["a", "b", "c", "y"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, evidence(marginal, begins).T.copy()), pa.array(labels.astype(np.int64))], names=["a", "b", "c", "y"])
 
     rows = np.array([tuple(r) for r in blocks.mapInArrow(run, "a double, b double, c double, y long").collect()]).reshape(-1, 4)  # bounded as the sample is
     if not len(rows):
