@@ -99,3 +99,21 @@ def test_ids_of_any_type(docs, spark):
             found = D.find(docs, typed, most_shared=shared)
             assert found.schema["item_id"].dataType == typed.schema["item_id"].dataType
             assert {r.doc_id for r in found.collect()} == {4, 5} and {r.item_id for r in found.collect()} == {r.item_id for r in typed.collect()}
+
+
+def test_repeated_and_null_ids_mean_the_same_both_ways(spark):
+    a, b = "one two three four five six seven eight", "red green blue white black brown grey pink"
+    items = spark.createDataFrame([(7, a), (7, b), (None, a), (7, a)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y"), (None, f"z {a}"), (None, "clean text"), (1, "other text of one"), (3, None)], "doc_id long, text string")
+    want = {(1, 7), (1, None), (2, 7), (None, 7), (None, None)}
+    for shared in (10**6, 0):
+        rows = D.find(docs, items, most_shared=shared).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+        kept = D.clean(docs, items, most_shared=shared)
+        assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(None, "clean text"), (1, "other text of one"), (3, None)], key=str)
+
+
+def test_both_ways_on_the_corpus(spark, corpus):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    one, other = (sorted(map(tuple, D.find(corpus, items, most_shared=shared).collect())) for shared in (10**6, 0))
+    assert one == other and one

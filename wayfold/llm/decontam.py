@@ -9,13 +9,15 @@ none of the accepted score is passed over.  The passage around a seed is aligned
 Smith-Waterman over words; a document is contaminated by an item if the score is `LEAST_SCORE` or more of what the item
 scores against itself, or if `LEAST_RUN` or more of the score comes with it in a long item.
 
-The seeds go to the tasks as a sorted array while there are at most `MOST_SHARED` n-grams; beyond that the corpus's
-n-grams are joined with them in a shuffle, and pairs go to the tasks for so many items at a time.  That bounds what is
-broadcast; both ways give the same rows, which the tests hold them to.
+The seeds go to the tasks as a sorted array while there are at most `MOST_SHARED` n-grams.  Beyond that n-grams, items and
+texts meet in shuffles: documents with a seed of an item, and those with one of its rarest pairs, so many that the pairs which
+the accepted score needs can't all be others, are aligned with it.  That bounds what is broadcast; both ways give the same
+rows, which the tests hold them to.
 
 Defined cases: null text and items without words match nothing; items of fewer than four words are one seed of all their
-words; repeated rows give repeated results; an empty benchmark or corpus gives an empty result; other columns are
-ignored by find() and kept by clean().
+words; an item is an id and a text: an id with several texts is several items, each with rows of its own, rows that repeat both
+are one, and a null id is an id like others; repeated and null ids of documents stay apart, row by row (clean() drops a row for
+its own text); an empty benchmark or corpus gives an empty result; other columns are ignored by find() and kept by clean().
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize, in_slices
 from .words import shingles, word_ids
@@ -40,7 +41,7 @@ RARE_LEAST, RARE_SHARE, RARE_MEDIANS = 10, 0.001, 2.0
 MOST_SHARED = 500_000
 #: Words on each side of what a seed's place in the item asks for, besides a quarter of the item.
 SLACK = 8
-FOUND = "item_id {item}, score double, matched int, first_word int, last_word int"
+FOUND = "item long, score double, matched int, first_word int, last_word int"
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -110,21 +111,26 @@ def grams_of(ids: np.ndarray, sizes: tuple[int, ...]) -> list[tuple[int, np.ndar
     return [(n, shingles(ids, n)) for n in sizes if len(ids) >= n]
 
 
-def item_grams(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, gram, place) of every n-gram of every test item."""
+def numbered_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, item_id, item_text): each id with each of its texts once, with a number."""
+    rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("item_text")).filter("item_text is not null")
+    return materialize(rows.distinct().withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "item_text"), "items")
+
+
+def item_grams(items: DataFrame, size: int = SEED_WORDS) -> DataFrame:
+    """(item, gram, place) of every n-gram of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             at, grams, places = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                found = shingles(word_ids(text), SEED_WORDS).astype(np.int64).tolist()
+                found = shingles(word_ids(text), size).astype(np.int64).tolist()
                 at += [k] * len(found)
                 grams += found
                 places += range(len(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(grams, pa.int64()), pa.array(places, pa.int32())], names=["item_id", "gram", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(grams, pa.int64()), pa.array(places, pa.int32())], names=["item", "gram", "place"])
 
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    return benchmark.select(F.col(item_col).alias("item_id"), text_col).mapInArrow(run, f"item_id {kind}, gram long, place int")
+    return items.select("item", "item_text").mapInArrow(run, "item long, gram long, place int")
 
 
 def _ngrams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -179,28 +185,6 @@ def _hits(docs: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...], reach: in
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, grams array<long>, places array<int>, firsts array<int>, words array<binary>, items array<int>, in_text array<int>, in_item array<int>")
 
 
-def _paired(docs: DataFrame, items: DataFrame, chunks: int) -> DataFrame:
-    """(id, item_id, place, item_place) of dense pairs: only for benchmarks too large to share, of which each pass takes one chunk."""
-    id_kind, item_kind = docs.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    item_type = to_arrow_type(items.schema["item_id"].dataType)
-    out = None
-    for chunk in range(chunks):
-        some = [(r["item_id"], word_ids(r["item_text"])) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == chunk).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in some], Pairs([w for _, w in some])))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, pairs = shared.value
-            for batch in in_slices(batches):
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    for item, places, item_places in pairs.seeds(word_ids(text)):
-                        at = pa.array(np.full(len(places), k))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([names[item]] * len(places), item_type), pa.array(places.astype(np.int32)), pa.array(item_places.astype(np.int32))], names=["id", "item_id", "place", "item_place"])
-
-        found = materialize(docs.select("id", "text").mapInArrow(run, f"id {id_kind}, item_id {item_kind}, place int, item_place int"), "paired")
-        out = found if out is None else out.union(found)
-    return out
-
-
 def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     at = np.searchsorted(ordered, values)
     at[at == len(ordered)] = 0
@@ -208,11 +192,23 @@ def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def rare_seeds(grams: DataFrame, frequency: DataFrame, documents: int) -> DataFrame:
-    """(item_id, gram, place) of the n-grams that are kept as seeds, by document frequency."""
+    """(item, gram, place) of the n-grams that are kept as seeds, by document frequency."""
     counted = grams.join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    median = counted.groupBy("item_id").agg(F.percentile("df", 0.5).alias("median"))
+    median = counted.groupBy("item").agg(F.percentile("df", 0.5).alias("median"))
     limit = F.greatest(F.lit(float(max(RARE_LEAST, RARE_SHARE * documents))), F.col("median") * RARE_MEDIANS)
-    return counted.join(median, "item_id").filter(F.col("df") <= limit).select("item_id", "gram", "place", "df")
+    return counted.join(median, "item").filter(F.col("df") <= limit).select("item", "gram", "place", "df")
+
+
+def rare_pairs(items: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(item, gram) of the rarest pairs of words of items of SEED_WORDS or more: an accepted alignment has one of them.
+
+    Of an item's places, an alignment needs so many; so many less one can be left out, and these are the most frequent.
+    """
+    words = F.count("*").over(Window.partitionBy("item")) + 1
+    needed = F.least(F.ceil(F.lit(LEAST_SCORE) * F.col("words")), F.lit(LEAST_RUN)) - 1
+    ranked = item_grams(items, PAIR).withColumn("words", words).filter(F.col("words") >= SEED_WORDS).join(frequency, "gram", "left")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "place")))
+    return ranked.filter(F.col("rank") <= F.col("words") - 1 - F.greatest(needed, F.lit(1)) + 1).select("item", "gram").distinct()
 
 
 def _windows(places: list[tuple[int, int]], words: int, size: int) -> list[tuple[int, int]]:
@@ -249,25 +245,29 @@ def align(ids: np.ndarray, item: np.ndarray, places: list[tuple[int, int]]) -> t
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
     """One row for each contaminated document and item: id, item_id, score (share of the item's own), matched, first_word, last_word."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
-    grams = materialize(item_grams(benchmark, item_col, item_text_col), "item-grams")
-    found = (_find_shared if grams.count() <= most_shared else _find_joined)(texts, items, grams, docs.count())
-    return materialize(found, "leaks").select(F.col("id").alias(id_col), "item_id", "score", "matched", "first_word", "last_word")
+    return _found(texts, benchmark, item_col, item_text_col, most_shared).select(F.col("id").alias(id_col), "item_id", "score", "matched", "first_word", "last_word")
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, most_shared: int) -> DataFrame:
+    """(id, item_id, ...) of contaminated texts (id, text); id may be of any type, and need not tell rows apart."""
+    items = numbered_items(benchmark, item_col, item_text_col)
+    grams = materialize(item_grams(items), "item-grams")
+    found = (_find_shared if grams.count() <= most_shared else _find_joined)(texts, items, grams, texts.count())
+    return materialize(found.join(items.select("item", "item_id"), "item").drop("item"), "leaks")
 
 
 def _find_shared(texts: DataFrame, items: DataFrame, grams: DataFrame, documents: int) -> DataFrame:
     """Seeds go to the tasks; one pass over the texts keeps the words around hits, and a pass over those aligns them."""
-    words = {r["item_id"]: word_ids(r["item_text"]) for r in items.collect()}  # at most MOST_SHARED n-grams in all
+    words = {r["item"]: word_ids(r["item_text"]) for r in items.collect()}  # at most MOST_SHARED n-grams in all
     longest = max(map(len, words.values()), default=0)
     wanted = np.unique(np.array([r["gram"] for r in grams.select("gram").distinct().collect()], np.int64).astype(np.uint64))
     sizes = tuple(sorted({min(SEED_WORDS, len(w)) for w in words.values() if len(w)}))
-    id_kind, item_kind = texts.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    item_type = to_arrow_type(items.schema["item_id"].dataType)
+    id_kind = texts.schema["id"].dataType.simpleString()
     hits = materialize(_hits(texts, wanted if len(wanted) else np.zeros(1, np.uint64), sizes, longest + slack(longest), Pairs(list(words.values()))), "hits")
     frequency = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     where = defaultdict(list)
     for r in rare_seeds(grams, frequency, documents).collect():  # at most MOST_SHARED
-        where[r["gram"]].append((r["item_id"], r["place"]))
+        where[r["gram"]].append((r["item"], r["place"]))
     known = texts.sparkSession.sparkContext.broadcast((dict(where), words, list(words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,48 +288,65 @@ def _find_shared(texts: DataFrame, items: DataFrame, grams: DataFrame, documents
                     score, first, last = align(np.frombuffer(runs[run], np.uint64), words[item], pairs)
                     if score > best.get(item, (0,))[0]:
                         best[item] = (score, first + firsts[run], last + firsts[run])
-                for item in sorted(best, key=str):
+                for item in sorted(best):
                     score, first, last = best[item]
                     if enough(score, len(words[item])):
                         at.append(k)
                         rows.append((item, score / len(words[item]), score, first, last))
             columns = list(zip(*rows)) or [()] * 5
-            kinds = [item_type, pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "item_id", "score", "matched", "first_word", "last_word"])
+            kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "item", "score", "matched", "first_word", "last_word"])
 
-    return hits.mapInArrow(run, f"id {id_kind}, {FOUND.format(item=item_kind)}")
+    return hits.mapInArrow(run, f"id {id_kind}, {FOUND}")
 
 
 def _find_joined(texts: DataFrame, items: DataFrame, grams: DataFrame, documents: int) -> DataFrame:
-    """The same for benchmarks of any size: n-grams, items and texts meet in shuffles."""
-    hits = materialize(_ngrams(texts, tuple(range(1, SEED_WORDS + 1))).join(grams.select("gram").distinct(), "gram"), "hits")
-    frequency = hits.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    seeds = rare_seeds(grams, frequency, documents).select("gram", "item_id", F.col("place").alias("item_place"))
-    seeded = hits.join(seeds, "gram").select("id", "item_id", "place", "item_place").union(_paired(texts, items, -(-max(1, grams.count()) // MOST_SHARED)))
-    per_item = materialize(seeded.groupBy("id", "item_id").agg(F.collect_list(F.struct("place", "item_place")).alias("places")), "seeded")
-    paired = per_item.join(texts, "id").join(items, "item_id")
-    id_kind, item_kind = texts.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    """The same for benchmarks of any size: n-grams, items and texts meet in shuffles.  Rows of texts are numbered, as ids may repeat."""
+    rows = materialize(texts.filter("text is not null").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    named = rows.select(F.col("row").alias("id"), "text")
+    hits = materialize(_ngrams(named, tuple(range(1, SEED_WORDS + 1))).join(grams.select("gram").distinct(), "gram").select("id", "gram").distinct(), "hits")
+    frequency = hits.groupBy("gram").agg(F.count("*").alias("df"))
+    seeds = materialize(rare_seeds(grams, frequency, documents).select("gram", "item"), "seeds")
+    pair_hits = materialize(_ngrams(named, (PAIR,)).join(item_grams(items, PAIR).select("gram").distinct(), "gram").select("id", "gram").distinct(), "pair-hits")
+    pairs = rare_pairs(items, pair_hits.groupBy("gram").agg(F.count("*").alias("df")))
+    asked = materialize(hits.join(seeds, "gram").select("id", "item").union(pair_hits.join(pairs, "gram").select("id", "item")).distinct(), "asked")
+    seeded = items.join(seeds.groupBy("item").agg(F.collect_set("gram").alias("seeds")), "item", "left").select("item", "item_text", F.coalesce("seeds", F.array().cast("array<bigint>")).alias("seeds"))
+    paired = asked.withColumnRenamed("id", "row").join(rows, "row").join(seeded, "item").select("id", "item", "text", "item_text", "seeds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            at, rows = [], []
-            for k, (text, item, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
-                words = word_ids(item)
-                score, first, last = align(word_ids(text), words, [(p["place"], p["item_place"]) for p in places])
-                if enough(score, len(words)):
+            at, found = [], []
+            for k, (text, item, seeds) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
+                ids, words = word_ids(text), word_ids(item)
+                score, first, last = align(ids, words, places) if (places := _asked_places(ids, words, seeds)) else (0, 0, 0)
+                if score and enough(score, len(words)):
                     at.append(k)
-                    rows.append((score / len(words), score, first, last))
-            columns, kept = list(zip(*rows)) or [()] * 4, pa.array(at, pa.int64())
+                    found.append((score / len(words), score, first, last))
+            columns, kept = list(zip(*found)) or [()] * 4, pa.array(at, pa.int64())
             kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "item_id", "score", "matched", "first_word", "last_word"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", "item", "score", "matched", "first_word", "last_word"])
+
+    return paired.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {FOUND}")
+
 
-    return paired.select("id", "item_id", "text", "item_text", "places").mapInArrow(run, f"id {id_kind}, {FOUND.format(item=item_kind)}")
+def _asked_places(ids: np.ndarray, words: np.ndarray, seeds: list[int]) -> list[tuple[int, int]]:
+    """(place in the text, place in the item) of an item's seeds and dense pairs."""
+    if not len(ids) or not len(words):
+        return []
+    size = min(SEED_WORDS, len(words))
+    own, text = shingles(words, size), shingles(ids, size) if len(ids) >= size else ids[:0]
+    wanted = np.array(seeds, np.int64).astype(np.uint64)
+    out = [(d, i) for i in np.flatnonzero(np.isin(own, wanted)).tolist() for d in np.flatnonzero(text == own[i]).tolist()]
+    return out + [(d, i) for _, places, item_places in Pairs([words]).seeds(ids) for d, i in zip(places.tolist(), item_places.tolist())]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The rows, with all their columns, of documents that no test item contaminates."""
-    leaks = materialize(find(docs, benchmark, id_col, **columns).select(id_col).distinct(), "leaking")
-    return docs.join(leaks, id_col, "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
+    """The rows, with all their columns, whose text no test item contaminates; rows are told apart by id and text."""
+    key = F.struct(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("text"))
+    leaks = _found(docs.select(key.alias("id"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col, most_shared)
+    leaking = materialize(leaks.select("id").distinct(), "leaking").select(F.col("id.id").alias("_id"), F.col("id.text").alias("_text"))
+    marked = docs.withColumn("_digest", F.sha2(text_col, 256))
+    return marked.join(leaking, marked[id_col].eqNullSafe(leaking["_id"]) & (marked["_digest"] == leaking["_text"]), "left_anti").select(docs.columns)
 
 
 def op7_seeded_decontamination(spark, sf_dir: str) -> DataFrame:
