@@ -78,8 +78,127 @@ def plain_cover(duck, rows):
     assert sorted((r["id"], r["stratum"], r["source"], r["recording"], r["round"]) for r in rows) == sorted((*c[:4], number) for c, number in taken)
 
 
+def sightings(duck):
+    """Sightings by group and day: (id, kind, x, y, ident)."""
+    rows = duck.execute("SELECT user_id % 3, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT), event_id, event_type, value / 50, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10, user_id % 40 FROM events ORDER BY 1, 2, 3").fetchall()
+    out = {}
+    for g, f, i, kind, x, y, ident in rows:
+        out.setdefault(g, {}).setdefault(f, []).append((i, {"click": "Pedestrian", "view": "Cyclist"}.get(kind, "Car"), x, y, ident))
+    return out
+
+
+def nearest_first(cost):
+    """Pairs of a table of costs {(a, b): cost}: the cheapest one again and again."""
+    out, cost = {}, dict(cost)
+    while cost:
+        a, b = min(cost, key=lambda p: (cost[p], p))
+        out[b] = a
+        cost = {p: c for p, c in cost.items() if p[0] != a and p[1] != b}
+    return out
+
+
+def plain_objects(duck, rows):
+    gate, speed, accel = {"Pedestrian": 1.5, "Cyclist": 3.0, "Car": 2.5}, {"Pedestrian": 3.0, "Cyclist": 10.0, "Car": 16.0}, {"Pedestrian": 1.5, "Cyclist": 3.0, "Car": 4.0}
+    want = set()
+    for g, days in sightings(duck).items():
+        tracks = {}  # track: (day, kind, x, y, ident, velocity or None)
+        for day in sorted(days):
+            live, cost = {k: v for k, v in tracks.items() if day - v[0] <= 3}, {}
+            times = Counter(o[4] for o in days[day])
+            for k, (last, kind, x, y, ident, v) in live.items():
+                dt = day - last
+                vx, vy = v or (0.0, 0.0)
+                for i, kind2, x2, y2, ident2 in days[day]:
+                    off, lost = math.hypot(x + vx * dt - x2, y + vy * dt - y2), math.hypot(x - x2, y - y2)
+                    if kind != kind2:
+                        continue
+                    if times[ident2] == 1 and ident2 == ident and off <= (gate[kind] + accel[kind] * dt * dt if v is not None else speed[kind] * dt):
+                        cost[k, i] = 0.1 * off
+                    elif dt == 1:
+                        if off <= gate[kind] + 0.5 * math.hypot(vx, vy):
+                            cost[k, i] = off
+                    elif lost <= 1:
+                        cost[k, i] = lost + 1
+            linked, tracks = nearest_first(cost), live
+            for i, kind, x, y, ident in days[day]:
+                k = linked.get(i, i)
+                was = live.get(k)
+                moving = was is not None and day - was[0] == 1
+                want.add((g, i, k))
+                tracks = {**tracks, k: (day, kind, x, y, ident if times[ident] == 1 else None, (x - was[2], y - was[3]) if moving else None)}
+    assert {(r["g"], r["id"], r["track"]) for r in rows} == want and len(rows) == len(want)
+    assert len({k for _, _, k in want}) < 0.9 * len(want)
+
+
+def plain_detections(duck, rows):
+    want = []
+    for g, days in sightings(duck).items():
+        tracks = {}  # track: list of (day, x, y), velocity
+        for day in sorted(days):
+            cost = {}
+            for k, (seen, (vx, vy)) in tracks.items():
+                last, x, y = seen[-1]
+                for i, _, x2, y2, _ in days[day]:
+                    off = math.hypot(x + vx * (day - last) - x2, y + vy * (day - last) - y2)
+                    if day - last <= 4 and off < 0.8:
+                        cost[k, i] = off
+            linked = nearest_first(cost)
+            for i, _, x, y, _ in days[day]:
+                if i not in linked:
+                    tracks[i] = ([(day, x, y)], (0.0, 0.0))
+                    continue
+                seen, (vx, vy) = tracks[linked[i]]
+                new = ((x - seen[-1][1]) / (day - seen[-1][0]), (y - seen[-1][2]) / (day - seen[-1][0]))
+                tracks[linked[i]] = ([*seen, (day, x, y)], new if len(seen) == 1 else ((vx + new[0]) / 2, (vy + new[1]) / 2))
+        for k, (seen, _) in tracks.items():
+            travel = math.hypot(seen[-1][1] - seen[0][1], seen[-1][2] - seen[0][2])
+            if len(seen) >= 3 and travel >= 0.6:
+                want.append((g, k, len(seen), seen[0][0], seen[-1][0], round(travel, 6)))
+    got = sorted((r["g"], r["track"], r["hits"], r["f0"], r["f1"], r["travel"]) for r in rows)
+    assert [x[:5] for x in got] == [x[:5] for x in sorted(want)] and [x[5] for x in got] == pytest.approx([x[5] for x in sorted(want)], abs=2e-6) and want
+
+
+def plain_ground(duck, rows):
+    pts = duck.execute("SELECT l_suppkey % 20, l_quantity - 25, l_discount * 100 - 5, l_extendedprice / 40000 FROM lineitem").fetchall()
+    cells = {}
+    for sweep, x, y, z in pts:
+        cells.setdefault((sweep, math.floor(x), math.floor(y)), []).append(float(z))
+    ring = lambda i, j: math.floor(max(abs(i + 0.5), abs(j + 0.5)))
+    want = {}
+    for sweep in {p[0] for p in pts}:
+        ground = {}
+        for i, j in sorted(((i, j) for i in range(-16, 16) for j in range(-16, 16)), key=lambda c: ring(*c)):
+            if not ring(i, j):
+                ground[i, j] = (0.5, 0.0)
+                continue
+            near = [ground[i + a, j + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (i + a, j + b) in ground and ring(i + a, j + b) == ring(i, j) - 1]
+            expected, slack = sum(g for g, _ in near) / len(near), min(s for _, s in near)
+            inside = sorted(z for z in cells.get((sweep, i, j), ()) if abs(z - expected) <= 0.35 + slack)
+            ground[i, j] = (inside[len(inside) // 10], 0.0) if len(inside) >= 3 else (expected, min(0.6, slack + 0.15))
+        want.update({(sweep, *c): (g, s == 0) for c, (g, s) in ground.items()})
+    assert {(r["sweep"], r["ci"], r["cj"]): r["seen"] for r in rows} == {k: s for k, (_, s) in want.items()}
+    assert all(abs(r["ground"] - want[r["sweep"], r["ci"], r["cj"]][0]) < 1e-5 for r in rows) and any(s for _, s in want.values())
+
+
+def plain_quota(duck, rows):
+    """Row by row: the best candidate that may be taken, again and again."""
+    from wayfold.plans import following as W
+
+    left = duck.execute("SELECT event_id, event_type, user_id, epoch_us(ts) / 1e6, CAST(json_extract_string(props, '$.k') AS DOUBLE) > 60, round(value / 500, 3) FROM events").fetchall()
+    taken = []
+    for klass, n in sorted(W.QUOTAS.items(), key=lambda q: (q[1], q[0])):
+        for _ in range(n):
+            per = Counter(c[2] for c in taken)
+            full = sum(c[4] for c in taken) >= W.MOST_OUTDOOR
+            may = [c for c in left if c[1] == klass and c not in taken and per[c[2]] < W.PER_RECORDING and not (full and c[4]) and all(o[2] != c[2] or abs(o[3] - c[3]) >= W.SPACING for o in taken)]
+            if not may:
+                break
+            taken.append(min(may, key=lambda c: (-(c[5] + 0.5 / (1 + per[c[2]])), c[0])))
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["place"])] == [c[0] for c in taken] and len(taken) > 15
+
+
 #: What SQL cannot express is held against plain Python.
-PLAIN = {"ridge_probe": plain_ridge, "embedding_axes": plain_axes, "coverage_selection": plain_cover}
+PLAIN = {"object_tracks": plain_objects, "detection_tracks": plain_detections, "grown_ground": plain_ground, "quota_selection": plain_quota, "ridge_probe": plain_ridge, "embedding_axes": plain_axes, "coverage_selection": plain_cover}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

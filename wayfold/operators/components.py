@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .selection import cut_lineage
+from .lineage import cut_lineage
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges (a, b), the root being the component's least node.
 
-    A round takes the least root among a node and its neighbours, then that root's own root, until nothing changes.
+    A round takes the least root among a node and its neighbours, then that root's own root, until nothing changes.  Before that
+    a node's edges to many lesser ones become edges to the least of them, which leaves components as they are.
     """
+    ends = cut_lineage(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "ends")
+    low = ends.join(ends.groupBy("high").agg(F.min("low").alias("least")), "high")
+    edges = low.select(F.col("high").alias("a"), F.col("least").alias("b")).union(low.select("low", "least")).filter("a <> b").union(ends.filter("low = high"))
     both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     roots = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root"))
     roots = cut_lineage(roots, "roots")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geom import around
+from .folds import fold
 
 
 def cell(c: str, size: float) -> Column:
@@ -82,6 +84,104 @@ def low_quantile(points: DataFrame, keys: list[str], share: float = 0.1, least:
     return placed.filter((F.col("n") >= least) & (F.col("_up") > at) & (F.col("_up") - F.col("_c") <= at)).select(*keys, F.col("z").alias("ground"), F.col("n").cast("int").alias("n"))
 
 
+#: Fixed values of ground that is grown outwards: band about the expected height [m], its growth for each cell without ground, its most, points that make ground.
+GROUND_BAND, SLACK_PER_CELL, MAX_SLACK, MIN_GROUND_POINTS = 0.35, 0.15, 0.6, 3
+
+
+def grow_ground(points: DataFrame, sweep: str, under: float, size: float, rings: int) -> DataFrame:
+    """(sweep, ci, cj, ground, seen) of all cells within `rings` of the sensor, from points (sweep, x, y, z) around it.
+
+    The four cells around the sensor stand at height `under`.  Ring by ring outwards a cell expects the mean of its neighbours
+    in the ring before and takes a low point of those within a band about it; with too few of them it keeps what it
+    expects, and the band grows.  Counts of equal heights go through the rings of a sweep, one ring at a time.
+    """
+    low = lambda c: F.when(c >= 0, c).otherwise(-1 - c)
+    placed = points.select(sweep, F.floor(F.col("x") / size).cast("int").alias("ci"), F.floor(F.col("y") / size).cast("int").alias("cj"), F.col("z").cast("double").alias("z")).filter("z is not null")
+    counted = placed.withColumn("ring", F.greatest(low(F.col("ci")), low(F.col("cj")))).filter(F.col("ring") < rings).groupBy(sweep, "ring", "ci", "cj", "z").agg(F.count("*").alias("n"))
+    #: every sweep has a row for its last ring, up to which cells without points inherit
+    ends = counted.select(sweep).distinct().select(sweep, F.lit(rings - 1).alias("ring"), F.lit(None).cast("int").alias("ci"), F.lit(None).cast("int").alias("cj"), F.lit(None).cast("double").alias("z"), F.lit(0).cast("long").alias("n"))
+    schema = T.StructType([points.schema[sweep], *(T.StructField(c, k) for c, k in (("ci", T.IntegerType()), ("cj", T.IntegerType()), ("ground", T.DoubleType()), ("seen", T.BooleanType())))])
+
+    def step(state: tuple, rows: list[dict]) -> tuple[tuple, list[dict]]:
+        last, known = state
+        name, out = rows[0][sweep], []
+        while last < rows[0]["ring"]:
+            last += 1
+            heights: dict = {}
+            if last == rows[0]["ring"]:
+                for r in rows:
+                    if r["n"]:
+                        heights.setdefault((r["ci"], r["cj"]), []).append((r["z"], r["n"]))
+            known = ring_of_ground(last, known, heights, under)
+            out += [{sweep: name, "ci": i, "cj": j, "ground": g, "seen": slack == 0.0} for (i, j), (g, slack) in sorted(known.items())]
+        return (last, known), out
+
+    return fold(counted.unionByName(ends), [sweep], "ring", lambda: (-1, {}), step, schema, ["ci", "cj", "z"])
+
+
+def ring_of_ground(ring: int, inner: dict, heights: dict, under: float) -> dict:
+    """(ground, slack) by cell of a ring, from the ring before and the sorted (height, count) of the cells' points."""
+    cells = [(i, j) for i in range(-1 - ring, ring + 1) for j in ((-1 - ring, ring) if -1 - ring < i < ring else range(-1 - ring, ring + 1))]
+    if not ring:
+        return dict.fromkeys(cells, (under, 0.0))
+    out = {}
+    for i, j in cells:
+        near = [inner[c] for c in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)) if c in inner]
+        expected, slack = sum(g for g, _ in near) / len(near), min(s for _, s in near)
+        inside = [(z, n) for z, n in heights.get((i, j), ()) if abs(z - expected) <= GROUND_BAND + slack]
+        total = sum(n for _, n in inside)
+        if total >= MIN_GROUND_POINTS:
+            place = total // 10
+            for z, n in inside:
+                if place < n:
+                    break
+                place -= n
+            out[i, j] = (z, 0.0)
+        else:
+            out[i, j] = (expected, min(slack + SLACK_PER_CELL, MAX_SLACK))
+    return out
+
+
+#: Fixed values of the floor in a sweep: range of its returns [m], greatest height [m], tolerance [m], returns that make a floor.
+FLOOR_NEAR, FLOOR_FAR, FLOOR_BELOW, FLOOR_TOLERANCE, FLOOR_POINTS = 3.0, 15.0, -0.8, 0.05, 300
+
+
+def floor_fit(points: DataFrame, sweep: str, tolerance: float = FLOOR_TOLERANCE, least: int = FLOOR_POINTS, passes: int = 4, far: float = FLOOR_FAR, near: float = FLOOR_NEAR, below: float = FLOOR_BELOW) -> DataFrame:
+    """(sweep, n, nx, ny, nz, height) of the floor under each sweep: unit normal upwards and the sensor's height over it.
+
+    Least squares over low returns from grouped moments, again over those near the plane before, within a band that halves
+    down to the tolerance; so many passes, whatever the points.  Sweeps with too few such returns, or a floor over 25 degrees off
+    level, have no row.
+    """
+    r = F.hypot("x", "y")
+    low = points.filter((r > near) & (r < far) & (F.col("z") < below)).select(sweep, "x", "y", "z")
+    plane = plane_fit(low, [sweep], least)
+    for k in range(1, passes):
+        band = tolerance * 2 ** (passes - 1 - k)
+        close = low.join(plane.select(sweep, "a", "b", "c"), sweep).filter(F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("b") * F.col("y") - F.col("c")) < band)
+        plane = plane_fit(close.select(sweep, "x", "y", "z"), [sweep], least)
+    size = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + 1)
+    out = plane.filter("a is not null").select(sweep, "n", (-F.col("a") / size).alias("nx"), (-F.col("b") / size).alias("ny"), (1 / size).alias("nz"), (-F.col("c") / size).alias("height"))
+    return out.filter("nz >= 0.9")
+
+
+def levelled(sweeps: DataFrame, floors: DataFrame, recording: str, frame: str, smooth: int = 5, standing: float = 1.7) -> DataFrame:
+    """Sweeps (recording, frame, ox, oy, oz: the odometry's up vector) with the up vector to level by, and one height a recording.
+
+    The floor's normal where it is seen, else the odometry's; median of each part over +-smooth sweeps, edge padded; the height is
+    the median over the floors, `standing` where none is seen.
+    """
+    both = sweeps.join(floors.select(recording, frame, "nx", "ny", "nz", "height"), [recording, frame], "left")
+    up = both.withColumns({f"u{c}": F.when(F.col("nx").isNotNull(), F.col(f"n{c}")).otherwise(F.col(f"o{c}")) for c in "xyz"})
+    w = Window.partitionBy(recording).orderBy(frame)
+    ends = {c: (F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) for c in ("ux", "uy", "uz")}
+    around_ = lambda c: F.array_sort(F.array(*(F.coalesce(F.lag(c, -k).over(w), ends[c][0]) if k < 0 else F.coalesce(F.lead(c, k).over(w), ends[c][1]) for k in range(-smooth, smooth + 1))))[smooth]
+    smoothed = up.withColumns({f"s{c}": around_(f"u{c}") for c in "xyz"})
+    size = F.sqrt(F.col("sx") ** 2 + F.col("sy") ** 2 + F.col("sz") ** 2)
+    heights = both.groupBy(recording).agg(F.coalesce(F.percentile("height", F.lit(0.5)), F.lit(standing)).alias("sensor_height"), F.avg(F.col("nx").isNotNull().cast("double")).alias("floor_share"))
+    return smoothed.select(recording, frame, *((F.col(f"s{c}") / size).alias(f"up_{c}") for c in "xyz")).join(heights, recording)
+
+
 def inherit_ground(ground: DataFrame, wanted: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
     """Ground of wanted cells: their own, else the mean of the eight around; a fixed number of passes."""
     known = wanted.join(ground.select(*keys, "ci", "cj", "ground"), [*keys, "ci", "cj"], "left")

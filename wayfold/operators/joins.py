@@ -66,6 +66,15 @@ def slerp(a: list[Column], b: list[Column], share: Column) -> list[Column]:
     return [wa * x + wb * sign * y for x, y in zip(a, b)]
 
 
+def interpolate_poses(queries: DataFrame, samples: DataFrame, key: str, axis: str, place: list[str], turn: list[str], most: int | None = None) -> DataFrame:
+    """Queries (key, axis) with places of samples interpolated and their quaternions (w, x, y, z) turned in between, held at both ends."""
+    both, share = bracketed(queries, samples, key, axis, [*place, *turn], most)
+    lo, hi = (lambda v: F.coalesce(F.col("_lo")[v], F.col("_hi")[v])), (lambda v: F.coalesce(F.col("_hi")[v], F.col("_lo")[v]))
+    held = F.coalesce(share, F.lit(0.0))
+    between = slerp([lo(v) for v in turn], [hi(v) for v in turn], held)
+    return both.select(*queries.columns, *((lo(v) + (hi(v) - lo(v)) * held).alias(v) for v in place), *(q.alias(v) for q, v in zip(between, turn)))
+
+
 def windows_around(frames: DataFrame, anchors: DataFrame, keys: list[str], frame: str, before: int, after: int) -> DataFrame:
     """Each anchor with the rows of its frames -before..after as steps 0..; one equi-join on (keys, frame)."""
     steps = F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("_k")

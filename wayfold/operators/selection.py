@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import uniform
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own where that is unset and all runs on one machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-
-
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .lineage import cut_lineage
+from .similarity import near_pairs
 
 
 def hash_split(key: Column, validation: float = 0.05, test: float = 0.05) -> Column:
@@ -68,30 +50,42 @@ def first_per(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFr
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+#: Vectors that are thinned at once, at first; every later part is as large as all before it.
+FIRST_PART = 8192
 
 
-def similar_pairs(rows: DataFrame, group: list[str], limit: float) -> DataFrame:
-    """(group, a, b, rank_a, rank_b) of a group's rows over a cosine limit, each pair once, the earlier row first.
+def thin(rows: DataFrame, group: list[str], limit: float, rounds: int = 200, first: int = FIRST_PART) -> DataFrame:
+    """Rows kept by going through each group in order of rank and skipping what is similar to a row kept before (cosine over the limit).
 
-    Rows (group, id, rank, embedding) of one group are dealt into blocks of ids, and block pairs are joined, so a large
-    group is spread over many tasks.
+    rows: (group, id, rank, embedding).  Of equal vectors only the first can be kept.  Parts of the order are gone through one
+    after the other, each as large as all before it: what is similar to a row kept from the parts before goes without meeting
+    its own part, so a cluster of any size is compared with its few kept members only.  Rows without a vector are kept.
     """
-    blocks = 16
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    left = rows.withColumn("_p", block).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*group, "_p", F.col("_q").cast("long").alias("_q"), F.col("id").alias("a"), F.col("rank").alias("rank_a"), F.col("embedding").alias("ea"))
-    right = rows.withColumn("_q", block).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*group, F.col("_p").cast("long").alias("_p"), "_q", F.col("id").alias("b"), F.col("rank").alias("rank_b"), F.col("embedding").alias("eb"))
-    return left.join(right, [*group, "_p", "_q"]).filter((F.col("rank_a") < F.col("rank_b")) & (dot("ea", "eb") > limit)).select(*group, "a", "b", "rank_a", "rank_b")
-
-
-def thin(rows: DataFrame, group: list[str], limit: float, rounds: int = 200) -> DataFrame:
-    """Rows kept by going through each group in order of rank and skipping what is similar to a row kept before.
+    vectors = rows.filter(F.col("embedding").isNotNull())
+    firsts = vectors.groupBy(*group, "embedding").agg(F.min(F.struct("rank", "id")).alias("_at")).select(*group, "_at.id", "_at.rank", "embedding")
+    firsts = cut_lineage(firsts, "distinct")
+    n = firsts.count()
+    shares = [0.5**k for k in range(1, 64) if n * 0.5**k >= first][::-1]
+    cuts = firsts.agg(F.percentile_approx("rank", shares, 10_000)).first()[0] if shares else []
+    kept = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = firsts.filter((F.lit(True) if low is None else F.col("rank") > low) & (F.lit(True) if high is None else F.col("rank") <= high))
+        if kept is not None:
+            part = part.join(near_pairs(part, kept, group, limit, some=True).select(F.col("a").alias("id")), "id", "left_anti")
+        part = cut_lineage(part, "part")
+        new = part.join(_skipped(part, group, limit, rounds), "id", "left_anti")
+        kept = cut_lineage(new if kept is None else kept.unionByName(new), "kept")
+    return rows.join(kept.select("id"), "id", "left_semi").unionByName(rows.filter(F.col("embedding").isNull()))
+
+
+def _skipped(rows: DataFrame, group: list[str], limit: float, rounds: int) -> DataFrame:
+    """Ids of the rows that are similar to a row kept before them.
 
     A fixed point of: a row goes once an earlier neighbour is kept for sure; it is kept for sure once all its earlier
     neighbours are gone. Each round settles at least the first open row of every chain.
     """
-    pairs = cut_lineage(similar_pairs(rows, group, limit).select("a", "b"), "pairs")
+    earlier = F.struct("rank_a", "a") < F.struct(F.col("rank_b").alias("rank_a"), F.col("b").alias("a"))
+    pairs = cut_lineage(near_pairs(rows, rows, group, limit).filter(earlier).select("a", "b"), "pairs")
     open_ = cut_lineage(pairs.select(F.col("b").alias("id")).distinct(), "open")
     gone = open_.limit(0)
     for _ in range(rounds):
@@ -102,14 +96,13 @@ def thin(rows: DataFrame, group: list[str], limit: float, rounds: int = 200) ->
         gone = cut_lineage(gone.union(judged.filter("dropped").select("id")), "gone")
         open_ = judged.filter("not dropped and waits").select("id")
         if open_.isEmpty():
-            return rows.join(gone, "id", "left_anti")
+            return gone
     raise RuntimeError("thinning did not settle")
 
 
 def far_from(rows: DataFrame, rejected: DataFrame, group: list[str], limit: float, exempt: str) -> DataFrame:
     """Rows that are exempt or not similar to any rejected row of their group."""
-    other = rejected.select(*group, F.col("embedding").alias("eb"))
-    near = rows.filter(~F.col(exempt)).select(*group, "id", F.col("embedding").alias("ea")).join(other, group).filter(dot("ea", "eb") > limit).select("id").distinct()
+    near = near_pairs(rows.filter(~F.col(exempt)), rejected, group, limit, some=True).select(F.col("a").alias("id"))
     return rows.join(near, "id", "left_anti")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import choosing, columns, gridding, jobs, joining, motion, registry, sampling, scoring, studying, suites  # noqa: F401
+from . import choosing, columns, following, gridding, jobs, joining, motion, registry, sampling, scoring, studying, suites  # noqa: F401
 
 
 def all_queries() -> dict:

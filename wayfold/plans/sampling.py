@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import samples as P
-from ..operators.selection import shared_folder
+from ..operators.lineage import shared_folder
 from ..sources.tables import poses, table
 from ..streaming import streams
 from .registry import query
