@@ -78,3 +78,33 @@ def test_writers(spark, tmp_path):
     assert max(r.n for r in spark.read.parquet(str(tmp_path / "s")).groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n")).collect()) <= 4
     T.write_json_lines(spark.createDataFrame([(1, float("nan")), (2, 0.5)], "id int, v double"), str(tmp_path / "j"))
     assert {r.id: r.v for r in spark.read.schema("id int, v double").json(str(tmp_path / "j")).collect()} == {1: None, 2: pytest.approx(0.5)}
+
+
+def test_shards_of_many_episodes_in_ranges(spark):
+    rows = [(split, f"e{k:04d}", 10 + (k * 37) % 90) for split in ("a", "b") for k in range(300)]
+    got = {(r.split, r.episode_id): r.shard for r in T.episode_shards(spark.createDataFrame(rows, "split string, episode_id string, bytes long"), 500).collect()}
+    for split in ("a", "b"):
+        before = 0
+        for s, e, n in sorted(r for r in rows if r[0] == split):
+            assert got[s, e] == before // 500
+            before += n
+
+
+def test_reduced_publication(spark, tmp_path):
+    frames = spark.createDataFrame([(f"e{e}", f, float(f), bytes(200)) for e in range(6) for f in range(10)], "episode_id string, frame_index int, timestamp double, image binary")
+    episodes = spark.createDataFrame([(f"e{e}", "train" if e % 2 else "test", e) for e in range(6)], "episode_id string, split string, extra int")
+    samples = spark.createDataFrame([("e1", 4), ("e2", 5), ("e3", 9)], "episode_id string, frame_index int")
+    views = spark.createDataFrame([(e, f + d) for e, f in (("e1", 4), ("e2", 5), ("e3", 9)) for d in (-2, 0, 0, 50)], "episode_id string, frame_index int")
+    T.publish_reduced(samples, views, frames, episodes, str(tmp_path / "p"), 1500)
+    back = spark.read.parquet(str(tmp_path / "p/frames")).withColumn("file", F.col("_metadata.file_path"))
+    assert {(r.episode_id, r.frame_index) for r in back.filter("image is not null").collect()} == {("e1", 2), ("e1", 4), ("e2", 3), ("e2", 5), ("e3", 7), ("e3", 9)}
+    assert back.count() == 30 and back.groupBy("episode_id").agg(F.count_distinct("file").alias("n")).filter("n > 1").count() == 0
+    assert {r.episode_id for r in spark.read.parquet(str(tmp_path / "p/episodes")).collect()} == {"e1", "e2", "e3"} and spark.read.parquet(str(tmp_path / "p/samples")).count() == 3
+
+
+def test_regrouped_by_sequence(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(s, k) for s in range(4)], "seq int, v int").write.mode("append").parquet(str(tmp_path / "batches"))
+    T.regroup(spark.read.parquet(str(tmp_path / "batches")), "seq", str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).withColumn("file", F.col("_metadata.file_path"))
+    assert back.count() == 12 and back.groupBy("seq").agg(F.count_distinct("file").alias("n")).filter("n <> 1").count() == 0

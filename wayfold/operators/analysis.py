@@ -9,18 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import running
 
-def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
+def auroc(rows: DataFrame, score: str, label: str, most: int | None = None) -> DataFrame:
     """AUROC by the rank statistic, accuracy at 0.5 and base rate.
 
-    Counts per distinct score are summed over ranges of scores, so that no task orders all rows.
+    Counts per distinct score are summed along their order, in ranges of it where there are many, so that no task orders all rows.
+    Scores may be any numbers.
     """
-    per = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    per = per.withColumn("bin", F.floor(F.col("s") * 256))
-    bins = per.groupBy("bin").agg(F.sum("n").alias("bin_n"))
-    before = bins.withColumn("before", F.sum("bin_n").over(Window.orderBy("bin")) - F.col("bin_n"))  # 257 rows for scores in [0, 1]
-    w = Window.partitionBy("bin").orderBy("s")
-    ranked = per.join(F.broadcast(before.select("bin", "before")), "bin").withColumn("rank", F.col("before") + F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2)
+    per = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
+    summed = running(per.withColumn("_all", F.lit(1)), ["_all"], ["s"], most, total={"upto": F.col("n")})
+    ranked = summed.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum("n").cast("double").alias("n"), F.sum(F.when(F.col("s") >= 0.5, F.col("pos")).otherwise(F.col("n") - F.col("pos"))).alias("right"))
     neg = F.col("n") - F.col("p")
     return total.select(F.when((F.col("p") > 0) & (neg > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).alias("auroc"), (F.col("right") / F.col("n")).alias("accuracy"), (F.col("p") / F.col("n")).alias("base_rate"))

@@ -88,14 +88,24 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, point: str,
     return points.withColumn("_cell", F.floor(F.col(point) / width)).join(intervals.filter(F.col(end) > F.col(start)).select("*", cells), [key, "_cell"]).filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("_cell")
 
 
-def contained(inner: DataFrame, outer: DataFrame, key: str, a: str, b: str, start: str, end: str) -> DataFrame:
-    """Inner intervals [a, b] that lie in an outer [start, end) of their key.
+def covering(points: DataFrame, intervals: DataFrame, key: str, point: str, start: str, end: str) -> DataFrame:
+    """Points with the intervals start <= point <= end of their key, whatever the intervals' lengths.
 
-    Outer intervals are cut at buckets of their mean length, inner ones ask the bucket in which they begin.
+    An interval is placed in the one or two buckets of the least power of two that is no shorter than it; points ask a bucket of
+    each power that occurs, of which there are some dozens at most.
     """
-    mean = outer.agg(F.avg(F.col(end) - F.col(start))).first()[0]
-    width = float(mean) if mean and mean > 0 else 1.0
-    return interval_join(inner, outer, key, a, start, end, width).filter(F.col(b) < F.col(end))
+    level = F.ceil(F.log2(F.greatest(F.col(end) - F.col(start), F.lit(2.0**-20)).cast("double"))).cast("int")
+    placed = intervals.filter(F.col(end) >= F.col(start)).withColumn("_level", level)
+    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect())  # at most one for each exponent of a double
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    cut = placed.withColumn("_cell", F.explode(F.array_distinct(F.array(F.floor(F.col(start) / size), F.floor(F.col(end) / size)))))
+    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_cell", F.floor(F.col(point) / size))
+    return asked.join(cut, [key, "_level", "_cell"]).filter((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end))).drop("_level", "_cell")
+
+
+def contained(inner: DataFrame, outer: DataFrame, key: str, a: str, b: str, start: str, end: str) -> DataFrame:
+    """Inner intervals [a, b] that lie in an outer [start, end) of their key."""
+    return covering(inner, outer, key, a, start, end).filter((F.col(a) < F.col(end)) & (F.col(b) < F.col(end)))
 
 
 def near_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, grow: float = 0.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import finite
+from .scans import running
 
 
 def mean_metrics(results: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
@@ -45,28 +46,18 @@ def tag_set(*tags: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*tags))))
 
 
-BINS = 4096
-
-
-def exact_quantile(rows: DataFrame, value: Column, q: float) -> float | None:
-    """Quantile of a column, linear between ranks: counts per bin tell in which bins its ranks are, and only their values are ranked."""
-    values = rows.select(value.cast("double").alias("v")).filter("v is not null")
-    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+def exact_quantile(rows: DataFrame, value: Column, q: float, most: int | None = None) -> float | None:
+    """Quantile of a column's finite values, linear between ranks, from counts of equal values summed along their order."""
+    values = rows.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
+    counted = values.groupBy("v").agg(F.count("*").alias("n"))
+    n = counted.agg(F.sum("n")).first()[0]
     if not n:
         return None
-    width = (high - low) / BINS or 1.0
-    binned = values.withColumn("b", F.floor((F.col("v") - low) / width))
-    at, before, first, last = q * (n - 1), 0, None, None
-    for r in binned.groupBy("b").agg(F.count("*").alias("n")).orderBy("b").collect():  # BINS + 1 rows at most
-        if first is None and before + r["n"] > int(at):
-            first, skipped = r["b"], before
-        before += r["n"]
-        if before > min(int(at) + 1, n - 1):
-            last = r["b"]
-            break
-    rank = F.row_number().over(Window.orderBy("v")) + skipped - 1
-    near = [r["v"] for r in binned.filter(F.col("b").between(first, last)).withColumn("k", rank).filter(F.col("k").isin(int(at), int(at) + 1)).orderBy("k").collect()]
-    return near[0] + (near[-1] - near[0]) * (at - int(at))
+    at = q * (n - 1)
+    summed = running(counted.withColumn("_all", F.lit(1)), ["_all"], ["v"], most, total={"upto": F.col("n")})
+    holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
+    near = summed.filter(holds(int(at)) | holds(int(at) + 1)).agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    return near["low"] + (near["high"] - near["low"]) * (at - int(at))
 
 
 def action_scale(rows: DataFrame, values: list[str], share: float, seed_key: str) -> DataFrame:

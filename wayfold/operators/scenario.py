@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import finite, to_frame, wrap
+from ..functions.geom import finite, from_frame, to_frame, wrap
 from . import collision, joins, kinematics, metrics, segments
+from .lineage import cut_lineage
 
 #: Coarse type of known categories, occlusion codes.
 TYPES = {
@@ -118,9 +119,12 @@ def at_rates(rows: DataFrame, segment: str, configs: dict[str, int]) -> DataFram
     return out.withColumn("f", F.floor(F.col("f") / F.col("every"))).withColumn(segment, F.concat_ws("@", F.col(segment).cast("string"), "config"))
 
 
-def recordings_to_episodes(poses: DataFrame, key: str, max_step: float, max_gap_s: float, min_frames: int, min_length: float, split: Column) -> tuple[DataFrame, DataFrame]:
-    """(frames, episodes) of pose recordings: cut, measured, with frames numbered from 0 in each episode and a split by recording."""
-    cut = segments.cut_episodes(poses, key, max_step, max_gap_s)
+def recordings_to_episodes(poses: DataFrame, key: str, max_step: float, max_gap_s: float, min_frames: int, min_length: float, split: Column, clock: str = "t") -> tuple[DataFrame, DataFrame]:
+    """(frames, episodes) of pose recordings: cut, measured, with frames numbered from 0 in each episode and a split by recording.
+
+    clock: the column in whose unit a gap is measured.
+    """
+    cut = segments.cut_episodes(poses, key, max_step, max_gap_s, clock=clock)
     stats = segments.episode_stats(cut, key, min_frames, min_length).withColumn("split", split)
     name = F.concat_ws("_", F.col(key).cast("string"), F.col("episode").cast("string"))
     w = Window.partitionBy(key, "episode").orderBy("f")
@@ -153,3 +157,55 @@ def score_predictions(pred: DataFrame, ego: DataFrame, obs: DataFrame, goals: Da
     scored = scored.join(metrics.wiggle(pred, "scenario"), "scenario", "left")
     every = ego.select("scenario").distinct()
     return every.join(scored, "scenario", "left").withColumn("success", F.coalesce("success", F.lit(False))) if keep_missing else scored
+
+
+def nested_windows(rows: DataFrame, segment: str, stride: int, min_travel: float, rate_hz: float) -> DataFrame:
+    """Scenarios as rows: (segment, anchor, rate_hz, world, steps), steps in the frame of the current one and world the way back.
+
+    rows: (segment, f, t, x, y, yaw).  steps: array of (step, f, t, x, y, yaw); world: the current pose (x, y, yaw).
+    """
+    window = scenario_windows(rows, segment, stride, min_travel).withColumn("f", F.col("anchor") + F.col("step") - CURRENT)
+    now = rows.select(segment, F.col("f").alias("anchor"), F.struct("x", "y", "yaw").alias("world"))
+    nested = window.groupBy(segment, "anchor").agg(F.array_sort(F.collect_list(F.struct("step", "f", "t", "x", "y", "yaw"))).alias("steps"))  # STEPS elements
+    return nested.join(now, [segment, "anchor"]).select(segment, "anchor", F.lit(rate_hz).alias("rate_hz"), "world", "steps")
+
+
+def first_poses(windows: DataFrame, segment: str) -> DataFrame:
+    """(segment, f, t, x, y, yaw) of every frame that a scenario has at or before its current step, from the first scenario that has it."""
+    past = windows.select(segment, "anchor", "rate_hz", "world", F.explode(F.filter("steps", lambda s: s["step"] <= CURRENT)).alias("s"))
+    first = past.groupBy(segment, F.col("s.f").alias("f")).agg(F.min_by(F.struct("rate_hz", "world", "s"), "anchor").alias("p"))
+    x, y = from_frame(F.col("p.world.x"), F.col("p.world.y"), F.col("p.world.yaw"), F.col("p.s.x"), F.col("p.s.y"))
+    return first.select(segment, "f", F.col("p.s.t").alias("t"), x.alias("x"), y.alias("y"), wrap(F.col("p.s.yaw") + F.col("p.world.yaw")).alias("yaw"), F.col("p.rate_hz").alias("rate_hz"))
+
+
+def scenarios_to_episodes(windows: DataFrame, segment: str, split: Column, max_step: float = 3.0, gap_frames: float = 2.5, min_frames: int = 8, min_length: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(frames, episodes) from scenarios: overlapping ones are merged frame by frame, then cut where a gap is longer than so many frames at their rate."""
+    merged = first_poses(windows, segment).withColumn("scaled", F.col("t") * F.col("rate_hz"))
+    return recordings_to_episodes(merged, segment, max_step, gap_frames, min_frames, min_length, split, "scaled")
+
+
+def whole_scenarios(poses: DataFrame, tracks: DataFrame, cells: DataFrame, points: DataFrame, segment: str, stride: int, min_travel: float, map_frames: int, near: float) -> DataFrame:
+    """Scenarios as whole rows: (segment, anchor, ego, tracks, cells, points), all in the frame of the current step.
+
+    poses: (segment, f, t, x, y, yaw); tracks: (segment, f, track, kind, x, y); cells: (segment, f, ix, iy, state), size one unit;
+    points: (segment, f, x, y, z).  tracks are those seen now or later, with their steps; cells are counted over the
+    frames within map_frames of the current one; points are those of the current frame within `near` of it.  Every part is
+    reduced to (segment, anchor) in a shuffle on these, and the parts meet without another one.
+    """
+    windows = scenario_windows(poses, segment, stride, min_travel)
+    anchors = cut_lineage(windows.select(segment, "anchor").distinct().join(poses.select(segment, F.col("f").alias("anchor"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("yaw").alias("yaw0")), [segment, "anchor"]), "anchors")
+    here = lambda x, y: (v.alias(n) for n, v in zip("xy", to_frame(F.col("x0"), F.col("y0"), F.col("yaw0"), x, y)))
+    nest = lambda df, name, *parts: df.groupBy(segment, "anchor").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias(name))
+    ego = nest(windows, "ego", "step", "t", "x", "y", "yaw")
+    steps = anchors.select("*", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step")).withColumn("f", F.col("anchor") + F.col("step") - CURRENT)
+    seen = steps.join(tracks.withColumnsRenamed({"x": "tx", "y": "ty"}), [segment, "f"]).select(segment, "anchor", "track", "kind", "step", *here(F.col("tx"), F.col("ty")))
+    each = seen.groupBy(segment, "anchor", "track", "kind").agg(F.array_sort(F.collect_list(F.struct("step", "x", "y"))).alias("steps")).filter(F.exists("steps", lambda s: s["step"] >= CURRENT))
+    first, last = (F.ceil((F.col("f") - map_frames) / stride) * stride), (F.floor((F.col("f") + map_frames) / stride) * stride)
+    looks = cells.filter(first <= last).select(segment, "ix", "iy", "state", F.explode(F.sequence(first, last, F.lit(stride).cast("bigint"))).alias("anchor"))
+    counted = looks.groupBy(segment, "anchor", "ix", "iy").agg(F.count_if(F.col("state") == "occupied").alias("n_occ"), F.count_if(F.col("state") != "occupied").alias("n_free"))
+    counted = counted.join(anchors, [segment, "anchor"]).select(segment, "anchor", *here(F.col("ix") + 0.5, F.col("iy") + 0.5), "n_occ", "n_free")
+    close = anchors.join(points.withColumnsRenamed({"f": "anchor", "x": "px", "y": "py"}), [segment, "anchor"]).select(segment, "anchor", *here(F.col("px"), F.col("py")), "z").filter(F.hypot("x", "y") <= near)
+    out = ego
+    for part in (nest(each, "tracks", "track", "kind", "steps"), nest(counted, "cells", "x", "y", "n_occ", "n_free"), nest(close, "points", "x", "y", "z")):
+        out = out.join(part, [segment, "anchor"], "left")
+    return out

@@ -24,15 +24,15 @@ def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, na
     return scan(marked, total={name: F.col("_starts")}).plain().drop("_starts", *(previous or {}))
 
 
-def cut_episodes(poses: DataFrame, key: str = "rec", max_step: float = 1.0, max_gap_s: float = 1.0, valid: Column | None = None, most: int | None = None) -> DataFrame:
+def cut_episodes(poses: DataFrame, key: str = "rec", max_step: float = 1.0, max_gap_s: float = 1.0, valid: Column | None = None, most: int | None = None, clock: str = "t") -> DataFrame:
     """Rows of valid poses with the island (episode) and the hop from the row before in it (null for its first).
 
-    A row starts an island if it lies over max_step or max_gap_s from the raw previous row, or if that row is invalid.
+    A row starts an island if it lies over max_step or, by the clock, max_gap_s from the raw previous row, or if that row is invalid.
     """
     ok = F.coalesce(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.lit(True) if valid is None else valid), F.lit(False))
-    seen = scan(ordered(poses.withColumn("ok", ok), [key], ["f"], most), previous={"_was": F.struct("x", "y", "t", "ok")})
+    seen = scan(ordered(poses.withColumn("ok", ok), [key], ["f"], most), previous={"_was": F.struct("x", "y", "t", F.col(clock).alias("clock"), "ok")})
     rows = seen.rows.withColumns({"hop": F.hypot(F.col("x") - F.col("_was.x"), F.col("y") - F.col("_was.y")), "gap": F.col("t") - F.col("_was.t")})
-    starts = ~F.coalesce(F.col("_was.ok"), F.lit(False)) | (F.col("hop") > max_step) | (F.col("gap") > max_gap_s) | F.col("hop").isNull()
+    starts = ~F.coalesce(F.col("_was.ok"), F.lit(False)) | (F.col("hop") > max_step) | (F.col(clock) - F.col("_was.clock") > max_gap_s) | F.col("hop").isNull()
     marked = rows.withColumn("starts", starts)
     cut = scan(seen.with_rows(marked), total={"episode": F.coalesce("starts", F.lit(False)).cast("int")}).plain().filter("ok")
     return cut.select(*poses.columns, "episode", F.when(~F.col("starts"), F.col("hop")).alias("hop"), F.when(~F.col("starts"), F.col("gap")).alias("dt"))

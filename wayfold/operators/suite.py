@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geom import uniform
 from . import collision
-from .joins import interpolate
+from .joins import covering, interpolate
 from .kinematics import arc_length
 
 #: What suites compare with, and how far straight ahead goes in metres.
@@ -88,7 +88,7 @@ def history_steps(now: Column, n: int, dt: float, rate: float) -> Column:
 
 def choose_goal(samples: DataFrame, intervals: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     """Adds instruction: that of an interval (key, t0, t1, instruction) which covers the sample, for a reproducible share of those that have one; else null, a point goal."""
-    found = samples.join(intervals, key, "left").filter(F.col("t0").isNull() | F.col("t").between(F.col("t0"), F.col("t1")))
+    found = covering(samples.select(key, "f", "t"), intervals, key, "t", "t0", "t1")
     first = found.groupBy(key, "f").agg(F.min_by("instruction", F.struct("t0", "instruction")).alias("instruction"))
     spoken = uniform(F.lit(seed), F.col(key), F.col("f")) < share
     return samples.join(first, [key, "f"], "left").withColumn("instruction", F.when(spoken, F.col("instruction")))

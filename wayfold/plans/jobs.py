@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import scenario as S
@@ -97,3 +98,46 @@ def future_layout(spark, sf_dir):
     per = poses(spark, sf_dir).withColumn("rec", F.col("rec") * 1000 + F.floor(F.col("f") / 21)).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("p")).select("rec", F.array("p.x").alias("tracks"))
     cut = per.select("rec", S.from_layouts(F.col("tracks"), F.lit(None).cast("array<array<double>>"))[0].alias("xs"))
     return cut.select("rec", F.size("xs").alias("n"), F.round(F.aggregate("xs", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
+#: Users in ten groups, each group's events in order as one sequence.
+GROUPED = "{POSE}, seq AS (SELECT rec % 10 AS g, event_id, t, x, y, kind, rec, row_number() OVER (PARTITION BY rec % 10 ORDER BY t, event_id) - 1 AS f FROM pose)"
+
+
+def _grouped(spark, sf_dir):
+    in_time = Window.partitionBy("g").orderBy("t", "event_id")
+    return poses(spark, sf_dir).withColumn("g", F.col("rec") % 10).withColumn("f", F.row_number().over(in_time) - 1).withColumn("yaw", F.col("y") / 40)
+
+
+@query(f"""WITH {GROUPED}, cover AS (SELECT * FROM seq QUALIFY f <= max(f) OVER (PARTITION BY g) - 10 AND count(*) OVER (PARTITION BY g) >= 21),
+ m AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS hop0, t - lag(t) OVER w AS gap FROM cover WINDOW w AS (PARTITION BY g ORDER BY f)), c0 AS (SELECT *, (hop0 IS NULL OR hop0 > 350 OR gap > 43200) AS starts FROM m),
+ c AS (SELECT *, sum(starts::INT) OVER (PARTITION BY g ORDER BY f) AS episode FROM c0) SELECT g, episode::BIGINT AS episode, count(*) AS n, min(f) AS f0, round(max(t) - min(t), 3) AS duration, round(coalesce(sum(CASE WHEN NOT starts THEN hop0 END), 0), 4) AS length FROM c GROUP BY 1, 2 HAVING count(*) >= 4 AND coalesce(sum(CASE WHEN NOT starts THEN hop0 END), 0) >= 1""")
+def episodes_from_scenarios(spark, sf_dir):
+    """Episodes that overlapping scenarios give when their frames are merged and cut again: those of the frames they cover."""
+    windows = S.nested_windows(_grouped(spark, sf_dir), "g", 1, 0.0, 1 / 3600)
+    _, episodes = S.scenarios_to_episodes(windows, "g", F.lit("train"), 350.0, 12.0, 4, 1.0)
+    return episodes.select("g", "episode", "n", "f0", F.round("duration", 3).alias("duration"), F.round("length", 4).alias("length"))
+
+
+_AHEAD = "cos(a0) * ({x} - x0) + sin(a0) * ({y} - y0)"
+
+
+@query(f"""WITH {GROUPED}, a AS (SELECT g, f AS anchor, x AS x0, y AS y0, y / 40 AS a0 FROM seq WHERE f % 8 = 0), w AS (SELECT a.*, p.f - anchor + 10 AS step, p.x, p.y FROM a JOIN seq p ON p.g = a.g AND p.f BETWEEN anchor - 10 AND anchor + 10),
+ h AS (SELECT *, sqrt(power(x - lag(x) OVER v, 2) + power(y - lag(y) OVER v, 2)) AS hop FROM w WINDOW v AS (PARTITION BY g, anchor ORDER BY step)), s AS (SELECT g, anchor, any_value(x0) AS x0, any_value(y0) AS y0, any_value(a0) AS a0, count(*) AS n_ego, sum({_AHEAD.format(x="x", y="y")}) AS ego FROM h GROUP BY 1, 2 HAVING count(*) = 21 AND sum(hop) >= 2000),
+ tr AS (SELECT s.g, anchor, rec, count(*) AS n, max(p.f - anchor) AS ends, sum({_AHEAD.format(x="(p.x + 10)", y="p.y")}) AS along FROM s JOIN seq p ON p.g = s.g AND p.f BETWEEN anchor - 10 AND anchor + 10 WHERE event_id % 2 = 0 GROUP BY 1, 2, 3 HAVING max(p.f - anchor) >= 0), ts AS (SELECT g, anchor, count(*) AS n_tracks, sum(n)::BIGINT AS n_steps, sum(along) AS along FROM tr GROUP BY 1, 2),
+ ce AS (SELECT s.g, anchor, floor(p.x / 50) AS ix, floor(p.y / 20) AS iy, count(*) FILTER (WHERE kind = 'click') AS n_occ, count(*) FILTER (WHERE kind <> 'click') AS n_free FROM s JOIN seq p ON p.g = s.g AND p.f BETWEEN anchor - 20 AND anchor + 20 GROUP BY 1, 2, 3, 4), cs AS (SELECT g, anchor, count(*) AS n_cells, sum(n_occ * 3 + n_free)::BIGINT AS looks FROM ce GROUP BY 1, 2),
+ pt AS (SELECT s.g, anchor, count(*) AS n_points, sum(l_tax) AS z FROM s JOIN lineitem ON l_suppkey % 10 = s.g AND l_partkey % 200 = anchor WHERE sqrt(power(l_quantity * 10 - x0, 2) + power(l_discount * 1000 - y0, 2)) <= 150 GROUP BY 1, 2)
+ SELECT s.g, s.anchor, n_ego, round(ego, 4) AS ego, coalesce(n_tracks, 0) AS n_tracks, coalesce(n_steps, 0) AS n_steps, round(coalesce(along, 0), 4) AS along, coalesce(n_cells, 0) AS n_cells, coalesce(looks, 0) AS looks, coalesce(n_points, 0) AS n_points, round(coalesce(z, 0), 4) AS z FROM s LEFT JOIN ts USING (g, anchor) LEFT JOIN cs USING (g, anchor) LEFT JOIN pt USING (g, anchor)""")
+def whole_scenarios(spark, sf_dir):
+    """Scenarios with their tracks, map cells and points as one row each; here with what each part adds up to."""
+    rows = _grouped(spark, sf_dir)
+    tracks = rows.filter("event_id % 2 = 0").select("g", "f", F.col("rec").alias("track"), F.lit("agent").alias("kind"), (F.col("x") + 10).alias("x"), "y")
+    cells = rows.select("g", "f", F.floor(F.col("x") / 50).alias("ix"), F.floor(F.col("y") / 20).alias("iy"), F.when(F.col("kind") == "click", "occupied").otherwise("free").alias("state"))
+    points = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 10 AS g", "l_partkey % 200 AS f", "l_quantity * 10 AS x", "l_discount * 1000 AS y", "l_tax AS z")
+    out = S.whole_scenarios(rows.select("g", "f", "t", "x", "y", "yaw"), tracks.dropDuplicates(["g", "f", "track"]), cells, points, "g", 8, 2000.0, 20, 150.0)
+    total = lambda array, of: F.coalesce(F.aggregate(array, F.lit(0.0), lambda s, e: s + of(e).cast("double")), F.lit(0.0))
+    size = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long")
+    return out.select(
+        "g", "anchor", size("ego").alias("n_ego"), F.round(total("ego", lambda e: e["x"]), 4).alias("ego"), size("tracks").alias("n_tracks"), total("tracks", lambda t: F.size(t["steps"])).cast("long").alias("n_steps"),
+        F.round(total("tracks", lambda t: total(t["steps"], lambda e: e["x"])), 4).alias("along"), size("cells").alias("n_cells"), total("cells", lambda c: c["n_occ"] * 3 + c["n_free"]).cast("long").alias("looks"), size("points").alias("n_points"), F.round(total("points", lambda p: p["z"]), 4).alias("z"),
+    )

@@ -169,7 +169,7 @@ def in_polygons(spark, sf_dir):
     corners = [(20.0, 2.5), (400.0, 50.0), (400.0, 60.0), (300.0, 70.0), (20.0, 70.0)]
     shape = spark.createDataFrame([(0, [{"x": x, "y": y} for x, y in corners])], T.StructType.fromDDL("room int, poly array<struct<x:double,y:double>>"))
     points = poses(spark, sf_dir).select(F.lit(0).alias("room"), "event_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    return J.in_polygons(points, F.broadcast(shape), "room").select("event_id")
+    return J.in_polygons(points, shape, "room").select("event_id")
 
 
 @query("""WITH {POSE}, w AS (SELECT rec, f + 3 AS want FROM pose WHERE f % 7 = 0) SELECT w.rec, w.want FROM w LEFT JOIN pose p ON p.rec = w.rec AND p.f = w.want WHERE p.f IS NULL""")

@@ -103,14 +103,14 @@ def scenario_tags(spark, sf_dir):
     return tagged.select("scenario", "n", F.array_join(F.array_sort(F.concat("tags", P.path_tags(F.col("turn"), F.col("moves"), F.col("b"), F.lit(None).cast("double")))), ",").alias("tags"))
 
 
-#: Files of the event table that a stream reads one after the other, and how long after the last event the stream says that nothing else comes.
-FILES, QUIET = 4, 10 * 86_400
+#: Parts of the event table that a stream reads one after the other, files of each, and how long after the last event the stream says that nothing else comes.
+FILES, WIDE, QUIET = 4, 4, 10 * 86_400
 
 
 def _streamed(spark, sf_dir, build, mode: str):
     """Runs a streaming query over the event table to its end and returns what it wrote.
 
-    Events come in order of time, a file a batch.  A last file has one row of a recording of its own (null) long after
+    Events come in order of time, a part a batch, written and read by several tasks.  A last file has one row of a recording of its own (null) long after
     all others, so that the watermark passes them and what is still open comes out.
     """
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
@@ -119,10 +119,10 @@ def _streamed(spark, sf_dir, build, mode: str):
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}-out"
     for k in range(FILES):
-        events.filter(place == k).coalesce(1).write.mode("append").parquet(base)
+        events.filter(place == k).repartition(WIDE).write.mode("append").parquet(base)
     end = spark.range(1).select(F.lit(None).cast("long").alias("rec"), F.lit(-1).cast("long").alias("event_id"), F.timestamp_seconds(F.unix_seconds(F.lit(last)) + QUIET).alias("ts"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     end.write.mode("append").parquet(base)
-    stream = build(streams.pose_stream(spark, base, files_per_batch=1))
+    stream = build(streams.pose_stream(spark, base, files_per_batch=WIDE))
     if mode == "append":
         q = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
     else:

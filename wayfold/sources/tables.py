@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import finite
+from ..operators.lineage import cut_lineage
+
+#: What a frame takes without its payload, in bytes.
+FRAME_BYTES = 100
 
 FRAMES = "episode_id string, frame_index int, source_frame int, timestamp double, pose array<double>, image binary"
 
@@ -106,9 +110,18 @@ def write_sorted_shards(df: DataFrame, path: str, key: str, rows_per_file: int,
 
 
 def episode_shards(sizes: DataFrame, most_bytes: int) -> DataFrame:
-    """shard of each episode, so that a shard holds whole episodes of about most_bytes; sizes is (split, episode_id, bytes)."""
-    in_order = Window.partitionBy("split").orderBy("episode_id")
-    return sizes.withColumn("shard", F.floor((F.sum("bytes").over(in_order) - F.col("bytes")) / most_bytes).cast("int"))
+    """shard of each episode, so that a shard holds whole episodes: those that begin within most_bytes; sizes is (split, episode_id, bytes).
+
+    So a shard is over most_bytes by less than its last episode.  The running sum is taken in ranges of the order, from the sums of the
+    ranges before.
+    """
+    order = ["split", "episode_id"]
+    parted = cut_lineage(sizes.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "sizes")
+    ranges = parted.groupBy("split", "_p").agg(F.sum("bytes").alias("_sum"))
+    before = ranges.select("split", "_p", (F.sum("_sum").over(Window.partitionBy("split").orderBy("_p")) - F.col("_sum")).alias("_before"))  # a row a range
+    inside = F.sum("bytes").over(Window.partitionBy("split", "_p").orderBy("episode_id")) - F.col("bytes")
+    at = parted.withColumn("_in", inside).join(before, ["split", "_p"]).withColumn("_at", F.col("_in") + F.col("_before"))
+    return at.withColumn("shard", F.floor(F.col("_at") / most_bytes).cast("int")).select(*sizes.columns, "shard")
 
 
 def write_episode_shards(frames: DataFrame, shards: DataFrame, path: str) -> None:
@@ -117,6 +130,28 @@ def write_episode_shards(frames: DataFrame, shards: DataFrame, path: str) -> Non
     joined.repartition("split", "shard").sortWithinPartitions("episode_id", "frame_index").write.partitionBy("split", "shard").parquet(path)
 
 
+def regroup(rows: DataFrame, key: str, path: str) -> None:
+    """Outputs of many batches as one folder a sequence."""
+    rows.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+
+
+def publish_reduced(samples: DataFrame, views: DataFrame, frames: DataFrame, episodes: DataFrame, path: str, most_bytes: int) -> None:
+    """Writes frames, episodes and samples of a kept set: all frames of its episodes, with the payload of those only that a sample needs.
+
+    samples: (episode_id, frame_index, ...); views: (episode_id, frame_index) that they need; frames: (episode_id, frame_index, ..., image);
+    episodes: (episode_id, split, ...).  Keys are worked out first; payload is read once, by joins on keys, and goes to shards of
+    whole episodes that are balanced by its bytes.
+    """
+    kept = cut_lineage(episodes.join(samples.select("episode_id").distinct(), "episode_id", "left_semi"), "kept")
+    needed = cut_lineage(views.select("episode_id", "frame_index").distinct().withColumn("_needed", F.lit(True)), "needed")
+    whole = frames.join(kept.select("episode_id"), "episode_id", "left_semi").join(needed, ["episode_id", "frame_index"], "left")
+    reduced = cut_lineage(whole.withColumn("image", F.when(F.col("_needed"), F.col("image"))).drop("_needed"), "reduced")
+    sizes = reduced.groupBy("episode_id").agg(F.sum(F.coalesce(F.octet_length("image"), F.lit(0)) + FRAME_BYTES).alias("bytes")).join(kept.select("episode_id", "split"), "episode_id")
+    write_episode_shards(reduced, episode_shards(sizes.select("split", "episode_id", "bytes"), most_bytes), f"{path}/frames")
+    kept.write.partitionBy("split").parquet(f"{path}/episodes")
+    samples.write.parquet(f"{path}/samples")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """JSON lines with non-finite numbers as null."""
     df.select(*(finite(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes)).write.json(path)

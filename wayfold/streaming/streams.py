@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -64,13 +66,52 @@ def rolling_best(log: DataFrame) -> DataFrame:
     return log.groupBy("run").agg(F.min(F.struct("loss", "step")).alias("b")).select("run", "b.step", "b.loss")
 
 
-def convert_as_they_come(source: DataFrame, convert: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Converts each batch of new files once and appends the result; what was done before is not done again."""
+LEDGER = "file string, state string, error string"
 
-    def each(batch: DataFrame, number: int) -> None:
-        convert(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def convert_as_they_come(spark: SparkSession, folder: str, convert: Callable[[DataFrame], DataFrame], read: Callable[[str], DataFrame], path: str, checkpoint: str, files_per_batch: int = 100):
+    """Converts every new file once: its rows go to a folder of its own under path/data, and a ledger says what became of it.
+
+    A file that fails is noted with its error and stops no other.  A restart takes up what the checkpoint had not finished; a
+    file's folder is replaced when it is written again, and one that the ledger has as done is left alone, so nothing is
+    published twice.  Returns the running query; published() reads what is done.
+    """
+    names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(folder).select("path")
+
+    def each(batch: DataFrame, number: int) -> None:
+        done = {r["file"] for r in ledger(spark, path).filter("state = 'done'").join(batch.withColumnRenamed("path", "file"), "file", "left_semi").collect()}
+        for name in sorted(r["path"] for r in batch.collect()):  # files_per_batch names
+            if name in done:
+                continue
+            place = hashlib.sha1(name.encode()).hexdigest()
+            try:
+                convert(read(name)).write.mode("overwrite").parquet(f"{path}/data/file={place}")
+                note = (name, "done", None)
+            except Exception as e:  # a broken file is noted and stops no other
+                note = (name, "failed", str(e).splitlines()[0][:300])
+            spark.createDataFrame([note], LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger/file={place}")
+
+    return names.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """What became of each file so far."""
+    return _read(spark, f"{path}/ledger/*", LEDGER)
+
+
+def published(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all files that were converted."""
+    done = [hashlib.sha1(r["file"].encode()).hexdigest() for r in ledger(spark, path).filter("state = 'done'").select("file").collect()]
+    return spark.read.schema(schema).parquet(*(f"{path}/data/file={d}" for d in done)) if done else spark.createDataFrame([], schema)
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path).select("*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def open_requests(requests: DataFrame, answers: DataFrame, key: str = "request_id") -> DataFrame:
