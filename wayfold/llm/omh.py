@@ -20,7 +20,7 @@ Texts made from one form may have a key in common without being similar.  Where
 make over `CROWDED` pairs, its members go another way, which loses no pair: texts of a similarity of 0.8 share all but a fifth
 of their words, occurrence numbers and all, so in any order of words they share one of the first fifth (and one more) of each.
 Rare words come first in that order, so the form's own words are the last to be looked at, and what the texts of a form have for
-themselves decides.  Texts of a form that have few words of their own, and these from few words, still meet often.
+themselves decides; a word that a text repeats is as frequent as all its occurrences.  Texts of a form that have few words of their own, and these from few words, still meet often.
 
 Defined cases: rows with null text or a null id are each a class of their own; texts without words are near to their exact copies
 only; exact copies are one text; the least id of a class names it; an id with several texts may be in several classes, and rows
@@ -53,6 +53,8 @@ KINDS = ((12, 50, 2, 2, 32), (40, 2000, 2, 4, 64), (1600, None, 3, 3, 96))
 CELLS = 2_000_000
 #: Pairs of a key's open members and all its members from which its members are compared by their rare words.
 CROWDED = 500
+#: Members of a word that all others are compared with, one after the other, before the rest is.
+STARS = 3
 #: Counters of words, by hash; their order only says which words are looked at first.
 COUNTERS = 1 << 18
 
@@ -231,15 +233,22 @@ def across(members: DataFrame, by: str) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _counter(ids: np.ndarray) -> np.ndarray:
+    return (ids % np.uint64(COUNTERS)).astype(np.int64)
+
+
 def by_rare_words(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (node, words, root, open) that may be similar: they share one of their rarest words."""
+    """(word, node, words, root, open) of members (node, words, root, open) that share one of their rarest words with an open one.
+
+    Members that are similar have such a word in common.
+    """
     rows = members.join(texts, "node").select("node", "words", "root", "open", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in in_slices(batches):
             for text in batch.column(0).to_pylist():
-                total += np.bincount((labelled(word_ids(text)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                total += np.bincount(_counter(word_ids(text)), minlength=COUNTERS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["at", "n"])
 
@@ -252,15 +261,54 @@ def by_rare_words(members: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in in_slices(batches):
             found = []
             for text in batch.column(1).to_pylist():
-                words = labelled(word_ids(text))
-                found.append(words[np.lexsort((words, shared.value[(words % np.uint64(COUNTERS)).astype(np.int64)]))][: int((1 - SIMILAR) * len(words) + 1e-9) + 1].astype(np.int64))
+                ids = word_ids(text)
+                words = labelled(ids)
+                order = np.lexsort((words, shared.value[_counter(ids)]))
+                found.append(words[order[: int((1 - SIMILAR) * len(words) + 1e-9) + 1]].astype(np.int64))
             of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(0).take(of)], names=["word", "node"])
 
     words = materialize(rows.select("node", "text").mapInArrow(rarest, "word long, node long"), "rare")
     known = materialize(words.join(members, "node"), "rare-of")
     several = known.groupBy("word").agg(F.count("*").alias("n"), F.bool_or("open").alias("any")).filter("n > 1 and any").select("word")
-    return across(materialize(known.join(several, "word"), "rare-shared"), "word")
+    return materialize(known.join(several, "word"), "rare-shared")
+
+
+def stars(shared: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) of one member of each word, another one for each number, and those of the word in other components."""
+    order = F.xxhash64("node", F.lit(number))
+    middle = shared.groupBy("word").agg(F.min_by(F.struct("node", "words", "root", "open"), order).alias("m"))
+    pairs = shared.join(middle, "word").filter("(open or m.open) and root <> m.root").filter(near(F.col("words"), F.col("m.words")))
+    return pairs.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+
+
+def meetings(members: DataFrame, by: str) -> int:
+    """How often an open member meets a member with the same `by`."""
+    return members.groupBy(by).agg((F.count_if("open") * F.count("*")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def crowded_links(placed: DataFrame, texts: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the members (key, node, words, open) of crowded keys in different components, and the roots with these.
+
+    Members of a word are compared with one of them, then with another, so that what belongs together is soon in one component;
+    then members that are still in different ones are compared with each other.  Where members meet more often by their words than
+    by their keys, which texts do that have few rare words, they are compared by keys; either way meets all pairs with a key in common.
+    """
+    placed = materialize(placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "crowded")
+    crowd = placed.groupBy("node").agg(F.first("words").alias("words"), F.first("root").alias("root"), F.bool_or("open").alias("open"))
+    shared, links = by_rare_words(materialize(crowd, "crowd"), texts), None
+    if meetings(shared, "word") > meetings(placed, "key"):
+        links = verified(across(placed, "key").distinct(), texts, "crowded").select("a", "b")
+        return links, merged(roots, links)
+    for number in range(STARS + 1):
+        pairs = stars(shared, number) if number < STARS else across(shared, "word").distinct()
+        found = verified(pairs, texts, "rare")
+        links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
+        roots = merged(roots, found)
+        if number < STARS:
+            now = roots.select("node", F.col("root").alias("now"))
+            shared = materialize(shared.join(now, "node", "left").withColumn("root", F.coalesce("now", "root")).select("word", "node", "words", "root", "open"), "rare-shared")
+    return links, roots
 
 
 def texts_and_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -286,13 +334,14 @@ def texts_and_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[Data
     placed = materialize(placed.filter("node <> least").select("key", "node", "words", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") != F.coalesce("least_root", "least")).alias("open")), "placed")
     opens = placed.groupBy("key").agg(F.count_if("open").alias("n"), F.count("*").alias("all")).filter("n > 0").select("key", (F.col("n") * F.col("all") > CROWDED).alias("crowded"))
     placed = materialize(placed.join(opens, "key"), "open")
-    pairs = across(placed.filter("not crowded"), "key")
-    crowd = materialize(placed.filter("crowded").groupBy("node").agg(F.first("words").alias("words"), F.first("root").alias("root"), F.bool_or("open").alias("open")), "crowd")
-    if not crowd.isEmpty():
-        pairs = pairs.union(by_rare_words(crowd, texts))
-    more = verified(pairs.distinct(), texts, "rest")
-    links = materialize(links.select("a", "b").union(more.select("a", "b")).distinct(), "links")
+    more = verified(across(placed.filter("not crowded"), "key").distinct(), texts, "rest")
+    links = links.select("a", "b").union(more.select("a", "b"))
     roots = merged(roots, more)
+    crowded = placed.filter("crowded").select("key", "node", "words", "root", "open")
+    if not crowded.isEmpty():
+        rare, roots = crowded_links(crowded, texts, roots)
+        links = links.union(rare)
+    links = materialize(links.distinct(), "links")
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = materialize(roots.join(degree, "node", "left").join(nodes.select("node", "text_id", "digest"), "node"), "linked")
     least = linked.groupBy("root").agg(F.min(F.struct("text_id", "digest")).alias("least"))
