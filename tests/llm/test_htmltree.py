@@ -89,3 +89,19 @@ def test_odd_pages(spark, model):
     got = H.extract(pages.selectExpr("*", "'x' AS text", "1 AS n_chars"), model).collect()
     assert len(got) == 7 and got[0].text == "" and got[0].n_chars == 0
     assert H.extract(pages.limit(0), H.fit(pages.limit(0))).count() == 0
+
+
+def blocks(page):
+    return [n[3] for n in H.parse(page) if not n[1] and n[3]]
+
+
+def test_unclosed_raw_elements_take_nothing_with_them():
+    for name in ("video", "audio", "select", "object", "svg", "canvas", "noscript", "template", "iframe", "textarea", "title"):
+        assert blocks(f"<p>one</p><{name} src=x><p>two</p><{name}><p>three</p>") == ["one", "two", "three"]
+        assert blocks(f"<p>one</p><{name}>hidden</{name.upper()}><p>two</p>") == ["one", "two"]
+    assert blocks("<p>one</p><script>var a = '<p>two</p>'") == blocks("<p>one</p><style>p {}") == ["one"]
+
+
+def test_elements_of_running_text_keep_a_block_whole():
+    assert blocks("<p>a <ruby>b<rp>(</rp><rt>c</rt><rp>)</rp></ruby> d <button>e</button> f <picture><source srcset=x><img src=y></picture> g <meter>h</meter></p>") == ["a b(c) d e f g h"]
+    assert blocks("<p>one<div>two</div><p>three<ul><li>four</ul>") == ["one", "two", "three", "four"]

@@ -27,16 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, in_slices
 
 SAMPLE_PAGES, LEAST_SEEN = 2000, 2
 #: Features of one node depend on each other, so those other than names count for less; names seen in one state decide nearly alone.
 UNNAMED, NAMED_PRIOR = 0.3, 0.02
 
 #: Elements of running text, elements without content, elements whose text is no text of the page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics ruby rb rt rp rtc button picture source track param embed output meter progress nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg select audio video canvas".split())
+#: Those of them whose text goes on to the end of the page where they are not closed; others are empty then.
+TO_THE_END = frozenset(("script", "style"))
+#: Elements that end an open paragraph.
+BLOCKS = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Which open elements a start tag ends, up to the element that holds them.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 LANDMARKS = {"article": 1, "main": 1, "nav": 0, "header": 0, "footer": 0, "aside": 0, "form": 0}
@@ -90,6 +94,7 @@ def parse(page: str) -> list[Node]:
     nodes: list[Node] = [(-1, "#document", "", "", 0.0)]
     stack, run, at, in_link = [0], [], 0, False
     depths: dict[str, list[int]] = {}  # of the open elements by name
+    unclosed: set[str] = set()  # names of raw elements that no end tag closes from here on
 
     def flush() -> None:
         if run:
@@ -123,16 +128,19 @@ def parse(page: str) -> list[Node]:
         if name in INLINE:
             if name == "a":
                 in_link = True
-            elif name in ("br", "img"):
+            elif name in ("br", "img", "embed"):
                 run.append((" ", False))
             continue
         flush()
         if name in RAW:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and name not in unclosed:
                 ended = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-                at = ended.end() if ended else len(page)
+                if ended or name in TO_THE_END:
+                    at = ended.end() if ended else len(page)
+                else:
+                    unclosed.add(name)
             continue
-        if nodes[stack[-1]][1] == "p" and name not in VOID:
+        if nodes[stack[-1]][1] == "p" and name in BLOCKS:
             close(len(stack) - 1)
         if name in ENDS:
             closes, holds = ENDS[name]
@@ -321,8 +329,7 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Memo(shared.value.emission, 100_000)
         for whole in batches:
-            for low in range(0, whole.num_rows, 200):
-                batch = whole.slice(low, 200)
+            for batch in in_slices([whole], 200):
                 texts = shared.value.extract(["" if p is None else p for p in batch.column(2).to_pylist()], known)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_slices
+
 
 #: Fixed values of the container format: page header layout, flags, and the largest lacing value and number of segments.
 HEADER = struct.Struct("<4sBBqIIIB")
@@ -154,8 +156,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
+            for batch in in_slices([whole], 256):
                 made = [payload_of(t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode(p) for p, _ in made], pa.binary())], names=[id_col, "n_bytes", "media"])
 
@@ -167,7 +168,7 @@ def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests and features of the payload that the stored media give back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 256):
             rows = []
             for media in batch.column(2).to_pylist():
                 payload, seen = decode(media)
