@@ -55,6 +55,11 @@ def closing(cells: DataFrame, keys: list[str], k: int) -> DataFrame:
     return spread(dilated).groupBy(*keys, "ix", "iy").agg(F.count("*").alias("n")).filter(F.col("n") == k * k).drop("n")
 
 
+def free_space(free: DataFrame, occupied: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Free cells closed with a k x k window, less the occupied ones."""
+    return closing(free, keys, k).join(occupied.select(*keys, "ix", "iy"), [*keys, "ix", "iy"], "left_anti")
+
+
 def presence(cells: DataFrame, keys: list[str], frame: str, half: int) -> DataFrame:
     """Per cell and frame, in how many frames within +-half it was occupied."""
     w = Window.partitionBy(*keys).orderBy(frame).rangeBetween(-half, half)
