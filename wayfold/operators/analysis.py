@@ -32,6 +32,27 @@ def fit_quality(rows: DataFrame, pred: Column, target: str) -> DataFrame:
     return out.select("n", F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2"), "mae")
 
 
+def decoded(pred: Column, how: str) -> Column:
+    """A stored prediction in the target's own units: 'share' from a logit, 'count' from log1p, 'plain' as it is."""
+    return {"share": 1 / (1 + F.exp(-pred)), "count": F.expm1(pred), "plain": pred}[how]
+
+
+def probe_scores(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """(keys, metres, r2) of predictions (keys, row, k, px, py, x, y): mean distance in units of scale, and the share of the variance of each k that is explained."""
+    w = Window.partitionBy(*keys, "k")
+    off = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)
+    spread = F.pow(F.col("x") - F.avg("x").over(w), 2) + F.pow(F.col("y") - F.avg("y").over(w), 2)
+    measured = rows.select(*keys, off.alias("off"), spread.alias("spread"))
+    return measured.groupBy(*keys).agg((F.avg(F.sqrt("off")) * scale).alias("metres"), F.try_divide(F.sum(F.col("spread") - F.col("off")), F.sum("spread")).alias("r2"))
+
+
+def advantages_over(rewards: DataFrame, reward: str, value: str) -> DataFrame:
+    """Reward less the value that was expected, over all rows' deviation of that from its mean."""
+    less = F.col(reward) - F.col(value)
+    all_ = rewards.agg(F.avg(less).alias("m"), F.coalesce(F.stddev_samp(less), F.lit(0.0)).alias("sd")).first()  # two numbers
+    return rewards.withColumn("advantage", (less - F.lit(all_["m"])) / F.lit((all_["sd"] or 0.0) + 1e-4))
+
+
 def advantages(rewards: DataFrame, group: str, reward: str) -> DataFrame:
     """Reward less its group's mean over its group's standard deviation; 0 for a constant group."""
     w = Window.partitionBy(group)
@@ -86,6 +107,12 @@ def ridge(rows: DataFrame, vector: str, target: str, fold: str, lambdas: list[fl
     return spark.createDataFrame(out, "penalty double, r2 double, mse double").orderBy(F.desc("r2")).limit(1)
 
 
+def with_references(best: DataFrame, references: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """The best entries and, marked, the reference rows (keys, entry, score) that they are read against, for every key that has an entry."""
+    columns = [*keys, "entry", score, "reference"]
+    return best.withColumn("reference", F.lit(False)).select(columns).unionByName(references.join(best.select(*keys), keys, "left_semi").withColumn("reference", F.lit(True)).select(columns))
+
+
 def leaderboard(results: DataFrame, keys: list[str], score: str, higher: Column) -> DataFrame:
     """Best entry per key: the highest score where higher holds, else the lowest; the earlier name on ties."""
     signed = F.when(higher, -F.col(score)).otherwise(F.col(score))

@@ -129,6 +129,20 @@ def median_filter(df: DataFrame, key: str, value: str, half: int, order: str = "
     return wanted.join(values, [key, "at"]).groupBy(key, order).agg(F.percentile(value, 0.5).alias("smooth"))
 
 
+def half_window(rate_hz: float) -> int:
+    """Rows on each side over which velocity is taken: about 0.3 seconds, one at least."""
+    return max(1, round(0.3 * rate_hz))
+
+
+def stops_for_good(hops: DataFrame, recording: str, episode: str, seconds: float, slow: float) -> DataFrame:
+    """Per episode (recording, episode): whether it is slow over its last seconds and goes up to the end of its recording; a cut on the way is no stop."""
+    key = F.struct(recording, episode)
+    rest = ends_at_rest(hops.withColumn("_key", key), "_key", seconds, slow)
+    last = hops.groupBy(recording).agg(F.max("f").alias("_last"))
+    ends = hops.groupBy(recording, episode).agg(F.max("f").alias("_end")).join(last, recording)
+    return ends.join(rest.select(F.col(f"_key.{recording}").alias(recording), F.col(f"_key.{episode}").alias(episode), "ends_at_rest"), [recording, episode]).select(recording, episode, (F.col("ends_at_rest") & (F.col("_end") == F.col("_last"))).alias("stops"))
+
+
 def ends_at_rest(hops: DataFrame, key: str, seconds: float, slow: float) -> DataFrame:
     """Per episode: whether the median speed over its last seconds is below slow."""
     last = hops.groupBy(key).agg(F.max("t").alias("t_end"))

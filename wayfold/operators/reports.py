@@ -60,6 +60,17 @@ def exact_quantile(rows: DataFrame, value: Column, q: float, most: int | None =
     return near["low"] + (near["high"] - near["low"]) * (at - int(at))
 
 
+def split_report(episodes: DataFrame, probabilities: str = "frame_indoor_prob") -> DataFrame:
+    """Per split: episodes, frames, hours, kilometres, share of all its frames that look indoor, medians, and episodes by environment.
+
+    episodes: (split, episode_id, n, duration, length, median_speed, environment, an array of the frames' probabilities).
+    """
+    frames = episodes.select("split", F.explode(probabilities).alias("p")).groupBy("split").agg(F.avg((F.col("p") > 0.5).cast("double")).alias("indoor"))
+    environments = episodes.groupBy("split", "environment").agg(F.count("*").alias("c")).groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("environment", "c")))).alias("environments"))  # a row a label
+    out = episodes.groupBy("split").agg(F.count("*").alias("episodes"), F.sum("n").alias("frames"), (F.sum("duration") / 3600).alias("hours"), (F.sum("length") / 1000).alias("km"), F.percentile("median_speed", F.lit(0.5)).alias("median_speed"))
+    return out.join(frames, "split", "left").join(environments, "split").withColumn("indoor", F.coalesce("indoor", F.lit(0.0)))
+
+
 def action_scale(rows: DataFrame, values: list[str], share: float, seed_key: str) -> DataFrame:
     """The 95th percentile of absolute values over a hash sample, 1 at least."""
     sample = rows.filter(F.conv(F.substring(F.md5(F.col(seed_key).cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0 < share)
