@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import choosing, columns, following, gridding, jobs, joining, measuring, motion, registry, sampling, scoring, studying, suite_building, suites  # noqa: F401
+from . import choosing, columns, following, gridding, inputs, jobs, joining, measuring, motion, registry, sampling, scoring, studying, suite_building, suites  # noqa: F401
 
 
 def all_queries() -> dict:
