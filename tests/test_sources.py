@@ -108,3 +108,36 @@ def test_regrouped_by_sequence(spark, tmp_path):
     T.regroup(spark.read.parquet(str(tmp_path / "batches")), "seq", str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).withColumn("file", F.col("_metadata.file_path"))
     assert back.count() == 12 and back.groupBy("seq").agg(F.count_distinct("file").alias("n")).filter("n <> 1").count() == 0
+
+
+def test_annotation_set(spark, tmp_path):
+    turn, at = [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0]
+    folder = put(
+        tmp_path / "n",
+        sample__json=[{"token": "s1", "scene_token": "c", "timestamp": 1, "prev": "", "next": "s2"}, {"token": "s2", "scene_token": "c", "timestamp": 2, "prev": "s1", "next": ""}],
+        sample_data__json=[{"token": f"d{k}", "sample_token": s, "ego_pose_token": f"p{k}", "calibrated_sensor_token": c, "is_key_frame": key, "filename": f"f{k}"} for k, (s, c, key) in enumerate([("s1", "l", True), ("s1", "l", False), ("s1", "cam", True), ("s2", "l", True)])],
+        ego_pose__json=[{"token": f"p{k}", "translation": [float(k), 0.0, 0.0], "rotation": turn, "timestamp": k} for k in range(4)],
+        calibrated_sensor__json=[{"token": "l", "sensor_token": "x", "translation": at, "rotation": turn}, {"token": "cam", "sensor_token": "y", "translation": at, "rotation": turn}],
+        sensor__json=[{"token": "x", "channel": "LIDAR"}, {"token": "y", "channel": "CAM"}],
+        sample_annotation__json=[{"token": "a1", "sample_token": "s1", "instance_token": "i1", "translation": at, "size": [1.0, 2.0, 3.0], "rotation": turn, "num_lidar_pts": 4}],
+        instance__json=[{"token": "i1", "category_token": "k1"}],
+        category__json=[{"token": "k1", "name": "human.pedestrian"}],
+    )
+    samples, boxes = T.annotated_samples(T.annotation_set(spark, folder), "LIDAR")
+    assert [(r.sample_token, r.filename, r.ego_at[0]) for r in samples.orderBy("timestamp").collect()] == [("s1", "f0", 0.0), ("s2", "f3", 3.0)]
+    assert [(r.sample_token, r.instance_token, r.category, r.timestamp) for r in boxes.collect()] == [("s1", "i1", "human.pedestrian", 1)]
+
+
+def test_room_polygons(spark, tmp_path):
+    corners = [{"x": 0.0, "y": 0.0, "z": 0.0}] * 3
+    folder = put(tmp_path / "r", h1__json={"region_annotations": [{"label": "hall", "poly_loop": corners, "floor_height": 0.5}, {"label": "line", "poly_loop": corners[:2], "floor_height": 0.0}]})
+    assert [(r.scene, r.label, len(r.poly_loop), r.floor_height) for r in T.room_polygons(spark, folder).collect()] == [("h1", "hall", 3, 0.5)]
+
+
+def test_frames_and_episodes(spark, tmp_path):
+    frames = spark.createDataFrame([(f"e{e}", f) for e in range(4) for f in range(5)], "episode_id string, frame_index int")
+    episodes = spark.createDataFrame([(f"e{e}", e) for e in range(3)], "episode_id string, n int")
+    T.write_frames_and_episodes(frames, episodes, str(tmp_path / "t"), "train", 4)
+    got, kept = T.frames_and_episodes(spark, str(tmp_path / "t"), "train", "episode_id string, frame_index int", "episode_id string, n int")
+    assert got.count() == 15 and kept.count() == 3
+    assert all(x.count() == 0 for x in T.frames_and_episodes(spark, str(tmp_path / "t"), "test", "episode_id string, frame_index int", "episode_id string, n int"))

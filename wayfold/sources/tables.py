@@ -68,6 +68,49 @@ def keyed_json(spark: SparkSession, folder: str, name: str, schema: str) -> Data
     return spark.read.schema(schema).option("multiLine", True).json(f"{folder}/{name}.json")
 
 
+#: Columns that are read of each table of a normalised annotation set.
+ANNOTATION_TABLES = {
+    "sample": "token string, scene_token string, timestamp long, prev string, next string",
+    "sample_data": "token string, sample_token string, ego_pose_token string, calibrated_sensor_token string, is_key_frame boolean, filename string",
+    "ego_pose": "token string, translation array<double>, rotation array<double>, timestamp long",
+    "calibrated_sensor": "token string, sensor_token string, translation array<double>, rotation array<double>",
+    "sensor": "token string, channel string",
+    "sample_annotation": "token string, sample_token string, instance_token string, translation array<double>, size array<double>, rotation array<double>, num_lidar_pts int",
+    "instance": "token string, category_token string",
+    "category": "token string, name string",
+}
+
+
+def annotation_set(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a normalised annotation set by name."""
+    return {name: keyed_json(spark, folder, name, schema) for name, schema in ANNOTATION_TABLES.items()}
+
+
+def annotated_samples(tables: dict[str, DataFrame], channel: str) -> tuple[DataFrame, DataFrame]:
+    """(samples, boxes): every sample with file, pose and calibration of its key frame of a channel, and its boxes with instance and category."""
+    named = lambda t, *columns: tables[t].select(F.col("token").alias(f"{t}_token"), *columns)
+    sensors = named("calibrated_sensor", "sensor_token", F.col("translation").alias("sensor_at"), F.col("rotation").alias("sensor_turn")).join(named("sensor", "channel").filter(F.col("channel") == channel), "sensor_token")
+    keys = tables["sample_data"].filter("is_key_frame").select("sample_token", "ego_pose_token", "calibrated_sensor_token", "filename")
+    posed = keys.join(sensors.drop("sensor_token"), "calibrated_sensor_token").join(named("ego_pose", F.col("translation").alias("ego_at"), F.col("rotation").alias("ego_turn")), "ego_pose_token")
+    samples = named("sample", "scene_token", "timestamp", "next").join(posed.drop("ego_pose_token", "calibrated_sensor_token"), "sample_token")
+    instances = named("instance", "category_token").join(named("category", F.col("name").alias("category")), "category_token").drop("category_token")
+    boxes = tables["sample_annotation"].select("sample_token", "instance_token", "translation", "size", "rotation", "num_lidar_pts").join(instances, "instance_token")
+    return samples, boxes.join(samples.select("sample_token", "scene_token", "timestamp"), "sample_token")
+
+
+def frames_and_episodes(spark: SparkSession, folder: str, split: str, frame_schema: str, episode_schema: str) -> tuple[DataFrame, DataFrame]:
+    """The frames and episodes tables of a split; both empty where it has none, and frames without an episode left out."""
+    frames, episodes = scan_split(spark, f"{folder}/frames", split, frame_schema), scan_split(spark, f"{folder}/episodes", split, episode_schema)
+    return frames.join(episodes.select("episode_id").distinct(), "episode_id", "left_semi"), episodes
+
+
+def write_frames_and_episodes(frames: DataFrame, episodes: DataFrame, folder: str, split: str, rows_per_file: int) -> None:
+    """Writes both tables of a split in order, in files <split>-*.parquet of a bounded number of rows."""
+    for name, rows, order in (("frames", frames, ["episode_id", "frame_index"]), ("episodes", episodes, ["episode_id"])):
+        at = f"{folder}/{name}"
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows_per_file).mode("append").parquet(f"{at}/{split}-part.parquet")
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """{id: [[x, y], ...]} as rows (id, k, x, y)."""
     text = spark.read.text(path, wholetext=True)
