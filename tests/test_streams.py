@@ -42,5 +42,30 @@ def test_a_broken_file_and_a_restart(spark, tmp_path):
     assert run(spark, tmp_path, calls, "other") == [*first, (4, 8.0), (5, 10.0)] and len(calls) == made + 1
 
 
+def test_sources_that_grow_are_mixed_by_their_weights(spark, tmp_path):
+    schema, size = "id long", [0, 0]
+
+    def grow(source, n):
+        start = source * 10_000 + size[source]
+        size[source] += n
+        spark.range(start, start + n).coalesce(2).write.mode("append").parquet(str(tmp_path / f"s{source}"))
+
+    def run_once():
+        read = [spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / f"s{k}")) for k in (0, 1)]
+        streams.mix_as_they_come(read, [3.0, 1.0], "id", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return [(r.source, r.id) for r in streams.mix(spark, str(tmp_path / "out"), "id long, source int, place double").orderBy("place", "source").collect()]
+
+    grow(0, 300)
+    grow(1, 100)
+    first = run_once()
+    assert len(first) == len(set(first)) == 400 and all(abs(sum(s == 0 for s, _ in first[:n]) - 0.75 * n) <= 2 for n in range(400))
+    grow(0, 90)
+    grow(1, 200)
+    again = run_once()
+    assert again[:400] == first and sorted(i for s, i in again if s == 1) == list(range(10_000, 10_300)) and len(set(again)) == 690
+    assert all(abs(sum(s == 0 for s, _ in again[:n]) - 0.75 * n) <= 2 for n in range(520)) and {s for s, _ in again[-150:]} == {1}
+    assert run_once() == again
+
+
 def test_nothing_published_yet(spark, tmp_path):
     assert streams.published(spark, str(tmp_path / "none"), OUT).count() == 0

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.scans import running
+
 POSES = "rec long, event_id long, ts timestamp, x double, y double"
 
 
@@ -125,3 +127,31 @@ def mixed(sources: list[DataFrame]) -> DataFrame:
     for k, s in enumerate(sources[1:], 1):
         out = out.unionByName(s.withColumn("source", F.lit(k)), allowMissingColumns=True)
     return out
+
+
+def mix_as_they_come(streams: list[DataFrame], weights: list[float], key: str, path: str, checkpoint: str):
+    """Merges growing sources in proportion to their weights: every row is written once, with its source and its place in the mix.
+
+    A source's rows have places 1 / weight apart, in the order in which they come and, within a batch, in hashed order of key.
+    So up to any place there are rows of each source by its weight, while it has some, and batches follow each other without a break.  A
+    batch that is run again replaces what it wrote.  mix() reads the rows.
+    """
+    step = F.element_at(F.array(*(F.lit(1.0 / w) for w in weights)), F.col("source") + 1)
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = _read(spark, f"{path}/counts", COUNTS).filter(F.col("batch") < number).groupBy("source").agg(F.sum("n").alias("_before"))
+        numbered = running(batch.withColumn("_hash", F.xxhash64(key)), ["source"], ["_hash", key], total={"_n": F.lit(1)})
+        placed = numbered.join(before, "source", "left").withColumn("place", (F.col("_n") + F.coalesce("_before", F.lit(0)) - 0.5) * step)
+        placed.drop("_hash", "_n", "_before").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        batch.groupBy("source").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    return mixed(streams).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+COUNTS = "source int, n long, batch int"
+
+
+def mix(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows of the mix so far, to be read in order of place."""
+    return _read(spark, f"{path}/rows", schema)
