@@ -119,6 +119,24 @@ def near_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float
     return placed.join(laid, [*keys, "_i", "_j"]).withColumn("gap", gap).filter(F.col("gap") <= grow).drop("_i", "_j")
 
 
+def label_points(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, grow: float, id_col: str, ground: str) -> DataFrame:
+    """Adds label and box to points (keys, id, px, py, ground flag): ground points stay ground; others are dynamic where a moving box (keys, box, moving, ...) holds them, else static.
+
+    box: the last one that holds the point; null outside all boxes and on the ground.
+    """
+    above = points.filter(~F.coalesce(F.col(ground), F.lit(False)))
+    held = near_boxes(above.select(*keys, id_col, "px", "py"), boxes, keys, cell, grow).groupBy(id_col).agg(F.max("box").alias("box"), F.bool_or("moving").alias("_moving"))
+    label = F.when(F.coalesce(F.col(ground), F.lit(False)), "ground").when(F.col("_moving"), "dynamic").otherwise("static")
+    return points.join(held, id_col, "left").withColumn("label", label).drop("_moving")
+
+
+def cut_cells(cells: DataFrame, boxes: DataFrame, keys: list[str], size: float, grow: float) -> DataFrame:
+    """Cells (keys, ix, iy) whose centre lies in none of the grown boxes of their keys."""
+    centres = cells.withColumns({"px": (F.col("ix") + 0.5) * size, "py": (F.col("iy") + 0.5) * size})
+    covered = near_boxes(centres.select(*keys, "ix", "iy", "px", "py"), boxes, keys, size, grow).select(*keys, "ix", "iy").distinct()
+    return cells.join(covered, [*keys, "ix", "iy"], "left_anti")
+
+
 def outside_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, grow: float, id_col: str) -> DataFrame:
     """Points in none of the grown boxes."""
     return points.join(near_boxes(points, boxes, keys, cell, grow).select(id_col).distinct(), id_col, "left_anti")

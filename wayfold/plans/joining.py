@@ -118,6 +118,25 @@ def point_in_box(spark, sf_dir):
     return J.near_boxes(points, boxes, ["g"], 1.0, 0.01).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("box").alias("box"), F.count("*").alias("n"))
 
 
+@query(f"""WITH {BOX_SQL}, h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(box) AS box, bool_or(box % 2 = 0) AS moving FROM d WHERE gap <= 0.01 GROUP BY 1, 2, 3, 4), n AS (SELECT l.*, l_partkey % 10 = 0 AS ground, CASE WHEN l_partkey % 10 <> 0 THEN box END AS held, moving FROM l LEFT JOIN h USING (l_orderkey, l_linenumber, l_partkey, l_suppkey))
+ SELECT g, CASE WHEN ground THEN 'ground' WHEN moving THEN 'dynamic' ELSE 'static' END AS label, count(*) AS n, count(held) AS boxed, coalesce(sum(held), 0)::BIGINT AS boxes FROM n GROUP BY 1, 2""")
+def labelled_points(spark, sf_dir):
+    """Points by label: ground, in a moving box, or static; with the boxes that hold them."""
+    points, boxes = _boxes(spark, sf_dir)
+    numbered = points.withColumn("ground", F.col("l_partkey") % 10 == 0)
+    out = J.label_points(numbered, boxes.withColumn("moving", F.col("box") % 2 == 0), ["g"], 1.0, 0.01, "id", "ground")
+    return out.groupBy("g", "label").agg(F.count("*").alias("n"), F.count("box").alias("boxed"), F.coalesce(F.sum("box"), F.lit(0)).alias("boxes"))
+
+
+@query(f"""WITH {BOX_SQL}, c AS (SELECT DISTINCT g, CAST(floor(px) AS BIGINT) AS ix, CAST(floor(py) AS BIGINT) AS iy FROM l), e AS (SELECT c.g, ix, iy FROM c JOIN b ON b.g = c.g WHERE sqrt(power(greatest(abs(cos(h) * (ix + 0.5 - cx) + sin(h) * (iy + 0.5 - cy)) - len / 2, 0), 2) + power(greatest(abs(cos(h) * (iy + 0.5 - cy) - sin(h) * (ix + 0.5 - cx)) - wid / 2, 0), 2)) <= 0.31)
+ SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.g = c.g AND e.ix = c.ix AND e.iy = c.iy)""")
+def cells_outside(spark, sf_dir):
+    """Cells whose centre is in none of the grown boxes."""
+    points, boxes = _boxes(spark, sf_dir)
+    cells = points.select("g", F.floor("px").alias("ix"), F.floor("py").alias("iy")).distinct()
+    return J.cut_cells(cells, boxes, ["g"], 1.0, 0.31)
+
+
 @query(f"WITH {BOX_SQL}, h AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM d WHERE gap <= 0.31) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n FROM l ANTI JOIN h USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) GROUP BY 1, 2, 3, 4")
 def points_outside(spark, sf_dir):
     """Points in none of the grown boxes."""
