@@ -35,3 +35,7 @@ def recorded(name):
 
 def test_points_on_the_edge_of_a_polygon(spark, tmp_path):
     assert both(spark, tmp_path, "in_polygons", [(0, 1, "view", 20.0, 30), (1, 1, "view", 400.0, 55), (2, 1, "view", 19.99, 30), (3, 1, "view", 240.0, 30), (4, 1, "view", 100.0, 69)]) == [(0,), (4,)]
+
+
+def test_chains_with_rows_of_one_time(spark, tmp_path):
+    assert [r[:3] for r in both(spark, tmp_path, "chain_parts", [(0, 0, "view", 0, 5), (1, 6, "view", 100, 5), (1, 12, "view", 300, 5), (2, 0, "view", 300, 5)])] == [(0, 0, 1), (0, 1, 1), (0, 2, 2)]

@@ -70,14 +70,20 @@ def chain_pieces(rows: DataFrame, clip: str, max_gap_s: float, join_gap_s: float
     return islands(pieces, same, ["t0", clip, "piece"], gap.isNull() | (gap <= 0) | (gap > join_gap_s), "chain", {"_end": F.col("t1")})
 
 
-def cut_chains(rows: DataFrame, chain: list[str], max_speed: float, name: str = "part") -> DataFrame:
-    """Adds part: a chain is cut where its pose moves faster than max_speed, which only wrong poses do; rows: (chain, t, x, y)."""
+def cut_chains(rows: DataFrame, chain: list[str], max_speed: float, name: str = "part", then: list[str] = ()) -> DataFrame:
+    """Adds part: a chain is cut where its pose moves faster than max_speed, which only wrong poses do; rows: (chain, t, x, y).
+
+    then: order of rows of one time, without which it is left to chance.
+    """
     step, dt = F.hypot(F.col("x") - F.col("_was.x"), F.col("y") - F.col("_was.y")), F.col("t") - F.col("_was.t")
-    return islands(rows, chain, ["t"], step > dt * max_speed, name, {"_was": F.struct("x", "y", "t")})
+    return islands(rows, chain, ["t", *then], step > dt * max_speed, name, {"_was": F.struct("x", "y", "t")})
 
 
-def split_tracks(obs: DataFrame, limits: DataFrame, keys: list[str], type_col: str = "kind") -> DataFrame:
-    """Adds part: a track is split where it steps further than base + speed * dt; limits is (type, base, speed), a small table."""
+def split_tracks(obs: DataFrame, limits: DataFrame, keys: list[str], type_col: str = "kind", then: list[str] = ()) -> DataFrame:
+    """Adds part: a track is split where it steps further than base + speed * dt; limits is (type, base, speed), a small table.
+
+    A step of the limit itself is none too far, whatever its last digits; then: order of rows of one time.
+    """
     step = F.hypot(F.col("x") - F.col("_was.x"), F.col("y") - F.col("_was.y"))
     far = step > F.coalesce("base", F.lit(OTHER_JUMP[0])) + F.coalesce("speed", F.lit(OTHER_JUMP[1])) * (F.col("t") - F.col("_was.t"))
     return islands(obs.join(limits, type_col, "left"), keys, ["t"], far, "part", {"_was": F.struct("x", "y", "t")}).drop("base", "speed")

@@ -64,12 +64,12 @@ def stops_for_good(spark, sf_dir):
     return K.stops_for_good(cut, "rec", "episode", 43_200.0, 0.005)
 
 
-@query("""WITH {POSE}, c AS (SELECT *, rec % 6 AS chain FROM pose), g AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) > (t - lag(t) OVER w) * 0.03 AS far FROM c WINDOW w AS (PARTITION BY chain ORDER BY t)), s AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY chain ORDER BY t) AS part FROM g)
+@query("""WITH {POSE}, c AS (SELECT *, rec % 6 AS chain FROM pose), g AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) > (t - lag(t) OVER w) * 0.03 AS far FROM c WINDOW w AS (PARTITION BY chain ORDER BY t, event_id)), s AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY chain ORDER BY t, event_id) AS part FROM g)
  SELECT chain, part::BIGINT AS part, count(*) AS n, round(min(t), 3) AS t0 FROM s GROUP BY 1, 2""")
 def chain_parts(spark, sf_dir):
     """Chains cut where they move faster than poses can."""
     rows = poses(spark, sf_dir).withColumn("chain", F.col("rec") % 6)
-    return segments.cut_chains(rows, ["chain"], 0.03).groupBy("chain", "part").agg(F.count("*").alias("n"), F.round(F.min("t"), 3).alias("t0"))
+    return segments.cut_chains(rows, ["chain"], 0.03, then=["event_id"]).groupBy("chain", "part").agg(F.count("*").alias("n"), F.round(F.min("t"), 3).alias("t0"))
 
 
 @query("""WITH {POSE}, w AS (SELECT a.event_id, p.f - a.f AS k, p.y - a.y AS y, (p.y - a.y) / 90 AS yaw FROM pose a JOIN pose p ON p.rec = a.rec AND p.f BETWEEN a.f AND a.f + 4 WHERE a.f % 5 = 0) SELECT event_id, round(degrees(arg_max(yaw, k)), 5) AS heading_deg, round(arg_max(y, k), 5) AS lateral FROM w GROUP BY 1""")
