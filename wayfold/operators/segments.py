@@ -10,6 +10,8 @@ from .scans import ordered, scan
 #: Plausible step of a track, base in metres and metres a second, by coarse type.
 JUMP_LIMITS = {"PEDESTRIAN": (1.0, 4.0), "CYCLE": (1.5, 15.0), "VEHICLE": (1.5, 15.0), "OTHER_MOVABLE": (1.5, 15.0), "STATIC": (1.0, 0.0)}
 OTHER_JUMP = (1.5, 15.0)
+#: What a distance may be off by rounding.
+ROUNDING = 1e-9
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str, previous: dict[str, Column] | None = None, most: int | None = None) -> DataFrame:
@@ -85,8 +87,8 @@ def split_tracks(obs: DataFrame, limits: DataFrame, keys: list[str], type_col: s
     A step of the limit itself is none too far, whatever its last digits; then: order of rows of one time.
     """
     step = F.hypot(F.col("x") - F.col("_was.x"), F.col("y") - F.col("_was.y"))
-    far = step > F.coalesce("base", F.lit(OTHER_JUMP[0])) + F.coalesce("speed", F.lit(OTHER_JUMP[1])) * (F.col("t") - F.col("_was.t"))
-    return islands(obs.join(limits, type_col, "left"), keys, ["t"], far, "part", {"_was": F.struct("x", "y", "t")}).drop("base", "speed")
+    far = step > F.coalesce("base", F.lit(OTHER_JUMP[0])) + F.coalesce("speed", F.lit(OTHER_JUMP[1])) * (F.col("t") - F.col("_was.t")) + ROUNDING
+    return islands(obs.join(limits, type_col, "left"), keys, ["t", *then], far, "part", {"_was": F.struct("x", "y", "t")}).drop("base", "speed")
 
 
 def contiguity(frames: DataFrame, episode: str, frame: str) -> DataFrame:

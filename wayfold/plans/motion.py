@@ -62,14 +62,14 @@ def piece_chain(spark, sf_dir):
     return chained.groupBy("place", "chain").agg(F.count("*").alias("pieces"), F.sum("n").alias("n"))
 
 
-@query("""WITH {POSE}, lim(kind, base, speed) AS (VALUES ('click', 100.0, 0.001), ('view', 150.0, 0.002), ('purchase', 200.0, 0.0)), j AS (SELECT p.*, coalesce(base, 1.5) AS base, coalesce(speed, 6.0) AS speed FROM pose p LEFT JOIN lim USING (kind)),
- m AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) > base + speed * (t - lag(t) OVER w) AS far FROM j WINDOW w AS (PARTITION BY rec, kind ORDER BY t)),
- s AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY rec, kind ORDER BY t) AS part FROM m)
+@query("""WITH {POSE}, lim(kind, base, speed) AS (VALUES ('click', 100.0, 0.001), ('view', 150.0, 0.002), ('purchase', 200.0, 0.0)), j AS (SELECT p.*, coalesce(base, 1.5) AS base, coalesce(speed, 15.0) AS speed FROM pose p LEFT JOIN lim USING (kind)),
+ m AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) > base + speed * (t - lag(t) OVER w) + 1e-9 AS far FROM j WINDOW w AS (PARTITION BY rec, kind ORDER BY t, event_id)),
+ s AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY rec, kind ORDER BY t, event_id) AS part FROM m)
  SELECT rec, kind, part::BIGINT AS part, count(*) AS n, min(f) AS f0 FROM s GROUP BY 1, 2, 3""")
 def track_split(spark, sf_dir):
     """Tracks (user and event type) split at implausible jumps."""
     limits = spark.createDataFrame([("click", 100.0, 0.001), ("view", 150.0, 0.002), ("purchase", 200.0, 0.0)], "kind string, base double, speed double")
-    return segments.split_tracks(poses(spark, sf_dir), limits, ["rec", "kind"]).groupBy("rec", "kind", "part").agg(F.count("*").alias("n"), F.min("f").alias("f0"))
+    return segments.split_tracks(poses(spark, sf_dir), limits, ["rec", "kind"], then=["event_id"]).groupBy("rec", "kind", "part").agg(F.count("*").alias("n"), F.min("f").alias("f0"))
 
 
 @query("SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS distinct_frames, max(turn) AS \"last\", (count(*) = count(DISTINCT turn) AND max(turn) = count(*) - 1) AS contiguous FROM conversations GROUP BY 1")
