@@ -45,3 +45,7 @@ def test_tracks_of_a_type_without_limits_and_steps_of_the_limit(spark, tmp_path)
     steps = [(k, 2, "purchase", x, y) for k, (x, y) in enumerate([(160.1 + 0.07 * (k % 9), 120) if k % 2 else (0.1 + 0.07 * ((k + 1) % 9), 0) for k in range(40)])]
     rows = both(spark, tmp_path, "track_split", [(0, 1, "error", 0, 5), (1, 1, "error", 10, 5), (2, 1, "error", 40, 5), *steps])
     assert (1, "error", 0, 2, 0) in rows and (1, "error", 1, 1, 2) in rows
+
+
+def test_gaps_over_half_a_turn(spark, tmp_path):
+    assert len(both(spark, tmp_path, "single_gap_fill", recorded("single_gap_fill"))) == 2

@@ -15,6 +15,12 @@ def wrap(a: Column) -> Column:
     return F.pmod(a + PI, F.lit(2 * PI)) - PI
 
 
+def turn_between(a: Column, b: Column) -> Column:
+    """The turn from angle a to b in [-pi, pi), half a turn being -pi whatever the rounding of a and b."""
+    turn = wrap(b - a)
+    return F.when(F.abs(turn) > PI - 1e-9, F.lit(-PI)).otherwise(turn)
+
+
 def yaw_from_quaternion(x: Column, y: Column, z: Column, w: Column) -> Column:
     """Heading of the body's x axis in the plane, z up."""
     return F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))

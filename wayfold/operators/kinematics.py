@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import PI, wrap
+from ..functions.geom import PI, turn_between, wrap
 from .scans import Ordered, ordered, scan
 
 
@@ -18,13 +18,13 @@ def _w(key: str, order: str = "f"):
 
 
 def fill_single_gaps(dense: DataFrame, key: str) -> DataFrame:
-    """Fills x, y and yaw of a missing frame between two present ones: means, and half the turn."""
+    """Fills x, y and yaw of a missing frame between two present ones: means, and half the turn (a turn by pi goes to the right)."""
     w = _w(key)
     out, gap = dense, F.col("x").isNull() & F.lag("x").over(w).isNotNull() & F.lead("x").over(w).isNotNull()
     out = out.withColumn("filled", gap)
     for c in ("x", "y"):
         out = out.withColumn(f"{c}_new", F.when(gap, (F.lag(c).over(w) + F.lead(c).over(w)) / 2).otherwise(F.col(c)))
-    out = out.withColumn("yaw_new", F.when(gap, wrap(F.lag("yaw").over(w) + wrap(F.lead("yaw").over(w) - F.lag("yaw").over(w)) / 2)).otherwise(F.col("yaw")))
+    out = out.withColumn("yaw_new", F.when(gap, wrap(F.lag("yaw").over(w) + turn_between(F.lag("yaw").over(w), F.lead("yaw").over(w)) / 2)).otherwise(F.col("yaw")))
     return out.drop("x", "y", "yaw").withColumnsRenamed({"x_new": "x", "y_new": "y", "yaw_new": "yaw"})
 
 

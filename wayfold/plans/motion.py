@@ -87,7 +87,7 @@ def velocity_central(spark, sf_dir):
 
 @query("""WITH {POSE}, h AS (SELECT rec, f, CASE WHEN f % 5 <> 3 THEN x END AS x, CASE WHEN f % 5 <> 3 THEN y END AS y, CASE WHEN f % 5 <> 3 THEN atan2(y - 50, x - 50) END AS yaw FROM pose),
  n AS (SELECT *, lag(x) OVER w AS xa, lead(x) OVER w AS xb, lag(y) OVER w AS ya, lead(y) OVER w AS yb, lag(yaw) OVER w AS a, lead(yaw) OVER w AS b FROM h WINDOW w AS (PARTITION BY rec ORDER BY f)),
- d AS (SELECT *, (b - a + pi()) - 2 * pi() * floor((b - a + pi()) / (2 * pi())) - pi() AS turn FROM n)
+ r AS (SELECT *, (b - a + pi()) - 2 * pi() * floor((b - a + pi()) / (2 * pi())) - pi() AS raw FROM n), d AS (SELECT *, CASE WHEN abs(raw) > pi() - 1e-9 THEN -pi() ELSE raw END AS turn FROM r)
  SELECT rec, f, round((xa + xb) / 2, 6) AS x, round((ya + yb) / 2, 6) AS y, round(cos(a + turn / 2), 6) AS c FROM d WHERE x IS NULL AND xa IS NOT NULL AND xb IS NOT NULL""")
 def single_gap_fill(spark, sf_dir):
     """Every fifth frame taken away and filled from its neighbours."""
