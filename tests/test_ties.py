@@ -49,3 +49,7 @@ def test_tracks_of_a_type_without_limits_and_steps_of_the_limit(spark, tmp_path)
 
 def test_gaps_over_half_a_turn(spark, tmp_path):
     assert len(both(spark, tmp_path, "single_gap_fill", recorded("single_gap_fill"))) == 2
+
+
+def test_paths_that_turn_back(spark, tmp_path):
+    assert len(both(spark, tmp_path, "wiggle", recorded("wiggle"))) == 2

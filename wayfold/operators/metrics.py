@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import wrap
+from ..functions.geom import turn_between
 from .joins import interpolate
 from .kinematics import arc_length, unwrap
 
@@ -37,12 +37,17 @@ def timed_steps(pred: DataFrame, key: str, final_step: int, n: int) -> DataFrame
 
 
 def wiggle(points: DataFrame, key: str, spacing: float = 0.1) -> DataFrame:
-    """(key, wiggle): total turning less net turning along paths (key, f, x, y), resampled every `spacing` from their start."""
+    """(key, wiggle): total turning less net turning along paths (key, f, x, y), resampled every `spacing` from their start.
+
+    Points that fall on the one before keep its heading; turning back is a turn to the right, whatever the rounding.
+    """
     start = points.groupBy(key).agg(F.min_by(F.struct("x", "y"), "f").alias("p")).select(key, F.lit(0).alias("k"), "p.x", "p.y")
     even = start.unionByName(resample(points, key, spacing).select(key, "k", "x", "y"))
     w = Window.partitionBy(key).orderBy("k")
-    heading = even.withColumn("h", F.atan2(F.col("y") - F.lag("y").over(w), F.col("x") - F.lag("x").over(w)))
-    turn = heading.withColumn("dh", wrap(F.col("h") - F.lag("h").over(w)))
+    dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
+    went = even.withColumn("went", F.when(F.hypot(dx, dy) > 1e-6, F.atan2(dy, dx)))
+    heading = went.withColumn("h", F.last("went", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = heading.withColumn("dh", turn_between(F.lag("h").over(w), F.col("h")))
     return turn.groupBy(key).agg((F.coalesce(F.sum(F.abs("dh")), F.lit(0.0)) - F.abs(F.coalesce(F.sum("dh"), F.lit(0.0)))).alias("wiggle"))
 
 

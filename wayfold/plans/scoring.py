@@ -124,8 +124,8 @@ WIGGLE = f"""{ARC}, g AS (SELECT rec, unnest(generate_series(1, CAST(floor((tota
  SELECT g.rec, k, CASE WHEN s2 IS NULL THEN x ELSE x + (x2 - x) * (g.s - n.s) / (s2 - n.s) END, CASE WHEN s2 IS NULL THEN y ELSE y + (y2 - y) * (g.s - n.s) / (s2 - n.s) END FROM (SELECT rec, k, k * 0.1 AS s FROM g) g ASOF JOIN n ON g.rec = n.rec AND g.s >= n.s)"""
 
 
-@query(f"""WITH {WIGGLE}, hd AS (SELECT rec, k, atan2(y - lag(y) OVER w, x - lag(x) OVER w) AS h FROM even WINDOW w AS (PARTITION BY rec ORDER BY k)), d AS (SELECT rec, h - lag(h) OVER (PARTITION BY rec ORDER BY k) AS r FROM hd), t AS (SELECT rec, (r + pi()) - 2 * pi() * floor((r + pi()) / (2 * pi())) - pi() AS dh FROM d)
- SELECT rec, round(coalesce(sum(abs(dh)), 0) - abs(coalesce(sum(dh), 0)), 3) AS wiggle FROM t GROUP BY 1""")
+@query(f"""WITH {WIGGLE}, st AS (SELECT rec, k, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM even WINDOW w AS (PARTITION BY rec ORDER BY k)), hd AS (SELECT rec, k, last_value(CASE WHEN sqrt(dx * dx + dy * dy) > 1e-6 THEN atan2(dy, dx) END IGNORE NULLS) OVER (PARTITION BY rec ORDER BY k) AS h FROM st), d AS (SELECT rec, h - lag(h) OVER (PARTITION BY rec ORDER BY k) AS r FROM hd), w AS (SELECT rec, (r + pi()) - 2 * pi() * floor((r + pi()) / (2 * pi())) - pi() AS raw FROM d),
+ t AS (SELECT rec, CASE WHEN abs(raw) > pi() - 1e-9 THEN -pi() ELSE raw END AS dh FROM w) SELECT rec, round(coalesce(sum(abs(dh)), 0) - abs(coalesce(sum(dh), 0)), 3) AS wiggle FROM t GROUP BY 1""")
 def wiggle(spark, sf_dir):
     """Total less net turning of each path."""
     paths = poses(spark, sf_dir).select((F.col("rec") * 1000 + F.floor(F.col("f") / 11)).alias("rec"), (F.col("f") % 11).alias("f"), (F.col("x") / 50).alias("x"), (F.col("y") / 10).alias("y"))
