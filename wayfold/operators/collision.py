@@ -14,6 +14,8 @@ from ..functions.geom import around, box_distance, wrap
 
 #: Radii in metres, heights and counts of the protocol.
 RADIUS, DISC, OVERHEAD, LIDAR_LOW, LIDAR_HIGH, LIDAR_LEAST, MAP_RES = 0.25, 0.3, 2.0, 0.25, 1.9, 3, 0.1
+#: What a distance may be off by rounding: a touch is one whatever its last digits.
+ROUNDING = 1e-9
 
 
 def densify(path: DataFrame, keys: list[str], n_sub: int, values: list[str], angles: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -52,11 +54,14 @@ def static_contacts(path: DataFrame, obs: DataFrame, n_sub: int) -> DataFrame:
     return dense.join(clear, "scenario").select("scenario", "track", "sub", _gap().alias("gap"))
 
 
-def dynamic_contacts(path: DataFrame, obs: DataFrame, n_sub: int) -> DataFrame:
-    """(scenario, track, sub, gap, px, py, ax, ay) for moving tracks between valid steps: an equi-join on the sub-step."""
+def dynamic_contacts(path: DataFrame, obs: DataFrame, n_sub: int, slack: float = 0.0) -> DataFrame:
+    """(scenario, track, sub, gap, px, py, ax, ay) for moving tracks between valid steps: an equi-join on the sub-step.
+
+    Tracks whose gap is slack at most at the start are left out.
+    """
     moving = obs.filter("not is_stationary and step >= 0")
     start = path.filter("step = 0").select("scenario", F.col("x").alias("px"), F.col("y").alias("py"))
-    overlap = moving.filter("step = 0").join(start, "scenario").filter(_gap() <= 0).select("scenario", "track")
+    overlap = moving.filter("step = 0").join(start, "scenario").filter(_gap() <= slack).select("scenario", "track")
     moving = moving.join(overlap, ["scenario", "track"], "left_anti")
     dense = densify(moving, ["scenario", "track"], n_sub, ["x", "y", "heading"], ("heading",), ("length", "width", "reach"))
     #: a sub-step that falls on a step needs only that step

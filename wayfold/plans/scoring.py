@@ -51,11 +51,11 @@ def path_collision(spark, sf_dir):
     return out.select("scenario", "collided_dynamic", "collided_static", F.round("clearance_dynamic", 5).alias("clearance_dynamic"), F.round("clearance_static", 5).alias("clearance_static"), F.round("first_collision_s", 4).alias("first_collision_s"))
 
 
-@query(f"""WITH {CONTACTS} SELECT scenario, track, min(sub) AS sub FROM dc WHERE gap <= 0 GROUP BY 1, 2""")
+@query(f"""WITH {CONTACTS.replace("<= 0)),", "<= 1e-9)),")} SELECT scenario, track, min(sub) AS sub FROM dc WHERE gap <= 1e-9 GROUP BY 1, 2""")
 def first_contact(spark, sf_dir):
     """First sub-step at which each moving object is touched."""
     ego, obs = scenario_tables(spark, sf_dir)
-    hits = C.dynamic_contacts(ego, C.as_discs(C.reachable(obs, False)), SUB).filter("gap <= 0")
+    hits = C.dynamic_contacts(ego, C.as_discs(C.reachable(obs, False)), SUB, C.ROUNDING).filter(F.col("gap") <= C.ROUNDING)
     return hits.groupBy("scenario", "track").agg(F.min("sub").alias("sub"))
 
 
