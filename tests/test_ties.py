@@ -61,3 +61,7 @@ def test_touches_are_contacts(spark, tmp_path):
         ego, y, dx, dy = 5 * n, 20 + n, *[(27.5, 0), (16.5, 4.4), (22.0, 3.3)][n % 3]
         rows += [(k, rec, "view", x, v) for k, (rec, x, v) in enumerate([(ego, 100.0, y), (ego, 100.0, y), (ego + 1, 400.0, y), (ego + 1, 100.0 + dx, y + dy)])]
     assert len(both(spark, tmp_path, "first_contact", rows)) == 60
+
+
+def test_points_just_in_reach(spark, tmp_path):
+    assert both(spark, tmp_path, "lidar_collision", recorded("lidar_collision"))

@@ -104,7 +104,7 @@ def lidar_contacts(path: DataFrame, points: DataFrame, operators: DataFrame, n_s
     steps = F.explode(F.array_distinct(F.array(F.floor(F.col("sub") / n_sub + 0.5), F.ceil(F.col("sub") / n_sub - 0.5)))).alias("step")
     look = dense.select("*", steps).withColumn("bi", around(F.floor(F.col("px") / block), 1)).withColumn("bj", around(F.floor(F.col("py") / block), 1))
     placed = hittable.select("scenario", F.col("step").cast("long").alias("step"), "x", "y", F.floor(F.col("x") / block).alias("bi"), F.floor(F.col("y") / block).alias("bj"))
-    hit = look.join(placed, ["scenario", "step", "bi", "bj"]).filter(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) <= radius)
+    hit = look.join(placed, ["scenario", "step", "bi", "bj"]).filter(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) <= radius + ROUNDING)
     return hit.groupBy("scenario", "sub", "step").agg(F.count("*").alias("n")).filter(F.col("n") >= LIDAR_LEAST).select("scenario", "sub").distinct()
 
 

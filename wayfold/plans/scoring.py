@@ -84,7 +84,7 @@ def map_collision(spark, sf_dir):
 
 
 @query(f"""WITH {SCENE}, pts AS (SELECT scenario, step, x + k * 0.02 AS x, y FROM obs, generate_series(0, 4) AS g(k) WHERE step > 0), look AS (SELECT DISTINCT scenario, sub, px, py, unnest([floor(sub / 5.0 + 0.5), ceil(sub / 5.0 - 0.5)]) AS step FROM dense)
- SELECT DISTINCT scenario, sub FROM (SELECT l.scenario, sub, l.step, count(*) AS n FROM look l JOIN pts p ON p.scenario = l.scenario AND p.step = l.step WHERE sqrt(power(px - x, 2) + power(py - y, 2)) <= 0.25 GROUP BY 1, 2, 3) WHERE n >= 3""")
+ SELECT DISTINCT scenario, sub FROM (SELECT l.scenario, sub, l.step, count(*) AS n FROM look l JOIN pts p ON p.scenario = l.scenario AND p.step = l.step WHERE sqrt(power(px - x, 2) + power(py - y, 2)) <= 0.25 + 1e-9 GROUP BY 1, 2, 3) WHERE n >= 3""")
 def lidar_collision(spark, sf_dir):
     """Sub-steps at which enough scan points are in reach."""
     ego, obs = scenario_tables(spark, sf_dir)
