@@ -65,3 +65,7 @@ def test_touches_are_contacts(spark, tmp_path):
 
 def test_points_just_in_reach(spark, tmp_path):
     assert both(spark, tmp_path, "lidar_collision", recorded("lidar_collision"))
+
+
+def test_path_points_between_two_cells(spark, tmp_path):
+    assert both(spark, tmp_path, "map_collision", recorded("map_collision"))

@@ -23,8 +23,7 @@ def densify(path: DataFrame, keys: list[str], n_sub: int, values: list[str], ang
     w = Window.partitionBy(*keys).orderBy("step")
     ahead = path.withColumns({f"_{v}": F.lead(v).over(w) for v in (*values, "step")}).filter(F.col("_step") == F.col("step") + 1)
     sub = ahead.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_sub))))
-    part = F.col("k") / n_sub
-    at = lambda v: F.when(F.col("k") == n_sub, F.col(f"_{v}")).otherwise(F.col(v) + (wrap(F.col(f"_{v}") - F.col(v)) if v in angles else F.col(f"_{v}") - F.col(v)) * part).alias(v)
+    at = lambda v: F.when(F.col("k") == n_sub, F.col(f"_{v}")).otherwise(F.col(v) + (wrap(F.col(f"_{v}") - F.col(v)) if v in angles else F.col(f"_{v}") - F.col(v)) * F.col("k") / n_sub).alias(v)
     return sub.select(*keys, *carry, (F.col("step") * n_sub + F.col("k")).alias("sub"), *map(at, values))
 
 
