@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,24 +148,54 @@ def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) ->
     """Pairs of (px, py) of a and (qx, qy) of b at most radius apart: a looks into the nine cells around it."""
     look = a.withColumn("_i", around(F.floor(F.col("px") / radius), 1)).withColumn("_j", around(F.floor(F.col("py") / radius), 1))
     placed = b.withColumns({"_i": F.floor(F.col("qx") / radius), "_j": F.floor(F.col("qy") / radius)})
-    return look.join(placed, [*keys, "_i", "_j"]).drop("_i", "_j").withColumn("dist", F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy"))).filter(F.col("dist") <= radius)
+    return _spread(look).join(placed, [*keys, "_i", "_j"]).drop("_i", "_j").withColumn("dist", F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy"))).filter(F.col("dist") <= radius)
+
+
+def nearest(rows: DataFrame, others: DataFrame, keys: list[str], limit: float, levels: int) -> DataFrame:
+    """Rows (keys, id, x, y, hit) with hit, the (d, id) of the nearest of others within the limit, where it is null; the lesser id on ties.
+
+    Rows look into the nine cells around them, the smallest cells first: what is found no further than a cell's width is the
+    nearest, and only rows without it look into cells of twice the width.  So a row meets a few others however dense they lie.
+    """
+    for level in range(levels, -1, -1):
+        size = limit / 2**level
+        cell = lambda c, k=0: (F.floor(F.col(c) / size) + k).cast("long")  # noqa: E731, B023
+        nine = F.array(*(F.struct(cell("x", i).alias("i"), cell("y", j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        found = F.array(F.struct(F.hash("id").cast("long").alias("i"), F.lit(None).cast("long").alias("j")))  # meets nothing
+        look = rows.withColumn("_c", F.explode(F.when(F.col("hit").isNull(), nine).otherwise(found)))
+        look = look.select(*rows.columns, F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"))
+        placed = others.select(*keys, cell("x").alias("_i"), cell("y").alias("_j"), F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.col("id").alias("id")).alias("_o"))
+        d = F.hypot(F.col("x") - F.col("_o.x"), F.col("y") - F.col("_o.y"))
+        near = F.min(F.when(d <= size, F.struct(d.alias("d"), F.col("_o.id").alias("id"))))
+        met = _spread(look).join(placed, [*keys, "_i", "_j"], "left").groupBy(*(c for c in rows.columns if c != "hit"))
+        rows = met.agg(F.coalesce(F.first("hit", ignorenulls=True), near).alias("hit")).select(*rows.columns)
+    return rows
 
 
 def link_frames(rows: DataFrame, key: str, gate: float, max_gap: int = 1) -> DataFrame:
     """(key, f, id, next_f, next_id): mutual nearest neighbours within a gate per frame step, at most max_gap frames ahead.
 
-    Greedy and local where an optimal assignment would weigh contested cases against each other.  Rows look only into the
-    grid cells around them, as wide as the widest gate.
+    Greedy and local where an optimal assignment would weigh contested cases against each other.  Rows look for their nearest in
+    the next frame, those without one in the frame after it, and so on; of rows at one place only that of the least id can
+    be anyone's nearest, so the others take no part.
     """
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("_k")
-    size = gate * max_gap
-    a = rows.select(key, F.col("f"), F.col("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), ahead).withColumn("nf", F.col("f") + F.col("_k"))
-    a = a.withColumn("_i", around(F.floor(F.col("ax") / size), 1)).withColumn("_j", around(F.floor(F.col("ay") / size), 1))
-    b = rows.select(key, F.col("f").alias("nf"), F.col("id").alias("nid"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("x") / size).alias("_i"), F.floor(F.col("y") / size).alias("_j"))
-    pairs = a.join(b, [key, "nf", "_i", "_j"]).drop("_i", "_j").withColumn("d", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).filter(F.col("d") <= gate * F.col("_k"))
-    out_rank = F.row_number().over(Window.partitionBy(key, "f", "id").orderBy("_k", "d", "nid"))
-    in_rank = F.row_number().over(Window.partitionBy(key, "nf", "nid").orderBy("_k", "d", "id"))
-    return pairs.withColumns({"o": out_rank, "i": in_rank}).filter("o = 1 and i = 1").select(key, "f", "id", F.col("nf").alias("next_f"), F.col("nid").alias("next_id"), "d")
+    places = rows.groupBy(key, "f", "x", "y").agg(F.min("id").alias("id")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    crowd = places.groupBy(key, "f", F.floor(F.col("x") / gate), F.floor(F.col("y") / gate)).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+    levels = min(12, max(0, math.ceil(math.log(max(crowd or 1.0, 1.0) / 4, 4))))
+    empty = F.lit(None).cast(places.select(F.struct(F.lit(0.0).alias("d"), "id")).schema[0].dataType)
+
+    def toward(step: int) -> DataFrame:
+        """Each place with its hit and how many frames away it is, ahead (1) or before (-1)."""
+        found = places.withColumns({"hit": empty, "k": F.lit(0)})
+        for k in range(1, max_gap + 1):
+            asked = found.withColumnRenamed("f", "_f").withColumn("f", F.col("_f") + step * k)
+            met = nearest(asked, places, [key, "f"], gate * k, levels)
+            found = met.withColumn("k", F.when(F.col("hit").isNotNull() & (F.col("k") == 0), k).otherwise(F.col("k"))).drop("f").withColumnRenamed("_f", "f")
+        return found.filter(F.col("hit").isNotNull())
+
+    ahead = toward(1).select(key, "f", "id", (F.col("f") + F.col("k")).alias("next_f"), F.col("hit.id").alias("next_id"), F.col("hit.d").alias("d"))
+    before = toward(-1).select(key, F.col("f").alias("next_f"), F.col("id").alias("next_id"), (F.col("f") - F.col("k")).alias("f"), F.col("hit.id").alias("id"))
+    return ahead.join(before, [key, "f", "id", "next_f", "next_id"], "left_semi")
 
 
 def unambiguous_ids(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
