@@ -32,3 +32,13 @@ def test_links_meet_few_rows_where_many_lie(spark):
     at = {r.id: (r.f, r.x, r.y) for r in rows.collect()}
     ids = random.Random(1).sample(sorted(hits), 20)
     assert all(hits[i] == min((math.dist(at[i][1:], p[1:]), j) for j, p in at.items() if p[0] == 1)[1] for i in ids) and len(hits) == 2000
+
+
+def test_points_at_one_place_meet_its_boxes_once(spark):
+    points = spark.range(1000).select("id", F.lit(1).alias("g"), (F.col("id") % 2).cast("double").alias("px"), F.lit(0.0).alias("py"))
+    boxes = spark.range(300).select(F.col("id").alias("box"), F.lit(1).alias("g"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("heading"), F.lit(1.0).alias("length"), F.lit(1.0).alias("width"), (F.col("id") == 7).alias("moving"))
+    held = joins.held_points(points, boxes, ["g"], 1.0, 0.01, F.max("box").alias("box"), F.count("*").alias("n"))
+    assert {tuple(r) for r in held.groupBy("px", "box", "n").count().collect()} == {(0.0, 299, 300, 500)}
+    assert joins.outside_boxes(points, boxes, ["g"], 1.0, 0.01, "id").count() == 500
+    labelled = joins.label_points(points.withColumn("ground", F.col("id") < 10), boxes, ["g"], 1.0, 0.01, "id", "ground")
+    assert {tuple(r) for r in labelled.groupBy("label", "box").count().collect()} == {("ground", None, 10), ("dynamic", 299, 495), ("static", None, 495)}

@@ -118,7 +118,16 @@ def near_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float
     laid = boxes.withColumn("_i", F.explode(F.sequence(lo("cx"), hi("cx")))).withColumn("_j", F.explode(F.sequence(lo("cy"), hi("cy"))))
     placed = points.withColumns({"_i": F.floor(F.col("px") / cell), "_j": F.floor(F.col("py") / cell)})
     gap = box_distance(F.col("px"), F.col("py"), F.col("cx"), F.col("cy"), F.col("heading"), F.col("length"), F.col("width"))
-    return placed.join(laid, [*keys, "_i", "_j"]).withColumn("gap", gap).filter(F.col("gap") <= grow).drop("_i", "_j")
+    return placed.join(_spread(laid), [*keys, "_i", "_j"]).withColumn("gap", gap).filter(F.col("gap") <= grow).drop("_i", "_j")
+
+
+def held_points(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, grow: float, *found: Column) -> DataFrame:
+    """Points with what is found, aggregates of the boxes within grow of them; only those that have a box.
+
+    Boxes are met by distinct places (keys, px, py), of which there are fewer than points where these lie on a grid.
+    """
+    places = points.select(*keys, "px", "py").distinct()
+    return points.join(near_boxes(places, boxes, keys, cell, grow).groupBy(*keys, "px", "py").agg(*found), [*keys, "px", "py"])
 
 
 def label_points(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, grow: float, id_col: str, ground: str) -> DataFrame:
@@ -127,7 +136,8 @@ def label_points(points: DataFrame, boxes: DataFrame, keys: list[str], cell: flo
     box: the last one that holds the point; null outside all boxes and on the ground.
     """
     above = points.filter(~F.coalesce(F.col(ground), F.lit(False)))
-    held = near_boxes(above.select(*keys, id_col, "px", "py"), boxes, keys, cell, grow).groupBy(id_col).agg(F.max("box").alias("box"), F.bool_or("moving").alias("_moving"))
+    found = held_points(above.select(*keys, id_col, "px", "py"), boxes, keys, cell, grow, F.max("box").alias("box"), F.bool_or("moving").alias("_moving"))
+    held = found.groupBy(id_col).agg(F.max("box").alias("box"), F.bool_or("_moving").alias("_moving"))
     label = F.when(F.coalesce(F.col(ground), F.lit(False)), "ground").when(F.col("_moving"), "dynamic").otherwise("static")
     return points.join(held, id_col, "left").withColumn("label", label).drop("_moving")
 
@@ -141,7 +151,7 @@ def cut_cells(cells: DataFrame, boxes: DataFrame, keys: list[str], size: float,
 
 def outside_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, grow: float, id_col: str) -> DataFrame:
     """Points in none of the grown boxes."""
-    return points.join(near_boxes(points, boxes, keys, cell, grow).select(id_col).distinct(), id_col, "left_anti")
+    return points.join(held_points(points.select(*keys, id_col, "px", "py"), boxes, keys, cell, grow, F.count("*").alias("_n")).select(id_col).distinct(), id_col, "left_anti")
 
 
 def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) -> DataFrame:

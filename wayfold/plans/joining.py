@@ -115,7 +115,8 @@ def _boxes(spark, sf_dir):
 def point_in_box(spark, sf_dir):
     """Points in oriented boxes of their group, with the last box that holds each."""
     points, boxes = _boxes(spark, sf_dir)
-    return J.near_boxes(points, boxes, ["g"], 1.0, 0.01).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("box").alias("box"), F.count("*").alias("n"))
+    held = J.held_points(points, boxes, ["g"], 1.0, 0.01, F.max("box").alias("box"), F.count("*").alias("n"))
+    return held.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("box").alias("box"), F.sum("n").alias("n"))
 
 
 @query(f"""WITH {BOX_SQL}, h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(box) AS box, bool_or(box % 2 = 0) AS moving FROM d WHERE gap <= 0.01 GROUP BY 1, 2, 3, 4), n AS (SELECT l.*, l_partkey % 10 = 0 AS ground, CASE WHEN l_partkey % 10 <> 0 THEN box END AS held, moving FROM l LEFT JOIN h USING (l_orderkey, l_linenumber, l_partkey, l_suppkey))
