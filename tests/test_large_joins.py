@@ -42,3 +42,7 @@ def test_points_at_one_place_meet_its_boxes_once(spark):
     assert joins.outside_boxes(points, boxes, ["g"], 1.0, 0.01, "id").count() == 500
     labelled = joins.label_points(points.withColumn("ground", F.col("id") < 10), boxes, ["g"], 1.0, 0.01, "id", "ground")
     assert {tuple(r) for r in labelled.groupBy("label", "box").count().collect()} == {("ground", None, 10), ("dynamic", 299, 495), ("static", None, 495)}
+def test_windows_are_not_sent_to_all_tasks(spark):
+    frames = spark.range(50).select(F.lit(1).alias("rec"), F.col("id").alias("f"), F.rand(1).alias("x"))
+    found = joins.windows_around(frames, frames, ["rec"], "f", 10, 10)
+    assert "BroadcastHashJoin" not in plan(found) and found.count() == 50 * 21 - 2 * sum(range(1, 11))

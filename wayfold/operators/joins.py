@@ -11,6 +11,11 @@ from ..functions.geom import around, box_distance, wrap
 from .scans import running
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows that were multiplied by an explode, of which Spark's estimate knows nothing: a join must not send them to all tasks by way of the driver."""
+    return rows.hint("merge")
+
+
 def asof(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, values: list[str], most: int | None = None) -> DataFrame:
     """Left rows with the values of the last right row at or before them (null if there is none).
 
@@ -81,13 +86,13 @@ def windows_around(frames: DataFrame, anchors: DataFrame, keys: list[str], frame
     """Each anchor with the rows of its frames -before..after as steps 0..; one equi-join on (keys, frame)."""
     steps = F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("_k")
     wanted = anchors.select(*keys, F.col(frame).alias("anchor"), steps).select(*keys, "anchor", (F.col("_k") + before).alias("step"), (F.col("anchor") + F.col("_k")).alias(frame))
-    return wanted.join(frames, [*keys, frame])
+    return _spread(wanted).join(frames, [*keys, frame])
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, point: str, start: str, end: str, width: float) -> DataFrame:
     """Points with the intervals start <= point < end of their key: intervals are cut at buckets of a width, equi-joined, and tested."""
     cells = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_cell")
-    return points.withColumn("_cell", F.floor(F.col(point) / width)).join(intervals.filter(F.col(end) > F.col(start)).select("*", cells), [key, "_cell"]).filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("_cell")
+    return points.withColumn("_cell", F.floor(F.col(point) / width)).join(_spread(intervals.filter(F.col(end) > F.col(start)).select("*", cells)), [key, "_cell"]).filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("_cell")
 
 
 def covering(points: DataFrame, intervals: DataFrame, key: str, point: str, start: str, end: str) -> DataFrame:
@@ -102,7 +107,7 @@ def covering(points: DataFrame, intervals: DataFrame, key: str, point: str, star
     size = F.pow(F.lit(2.0), F.col("_level"))
     cut = placed.withColumn("_cell", F.explode(F.array_distinct(F.array(F.floor(F.col(start) / size), F.floor(F.col(end) / size)))))
     asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_cell", F.floor(F.col(point) / size))
-    return asked.join(cut, [key, "_level", "_cell"]).filter((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end))).drop("_level", "_cell")
+    return _spread(asked).join(_spread(cut), [key, "_level", "_cell"]).filter((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end))).drop("_level", "_cell")
 
 
 def contained(inner: DataFrame, outer: DataFrame, key: str, a: str, b: str, start: str, end: str) -> DataFrame:
