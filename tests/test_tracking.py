@@ -94,3 +94,15 @@ def test_walkers_stand_on_the_ground_and_look_ahead(spark):
     ground = spark.createDataFrame([(1, f, 0.5 * f) for f in range(4)], "seq int, f int, ground double")
     for r in tracking.walkers(rows, "seq", ground).collect():
         assert abs(r.z - (0.5 * r.f + 0.85)) < 1e-9 and abs(r.heading - math.atan2(2, 1)) < 1e-9 and (r.l, r.w, r.h) == (0.6, 0.6, 1.7)
+
+
+def test_pairs_drawn_from_cells_are_those_of_all_offers():
+    pick = random.Random(5)
+    for n, limit in ((0, 1.0), (1, 1.0), (40, 3.0), (300, 0.7)):
+        rows = [{"id": b, "x": float(pick.randint(0, 20)) / 2, "y": pick.random() * pick.choice((0.0, 8.0))} for b in range(n)]
+        lefts = [(pick.random() * 14 - 2, float(pick.randint(-2, 10)), pick.choice((0.0, 1.0))) for _ in range(200)]
+        cost = lambda a, b: (d + lefts[a][2], (a, b), a, b) if (d := math.hypot(lefts[a][0] - rows[b]["x"], lefts[a][1] - rows[b]["y"])) <= limit else None  # noqa: E731, B023
+        offers = [o for a in range(200) for b in range(n) if (o := cost(a, b)) is not None]
+        crowd = tracking.Crowd(rows, list(range(n)))
+        streams = [crowd.around(x, y, limit, lambda b, a=a: cost(a, b), plus) for a, (x, y, plus) in enumerate(lefts)]
+        assert sorted(tracking.pair_off_near([], streams, lambda b: crowd)) == sorted(tracking.pair_off(offers))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -52,6 +54,79 @@ def pair_off(offers: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
+class Crowd:
+    """Rows of a frame in cells that hold a few of them each, looked through from a place outwards; rows that are taken leave."""
+
+    def __init__(self, rows: list[dict], members: list[int]):
+        members = [b for b in members if math.isfinite(rows[b]["x"]) and math.isfinite(rows[b]["y"])]
+        xs, ys = [rows[b]["x"] for b in members] or [0.0], [rows[b]["y"] for b in members] or [0.0]
+        wide, high, n = max(xs) - min(xs), max(ys) - min(ys), max(len(members), 1)
+        self.size = max(math.sqrt(wide * high * 2 / n), max(wide, high) * 2 / n) or 1.0
+        self.cells: dict[tuple[int, int], set[int]] = defaultdict(set)
+        self.at = {b: (math.floor(rows[b]["x"] / self.size), math.floor(rows[b]["y"] / self.size)) for b in members}
+        for b, c in self.at.items():
+            self.cells[c].add(b)
+
+    def take(self, b: int) -> None:
+        cell = self.cells[self.at[b]]
+        cell.discard(b)
+        if not cell:
+            del self.cells[self.at[b]]
+
+    def around(self, x: float, y: float, limit: float, cost: Callable[[int], tuple | None], plus: float = 0.0) -> Iterator[tuple]:
+        """cost(b) of the rows within the limit, least first; it is their distance and plus at least, None where a row can't be taken."""
+        if not (math.isfinite(x) and math.isfinite(y)):
+            return
+        i, j, ring, found = math.floor(x / self.size), math.floor(y / self.size), 0, []
+        while True:
+            whole = (2 * ring + 1) ** 2 > len(self.cells)
+            if whole:
+                cells = [c for c in self.cells if max(abs(c[0] - i), abs(c[1] - j)) >= ring]
+            else:
+                edge = range(-ring, ring + 1)
+                cells = {(i + a, j + b) for a in edge for b in ((-ring, ring) if abs(a) < ring else edge)}
+            for c in cells:
+                for b in self.cells.get(c, ()):
+                    if (at := cost(b)) is not None:
+                        heapq.heappush(found, at)
+            bound = math.inf if whole or ring * self.size > limit else ring * self.size * (1 - 1e-9) + plus
+            while found and found[0][0] < bound:
+                yield heapq.heappop(found)
+            if bound == math.inf:
+                return
+            ring += 1
+
+
+def pair_off_near(offers: list[tuple], streams: list[Iterator[tuple]], crowd_of: Callable[[int], Crowd]) -> list[tuple[int, int]]:
+    """What pair_off gives for offers and all that the streams have, each of which has the offers of one left in order: they are drawn as they are needed."""
+    lefts, rights, out = set(), set(), []
+    heap = [(*o, None) for o in offers]
+    draw = lambda s: next((o for o in streams[s] if o[3] not in rights), None)
+    heap += [(*o, s) for s in range(len(streams)) if (o := draw(s)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, _, a, b, s = heapq.heappop(heap)
+        if a in lefts:
+            continue
+        if b not in rights:
+            lefts.add(a)
+            rights.add(b)
+            out.append((a, b))
+            if b in crowd_of(b).at:
+                crowd_of(b).take(b)
+        elif s is not None and (o := draw(s)) is not None:
+            heapq.heappush(heap, (*o, s))
+    return out
+
+
+def _crowds(rows: list[dict], by: Callable[[dict], tuple]) -> tuple[dict[tuple, Crowd], Callable[[int], Crowd]]:
+    groups = defaultdict(list)
+    for b, r in enumerate(rows):
+        groups[by(r)].append(b)
+    crowds = {k: Crowd(rows, members) for k, members in groups.items()}
+    return crowds, lambda b: crowds[by(rows[b])]
+
+
 def _cost(seen: Seen, row: dict, ident: object, frame: int) -> float | None:
     """What it costs to take an object for one seen before: own id first, then place, then where one was lost; None if it can't be."""
     if row["kind"] != seen.kind:
@@ -78,8 +153,27 @@ def link_objects(objects: DataFrame, key: str) -> DataFrame:
         frame, times = rows[0]["f"], Counter(r["ident"] for r in rows)
         live = [s for s in state if frame - s.frame <= MAX_MISSED]
         idents = [r["ident"] if times[r["ident"]] == 1 else None for r in rows]
-        offers = [(c, (s.track, r["id"]), a, b) for a, s in enumerate(live) for b, r in enumerate(rows) if (c := _cost(s, r, idents[b], frame)) is not None]
-        before = {b: a for a, b in pair_off(offers)}
+        crowds, crowd_of = _crowds(rows, lambda r: (r["kind"], r["t"]))
+        same = defaultdict(list)
+        for b, ident in enumerate(idents):
+            if ident is not None:
+                same[ident].append(b)
+
+        def offer(a: int, b: int) -> tuple | None:
+            c = _cost(live[a], rows[b], idents[b], frame)
+            return None if c is None else (c, (live[a].track, rows[b]["id"]), a, b)
+
+        offers, streams = [], []
+        for a, s in enumerate(live):
+            named = set(same.get(s.ident, ())) if s.ident is not None else set()
+            offers += [o for b in named if (o := offer(a, b)) is not None]
+            rest = lambda b, a=a, named=named: None if b in named else offer(a, b)
+            for (kind, t), crowd in crowds.items():
+                if kind == s.kind and s.frame == frame - 1:
+                    streams.append(crowd.around(*s.expected(t), GATE[kind] + 0.5 * math.hypot(s.vx, s.vy) * (t - s.t), rest))
+                elif kind == s.kind:
+                    streams.append(crowd.around(s.x, s.y, REACQUIRE_RADIUS, rest, REACQUIRE_RADIUS))
+        before = {b: a for a, b in pair_off_near(offers, streams, crowd_of)}
         found = []
         for b, r in enumerate(rows):
             now = Seen(r["id"], frame, r["t"], r["x"], r["y"], r["kind"], idents[b])
@@ -105,13 +199,15 @@ def follow_detections(detections: DataFrame, key: str, gate: float = DETECTION_G
     def step(state: list[Seen], rows: list[dict]) -> tuple[list[Seen], list[dict]]:
         frame = rows[0]["f"]
         live = [s for s in state if frame - s.frame <= misses + 1]
-        offers = []
-        for a, s in enumerate(live):
-            for b, r in enumerate(rows):
-                ex, ey = s.expected(r["t"])
-                if (off := math.hypot(ex - r["x"], ey - r["y"])) < gate:
-                    offers.append((off, (s.track, r["id"]), a, b))
-        before, found = {b: a for a, b in pair_off(offers)}, []
+        crowds, crowd_of = _crowds(rows, lambda r: (r["t"],))
+
+        def offer(a: int, b: int) -> tuple | None:
+            (ex, ey), r = live[a].expected(rows[b]["t"]), rows[b]
+            off = math.hypot(ex - r["x"], ey - r["y"])
+            return (off, (live[a].track, r["id"]), a, b) if off < gate else None
+
+        streams = [crowd.around(*s.expected(t), gate, lambda b, a=a: offer(a, b)) for a, s in enumerate(live) for (t,), crowd in crowds.items()]
+        before, found = {b: a for a, b in pair_off_near([], streams, crowd_of)}, []
         for b, r in enumerate(rows):
             now = Seen(r["id"], frame, r["t"], r["x"], r["y"])
             if b in before:
