@@ -187,3 +187,16 @@ def test_odd_rows(docs, empty):
     kept = omh.deduplicated(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
     assert omh.near_duplicates(empty).count() == 0
+
+
+def test_copies_just_over_the_limit_are_told_apart_by_their_words(spark):
+    """Copies of a form with own edits: of a key's pairs those that are similar all stay, most others do not go to alignment."""
+    draw = random.Random(21)
+    form = [draw.randrange(60) for _ in range(200)]
+    rows = [edited(draw, form, 0.13) for _ in range(40)] + [edited(draw, form, 0.04, "all") for _ in range(10)]
+    texts = spark.createDataFrame([(k, " ".join(map(str, x))) for k, x in enumerate(rows)], "node long, text string")
+    members = spark.createDataFrame([(1, k, len(x), k, True) for k, x in enumerate(rows)], "key long, node long, words int, root long, open boolean")
+    every = {tuple(r) for r in omh.across(members, "key").collect()}
+    left = {tuple(r) for r in omh.across(members.join(omh.bags(members, texts), "node"), "key").collect()}
+    similar = {(a, b) for a, b in every if omh.similarity(*(" ".join(map(str, rows[k])) for k in (a, b)))}
+    assert len(every) == 50 * 49 / 2 and similar <= left <= every and len(similar) > 40 and len(left) < len(every) / 2

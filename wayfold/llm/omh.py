@@ -20,7 +20,10 @@ Texts made from one form may have a key in common without being similar.  Where
 make over `CROWDED` pairs, its members go another way, which loses no pair: texts of a similarity of 0.8 share all but a fifth
 of their words, occurrence numbers and all, so in any order of words they share one of the first fifth (and one more) of each.
 Rare words come first in that order, so the form's own words are the last to be looked at, and what the texts of a form have for
-themselves decides; a word that a text repeats is as frequent as all its occurrences.  Texts of a form that have few words of their own, and these from few words, still meet often.
+themselves decides; a word that a text repeats is as frequent as all its occurrences.  Texts of a form that have few words of their own,
+and these from few words, still meet often: where they would meet more often than by keys they are met by keys, and of the pairs of a key
+only those go on that have enough words in common, as an edit changes one word.  Copies whose distance is just over the limit are told apart
+by that in most cases, though each must still be held against each: there the work of a key grows as its open members times its members.
 
 Defined cases: rows with null text or a null id are each a class of their own; texts without words are near to their exact copies
 only; exact copies are one text; the least id of a class names it; an id with several texts may be in several classes, and rows
@@ -226,10 +229,21 @@ def near(x: Column, y: Column) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * SIMILAR
 
 
+def alike(x: Column, y: Column, words_x: Column, words_y: Column) -> Column:
+    """Bags of words of which no more differ than an edit similarity of SIMILAR allows: an edit takes one word from a bag and puts one into it."""
+    return F.greatest(F.size(x), F.size(y)) - F.size(F.array_intersect(x, y)) <= F.greatest(words_x, words_y) * (1 - SIMILAR) + 1e-6
+
+
 def across(members: DataFrame, by: str) -> DataFrame:
-    """Pairs (a, b) of members (by, node, words, root, open) with the same `by` in different components, one of them open."""
-    side = lambda some, x: some.select(by, F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("words", "root", "open")))
+    """Pairs (a, b) of members (by, node, words, root, open) with the same `by` in different components, one of them open.
+
+    Where members have a bag, those go whose bags are too different for similar texts.
+    """
+    bag = [c for c in ("bag",) if c in members.columns]
+    side = lambda some, x: some.select(by, F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("words", "root", "open", *bag)))
     both = side(members.filter("open"), "a").join(side(members, "b"), by).filter("root_a <> root_b and (a < b or not open_b)").filter(near(F.col("words_a"), F.col("words_b")))
+    if bag:
+        both = both.filter(alike(F.col("bag_a"), F.col("bag_b"), F.col("words_a"), F.col("words_b")))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -274,6 +288,18 @@ def by_rare_words(members: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(known.join(several, "word"), "rare-shared")
 
 
+def bags(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, bag) of the members' texts: their words with occurrence numbers, as a set of numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            sets = [np.unique(labelled(word_ids(t)).astype(np.uint32).view(np.int32)) for t in batch.column(1).to_pylist()]
+            lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "bag"])
+
+    return materialize(members.select("node").join(texts, "node").select("node", "text").mapInArrow(run, "node long, bag array<int>"), "bags")
+
+
 def stars(shared: DataFrame, number: int) -> DataFrame:
     """Pairs (a, b) of one member of each word, another one for each number, and those of the word in other components."""
     order = F.xxhash64("node", F.lit(number))
@@ -292,13 +318,15 @@ def crowded_links(placed: DataFrame, texts: DataFrame, roots: DataFrame) -> tupl
 
     Members of a word are compared with one of them, then with another, so that what belongs together is soon in one component;
     then members that are still in different ones are compared with each other.  Where members meet more often by their words than
-    by their keys, which texts do that have few rare words, they are compared by keys; either way meets all pairs with a key in common.
+    by their keys, which texts do that have few rare words, they are compared by keys, if their words are alike; either way meets all
+    pairs with a key in common that may be similar.
     """
     placed = materialize(placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "crowded")
     crowd = placed.groupBy("node").agg(F.first("words").alias("words"), F.first("root").alias("root"), F.bool_or("open").alias("open"))
-    shared, links = by_rare_words(materialize(crowd, "crowd"), texts), None
+    crowd = materialize(crowd, "crowd")
+    shared, links = by_rare_words(crowd, texts), None
     if meetings(shared, "word") > meetings(placed, "key"):
-        links = verified(across(placed, "key").distinct(), texts, "crowded").select("a", "b")
+        links = verified(across(placed.join(bags(crowd, texts), "node"), "key").distinct(), texts, "crowded").select("a", "b")
         return links, merged(roots, links)
     for number in range(STARS + 1):
         pairs = stars(shared, number) if number < STARS else across(shared, "word").distinct()
