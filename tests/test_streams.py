@@ -1,5 +1,8 @@
 """Conversion of files as they come: broken ones stop nothing, nothing is done twice."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.streaming import streams
@@ -69,3 +72,26 @@ def test_sources_that_grow_are_mixed_by_their_weights(spark, tmp_path):
 
 def test_nothing_published_yet(spark, tmp_path):
     assert streams.published(spark, str(tmp_path / "none"), OUT).count() == 0
+
+
+@pytest.mark.parametrize("groups", [1, 5])
+def test_recordings_of_one_group_are_cut_apart(spark, tmp_path, groups):
+    """Open episodes of many recordings, one of them null, are followed together over batches and come out as if each were alone."""
+    draw = random.Random(3)
+    rows, want = [], []
+    for rec in [None, *range(20)]:
+        t = 1000.0
+        for _ in range(4):
+            n = draw.randint(1, 6)
+            times = [t + k for k in range(n)]
+            rows += [(rec, len(rows) + k, s, 3.0 * k, 4.0 * k) for k, s in enumerate(times)]
+            want.append((-1 if rec is None else rec, times[0], times[-1], n, 5.0 * (n - 1)))
+            t = times[-1] + draw.randint(11, 30)
+    for k in range(3):
+        some = [r for r in rows if min(2, int((r[2] - 1000) // 30)) == k]
+        spark.createDataFrame(some, "rec long, event_id long, t double, x double, y double").selectExpr("rec", "event_id", "timestamp_micros(cast(t * 1e6 as bigint)) as ts", "x", "y").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.sql("select 99L as rec, -1L as event_id, timestamp_seconds(100000) as ts, 0d as x, 0d as y").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = streams.live_episodes(streams.pose_stream(spark, str(tmp_path / "in")), 100.0, 10.0, "1 second", groups)
+    out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).na.fill({"rec": -1}).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)

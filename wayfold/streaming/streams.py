@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.scans import running
 
 POSES = "rec long, event_id long, ts timestamp, x double, y double"
+#: Groups of recordings that are followed together.
+GROUPS = 4096
 
 
 def pose_stream(spark: SparkSession, folder: str, schema: str = POSES, files_per_batch: int = 1) -> DataFrame:
@@ -26,41 +29,57 @@ def sessions(poses: DataFrame, gap: str, late: str) -> DataFrame:
     return poses.withWatermark("ts", late).groupBy("rec", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max")).select("rec", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "x_min", "x_max")
 
 
-def live_episodes(poses: DataFrame, max_step: float, max_gap_s: float, late: str) -> DataFrame:
+def live_episodes(poses: DataFrame, max_step: float, max_gap_s: float, late: str, groups: int = GROUPS) -> DataFrame:
     """Episodes that are over: cut at jumps and gaps as the batch operator does, kept per recording between batches.
 
     Rows of a batch are put in order of time; a row older than the last one seen of its recording is left out.  The state
-    is one open episode a recording; it comes out once the watermark is past the gap after its last row.
+    is one open episode a recording; it comes out once the watermark is past the gap after its last row.  Recordings are dealt to
+    so many groups, whose open episodes are kept and gone through together, as a call a recording costs more than its rows.
     """
-    columns = ["rec", "t0", "t1", "n", "length"]
+    held = {"rec": np.int64, "known": bool, "t0": float, "t1": float, "x": float, "y": float, "n": np.int64, "length": float}
+    columns = ["t0", "t1", "n", "length"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            t0, t1, _, _, n, length = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], t0, t1, n, length)], columns=columns)
-            return
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])[["t", "x", "y"]]
-        rows["n"], rows["length"] = 1, 0.0
-        if (now := state.getOption) is not None:
-            rows = rows[rows["t"] >= now[1]]
-            rows = pd.concat([pd.DataFrame([(now[1], now[2], now[3], now[4], now[5])], columns=rows.columns), rows])
-        if rows.empty:
-            return
-        step, gap = ((rows["x"].diff() ** 2 + rows["y"].diff() ** 2) ** 0.5).fillna(0.0), rows["t"].diff().fillna(0.0)
-        cut = (step > max_step) | (gap > max_gap_s)
-        rows["hop"] = step.where(~cut, 0.0) + rows["length"]
-        found = rows.groupby(cut.cumsum().to_numpy()).agg(t0=("t", "first"), t1=("t", "last"), x=("x", "last"), y=("y", "last"), n=("n", "sum"), length=("hop", "sum"))
-        if now is not None:
-            found.loc[0, "t0"] = now[0]
-        t0, t1, x, y, n, length = found.iloc[-1]
-        state.update((t0, t1, x, y, int(n), length))
-        state.setTimeoutTimestamp(max(int((t1 + max_gap_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        if len(found) > 1:
-            yield found.iloc[:-1].assign(rec=key[0])[columns]
+        now = state.getOption or [[] for _ in held]
+        old = {c: np.array([np.nan if v is None else v for v in now[k]], kind) for k, (c, kind) in enumerate(held.items())}
+        parts = [] if state.hasTimedOut else list(batches)
+        new = {c: np.concatenate([np.empty(0), *(p[c].to_numpy(float) for p in parts)]) for c in ("t", "x", "y")}
+        count = [len(old["t1"]), len(new["t"])]
+        rec, known = (np.concatenate([old[c], *(p[c].to_numpy(held[c]) for p in parts)]) for c in ("rec", "known"))
+        t, x, y = (np.concatenate([o, new[c]]) for c, o in (("t", old["t1"]), ("x", old["x"]), ("y", old["y"])))
+        ids = np.concatenate([np.zeros(count[0], np.int64), *(p["event_id"].to_numpy() for p in parts)])
+        fresh = np.repeat([False, True], count)
+        t0, n, hop = np.concatenate([old["t0"], new["t"]]), np.concatenate([old["n"], np.ones(count[1], np.int64)]), np.concatenate([old["length"], np.zeros(count[1])])
+        order = np.lexsort((ids, t, fresh, rec, known))  # what is open of a recording comes before its rows
+        rec, known, t, x, y, fresh, t0, n, hop = (v[order] for v in (rec, known, t, x, y, fresh, t0, n, hop))
+        starts = np.concatenate([[True], (rec[1:] != rec[:-1]) | (known[1:] != known[:-1])])[: len(t)]
+        head = np.maximum.accumulate(np.where(starts, np.arange(len(t)), 0))
+        kept = ~fresh | fresh[head] | (t >= t[head])
+        rec, known, t, x, y, t0, n, hop, starts = (v[kept] for v in (rec, known, t, x, y, t0, n, hop, starts))
+        if len(t):
+            step, gap = np.hypot(np.diff(x), np.diff(y)), np.diff(t)
+            cut = np.concatenate([[False], (step > max_step) | (gap > max_gap_s)]) | starts
+            hop = hop + np.where(cut, 0.0, np.nan_to_num(np.concatenate([[0.0], step])))
+            first = np.flatnonzero(cut)
+            last = np.append(first[1:], len(t)) - 1
+            found = {"rec": rec[first], "known": known[first], "t0": t0[first], "t1": t[last], "x": x[last], "y": y[last], "n": np.add.reduceat(n, first), "length": np.add.reduceat(hop, first)}
+            mark = state.getCurrentWatermarkMs()
+            due = np.floor((found["t1"] + max_gap_s) * 1000)
+            is_open = np.append(starts[first[1:]], True) & ~(due < mark)
+            over = ~is_open
+            if is_open.any():
+                state.update(tuple(found[c][is_open].tolist() for c in held))
+                soonest = np.nanmin(np.append(due[is_open], np.inf))
+                state.setTimeoutTimestamp(max(int(soonest) if np.isfinite(soonest) else 0, mark + 1))
+            elif state.exists:
+                state.remove()
+            if over.any():
+                yield pd.DataFrame({"rec": pd.arrays.IntegerArray(found["rec"][over], ~found["known"][over]), **{c: found[c][over] for c in columns}})
 
     rows = poses.withWatermark("ts", late).withColumn("t", F.unix_micros("ts") / 1e6)
-    return rows.groupBy("rec").applyInPandasWithState(run, "rec long, t0 double, t1 double, n long, length double", "t0 double, t1 double, x double, y double, n long, length double", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumns({"g": F.pmod(F.xxhash64("rec"), F.lit(groups)), "known": F.col("rec").isNotNull(), "rec": F.coalesce("rec", F.lit(0))})
+    kept = "rec array<long>, known array<boolean>, t0 array<double>, t1 array<double>, x array<double>, y array<double>, n array<long>, length array<double>"
+    return rows.groupBy("g").applyInPandasWithState(run, "rec long, t0 double, t1 double, n long, length double", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rolling_best(log: DataFrame) -> DataFrame:
