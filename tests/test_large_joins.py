@@ -3,9 +3,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators import joins
+from wayfold.operators import collision, joins
 
 
 def plan(df):
@@ -46,3 +47,16 @@ def test_windows_are_not_sent_to_all_tasks(spark):
     frames = spark.range(50).select(F.lit(1).alias("rec"), F.col("id").alias("f"), F.rand(1).alias("x"))
     found = joins.windows_around(frames, frames, ["rec"], "f", 10, 10)
     assert "BroadcastHashJoin" not in plan(found) and found.count() == 50 * 21 - 2 * sum(range(1, 11))
+
+
+@pytest.mark.parametrize("contacts", ["static_contacts", "dynamic_contacts"])
+def test_sub_steps_are_made_after_the_join(spark, contacts):
+    """What is shuffled and sorted for contacts is a row a step: nothing is exploded below a join."""
+    path = spark.createDataFrame([(1, k, float(k), 0.0) for k in range(4)], "scenario long, step int, x double, y double")
+    kind = contacts == "static_contacts"
+    obs = spark.createDataFrame([(1, 7, k, 2.0 + 0.1 * k, 1.0, 0.5, 1.0, 0.6, 0.25, kind) for k in range(4)], "scenario long, track long, step int, x double, y double, heading double, length double, width double, reach double, is_stationary boolean")
+    found = getattr(collision, contacts)(path, obs, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Join" in plan and plan.rindex("Generate") < plan.index("Join")
+    assert sorted(r.sub for r in found.collect()) == list(range(1, 16))
+    assert sorted(r.sub for r in getattr(collision, contacts)(path, obs, 1).collect()) == [1, 2, 3]

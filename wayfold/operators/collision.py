@@ -18,13 +18,22 @@ RADIUS, DISC, OVERHEAD, LIDAR_LOW, LIDAR_HIGH, LIDAR_LEAST, MAP_RES = 0.25, 0.3,
 ROUNDING = 1e-9
 
 
+def segments(path: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows with the values of the next step as _value, where there is one right after them."""
+    w = Window.partitionBy(*keys).orderBy("step")
+    return path.withColumns({f"_{v}": F.lead(v).over(w) for v in (*values, "step")}).filter(F.col("_step") == F.col("step") + 1)
+
+
+def between(v: str, n_sub: int, angle: bool = False) -> Column:
+    """Value at the end of sub-step k of a segment, linear between its ends."""
+    way = F.col(f"_{v}") - F.col(v)
+    return F.when(F.col("k") == n_sub, F.col(f"_{v}")).otherwise(F.col(v) + (wrap(way) if angle else way) * F.col("k") / n_sub).alias(v)
+
+
 def densify(path: DataFrame, keys: list[str], n_sub: int, values: list[str], angles: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows at the ends of n_sub sub-steps of each step between neighbouring steps, linear between them; the first step itself is left out."""
-    w = Window.partitionBy(*keys).orderBy("step")
-    ahead = path.withColumns({f"_{v}": F.lead(v).over(w) for v in (*values, "step")}).filter(F.col("_step") == F.col("step") + 1)
-    sub = ahead.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_sub))))
-    at = lambda v: F.when(F.col("k") == n_sub, F.col(f"_{v}")).otherwise(F.col(v) + (wrap(F.col(f"_{v}") - F.col(v)) if v in angles else F.col(f"_{v}") - F.col(v)) * F.col("k") / n_sub).alias(v)
-    return sub.select(*keys, *carry, (F.col("step") * n_sub + F.col("k")).alias("sub"), *map(at, values))
+    sub = segments(path, keys, values).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_sub))))
+    return sub.select(*keys, *carry, (F.col("step") * n_sub + F.col("k")).alias("sub"), *(between(v, n_sub, v in angles) for v in values))
 
 
 def reachable(obs: DataFrame, with_map: bool) -> DataFrame:
@@ -49,12 +58,19 @@ def static_contacts(path: DataFrame, obs: DataFrame, n_sub: int) -> DataFrame:
     frozen = obs.filter("is_stationary and step >= 0").groupBy("scenario", "track").agg(F.min_by(F.struct("x", "y", "heading", "length", "width", "reach"), "step").alias("b")).select("scenario", "track", "b.*")
     start = path.filter("step = 0").select("scenario", F.col("x").alias("px"), F.col("y").alias("py"))
     clear = frozen.join(start, "scenario").withColumn("start_gap", _gap()).filter("start_gap > 0").drop("px", "py", "start_gap")
-    dense = densify(path, ["scenario"], n_sub, ["x", "y"]).select("scenario", "sub", F.col("x").alias("px"), F.col("y").alias("py"))
-    return dense.join(clear, "scenario").select("scenario", "track", "sub", _gap().alias("gap"))
+    #: sub-steps are made after the join, so that what is shuffled and sorted is a row a step
+    met = _path_segments(path).join(clear, "scenario").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_sub))))
+    at = met.select("scenario", "track", (F.col("step") * n_sub + F.col("k")).alias("sub"), *(between(v, n_sub) for v in ("px", "py")), *clear.columns[2:])
+    return at.select("scenario", "track", "sub", _gap().alias("gap"))
+
+
+def _path_segments(path: DataFrame) -> DataFrame:
+    named = path.select("scenario", "step", F.col("x").alias("px"), F.col("y").alias("py"))
+    return segments(named, ["scenario"], ["px", "py"]).select("scenario", "step", "px", "py", "_px", "_py")
 
 
 def dynamic_contacts(path: DataFrame, obs: DataFrame, n_sub: int, slack: float = 0.0) -> DataFrame:
-    """(scenario, track, sub, gap, px, py, ax, ay) for moving tracks between valid steps: an equi-join on the sub-step.
+    """(scenario, track, sub, gap, px, py, ax, ay) for moving tracks between valid steps: an equi-join on the step, of which sub-steps are made after.
 
     Tracks whose gap is slack at most at the start are left out.
     """
@@ -62,12 +78,14 @@ def dynamic_contacts(path: DataFrame, obs: DataFrame, n_sub: int, slack: float =
     start = path.filter("step = 0").select("scenario", F.col("x").alias("px"), F.col("y").alias("py"))
     overlap = moving.filter("step = 0").join(start, "scenario").filter(_gap() <= slack).select("scenario", "track")
     moving = moving.join(overlap, ["scenario", "track"], "left_anti")
-    dense = densify(moving, ["scenario", "track"], n_sub, ["x", "y", "heading"], ("heading",), ("length", "width", "reach"))
+    size, at = ["length", "width", "reach"], ["x", "y", "heading"]
+    inner = segments(moving, ["scenario", "track"], at).select("scenario", "track", "step", *size, *at, *(f"_{v}" for v in at), F.lit(1).alias("low"), F.lit(n_sub - 1).alias("high"))
     #: a sub-step that falls on a step needs only that step
-    on_step = moving.filter("step > 0").select("scenario", "track", "length", "width", "reach", (F.col("step") * n_sub).alias("sub"), "x", "y", "heading")
-    both = dense.filter(F.col("sub") % n_sub != 0).unionByName(on_step)
-    at = densify(path, ["scenario"], n_sub, ["x", "y"]).select("scenario", "sub", F.col("x").alias("px"), F.col("y").alias("py"))
-    return both.join(at, ["scenario", "sub"]).select("scenario", "track", "sub", _gap().alias("gap"), "px", "py", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    on_step = moving.filter("step > 0").select("scenario", "track", (F.col("step") - 1).alias("step"), *size, *at, *(F.col(v).alias(f"_{v}") for v in at), F.lit(n_sub).alias("low"), F.lit(n_sub).alias("high"))
+    both = inner.filter("low <= high").unionByName(on_step)
+    met = both.join(_path_segments(path), ["scenario", "step"]).withColumn("k", F.explode(F.sequence("low", "high")))
+    dense = met.select("scenario", "track", (F.col("step") * n_sub + F.col("k")).alias("sub"), *size, *(between(v, n_sub, v == "heading") for v in (*at, "px", "py")))
+    return dense.select("scenario", "track", "sub", _gap().alias("gap"), "px", "py", F.col("x").alias("ax"), F.col("y").alias("ay"))
 
 
 def map_contacts(path: DataFrame, occ: DataFrame, n_sub: int, size: int = 400, radius: float = RADIUS, most: float = 2.0) -> DataFrame:
