@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators import collision, joins
+from wayfold.operators import collision, joins, selection
 
 
 def plan(df):
@@ -60,3 +60,12 @@ def test_sub_steps_are_made_after_the_join(spark, contacts):
     assert "Generate" in plan and "Join" in plan and plan.rindex("Generate") < plan.index("Join")
     assert sorted(r.sub for r in found.collect()) == list(range(1, 16))
     assert sorted(r.sub for r in getattr(collision, contacts)(path, obs, 1).collect()) == [1, 2, 3]
+
+
+def test_candidates_are_written_once_however_many_rounds(spark, monkeypatch):
+    """Rounds of a coverage selection write what they took, not what is left."""
+    rows = [(k, k % 2, k % 7, k % 50, float(k), [f"a{k % 5}", f"b{k % 3}"]) for k in range(1000)]
+    frame = spark.createDataFrame(rows, "id long, stratum long, source long, recording long, t double, tags array<string>")
+    written, real = [], selection.cut_lineage
+    monkeypatch.setattr(selection, "cut_lineage", lambda df, name: (out := real(df, name), written.append(out.count()))[0])
+    assert selection.cover(frame, 4, 2, 4, 10.0).count() == 8 and sum(written) < 1200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,26 +139,28 @@ def stratified(df: DataFrame, source: str, klass: str, key: str, total: int, see
 def cover(candidates: DataFrame, per_stratum: int, recording_cap: int, source_cap: int, spacing: float) -> DataFrame:
     """Coverage-first selection: in rounds, each stratum takes the candidate whose tags are rarest among those taken.
 
-    candidates: (id, stratum, source, recording, t, tags). A round scores what is left with the counts of tags taken so
-    far and takes one row for each stratum, so there are per_stratum rounds at most.
+    candidates: (id, stratum, source, recording, t, tags). A round scores each set of tags with the counts of tags taken so
+    far and takes one row for each stratum, so there are per_stratum rounds at most.  What was taken is small and meets the
+    candidates where they lie; of these only the least id of each set of tags that is left is shuffled.
     """
-    left = cut_lineage(candidates, "candidates")
-    taken = left.limit(0).withColumn("round", F.lit(0))
+    all_ = cut_lineage(candidates, "candidates")
+    sets = cut_lineage(all_.select("stratum", "tags").distinct(), "sets")
+    taken = all_.limit(0).withColumn("round", F.lit(0))
+    same = lambda x, y, *names: functools.reduce(lambda p, q: p & q, (x[n].eqNullSafe(y[n]) for n in names))
     for k in range(per_stratum):
         have = taken.select("stratum", F.explode("tags").alias("tag")).groupBy("stratum", "tag").agg(F.count("*").alias("c"))
-        gain = left.select("id", "stratum", F.explode("tags").alias("tag")).join(have, ["stratum", "tag"], "left").groupBy("id").agg(F.sum(1 / (1 + F.coalesce("c", F.lit(0)))).alias("gain"))
-        recordings = taken.groupBy("stratum", "recording").agg(F.count("*").alias("nr"))
+        gain = sets.withColumn("tag", F.explode("tags")).join(have, ["stratum", "tag"], "left").groupBy("stratum", "tags").agg(F.round(F.sum(1 / (1 + F.coalesce("c", F.lit(0)))), 9).alias("gain"))
+        recordings = taken.groupBy("stratum", "recording").agg(F.count("*").alias("nr"), F.collect_list("t").alias("near"))  # recording_cap rows at most
         sources = taken.groupBy("stratum", "source").agg(F.count("*").alias("ns"))
-        near = taken.select("stratum", "recording", F.col("t").alias("t1"))
-        usable = left.join(recordings, ["stratum", "recording"], "left").join(sources, ["stratum", "source"], "left").filter((F.coalesce("nr", F.lit(0)) < recording_cap) & (F.coalesce("ns", F.lit(0)) < source_cap))
-        close = usable.join(near, ["stratum", "recording"]).filter(F.abs(F.col("t") - F.col("t1")) < spacing).select("id").distinct()
-        scored = usable.join(close, "id", "left_anti").join(gain, "id")
-        best = scored.groupBy("stratum").agg(F.min_by("id", F.struct(-F.round("gain", 9), "id")).alias("id"))
-        new = left.join(best.select("id"), "id", "left_semi").withColumn("round", F.lit(k + 1))
-        taken = cut_lineage(taken.unionByName(new), "taken")
-        if taken.filter(F.col("round") == k + 1).isEmpty():
+        close = F.coalesce(F.exists("near", lambda t: F.abs(F.col("t") - t) < spacing), F.lit(False))
+        usable = all_.join(taken.select("id"), "id", "left_anti").join(recordings, ["stratum", "recording"], "left").join(sources, ["stratum", "source"], "left")
+        usable = usable.filter((F.coalesce("nr", F.lit(0)) < recording_cap) & (F.coalesce("ns", F.lit(0)) < source_cap) & ~close)
+        least = usable.groupBy("stratum", "tags").agg(F.min("id").alias("id"))
+        scored = least.join(gain, same(least, gain, "stratum", "tags")).select(least["stratum"], "id", "gain")
+        best = cut_lineage(scored.groupBy("stratum").agg(F.min_by("id", F.struct(-F.col("gain"), "id")).alias("id")), "best")
+        if best.isEmpty():
             break
-        left = cut_lineage(left.join(taken.select("id"), "id", "left_anti"), "left")
+        taken = cut_lineage(taken.unionByName(all_.join(best.select("id"), "id", "left_semi").withColumn("round", F.lit(k + 1))), "taken")  # a row a stratum
     return taken
 
 
