@@ -166,6 +166,24 @@ def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) ->
     return _spread(look).join(placed, [*keys, "_i", "_j"]).drop("_i", "_j").withColumn("dist", F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy"))).filter(F.col("dist") <= radius)
 
 
+def close_pairs(rows: DataFrame, keys: list[str], id_col: str, radius: float) -> DataFrame:
+    """(keys, a, b, dist): ids a < b of rows (keys, id, x, y) at most radius apart.
+
+    A pair is met once: a row looks into its own cell and four of the eight around it, the others look into its.  What is too far by
+    its squares is left before the distance is taken; cells are a trifle wider than the radius, for pairs that are in reach by rounding.
+    """
+    size = radius * (1 + 1e-9)
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    at = [F.floor(F.col(c) / size) for c in ("x", "y")]
+    b = rows.select(*keys, at[0].alias("_i"), at[1].alias("_j"), F.col(id_col).alias("_b"), F.col("x").alias("_qx"), F.col("y").alias("_qy"))
+    a = rows.select(*keys, F.col(id_col).alias("_a"), F.col("x").alias("_px"), F.col("y").alias("_py"), at[0].alias("_u"), at[1].alias("_v"), F.explode(cells).alias("_c"))
+    a = a.select(*keys, F.try_add("_u", "_c.i").alias("_i"), F.try_add("_v", "_c.j").alias("_j"), "_a", "_px", "_py", ((F.col("_c.i") != 0) | (F.col("_c.j") != 0)).alias("_away"))
+    dx, dy = F.col("_px") - F.col("_qx"), F.col("_py") - F.col("_qy")
+    once = (F.col("_a") < F.col("_b")) | (F.col("_away") & (F.col("_a") > F.col("_b")))
+    near = _spread(a).join(b, [*keys, "_i", "_j"]).filter(once & (dx * dx + dy * dy <= radius * radius * (1 + 1e-9)) & (F.hypot(dx, dy) <= radius))
+    return near.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), F.hypot(dx, dy).alias("dist"))
+
+
 def nearest(rows: DataFrame, others: DataFrame, keys: list[str], limit: float, levels: int) -> DataFrame:
     """Rows (keys, id, x, y, hit) with hit, the (d, id) of the nearest of others within the limit, where it is null; the lesser id on ties.
 

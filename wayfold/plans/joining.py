@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.geom import rounded
 from ..operators import joins as J
 from ..operators.metrics import resample
 from ..sources.tables import poses, table
@@ -148,10 +149,8 @@ def points_outside(spark, sf_dir):
 @query("""WITH {POSE}, d AS (SELECT *, CAST(floor(t / 3600) AS BIGINT) AS hour FROM pose) SELECT a.event_id AS a, b.event_id AS b, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 6) AS dist FROM d a JOIN d b ON a.hour = b.hour AND a.event_id < b.event_id WHERE sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 12""")
 def near_pairs(spark, sf_dir):
     """Events of one hour that lie close to each other."""
-    rows = poses(spark, sf_dir).withColumn("hour", F.floor(F.col("t") / 3600))
-    a = rows.select("hour", F.col("event_id").alias("a"), F.col("x").alias("px"), F.col("y").alias("py"))
-    b = rows.select("hour", F.col("event_id").alias("b"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    return J.within_radius(a, b, ["hour"], 12.0).filter("a < b").select("a", "b", F.round("dist", 6).alias("dist"))
+    rows = poses(spark, sf_dir).select(F.floor(F.col("t") / 3600).alias("hour"), "event_id", "x", "y")
+    return J.close_pairs(rows, ["hour"], "event_id", 12.0).select("a", "b", rounded(F.col("dist"), 6).alias("dist"))
 
 
 LINK_SQL = """{POSE}, d AS (SELECT CAST(floor(t / 86400) AS BIGINT) AS f, rec % 3 AS g, event_id AS id, x, y FROM pose),
