@@ -69,3 +69,22 @@ def test_candidates_are_written_once_however_many_rounds(spark, monkeypatch):
     written, real = [], selection.cut_lineage
     monkeypatch.setattr(selection, "cut_lineage", lambda df, name: (out := real(df, name), written.append(out.count()))[0])
     assert selection.cover(frame, 4, 2, 4, 10.0).count() == 8 and sum(written) < 1200
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_close_pairs_of_a_crowd(spark, block):
+    """All pairs once, whatever the blocks; rows without a place, or with none to reckon with, have none."""
+    pick = random.Random(5)
+    rows = [(k % 2, k, pick.randint(-40, 40) / 2, pick.randint(-20, 20) / 2) for k in range(300)] + [(0, 300 + k, 1.0, 1.0) for k in range(20)]
+    odd = [(0, 900, None, 1.0), (0, 901, 1.0, None), (0, 902, math.nan, 1.0), (0, 903, math.inf, 1.0), (0, 904, -math.inf, 1.0), (None, 905, 1.0, 1.0), (0, 906, 1e308, 1e308), (0, 907, 1e308, 1e308)]
+    found = joins.close_pairs(spark.createDataFrame(rows + odd, "g int, id long, x double, y double"), ["g"], "id", 2.5, block)
+    near = [(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and math.dist(a[2:], b[2:]) <= 2.5]
+    assert sorted((r.g, r.a, r.b) for r in found.collect()) == sorted([*near, (0, 906, 907)])
+
+
+def test_close_pairs_join_blocks_not_rows(spark):
+    """What is shuffled, sorted and buffered for the join is a block of rows; rows are taken out of it after the join."""
+    rows = spark.range(500).select(F.lit(1).alias("g"), "id", F.rand(1).alias("x"), F.rand(2).alias("y"))
+    found = joins.close_pairs(rows, ["g"], "id", 2.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("Join")].count("Generate inline") == 2 and found.count() == 500 * 499 // 2

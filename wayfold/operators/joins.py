@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import around, box_distance, wrap
+from .lineage import cut_lineage
 from .scans import running
 
 
@@ -166,21 +167,36 @@ def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) ->
     return _spread(look).join(placed, [*keys, "_i", "_j"]).drop("_i", "_j").withColumn("dist", F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy"))).filter(F.col("dist") <= radius)
 
 
-def close_pairs(rows: DataFrame, keys: list[str], id_col: str, radius: float) -> DataFrame:
+def close_pairs(rows: DataFrame, keys: list[str], id_col: str, radius: float, block: int = 256) -> DataFrame:
     """(keys, a, b, dist): ids a < b of rows (keys, id, x, y) at most radius apart.
 
-    A pair is met once: a row looks into its own cell and four of the eight around it, the others look into its.  What is too far by
-    its squares is left before the distance is taken; cells are a trifle wider than the radius, for pairs that are in reach by rounding.
+    Rows of a cell are put into blocks of at most `block` rows in order of x, and blocks are joined, not rows: a block looks into its
+    own cell and four of the eight around it, the others look into its, so that a pair is met once.  Blocks too far apart by their
+    bounds are left; of the others all rows are met, one after the other, and their squares tell who is near, and the distance
+    does only where these are about the radius's.  Cells are a trifle wider than the radius, for pairs that are in reach by rounding.
     """
-    size = radius * (1 + 1e-9)
+    size, reach = radius * (1 + 1e-9), radius * radius * (1 + 1e-9)
     cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
     at = [F.floor(F.col(c) / size) for c in ("x", "y")]
-    b = rows.select(*keys, at[0].alias("_i"), at[1].alias("_j"), F.col(id_col).alias("_b"), F.col("x").alias("_qx"), F.col("y").alias("_qy"))
-    a = rows.select(*keys, F.col(id_col).alias("_a"), F.col("x").alias("_px"), F.col("y").alias("_py"), at[0].alias("_u"), at[1].alias("_v"), F.explode(cells).alias("_c"))
-    a = a.select(*keys, F.try_add("_u", "_c.i").alias("_i"), F.try_add("_v", "_c.j").alias("_j"), "_a", "_px", "_py", ((F.col("_c.i") != 0) | (F.col("_c.j") != 0)).alias("_away"))
+    met = rows.filter(F.col("x") / 2 + F.col("y") / 2 < math.inf)  # neither null nor NaN, which are near to nothing
+    placed = met.select(*keys, at[0].alias("_i"), at[1].alias("_j"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(id_col).alias("_id"))
+    cell = [*keys, "_i", "_j"]
+    number = F.row_number().over(Window.partitionBy(*cell).orderBy("_x", "_y", "_id"))
+    ends = F.struct(*(f(c).alias(f"{c}{k}") for c in ("_x", "_y") for k, f in enumerate((F.min, F.max))))
+    blocks = placed.withColumn("_n", F.floor((number - 1) / block)).groupBy(*cell, "_n").agg(ends.alias("_ends"), F.collect_list(F.struct("_id", "_x", "_y")).alias("_rows"))
+    blocks = cut_lineage(blocks, "blocks")
+    b = blocks.select(*cell, F.col("_n").alias("_m"), F.col("_ends").alias("_q"), F.col("_rows").alias("_bs"))
+    a = blocks.select(*keys, F.col("_i").alias("_u"), F.col("_j").alias("_v"), "_n", F.col("_ends").alias("_p"), F.col("_rows").alias("_as"), F.explode(cells).alias("_c"))
+    a = a.select(*keys, F.try_add("_u", "_c.i").alias("_i"), F.try_add("_v", "_c.j").alias("_j"), "_n", "_p", "_as", ((F.col("_c.i") == 0) & (F.col("_c.j") == 0)).alias("_own"))
+    gap = [F.greatest(F.col(f"_q._{c}0") - F.col(f"_p._{c}1"), F.col(f"_p._{c}0") - F.col(f"_q._{c}1"), F.lit(0.0)) for c in "xy"]
+    once = ~F.col("_own") | (F.col("_n") <= F.col("_m"))
+    both = _spread(a).join(b, cell).filter(once & (gap[0] * gap[0] + gap[1] * gap[1] <= reach))
+    both = both.select(*keys, (F.col("_own") & (F.col("_n") == F.col("_m"))).alias("_same"), "_as", "_bs")
+    both = both.select(*keys, "_same", "_bs", F.inline("_as").alias("_a", "_px", "_py")).select(*keys, "_same", "_a", "_px", "_py", F.inline("_bs").alias("_b", "_qx", "_qy"))
     dx, dy = F.col("_px") - F.col("_qx"), F.col("_py") - F.col("_qy")
-    once = (F.col("_a") < F.col("_b")) | (F.col("_away") & (F.col("_a") > F.col("_b")))
-    near = _spread(a).join(b, [*keys, "_i", "_j"]).filter(once & (dx * dx + dy * dy <= radius * radius * (1 + 1e-9)) & (F.hypot(dx, dy) <= radius))
+    once = (F.col("_a") < F.col("_b")) | (~F.col("_same") & (F.col("_a") > F.col("_b")))
+    square = dx * dx + dy * dy
+    near = both.filter((square <= reach) & once & ((square <= radius * radius * (1 - 1e-9)) | (F.hypot(dx, dy) <= radius)))
     return near.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), F.hypot(dx, dy).alias("dist"))
 
 
