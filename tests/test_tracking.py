@@ -2,9 +2,12 @@
 
 import math
 import random
+import time
 from collections import Counter
 
-from wayfold.operators import grid, tracking
+import numpy as np
+
+from wayfold.operators import grid, pairing, tracking
 
 OBJECT = "seq int, f int, t double, id long, kind string, x double, y double, ident int"
 
@@ -106,3 +109,43 @@ def test_pairs_drawn_from_cells_are_those_of_all_offers():
         crowd = tracking.Crowd(rows, list(range(n)))
         streams = [crowd.around(x, y, limit, lambda b, a=a: cost(a, b), plus) for a, (x, y, plus) in enumerate(lefts)]
         assert sorted(tracking.pair_off_near([], streams, lambda b: crowd)) == sorted(tracking.pair_off(offers))
+
+
+def test_places_are_paired_as_all_offers_are():
+    """Crowds, equal places and costs, several classes, offers by name and reaches of their own, against all offers in order."""
+    pick = random.Random(9)
+    for n, m, grid_of, extent in ((0, 3, 1, 5.0), (3, 0, 1, 5.0), (60, 50, 4, 6.0), (400, 420, 8, 9.0), (300, 300, 1, 0.0), (200, 250, 64, 3.0)):
+        place = lambda: round(pick.random() * extent * grid_of) / grid_of  # noqa: E731, B023
+        lefts = [(place(), place(), pick.choice((0.0, 0.5, 2.0)), pick.randrange(2), pick.random() < 0.7) for _ in range(n)]
+        rights = [(place(), place(), pick.randrange(2)) for _ in range(m)]
+        named = [(pick.random() * 0.3, a, b) for a, b in zip(range(0, n, 7), range(0, m, 5))]
+        given = {(a, b): c for c, a, b in named}
+        offers = []
+        for a, (x, y, limit, kind, near) in enumerate(lefts):
+            for b, (u, v, other) in enumerate(rights):
+                d = math.hypot(x - u, y - v)
+                if (c := given.get((a, b), d + (not near) if kind == other and d <= limit else None)) is not None:
+                    offers.append((c, (a, b), a, b))
+        x, y, limit, kind, near = (np.array(c) for c in zip(*lefts)) if n else (np.zeros(0),) * 5
+        u, v, other = (np.array(c) for c in zip(*rights)) if m else (np.zeros(0),) * 3
+        kind, other, near = kind.astype(int), other.astype(int), near.astype(bool)
+        looks = [pairing.Looks(at := np.flatnonzero(near == ok), x[at], y[at], limit[at], kind[at], other, plus) for ok, plus in ((True, 0.0), (False, 1.0))]
+        found = pairing.pair_off_places([x, y, limit, kind, near], looks, u, v, [other], named)
+        assert sorted(tracking.pair_off(offers)) == sorted((int(a), b) for b, a in enumerate(found) if a >= 0)
+
+
+def test_a_crowded_frame_is_followed_in_bounded_time():
+    """Twenty thousand detections in reach of each other, and as many that fall together: all offers would be 400 million."""
+    draw = np.random.default_rng(3)
+    n, began = 20_000, time.monotonic()
+    for x in (draw.random(n) / 10, np.zeros(n)):
+        y, zero = (draw.random(n) / 10 if x.any() else x), np.zeros(n, int)
+        found = pairing.pair_off_places([x, y], [pairing.Looks(np.arange(n), x, y, np.full(n, 0.8), zero, zero)], x[::-1].copy(), y[::-1].copy(), [zero])
+        assert (found == (np.arange(n)[::-1] if x.any() else np.arange(n))).all()
+    assert time.monotonic() - began < 60
+
+
+def test_detections_without_a_frame_are_tracks_of_their_own(spark):
+    rows = [(1, None, None, 1, 0.0, 0.0), (1, None, None, 2, 0.0, 0.0), (1, 0, 0.0, 3, 0.0, 0.0), (1, 1, 1.0, 4, 0.0, 0.0)]
+    dets = spark.createDataFrame(rows, "seq int, f long, t double, id long, x double, y double")
+    assert sorted((r.id, r.track) for r in tracking.follow_detections(dets, "seq").collect()) == [(1, 1), (2, 2), (3, 3), (4, 3)]

@@ -6,13 +6,17 @@ import heapq
 import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .folds import fold
+from .folds import fold_columns
+from .pairing import Looks, distances, pair_off_places
 
 #: How far objects of a class may be from where they are expected [m], their speed [m/s] and acceleration [m/s^2].
 GATE = {"Pedestrian": 1.5, "Cyclist": 3.0, "Car": 2.5}
@@ -22,29 +26,14 @@ MAX_ACCEL = {"Pedestrian": 1.5, "Cyclist": 3.0, "Car": 4.0}
 ID_BONUS, MAX_MISSED, REACQUIRE_RADIUS = 0.1, 3, 1.0
 #: Fixed values of detections without ids: gate [m], frames missed, hits and travel [m] of a track.
 DETECTION_GATE, MAX_MISSES, MIN_HITS, MIN_TRAVEL = 0.8, 3, 8, 0.6
-
-
-@dataclass
-class Seen:
-    """An object as it was last seen; `moving` if its velocity comes from two frames in a row."""
-
-    track: object
-    frame: int
-    t: float
-    x: float
-    y: float
-    kind: str | None = None
-    ident: object = None
-    vx: float = 0.0
-    vy: float = 0.0
-    moving: bool = False
-
-    def expected(self, t: float) -> tuple[float, float]:
-        return self.x + self.vx * (t - self.t), self.y + self.vy * (t - self.t)
+_KINDS = list(GATE)
 
 
 def pair_off(offers: list[tuple]) -> list[tuple[int, int]]:
-    """(left, right) of offers (cost, tie, left, right), cheapest first, each side once: what mutual nearest neighbours give, taken away until none is left."""
+    """(left, right) of offers (cost, tie, left, right), cheapest first, each side once: what mutual nearest neighbours give, taken away until none is left.
+
+    This says what is meant; queries get the same from pair_off_places.
+    """
     lefts, rights, out = set(), set(), []
     for _, _, a, b in sorted(offers):
         if a not in lefts and b not in rights:
@@ -119,75 +108,128 @@ def pair_off_near(offers: list[tuple], streams: list[Iterator[tuple]], crowd_of:
     return out
 
 
-def _crowds(rows: list[dict], by: Callable[[dict], tuple]) -> tuple[dict[tuple, Crowd], Callable[[int], Crowd]]:
-    groups = defaultdict(list)
-    for b, r in enumerate(rows):
-        groups[by(r)].append(b)
-    crowds = {k: Crowd(rows, members) for k, members in groups.items()}
-    return crowds, lambda b: crowds[by(rows[b])]
+@dataclass
+class Open:
+    """Tracks that may go on, a row each: where and in which frame they were last seen; `moving` if their velocity comes from two frames in a row."""
+
+    track: pa.Array
+    frame: np.ndarray
+    t: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    vx: np.ndarray
+    vy: np.ndarray
+    moving: np.ndarray
+    kind: np.ndarray
+    ident: np.ndarray
+
+    def of(self, rows: np.ndarray) -> Open:
+        return Open(self.track.take(pa.array(rows)), *(getattr(self, f.name)[rows] for f in fields(self)[1:]))
+
+    def expected(self, t: float) -> tuple[np.ndarray, np.ndarray]:
+        return self.x + self.vx * (t - self.t), self.y + self.vy * (t - self.t)
+
+    def since(self, frame: int, most: int) -> Open:
+        """Those that were seen so many frames ago at most, in order of their names."""
+        near = self.of(np.flatnonzero(frame - self.frame <= most))
+        return near.of(np.asarray(pc.array_sort_indices(near.track)))
+
+    def then(self, before: np.ndarray, found: Open) -> Open:
+        """What is open after a frame: those that were not seen, and what was found in it."""
+        left = np.ones(len(self.frame), bool)
+        left[before[before >= 0]] = False
+        kept = self.of(np.flatnonzero(left))
+        return Open(pa.concat_arrays([kept.track, found.track]), *(np.concatenate([getattr(kept, f.name), getattr(found, f.name)]) for f in fields(self)[1:]))
+
 
+def _seen(rows: pa.RecordBatch, kinds: list[str]) -> Open:
+    """The rows of a frame as tracks that begin; a frame, time or place that is null counts as NaN."""
+    number = lambda c: rows.column(c).to_numpy(zero_copy_only=False).astype(float)
+    n = rows.num_rows
+    kind = np.array([kinds.index(k) for k in rows.column("kind").to_pylist()], np.int64) if kinds else np.zeros(n, np.int64)
+    ident = np.empty(n, object)
+    if kinds:
+        given = rows.column("ident").to_pylist()
+        times = Counter(given)
+        ident[:] = [i if times[i] == 1 else None for i in given]
+    return Open(rows.column("id"), np.full(n, rows.column("f")[0].as_py()), number("t"), number("x"), number("y"), np.zeros(n), np.zeros(n), np.zeros(n, bool), kind, ident)
 
-def _cost(seen: Seen, row: dict, ident: object, frame: int) -> float | None:
-    """What it costs to take an object for one seen before: own id first, then place, then where one was lost; None if it can't be."""
-    if row["kind"] != seen.kind:
-        return None
-    dt, (ex, ey) = row["t"] - seen.t, seen.expected(row["t"])
-    off = math.hypot(ex - row["x"], ey - row["y"])
-    gate = GATE[seen.kind]
-    reach = gate + MAX_ACCEL[seen.kind] * dt * dt if seen.moving else MAX_SPEED[seen.kind] * dt
-    if ident is not None and ident == seen.ident and off <= reach:
-        return ID_BONUS * off
-    if seen.frame == frame - 1:
-        return off if off <= gate + 0.5 * math.hypot(seen.vx, seen.vy) * dt else None
-    lost = math.hypot(seen.x - row["x"], seen.y - row["y"])
-    return lost + REACQUIRE_RADIUS if lost <= REACQUIRE_RADIUS else None
+
+def _continued(live: Open, found: Open, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names the found rows by the tracks they go on with; (rows that go on, their tracks)."""
+    n, on = len(live.frame), np.flatnonzero(before >= 0)
+    found.track = pa.concat_arrays([live.track, found.track]).take(pa.array(np.where(before >= 0, before, n + np.arange(len(before)))))
+    return on, before[on]
+
+
+def _follow(rows: DataFrame, key: str, kinds: list[str], most: int, pair: Callable[[Open, Open], np.ndarray], move: Callable[[Open, Open, np.ndarray, np.ndarray], None]) -> DataFrame:
+    """(key, id, track): `pair` tells which open track each row of a frame goes on with, and `move` gives it its velocity.
+
+    Rows without a frame come before or behind none, so each is a track.
+    """
+
+    def step(state: Open | None, batch: pa.RecordBatch) -> tuple[Open | None, pa.RecordBatch]:
+        ids, frame = batch.column("id"), batch.column("f")[0].as_py()
+        if frame is None:
+            return state, pa.RecordBatch.from_arrays([batch.column(key), ids, ids], names=[key, "id", "track"])
+        found = _seen(batch, kinds)
+        if state is None:
+            state = found
+        else:
+            live = state.since(frame, most)
+            before = pair(live, found)
+            on, was = _continued(live, found, before)
+            move(live, found, on, was)
+            state = live.then(before, found)
+        return state, pa.RecordBatch.from_arrays([batch.column(key), ids, found.track], names=[key, "id", "track"])
+
+    return fold_columns(rows, [key], "f", lambda: None, step, _named(rows, key), ["id"])
+
+
+def _bonus(live: Open, found: Open, frame: int) -> list[tuple[float, int, int]]:
+    """(cost, left, right) of rows within reach of the track that had their own id."""
+    at, out = {i: b for b, i in enumerate(found.ident) if i is not None}, []
+    for a, ident in enumerate(live.ident if at else ()):
+        b = at.get(ident) if ident is not None else None
+        if b is None or live.kind[a] != found.kind[b]:
+            continue
+        kind, dt = _KINDS[live.kind[a]], float(found.t[b] - live.t[a])
+        ex, ey = float(live.x[a] + live.vx[a] * dt), float(live.y[a] + live.vy[a] * dt)
+        off = math.hypot(ex - float(found.x[b]), ey - float(found.y[b]))
+        if off <= (GATE[kind] + MAX_ACCEL[kind] * dt * dt if live.moving[a] else MAX_SPEED[kind] * dt):
+            out.append((ID_BONUS * off, a, b))
+    return out
 
 
 def link_objects(objects: DataFrame, key: str) -> DataFrame:
     """(key, id, track) of labelled objects (key, f, t, id, kind, x, y, ident): track is the id of its first object.
 
-    f numbers the frames of a key; ident is a label's own id, which only counts where it occurs once in its frame.
+    f numbers the frames of a key; ident is a label's own id, which only counts where it occurs once in its frame.  What it costs to
+    take an object for one seen before: own id first, then place, then where one was lost.
     """
-
-    def step(state: list[Seen], rows: list[dict]) -> tuple[list[Seen], list[dict]]:
-        frame, times = rows[0]["f"], Counter(r["ident"] for r in rows)
-        live = [s for s in state if frame - s.frame <= MAX_MISSED]
-        idents = [r["ident"] if times[r["ident"]] == 1 else None for r in rows]
-        crowds, crowd_of = _crowds(rows, lambda r: (r["kind"], r["t"]))
-        same = defaultdict(list)
-        for b, ident in enumerate(idents):
-            if ident is not None:
-                same[ident].append(b)
-
-        def offer(a: int, b: int) -> tuple | None:
-            c = _cost(live[a], rows[b], idents[b], frame)
-            return None if c is None else (c, (live[a].track, rows[b]["id"]), a, b)
-
-        offers, streams = [], []
-        for a, s in enumerate(live):
-            named = set(same.get(s.ident, ())) if s.ident is not None else set()
-            offers += [o for b in named if (o := offer(a, b)) is not None]
-            rest = lambda b, a=a, named=named: None if b in named else offer(a, b)
-            for (kind, t), crowd in crowds.items():
-                if kind == s.kind and s.frame == frame - 1:
-                    streams.append(crowd.around(*s.expected(t), GATE[kind] + 0.5 * math.hypot(s.vx, s.vy) * (t - s.t), rest))
-                elif kind == s.kind:
-                    streams.append(crowd.around(s.x, s.y, REACQUIRE_RADIUS, rest, REACQUIRE_RADIUS))
-        before = {b: a for a, b in pair_off_near(offers, streams, crowd_of)}
-        found = []
-        for b, r in enumerate(rows):
-            now = Seen(r["id"], frame, r["t"], r["x"], r["y"], r["kind"], idents[b])
-            if b in before:
-                was = live[before[b]]
-                now.track, now.moving = was.track, was.frame == frame - 1
-                if now.moving and r["t"] > was.t:
-                    now.vx, now.vy = (r["x"] - was.x) / (r["t"] - was.t), (r["y"] - was.y) / (r["t"] - was.t)
-            found.append(now)
-        taken = set(before.values())
-        return [s for a, s in enumerate(live) if a not in taken] + found, [{key: rows[0][key], "id": r["id"], "track": s.track} for r, s in zip(rows, found)]
+    gates = np.array([GATE[k] for k in _KINDS])
+
+    def pair(live: Open, found: Open) -> np.ndarray:
+        frame = found.frame[0]
+        times, when = np.unique(found.t, return_inverse=True)
+        late, lost, slack = np.flatnonzero(live.frame == frame - 1), np.flatnonzero(live.frame != frame - 1), gates[live.kind]
+        speed, classes = 0.5 * distances(live.vx, live.vy), found.kind * len(times) + when
+        looks = [Looks(lost, live.x[lost], live.y[lost], np.full(len(lost), REACQUIRE_RADIUS), live.kind[lost], found.kind, REACQUIRE_RADIUS)]
+        for k, t in enumerate(times):
+            (ex, ey), limit = live.expected(t), slack + speed * (t - live.t)
+            looks.append(Looks(late, ex[late], ey[late], limit[late], live.kind[late] * len(times) + k, classes))
+        lefts = [live.frame == frame - 1, live.kind, live.t, live.x, live.y, live.vx, live.vy]
+        return pair_off_places(lefts, looks, found.x, found.y, [found.kind, when], _bonus(live, found, frame))
+
+    def move(live: Open, found: Open, on: np.ndarray, was: np.ndarray) -> None:
+        found.moving[on] = live.frame[was] == found.frame[on] - 1
+        at = found.moving[on] & (found.t[on] > live.t[was])
+        on, was = on[at], was[at]
+        for v, c in (("vx", "x"), ("vy", "y")):
+            getattr(found, v)[on] = (getattr(found, c)[on] - getattr(live, c)[was]) / (found.t[on] - live.t[was])
 
     wanted = objects.select(key, F.col("f").cast("long").alias("f"), *(F.col(c).cast("double").alias(c) for c in ("t", "x", "y")), "id", "kind", "ident").filter(F.col("kind").isin(list(GATE)) & F.col("x").isNotNull() & F.col("y").isNotNull())
-    return fold(wanted, [key], "f", list, step, _named(objects, key), ["id"])
+    return _follow(wanted, key, _KINDS, MAX_MISSED, pair, move)
 
 
 def follow_detections(detections: DataFrame, key: str, gate: float = DETECTION_GATE, misses: int = MAX_MISSES) -> DataFrame:
@@ -196,31 +238,21 @@ def follow_detections(detections: DataFrame, key: str, gate: float = DETECTION_G
     A track's velocity is the mean of the one before and the one just seen; it stays open while it misses so many frames at most.
     """
 
-    def step(state: list[Seen], rows: list[dict]) -> tuple[list[Seen], list[dict]]:
-        frame = rows[0]["f"]
-        live = [s for s in state if frame - s.frame <= misses + 1]
-        crowds, crowd_of = _crowds(rows, lambda r: (r["t"],))
-
-        def offer(a: int, b: int) -> tuple | None:
-            (ex, ey), r = live[a].expected(rows[b]["t"]), rows[b]
-            off = math.hypot(ex - r["x"], ey - r["y"])
-            return (off, (live[a].track, r["id"]), a, b) if off < gate else None
-
-        streams = [crowd.around(*s.expected(t), gate, lambda b, a=a: offer(a, b)) for a, s in enumerate(live) for (t,), crowd in crowds.items()]
-        before, found = {b: a for a, b in pair_off_near([], streams, crowd_of)}, []
-        for b, r in enumerate(rows):
-            now = Seen(r["id"], frame, r["t"], r["x"], r["y"])
-            if b in before:
-                was = live[before[b]]
-                dt = max(r["t"] - was.t, 1e-9)
-                vx, vy, share = (r["x"] - was.x) / dt, (r["y"] - was.y) / dt, 0.5 if was.moving else 1.0
-                now.track, now.moving, now.vx, now.vy = was.track, True, was.vx + share * (vx - was.vx), was.vy + share * (vy - was.vy)
-            found.append(now)
-        taken = set(before.values())
-        return [s for a, s in enumerate(live) if a not in taken] + found, [{key: rows[0][key], "id": r["id"], "track": s.track} for r, s in zip(rows, found)]
+    def pair(live: Open, found: Open) -> np.ndarray:
+        times, when = np.unique(found.t, return_inverse=True)
+        every, below = np.arange(len(live.frame)), np.full(len(live.frame), np.nextafter(gate, -math.inf))
+        looks = [Looks(every, *live.expected(t), below, np.full(len(every), k), when) for k, t in enumerate(times)]
+        return pair_off_places([live.t, live.x, live.y, live.vx, live.vy], looks, found.x, found.y, [when])
+
+    def move(live: Open, found: Open, on: np.ndarray, was: np.ndarray) -> None:
+        dt, share = np.maximum(found.t[on] - live.t[was], 1e-9), np.where(live.moving[was], 0.5, 1.0)
+        for v, c in (("vx", "x"), ("vy", "y")):
+            old = getattr(live, v)[was]
+            getattr(found, v)[on] = old + share * ((getattr(found, c)[on] - getattr(live, c)[was]) / dt - old)
+        found.moving[on] = True
 
     wanted = detections.select(key, F.col("f").cast("long").alias("f"), *(F.col(c).cast("double").alias(c) for c in ("t", "x", "y")), "id").filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return fold(wanted, [key], "f", list, step, _named(detections, key), ["id"])
+    return _follow(wanted, key, [], misses + 1, pair, move)
 
 
 def _named(rows: DataFrame, key: str) -> T.StructType:
