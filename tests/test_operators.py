@@ -182,3 +182,40 @@ def test_heights_of_points_that_share_an_id(spark, tmp_path):
     assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in above.items()}
     for sweep, heights in got.items():
         assert order(heights) == pytest.approx(order(above[sweep]), abs=1.1e-5)
+
+
+def test_wiggle_makes_rows_by_corners_not_by_length(spark):
+    """Long pieces make two rows each; what they add up to is that of all points, also where a path is cut into ranges."""
+    import math
+    import random
+
+    draw, rows = random.Random(4), []
+    for rec in range(40):
+        x, y = 0.0, 0.0
+        for f in range(draw.randint(1, 14)):
+            step = draw.choice((0.0, 0.03, 0.1, 0.5, 3.0))
+            turn = draw.choice((0.0, math.pi / 2, math.pi, draw.random() * 7))
+            x, y = x + step * math.cos(turn), y + step * math.sin(turn)
+            rows.append((rec, f, None if draw.random() < 0.02 else x, y))
+    paths = spark.createDataFrame(rows, "rec int, f int, x double, y double")
+    start = paths.filter("f = 0").select("rec", F.lit(0).cast("long").alias("k"), "x", "y")
+    points = {}
+    for r in start.unionByName(metrics.resample(paths, "rec", 0.1).select("rec", "k", "x", "y")).collect():
+        points.setdefault(r.rec, {})[r.k] = (r.x, r.y)
+    wanted = {}
+    for rec, at in points.items():
+        heading, turns = None, []
+        for k in range(1, len(at)):
+            (ax, ay), (bx, by) = at[k - 1], at[k]
+            if None not in (ax, ay, bx, by) and math.hypot(bx - ax, by - ay) > 1e-6:
+                now = math.atan2(by - ay, bx - ax)
+                if heading is not None:
+                    raw = math.remainder(now - heading, 2 * math.pi)
+                    turns.append(-math.pi if abs(raw) > math.pi - 1e-9 else raw)
+                heading = now
+        wanted[rec] = sum(map(abs, turns)) - abs(sum(turns))
+    for most in (None, 4):
+        found = {r.rec: r.wiggle for r in metrics.wiggle(paths, "rec", most=most).collect()}
+        assert found.keys() == wanted.keys() and all(abs(found[rec] - wanted[rec]) < 1e-6 for rec in wanted)
+    far = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1e7, 0.0), (1, 2, 1e7, 1e7)], "rec int, f int, x double, y double")
+    assert metrics.corners(far, "rec", 0.1).rows.count() <= 7 and metrics.wiggle(far, "rec").first().wiggle < 1e-6

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geom import turn_between
 from .joins import interpolate
-from .kinematics import arc_length, unwrap
+from .kinematics import _hops, arc_length, unwrap
+from .scans import RANGE, Ordered, ordered, scan
 
 
 def resample(paths: DataFrame, key: str, spacing: float) -> DataFrame:
@@ -36,18 +37,49 @@ def timed_steps(pred: DataFrame, key: str, final_step: int, n: int) -> DataFrame
     return interpolate(wanted, share, key, "u", ["x", "y"]).drop("u")
 
 
-def wiggle(points: DataFrame, key: str, spacing: float = 0.1) -> DataFrame:
+def corners(paths: DataFrame, key: str, spacing: float, most: int | None = None) -> Ordered:
+    """(key, k, x, y) in order of k: the start (k = 0) and, of the points that resample() gives, the first and the last on each straight piece.
+
+    Those between lie on a line at equal distances, so they turn by nothing; a long piece makes two rows, however many points it has.
+    """
+    arc = _hops(ordered(paths.select(key, "f", "x", "y"), [key], ["f"], most))
+    arc = scan(arc, total={"s": F.coalesce("hop", F.lit(0.0))})
+    arc = scan(arc, previous={"_before": F.lit(1)}, following={"_after": F.col("s")})
+    starts, stays = F.col("_before").isNull(), F.coalesce(F.col("_after") == F.col("s"), F.lit(False))  # of points at one distance the last counts
+    arc = arc.with_rows(arc.rows.select("*", starts.alias("_starts"), (~stays).alias("_counts")).filter("_starts OR _counts"))
+    arc = scan(arc, following={"_hi": F.struct("s", "x", "y")})
+    at = lambda k: k * F.lit(spacing)
+
+    def onward(s: Column) -> Column:
+        """The first k from 1 on whose distance is s or more."""
+        k = F.floor(s / spacing)
+        return F.greatest(F.lit(1), F.when(at(k - 1) >= s, k - 1).when(at(k) >= s, k).when(at(k + 1) >= s, k + 1).otherwise(k + 2)).cast("long")
+
+    first = onward(F.col("s"))
+    last = F.when(F.col("_hi").isNotNull(), onward(F.col("_hi.s")) - 1).otherwise(F.floor((F.col("s") + 1e-9) / spacing).cast("long"))
+    none = F.array().cast("array<bigint>")
+    ks = F.concat(F.when(F.col("_starts"), F.array(F.lit(0).cast("long"))).otherwise(none), F.when(F.col("_counts") & (first <= last), F.array_distinct(F.array(first, last))).otherwise(none))
+    span = F.col("_hi.s") - F.col("s")
+    share = F.when(span > 0, (at(F.col("k")) - F.col("s")) / span).otherwise(0.0)
+
+    def place(c: str) -> Column:
+        lo, hi = F.col(c), F.col(f"_hi.{c}")
+        return F.when((F.col("k") == 0) | hi.isNull(), lo).when(lo.isNull(), hi).otherwise(lo + (hi - lo) * share).alias(c)
+
+    kept = [key, RANGE] if arc.split else [key]
+    return Ordered(arc.rows.withColumn("k", F.explode(ks)).select(*kept, "k", place("x"), place("y")), [key], ["k"], arc.split)
+
+
+def wiggle(points: DataFrame, key: str, spacing: float = 0.1, most: int | None = None) -> DataFrame:
     """(key, wiggle): total turning less net turning along paths (key, f, x, y), resampled every `spacing` from their start.
 
     Points that fall on the one before keep its heading; turning back is a turn to the right, whatever the rounding.
     """
-    start = points.groupBy(key).agg(F.min_by(F.struct("x", "y"), "f").alias("p")).select(key, F.lit(0).alias("k"), "p.x", "p.y")
-    even = start.unionByName(resample(points, key, spacing).select(key, "k", "x", "y"))
-    w = Window.partitionBy(key).orderBy("k")
-    dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
-    went = even.withColumn("went", F.when(F.hypot(dx, dy) > 1e-6, F.atan2(dy, dx)))
-    heading = went.withColumn("h", F.last("went", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    turn = heading.withColumn("dh", turn_between(F.lag("h").over(w), F.col("h")))
+    even = scan(corners(points, key, spacing, most), previous={"_was": F.struct("k", "x", "y")})
+    dx, dy = F.col("x") - F.col("_was.x"), F.col("y") - F.col("_was.y")
+    went = F.when(F.hypot(dx, dy) > 1e-6 * (F.col("k") - F.col("_was.k")), F.atan2(dy, dx))
+    heading = scan(even.with_rows(even.rows.withColumn("went", went).drop("_was")), last={"h": F.col("went")})
+    turn = scan(heading, previous={"_h": F.col("h")}).plain().withColumn("dh", turn_between(F.col("_h"), F.col("h")))
     return turn.groupBy(key).agg((F.coalesce(F.sum(F.abs("dh")), F.lit(0.0)) - F.abs(F.coalesce(F.sum("dh"), F.lit(0.0)))).alias("wiggle"))
 
 
