@@ -86,7 +86,8 @@ def fold_columns(rows: DataFrame, keys: list[str], frame: str, begin: Callable[[
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    some = [b for b in batches if b.num_rows] or batches[:1]
+    return some[0] if len(some) == 1 else pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
 
 def _cast(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geom import around, box_distance, wrap
+from .folds import fold_columns
 from .lineage import cut_lineage
+from .pairing import nearest_place
 from .scans import running
 
 
@@ -221,30 +227,62 @@ def nearest(rows: DataFrame, others: DataFrame, keys: list[str], limit: float, l
     return rows
 
 
+#: Frames that are gone through as one piece, and how many reaches wide a piece is.
+FRAMES_OF_PIECE, REACHES_OF_PIECE = 16, 8
+
+
 def link_frames(rows: DataFrame, key: str, gate: float, max_gap: int = 1) -> DataFrame:
-    """(key, f, id, next_f, next_id): mutual nearest neighbours within a gate per frame step, at most max_gap frames ahead.
+    """(key, f, id, next_f, next_id, d): mutual nearest neighbours within a gate per frame step, at most max_gap frames ahead.
 
     Greedy and local where an optimal assignment would weigh contested cases against each other.  Rows look for their nearest in
     the next frame, those without one in the frame after it, and so on; of rows at one place only that of the least id can
     be anyone's nearest, so the others take no part.
+
+    Rows are dealt once, to pieces of the plane and of the frames, with those around that what lies in a piece depends on: what is a
+    row's nearest, and whose nearest that one is.  A task holds max_gap + 1 frames of a piece and looks in cells that fit the crowd.
     """
-    places = rows.groupBy(key, "f", "x", "y").agg(F.min("id").alias("id")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    crowd = places.groupBy(key, "f", F.floor(F.col("x") / gate), F.floor(F.col("y") / gate)).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
-    levels = min(12, max(0, math.ceil(math.log(max(crowd or 1.0, 1.0) / 4, 4))))
-    empty = F.lit(None).cast(places.select(F.struct(F.lit(0.0).alias("d"), "id")).schema[0].dataType)
-
-    def toward(step: int) -> DataFrame:
-        """Each place with its hit and how many frames away it is, ahead (1) or before (-1)."""
-        found = places.withColumns({"hit": empty, "k": F.lit(0)})
-        for k in range(1, max_gap + 1):
-            asked = found.withColumnRenamed("f", "_f").withColumn("f", F.col("_f") + step * k)
-            met = nearest(asked, places, [key, "f"], gate * k, levels)
-            found = met.withColumn("k", F.when(F.col("hit").isNotNull() & (F.col("k") == 0), k).otherwise(F.col("k"))).drop("f").withColumnRenamed("_f", "f")
-        return found.filter(F.col("hit").isNotNull())
-
-    ahead = toward(1).select(key, "f", "id", (F.col("f") + F.col("k")).alias("next_f"), F.col("hit.id").alias("next_id"), F.col("hit.d").alias("d"))
-    before = toward(-1).select(key, F.col("f").alias("next_f"), F.col("id").alias("next_id"), (F.col("f") - F.col("k")).alias("f"), F.col("hit.id").alias("id"))
-    return ahead.join(before, [key, "f", "id", "next_f", "next_id"], "left_semi")
+    reach = gate * max_gap
+    side, margin = REACHES_OF_PIECE * reach, 2.001 * reach
+    cell = lambda c, by=0.0: F.floor((F.col(c) + by) / side)
+    piece = lambda by: F.floor((F.col("f") + by) / FRAMES_OF_PIECE)
+    each = lambda low, high: F.explode(F.array_distinct(F.array(low, high)))
+    known = rows.filter(F.col(key).isNotNull() & F.col("f").isNotNull() & (F.abs("x") < math.inf) & (F.abs("y") < math.inf))
+    dealt = known.select(key, "f", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "id")
+    #: a piece without a row of its own gives nothing, but rows cannot tell; those around it go there in vain
+    dealt = dealt.withColumn("_i", each(cell("x", -margin), cell("x", margin))).withColumn("_j", each(cell("y", -margin), cell("y", margin)))
+    dealt = dealt.withColumn("_p", each(piece(-max_gap), piece(max_gap))).withColumn("_own", (cell("x") == F.col("_i")) & (cell("y") == F.col("_j")) & (piece(0) == F.col("_p")))
+    kind = {c: rows.schema[c].dataType for c in (key, "f", "id")}
+    schema = T.StructType([T.StructField(n, t) for n, t in ((key, kind[key]), ("f", kind["f"]), ("id", kind["id"]), ("next_f", kind["f"]), ("next_id", kind["id"]), ("d", T.DoubleType()))])
+
+    def step(state: list[dict], batch: pa.RecordBatch) -> tuple[list[dict], pa.RecordBatch]:
+        x, y = (batch.column(c).to_numpy() for c in "xy")
+        first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])  # rows come in order of place and id
+        ids, frame = batch.column("id").take(pa.array(first)), batch.column("f")[0].as_py()
+        by = np.asarray(pc.array_sort_indices(ids))
+        first, ids, n = first[by], ids.take(pa.array(by)), len(by)
+        now = {"f": frame, "x": x[first], "y": y[first], "ids": ids, "own": np.asarray(batch.column("_own").to_numpy(zero_copy_only=False), bool)[first], "open": np.arange(n)}
+        came, gap, out = np.full(n, -1, np.int64), np.zeros(n, np.int64), []
+        state = [s for s in state if frame - s["f"] <= max_gap]
+        for s in reversed(state):  # the frame before this one first
+            k, alone = frame - s["f"], np.flatnonzero(came < 0)
+            hit, _ = nearest_place(now["x"][alone], now["y"][alone], s["x"], s["y"], gate * k)
+            came[alone], gap[alone] = hit, np.where(hit >= 0, k, 0)
+        for s in state:
+            k, alone = frame - s["f"], s["open"]
+            hit, far = nearest_place(s["x"][alone], s["y"][alone], now["x"], now["y"], gate * k)
+            found = np.flatnonzero(hit >= 0)
+            a, b, d = alone[found], hit[found], far[found]
+            both = np.flatnonzero((came[b] == a) & (gap[b] == k) & s["own"][a])
+            a, b, d, s["open"] = a[both], b[both], d[both], alone[hit < 0]
+            out.append((s["f"], s["ids"].take(pa.array(a)), ids.take(pa.array(b)), d))
+        f = batch.column("f").type
+        columns = [
+            pa.array([batch.column(key)[0].as_py()] * sum(len(d) for *_, d in out), batch.column(key).type), pa.array([g for g, *_, d in out for _ in range(len(d))], f), pa.concat_arrays([ids.slice(0, 0), *(o[1] for o in out)]),
+            pa.array([frame] * sum(len(d) for *_, d in out), f), pa.concat_arrays([ids.slice(0, 0), *(o[2] for o in out)]), pa.array(np.concatenate([np.zeros(0), *(o[3] for o in out)])),
+        ]
+        return [*state, now], pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return fold_columns(dealt, [key, "_i", "_j", "_p"], "f", list, step, schema, ["x", "y", "id"])
 
 
 def unambiguous_ids(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:

@@ -223,3 +223,36 @@ def _equal(left: list[int], right: list[int], a: Queues, b: Queues) -> Iterator[
             a.head[g], b.head[h] = a.head[g] + 1, b.head[h] + 1
             if a.head[g] < a.end[g]:
                 heapq.heappush(heap, (a.row[a.head[g]], g))
+
+
+def nearest_place(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(right, distance) of the nearest right within the limit for each place, the first one on ties; -1 where there is none.
+
+    Distances are roots of sums of squares, as in the SQL.  Rights are looked for within a reach that grows: what is found in it is the nearest.
+    """
+    hit, far = np.full(len(x), -1, np.int64), np.full(len(x), np.inf)
+    left, reach, done, none = np.arange(len(x)), limit, 0.0, np.zeros(len(rx), np.int64)
+    while len(left) and len(rx):
+        most = min(MOST_MET, FEW_MET * (len(left) + len(rx)) + 4096)
+        while True:
+            order, start, end = in_cells(x[left], y[left], np.zeros(len(left), np.int64), rx, ry, none, reach)
+            total = np.cumsum((end - start).sum(axis=0))
+            if total[-1] <= most or reach <= max(1.25 * done, 1e-9 * limit):
+                break
+            reach = max(reach * min(0.9 * math.sqrt(most / int(total[-1])), 0.5), 1.25 * done)
+        cuts = np.unique(np.searchsorted(total, np.arange(1, 1 + int(total[-1]) // MOST_MET) * MOST_MET)).tolist()
+        for i, j in zip([0, *cuts], [*cuts, len(total)]):
+            look, at = spread(start[:, i:j], end[:, i:j])
+            look, at = left[look + i], order[at]
+            dx, dy = x[look] - rx[at], y[look] - ry[at]
+            d = np.sqrt(dx * dx + dy * dy)
+            near = np.flatnonzero(d <= reach)
+            look, at, d = look[near], at[near], d[near]
+            by = np.lexsort((at, d, look))
+            first = by[np.r_[True, look[by][1:] != look[by][:-1]]] if len(by) else by
+            hit[look[first]], far[look[first]] = at[first], d[first]
+        if reach >= limit:
+            break
+        left, done = left[hit[left] < 0], reach
+        reach = min(limit, reach * min(max(math.sqrt(most / max(int(total[-1]), 1)), 1.5), 4.0))
+    return hit, far
