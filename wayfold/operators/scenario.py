@@ -18,6 +18,8 @@ TYPES = {
 }
 OCCLUSION = {"None": 0, "Light": 1, "Medium": 2, "Heavy": 3, "Full": 4, "Unknown": 5}
 CURRENT, STEPS = 10, 21
+#: Frames of a segment that are put into windows as one piece.
+WINDOW_FRAMES = 1024
 
 
 def coarse_type(category: Column, default: str = "STATIC") -> Column:
@@ -163,24 +165,37 @@ def nested_windows(rows: DataFrame, segment: str, stride: int, min_travel: float
     """Scenarios as rows: (segment, anchor, rate_hz, world, steps), steps in the frame of the current one and world the way back.
 
     rows: (segment, f, t, x, y, yaw).  steps: array of (step, f, t, x, y, yaw); world: the current pose (x, y, yaw).
+    Rows are shuffled once, by pieces of a segment with the frames around; a window is put together where its frames lie, so
+    its steps are never rows of a shuffle.
     """
-    window = scenario_windows(rows, segment, stride, min_travel).withColumn("f", F.col("anchor") + F.col("step") - CURRENT)
-    now = rows.select(segment, F.col("f").alias("anchor"), F.struct("x", "y", "yaw").alias("world"))
-    nested = window.groupBy(segment, "anchor").agg(F.array_sort(F.collect_list(F.struct("step", "f", "t", "x", "y", "yaw"))).alias("steps"))  # STEPS elements
-    return nested.join(now, [segment, "anchor"]).select(segment, "anchor", F.lit(rate_hz).alias("rate_hz"), "world", "steps")
+    near = lambda by: F.floor((F.col("f") + by) / WINDOW_FRAMES)
+    known = rows.filter(F.col(segment).isNotNull() & F.col("f").isNotNull()).select(segment, "f", "t", "x", "y", "yaw")
+    laid = known.withColumn("_piece", F.explode(F.array_distinct(F.array(near(-CURRENT), near(STEPS - 1 - CURRENT)))))
+    around = Window.partitionBy(segment, "_piece").orderBy("f").rangeBetween(-CURRENT, STEPS - 1 - CURRENT)
+    window = laid.withColumn("_w", F.collect_list(F.struct("f", "t", "x", "y", "yaw")).over(around)).filter((near(0) == F.col("_piece")) & (F.col("f") % stride == 0) & (F.size("_w") == STEPS))
+    hops = F.filter(F.transform("_w", lambda s, k: F.when(k > 0, F.hypot(s["x"] - F.get("_w", k - 1)["x"], s["y"] - F.get("_w", k - 1)["y"]))), lambda h: h.isNotNull())
+    once = F.size(F.filter("_w", lambda s: s["f"] == F.col("f"))) == 1
+    full = window.withColumn("_hops", hops).filter(once & (F.size("_hops") > 0) & (F.aggregate("_hops", F.lit(0.0), lambda a, h: a + h) >= min_travel))
+
+    def seen(s: Column) -> Column:
+        ahead, left = to_frame(F.col("x"), F.col("y"), F.col("yaw"), s["x"], s["y"])
+        return F.struct((s["f"] - F.col("f") + CURRENT).cast("int").alias("step"), s["f"].alias("f"), s["t"].alias("t"), ahead.alias("x"), left.alias("y"), wrap(s["yaw"] - F.col("yaw")).alias("yaw"))
+
+    return full.select(segment, F.col("f").alias("anchor"), F.lit(rate_hz).alias("rate_hz"), F.struct("x", "y", "yaw").alias("world"), F.transform("_w", seen).alias("steps"))  # STEPS elements
 
 
 def first_poses(windows: DataFrame, segment: str) -> DataFrame:
     """(segment, f, t, x, y, yaw) of every frame that a scenario has at or before its current step, from the first scenario that has it."""
     past = windows.select(segment, "anchor", "rate_hz", "world", F.explode(F.filter("steps", lambda s: s["step"] <= CURRENT)).alias("s"))
-    first = past.groupBy(segment, F.col("s.f").alias("f")).agg(F.min_by(F.struct("rate_hz", "world", "s"), "anchor").alias("p"))
-    x, y = from_frame(F.col("p.world.x"), F.col("p.world.y"), F.col("p.world.yaw"), F.col("p.s.x"), F.col("p.s.y"))
-    return first.select(segment, "f", F.col("p.s.t").alias("t"), x.alias("x"), y.alias("y"), wrap(F.col("p.s.yaw") + F.col("p.world.yaw")).alias("yaw"), F.col("p.rate_hz").alias("rate_hz"))
+    x, y = from_frame(F.col("world.x"), F.col("world.y"), F.col("world.yaw"), F.col("s.x"), F.col("s.y"))
+    back = past.select(segment, F.col("s.f").alias("f"), "anchor", F.col("s.t").alias("t"), x.alias("x"), y.alias("y"), wrap(F.col("s.yaw") + F.col("world.yaw")).alias("yaw"), "rate_hz")
+    #: numbers one by one, not as a struct: tasks can then take the first in a hash table before the shuffle, without sorting all steps
+    return back.groupBy(segment, "f").agg(*(F.min_by(c, "anchor").alias(c) for c in ("t", "x", "y", "yaw", "rate_hz")))
 
 
 def scenarios_to_episodes(windows: DataFrame, segment: str, split: Column, max_step: float = 3.0, gap_frames: float = 2.5, min_frames: int = 8, min_length: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(frames, episodes) from scenarios: overlapping ones are merged frame by frame, then cut where a gap is longer than so many frames at their rate."""
-    merged = first_poses(windows, segment).withColumn("scaled", F.col("t") * F.col("rate_hz"))
+    merged = cut_lineage(first_poses(windows, segment).withColumn("scaled", F.col("t") * F.col("rate_hz")), "merged")  # it is read again and again
     return recordings_to_episodes(merged, segment, max_step, gap_frames, min_frames, min_length, split, "scaled")
 
 
