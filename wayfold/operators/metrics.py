@@ -44,10 +44,14 @@ def corners(paths: DataFrame, key: str, spacing: float, most: int | None = None)
     """
     arc = _hops(ordered(paths.select(key, "f", "x", "y"), [key], ["f"], most))
     arc = scan(arc, total={"s": F.coalesce("hop", F.lit(0.0))})
-    arc = scan(arc, previous={"_before": F.lit(1)}, following={"_after": F.col("s")})
-    starts, stays = F.col("_before").isNull(), F.coalesce(F.col("_after") == F.col("s"), F.lit(False))  # of points at one distance the last counts
-    arc = arc.with_rows(arc.rows.select("*", starts.alias("_starts"), (~stays).alias("_counts")).filter("_starts OR _counts"))
-    arc = scan(arc, following={"_hi": F.struct("s", "x", "y")})
+    arc = scan(arc, previous={"_was": F.struct("f")}, following={"_next": F.struct("f", "s")})
+    other = F.when(F.col("_was").isNotNull() & (F.col("_was.f") != F.col("f")), 1).otherwise(0)
+    arc = scan(arc.with_rows(arc.rows.withColumn("_other", other)), total={"_n": F.col("_other")})
+    ends = lambda c: F.col("_next").isNull() | (F.col(f"_next.{c}") != F.col(c))
+    start = F.when((F.col("_n") == 0) & ends("f"), F.struct("x", "y"))  # of rows of the first frame the last counts, as of points at one distance
+    arc = scan(arc, last={"_past": start}, first={"_ahead": start})
+    arc = arc.with_rows(arc.rows.filter(ends("s")).select(*([key, RANGE] if arc.split else [key]), "f", "s", "x", "y", F.coalesce("_past", "_ahead").alias("_start")))
+    arc = scan(arc, previous={"_before": F.lit(1)}, following={"_hi": F.struct("s", "x", "y")})
     at = lambda k: k * F.lit(spacing)
 
     def onward(s: Column) -> Column:
@@ -58,13 +62,13 @@ def corners(paths: DataFrame, key: str, spacing: float, most: int | None = None)
     first = onward(F.col("s"))
     last = F.when(F.col("_hi").isNotNull(), onward(F.col("_hi.s")) - 1).otherwise(F.floor((F.col("s") + 1e-9) / spacing).cast("long"))
     none = F.array().cast("array<bigint>")
-    ks = F.concat(F.when(F.col("_starts"), F.array(F.lit(0).cast("long"))).otherwise(none), F.when(F.col("_counts") & (first <= last), F.array_distinct(F.array(first, last))).otherwise(none))
+    ks = F.concat(F.when(F.col("_before").isNull(), F.array(F.lit(0).cast("long"))).otherwise(none), F.when(first <= last, F.array_distinct(F.array(first, last))).otherwise(none))
     span = F.col("_hi.s") - F.col("s")
     share = F.when(span > 0, (at(F.col("k")) - F.col("s")) / span).otherwise(0.0)
 
     def place(c: str) -> Column:
         lo, hi = F.col(c), F.col(f"_hi.{c}")
-        return F.when((F.col("k") == 0) | hi.isNull(), lo).when(lo.isNull(), hi).otherwise(lo + (hi - lo) * share).alias(c)
+        return F.when(F.col("k") == 0, F.col(f"_start.{c}")).when(hi.isNull(), lo).when(lo.isNull(), hi).otherwise(lo + (hi - lo) * share).alias(c)
 
     kept = [key, RANGE] if arc.split else [key]
     return Ordered(arc.rows.withColumn("k", F.explode(ks)).select(*kept, "k", place("x"), place("y")), [key], ["k"], arc.split)
