@@ -88,3 +88,40 @@ def test_close_pairs_join_blocks_not_rows(spark):
     found = joins.close_pairs(rows, ["g"], "id", 2.0)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan[: plan.index("Join")].count("Generate inline") == 2 and found.count() == 500 * 499 // 2
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_frames_are_linked_across_pieces_with_one_shuffle(spark):
+    """Rows at the edges of pieces of the plane (32 wide here) and of the frames (16), some at one place, against all pairs."""
+    draw, rows = random.Random(8), []
+    for i in range(900):
+        rows.append((draw.randrange(2), draw.randrange(12, 37), i, draw.choice((0.0, 32.0, -32.0, 64.0)) + round(draw.uniform(-4, 4), 1), 32.0 + round(draw.uniform(-3, 3), 1)))
+    rows += [(None, 15, 1000, 0.0, 0.0), (0, None, 1001, 0.0, 0.0), (0, 16, 1002, None, 0.0), (0, 16, 1003, float("nan"), 0.0)]
+    links = joins.link_frames(spark.createDataFrame(rows, "g int, f long, id long, x double, y double"), "g", 2.0, 2)
+    assert exchanges(links) == 1
+    best = {}
+    for g, f, i, x, y in rows[:900]:
+        for h, n, j, u, v in rows[:900]:
+            if g == h and 0 < n - f <= 2 and (d := math.sqrt((x - u) ** 2 + (y - v) ** 2)) <= 2.0 * (n - f):
+                for key, of in ((("ahead", i), (n - f, d, j)), (("before", j), (n - f, d, i))):
+                    best[key] = min(best.get(key, of), of)
+    wanted = {(i, of[2]) for (way, i), of in best.items() if way == "ahead" and best["before", of[2]][2] == i}
+    found = links.collect()
+    assert {(r.id, r.next_id) for r in found} == wanted and len(found) == len(wanted) > 100
+
+
+def test_scenarios_are_nested_across_pieces_with_one_shuffle(spark):
+    """Windows that cross the edge of a piece of frames, with a gap and a row that comes twice, are those made of all steps."""
+    from wayfold.operators import scenario
+
+    frames = [f for f in range(990, 1100) if f != 1070] + [1002]
+    poses = spark.createDataFrame([(1, f, float(f), f * 0.5, math.sin(f / 3), f / 10) for f in frames] + [(None, f, 0.0, 0.0, 0.0, 0.0) for f in range(21)], "s int, f int, t double, x double, y double, yaw double")
+    nested = scenario.nested_windows(poses, "s", 1, 0.0, 1.0)
+    assert exchanges(nested) == 1
+    steps = {(r.anchor, s.step, s.f, s.t): (s.x, s.y, s.yaw) for r in nested.collect() for s in r.steps}
+    wanted = {(r.anchor, r.step, r.anchor + r.step - 10, r.t): (r.x, r.y, r.yaw) for r in scenario.scenario_windows(poses, "s", 1, 0.0).collect()}
+    assert steps.keys() == wanted.keys() and {a for a, *_ in steps} >= {*range(1013, 1060), *range(1081, 1090)}
+    assert all(math.dist(steps[k], wanted[k]) < 1e-9 for k in wanted)
