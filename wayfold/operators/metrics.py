@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geom import turn_between
 from .joins import interpolate
 from .kinematics import _hops, arc_length, unwrap
+from .lineage import cut_lineage
 from .scans import RANGE, Ordered, ordered, scan
 
 
@@ -37,21 +38,27 @@ def timed_steps(pred: DataFrame, key: str, final_step: int, n: int) -> DataFrame
     return interpolate(wanted, share, key, "u", ["x", "y"]).drop("u")
 
 
+def _scanned(on: Ordered, **wanted: dict) -> Ordered:
+    """scan(), written where keys are split: each scan reads its rows twice there, so scans of scans would double the work each time."""
+    done = scan(on, **wanted)
+    return done.with_rows(cut_lineage(done.rows, "ranges")) if done.split else done
+
+
 def corners(paths: DataFrame, key: str, spacing: float, most: int | None = None) -> Ordered:
     """(key, k, x, y) in order of k: the start (k = 0) and, of the points that resample() gives, the first and the last on each straight piece.
 
     Those between lie on a line at equal distances, so they turn by nothing; a long piece makes two rows, however many points it has.
     """
     arc = _hops(ordered(paths.select(key, "f", "x", "y"), [key], ["f"], most))
-    arc = scan(arc, total={"s": F.coalesce("hop", F.lit(0.0))})
-    arc = scan(arc, previous={"_was": F.struct("f")}, following={"_next": F.struct("f", "s")})
+    arc = _scanned(arc, total={"s": F.coalesce("hop", F.lit(0.0))})
+    arc = _scanned(arc, previous={"_was": F.struct("f")}, following={"_next": F.struct("f", "s")})
     other = F.when(F.col("_was").isNotNull() & (F.col("_was.f") != F.col("f")), 1).otherwise(0)
-    arc = scan(arc.with_rows(arc.rows.withColumn("_other", other)), total={"_n": F.col("_other")})
+    arc = _scanned(arc.with_rows(arc.rows.withColumn("_other", other)), total={"_n": F.col("_other")})
     ends = lambda c: F.col("_next").isNull() | (F.col(f"_next.{c}") != F.col(c))
     start = F.when((F.col("_n") == 0) & ends("f"), F.struct("x", "y"))  # of rows of the first frame the last counts, as of points at one distance
-    arc = scan(arc, last={"_past": start}, first={"_ahead": start})
+    arc = _scanned(arc, last={"_past": start}, first={"_ahead": start})
     arc = arc.with_rows(arc.rows.filter(ends("s")).select(*([key, RANGE] if arc.split else [key]), "f", "s", "x", "y", F.coalesce("_past", "_ahead").alias("_start")))
-    arc = scan(arc, previous={"_before": F.lit(1)}, following={"_hi": F.struct("s", "x", "y")})
+    arc = _scanned(arc, previous={"_before": F.lit(1)}, following={"_hi": F.struct("s", "x", "y")})
     at = lambda k: k * F.lit(spacing)
 
     def onward(s: Column) -> Column:
@@ -79,10 +86,10 @@ def wiggle(points: DataFrame, key: str, spacing: float = 0.1, most: int | None =
 
     Points that fall on the one before keep its heading; turning back is a turn to the right, whatever the rounding.
     """
-    even = scan(corners(points, key, spacing, most), previous={"_was": F.struct("k", "x", "y")})
+    even = _scanned(corners(points, key, spacing, most), previous={"_was": F.struct("k", "x", "y")})
     dx, dy = F.col("x") - F.col("_was.x"), F.col("y") - F.col("_was.y")
     went = F.when(F.hypot(dx, dy) > 1e-6 * (F.col("k") - F.col("_was.k")), F.atan2(dy, dx))
-    heading = scan(even.with_rows(even.rows.withColumn("went", went).drop("_was")), last={"h": F.col("went")})
+    heading = _scanned(even.with_rows(even.rows.withColumn("went", went).drop("_was")), last={"h": F.col("went")})
     turn = scan(heading, previous={"_h": F.col("h")}).plain().withColumn("dh", turn_between(F.col("_h"), F.col("h")))
     return turn.groupBy(key).agg((F.coalesce(F.sum(F.abs("dh")), F.lit(0.0)) - F.abs(F.coalesce(F.sum("dh"), F.lit(0.0)))).alias("wiggle"))
 
